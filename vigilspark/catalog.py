@@ -1,0 +1,15 @@
+"""Registered queries of the event engine and their DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
