@@ -6,6 +6,9 @@ import importlib
 
 #: query name -> module that has a function of that name (spark, sf_dir)
 QUERIES = {
+    "op1_license_scan": "licenses",
+    "op3_url_filter": "urls",
+    "op5_language_id": "language",
     "op7_token_files": "token_files",
     "op8_packing": "packing",
 }
