@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has a function of that name (spark, sf_dir)
 QUERIES = {
+    "op6_media": "media",
     "op1_license_scan": "licenses",
     "op3_url_filter": "urls",
     "op5_language_id": "language",
