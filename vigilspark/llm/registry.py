@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that has a function of that name (spark, sf_dir)
 QUERIES = {
+    "op9_decontaminate": "decontaminate",
     "op2_near_copies": "near_copies",
     "op6_media": "media",
     "op1_license_scan": "licenses",
