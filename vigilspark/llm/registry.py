@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module that has a function of that name (spark, sf_dir)
 QUERIES = {
+    "op4_token_counts": "edit_counts",
+    "op10_chat_format": "chat",
     "op9_decontaminate": "decontaminate",
     "op2_near_copies": "near_copies",
     "op6_media": "media",

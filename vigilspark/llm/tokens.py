@@ -48,10 +48,13 @@ class PieceEncoder:
         """Cache keys of a text's pieces; None if it has to be encoded in one go."""
         if self._word_ends:
             return text.replace("\n", " ").split(" ")
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", "").isprintable() or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", "").isprintable() or text[:1] == "\n" or text[-1:] in (" ", "\n"):
             return None
         parts = text.replace("\n", " \n").split(" ")
-        parts[0] = _FIRST + parts[0]
+        if parts[0]:
+            parts[0] = _FIRST + parts[0]
+        else:  # a leading space belongs to the first piece
+            del parts[0]
         return parts
 
     def _text_of(self, key: str) -> str:
