@@ -12,8 +12,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces whose ids one worker keeps (about 120 MB); a full cache is emptied.
-CACHE_PIECES = 500_000
+#: Pieces whose ids one worker keeps (about 240 MB); a full cache keeps those used since it was half full.
+CACHE_PIECES = 1_000_000
 #: New pieces that one call of the library encodes.
 JOINED_PIECES = 2000
 _FIRST = "\0"
@@ -40,6 +40,7 @@ class PieceEncoder:
         self._tok.encode_special_tokens = True
         self._word_ends, self._limit = word_ends, cache_pieces
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> bytes:
         return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -84,13 +85,16 @@ class PieceEncoder:
         keys = [self.pieces(t) if t else [] for t in texts]
         cache = self._cache
         missing = list(set(chain.from_iterable(k for k in keys if k)).difference(cache))
-        if len(cache) + len(missing) > self._limit:
-            cache.clear()
-            missing = list(set(chain.from_iterable(k for k in keys if k)))
+        if self._old:
+            cache.update((k, self._old[k]) for k in missing if k in self._old)
+            missing = [k for k in missing if k not in cache]
         for i in range(0, len(missing), JOINED_PIECES):
             self._learn(missing[i : i + JOINED_PIECES])
         get = cache.__getitem__
-        return [b"".join(map(get, k)) if k is not None else self.encode_whole(t) for k, t in zip(keys, texts, strict=True)]
+        out = [b"".join(map(get, k)) if k is not None else self.encode_whole(t) for k, t in zip(keys, texts, strict=True)]
+        if len(cache) > self._limit // 2:
+            self._cache, self._old = {}, cache
+        return out
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
