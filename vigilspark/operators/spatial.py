@@ -24,7 +24,7 @@ def located(points: DataFrame, polygons: DataFrame, on: list[str], cell: float =
 
     points: on, x, y; polygons: on, profile_id, ring. Points outside of a box are outside and left out.
     """
-    xs, ys = (F.transform("ring", lambda p, c=c: p[c]) for c in "xy")
+    xs, ys = F.col("ring.x"), F.col("ring.y")
     boxed = polygons.withColumns({"_x0": F.array_min(xs) - G.TOLERANCE, "_x1": F.array_max(xs) + G.TOLERANCE, "_y0": F.array_min(ys) - G.TOLERANCE, "_y1": F.array_max(ys) + G.TOLERANCE})
     listed = boxed.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), cell))).withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), cell)))
     own = points.withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
