@@ -14,9 +14,11 @@ groups (per band of sizes), and linked sets meet in at least one block.
 2. In each block every class is compared with the block's first class only (a star, so
    groups of copies cost no more than their size), links give components.
 3. Blocks that still hold several components go through R-trees, which yield the pairs
-   of different components whose bound allows a link; these are verified, and the
-   components are final. A block of more than BLOCK classes is dealt out in chunks, each
-   pair of chunks being one tree.
+   of different components whose bound allows a link. First only a spanning forest of
+   them by the largest bound is verified, which joins what mostly belongs together; then
+   all that remain between different components are, and the components are final. A
+   block of more than BLOCK classes is dealt out in chunks, each pair of chunks being
+   one tree.
 
 Shingles are 64-bit hashes and classes 64-bit digests with the set's size; chance
 collisions are the only inexactness (below 1e-6 for 10^9 documents of 1000 shingles).
@@ -44,8 +46,8 @@ WORDS = 4
 SIMILARITY = Fraction(85, 100)
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.4
-#: Counts of one point at most; more groups are added up, which only loosens the bound.
-COUNTS = 256
+#: Counts of one point for each group of a key, so that about one shingle falls on each, and at most.
+FINER, COUNTS = 5, 2048
 #: Classes of one tree at most, and of one leaf.
 BLOCK, LEAF = 4096, 32
 #: Members that one task compares with a class at the centre of a star.
@@ -130,11 +132,13 @@ class Bands:
         most = differ(self.similarity, n, floor(n / self.similarity))
         return keys if g - np.count_nonzero(full) >= g - most else keys[full]
 
+    def dimensions(self, band: int) -> int:
+        return min(FINER * self.groups(band), COUNTS)
+
     def point(self, hashes: np.ndarray, band: int) -> np.ndarray:
-        counts = np.diff(self.cuts(hashes, band))
-        if len(counts) > COUNTS:
-            counts = np.bincount(np.arange(len(counts)) % COUNTS, weights=counts).astype(np.int64)
-        return counts.astype("<u2" if len(hashes) < 1 << 16 else "<u4")
+        n = np.uint64(self.dimensions(band))
+        counts = np.bincount(((hashes >> np.uint64(32)) * n >> np.uint64(32)).astype(np.int64), minlength=int(n))
+        return counts.astype(np.uint8 if counts.max() < 256 else "<u4")
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: Fraction = SIMILARITY) -> bool:
@@ -149,7 +153,7 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, similarity: Fraction):
         self.order = np.lexsort((*points.T[:2], sizes))
-        self.points, self.sizes = points[self.order].astype(np.int64), sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
         self.share = float(similarity / (1 + similarity)) - 1e-9
         self.levels = []
         high, least, most = self.points, self.sizes, self.sizes
@@ -161,35 +165,55 @@ class RTree:
                 break
         self.ratio = float(similarity) - 1e-9
 
-    def _near(self, a: tuple, b: tuple) -> np.ndarray:
-        """Which rows of a and b (counts, smallest, largest size) can hold linked points."""
+    def _near(self, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, bound) of the rows of a and b (counts, smallest, largest size) that can hold linked points."""
         (ha, la, ma), (hb, lb, mb) = a, b
-        fit = (ma[:, None] >= self.ratio * lb) & (mb >= self.ratio * la[:, None])
-        i, j = np.nonzero(fit)
-        for k in range(0, len(i), 1 << 14):
-            s = slice(k, k + (1 << 14))
-            fit[i[s], j[s]] = np.minimum(ha[i[s]], hb[j[s]]).sum(axis=1) >= self.share * (la[i[s]] + lb[j[s]])
-        return fit
-
-    def pairs(self, component: np.ndarray) -> np.ndarray:
-        """(i, j), i before j, of all points of different components whose bound allows a link."""
+        i, j = np.nonzero((ma[:, None] >= self.ratio * lb) & (mb >= self.ratio * la[:, None]))
+        bound = np.empty(len(i), np.int64)
+        for k in range(0, len(i), 1 << 12):
+            s = slice(k, k + (1 << 12))
+            bound[s] = np.minimum(ha[i[s]], hb[j[s]]).sum(axis=1, dtype=np.int64)
+        fit = bound >= self.share * (la[i] + lb[j])
+        return i[fit], j[fit], bound[fit]
+
+    def pairs(self, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) rows of all points of different components whose bound allows a link, and the share that the bound allows."""
         comp = component[self.order]
-        out, todo = [], [(len(self.levels) - 1, 0, 0)]
+        out, shares, todo = [np.zeros((0, 2), np.int64)], [np.zeros(0)], [(len(self.levels) - 1, 0, 0)]
         while todo:
             level, x, y = todo.pop()
             below = self.levels[level - 1] if level else (self.points, self.sizes, self.sizes)
             rx, ry = (slice(k * LEAF, (k + 1) * LEAF) for k in (x, y))
-            fit = self._near(tuple(t[rx] for t in below), tuple(t[ry] for t in below))
-            if level == 0:
-                fit &= comp[rx][:, None] != comp[ry]
-            if x == y:
-                fit = np.triu(fit, 1 if level == 0 else 0)
-            i, j = (k + r.start for k, r in zip(np.nonzero(fit), (rx, ry), strict=True))
+            i, j, bound = self._near(tuple(t[rx] for t in below), tuple(t[ry] for t in below))
+            i, j = i + rx.start, j + ry.start
             if level:
-                todo += [(level - 1, a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-            elif len(i):
-                out.append(np.stack([self.order[i], self.order[j]], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+                todo += [(level - 1, a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if x != y or a <= b]
+                continue
+            keep = comp[i] != comp[j]
+            if x == y:
+                keep &= i < j
+            i, j = i[keep], j[keep]
+            out.append(np.stack([self.order[i], self.order[j]], axis=1))
+            shares.append(bound[keep] / (self.sizes[i] + self.sizes[j]))
+        return np.concatenate(out), np.concatenate(shares)
+
+
+def spanning(pairs: np.ndarray, shares: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """The pairs of a spanning forest of the components, by the largest share."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k in np.argsort(-shares, kind="stable").tolist():
+        a, b = (root(int(component[i])) for i in pairs[k])
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return pairs[kept]
 
 
 def _digest(hashes: np.ndarray) -> int:
@@ -339,8 +363,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("x").alias("id"), F.col("c").alias("component"))
 
 
-def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs of classes in one block but in different components whose count vectors allow a link."""
+def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Fraction, forest: bool) -> DataFrame:
+    """Pairs of classes in one block but in different components whose count vectors allow a link; of each block a forest only, if asked for."""
     labelled = members.select("key", "band", "class").join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts")).where("lo <> hi")
     part = F.pmod(F.xxhash64("class", "key"), F.col("parts")).cast("int")
@@ -369,9 +393,11 @@ def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a < 2 or (comp[a:b] == comp[a]).all():
                     continue
-                wide = min(bands.groups(int(band[a])), COUNTS)
-                pts = np.array([np.frombuffer(x, "<u2" if len(x) == 2 * wide else "<u4") for x in point[a:b]])
-                got = RTree(pts, size[a:b], similarity).pairs(comp[a:b])
+                wide = bands.dimensions(int(band[a]))
+                pts = np.array([np.frombuffer(x, np.uint8 if len(x) == wide else "<u4") for x in point[a:b]])
+                got, shares = RTree(pts, size[a:b], similarity).pairs(comp[a:b])
+                if forest:
+                    got = spanning(got, shares, comp[a:b])
                 if len(got):
                     two = np.sort(cls[a:b][got], axis=1)
                     found += [x for x in map(tuple, two.tolist()) if x not in told]
@@ -402,9 +428,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMI
     star = members.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
     links = written(_verified(star, sets, similarity), "links")
     labels = components(links)
-    more = written(_tree_pairs(members, labels, sets, similarity), "tree-pairs")
-    more_links = written(_verified(more, sets, similarity), "links")
-    labels = components(links.union(more_links))
+    for forest in (True, False):
+        pairs = written(_tree_pairs(members, labels, sets, similarity, forest), "tree-pairs")
+        links = links.union(written(_verified(pairs, sets, similarity), "links"))
+        labels = components(links)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = first_of.join(smallest, "component").select("class", "component_id")
