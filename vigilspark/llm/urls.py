@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: (rule, verdict); a rule is host and path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -74,7 +74,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: Column | None = None) ->
     segments = [f"s{i}" for i in range(1, DEPTH + 1)]
     base = base.withColumn("parts", parts).withColumns({s: shape_of(F.coalesce(F.get("parts", F.lit(i)), F.lit(""))) for i, s in enumerate(segments)}).drop("parts")
     good = labels if labels is not None else F.when(F.col("rule_verdict").isNotNull(), F.col("rule_verdict") == "allow")
-    tree = base.groupBy("host", *segments).agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad"))
+    tree = written(base.groupBy("host", *segments).agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad")), "templates")
     kept = ["host"]
     for i, s in enumerate(segments):
         # children of each node, then the node's own sums: the tree holds a row per shape, not per url
@@ -87,7 +87,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: Column | None = None) ->
         variable = (F.col("kids") >= CHILDREN) & (F.col("kids") > DISTINCT * F.col("pn"))
         name = F.when(F.col(s) == "", "").when(variable, "{*}").when(alike, "{~}").otherwise(F.col(s))
         t = f"t{i + 1}"
-        tree = tree.join(both.select(*kept, s, name.alias(t)), [*kept, s])
+        tree = written(tree.join(both.select(*kept, s, name.alias(t)), [*kept, s]), "templates")  # a level's plan would else hold all levels before several times
         kept = [*kept, t]
     names = kept[1:]
     pure = tree.groupBy(*kept).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
