@@ -1,0 +1,62 @@
+"""Queries: source coverage, provenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigilspark.catalog.common import query, table
+from vigilspark.operators import evidence
+
+
+def _inputs(spark, d):
+    """Customers' orders as recordings of 20 days, and a request of 90 days for each customer."""
+    o = table(spark, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    recordings = o.select(F.col("o_orderkey").alias("asset_id"), F.col("o_custkey").alias("tenant_id"), (F.col("o_orderkey") % 2).alias("venue_id"), F.lit("c").alias("camera_id"), F.lit("s").alias("session_id"), F.col("t").alias("start_time"), (F.col("t") + F.expr("INTERVAL 20 DAYS")).alias("end_time"), (F.col("o_orderstatus") != "P").alias("available"))
+    k = F.col("c_custkey")
+    start = F.timestamp_micros(F.lit(852076800000000) + (k % 900) * F.lit(86400000000))
+    requests = table(spark, d, "customer").select(k.alias("ref_id"), k.alias("tenant_id"), F.when(k % 3 == 0, k % 2).alias("venue_id"), F.lit("c").alias("camera_id"), F.lit(None).cast("string").alias("session_id"), start.alias("start_time"), (start + F.expr("INTERVAL 90 DAYS")).alias("end_time"))
+    return requests, recordings
+
+
+_COVER = """q AS (SELECT c_custkey AS ref, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 END AS venue, make_timestamp((852076800000000 + (c_custkey % 900) * 86400000000)::BIGINT) AS a, make_timestamp((852076800000000 + (c_custkey % 900) * 86400000000)::BIGINT) + INTERVAL 90 DAY AS b FROM customer),
+m AS (SELECT ref, a, b, o_orderkey AS asset, o_orderdate AS s, o_orderdate + INTERVAL 20 DAY AS e, o_orderstatus <> 'P' AS ok, venue IS NULL OR venue = o_orderkey % 2 AS mine FROM q JOIN orders ON o_custkey = ref AND o_orderdate <= b AND o_orderdate + INTERVAL 20 DAY >= a),
+v AS (SELECT *, greatest(s, a) AS f, least(e, b) AS u FROM m WHERE ok AND mine),
+w AS (SELECT *, coalesce(max(u) OVER (PARTITION BY ref ORDER BY s, e, asset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS reach FROM v),
+g AS (SELECT ref, count(*) AS n, sum(greatest(0, epoch_us(f) - epoch_us(reach))) AS missing, max(u) AS top, count(*) FILTER (f > reach) AS holes FROM w GROUP BY ref), h AS (SELECT ref, bool_or(mine) AS mine FROM m GROUP BY ref)"""
+
+
+@query(f"""WITH {_COVER} SELECT q.ref AS ref_id, CASE WHEN n IS NULL THEN CASE WHEN h.mine IS FALSE THEN 'auth_failure' ELSE 'not_found' END WHEN holes > 0 OR top < b THEN 'partial' ELSE 'resolved' END AS resolution,
+CASE WHEN n IS NULL THEN 0 ELSE ((epoch_us(b) - epoch_us(a) - missing - (epoch_us(b) - epoch_us(top))) / 1e6)::DOUBLE END AS covered_seconds FROM q LEFT JOIN g USING (ref) LEFT JOIN h USING (ref)""")
+def evidence_coverage(spark, d):
+    return evidence.resolve(*_inputs(spark, d)).select("ref_id", "resolution", "covered_seconds")
+
+
+@query(f"WITH {_COVER} SELECT ref AS ref_id, asset AS asset_id, mine FROM m")
+def evidence_overlaps(spark, d):
+    mine = F.col("venue_id").isNull() | (F.col("venue_id") == F.col("rec_venue"))
+    return evidence.overlapping(*_inputs(spark, d)).select("ref_id", "asset_id", mine.alias("mine"))
+
+
+_HOPS = "['event','rule','fact','transition','observation','track','detection','frame','session','camera','recording','object']"
+
+
+@query(f"SELECT o_orderkey AS ref_id, i::INTEGER AS position, {_HOPS}[i + 1] AS hop, CASE WHEN i <> 6 THEN {_HOPS}[i + 1] || '-' || o_orderkey END AS id FROM orders, range(12) r(i)")
+def evidence_provenance_chain(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_id"), *(F.when(F.lit(h != "detection"), F.concat(F.lit(f"{h}-"), F.col("o_orderkey").cast("string"))).alias(h) for h in evidence.HOPS))
+    return evidence.provenance_chain(o)
+
+
+@query("SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 10 = 3 OR (o_orderkey % 4 <> 0 AND o_orderkey % 7 = 1) THEN 'failed' ELSE 'verified' END AS verdict, CASE WHEN o_orderkey % 4 = 0 THEN 'not_applicable' WHEN o_orderkey % 7 = 1 THEN 'fail' ELSE 'pass' END AS track_check FROM orders")
+def evidence_provenance_verdict(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("ref_id", k)
+    out = evidence.verify(o, {"session": (k, F.when(k % 10 == 3, k + 1).otherwise(k)), "track": (F.when(k % 4 != 0, k), F.when(k % 7 == 1, -k).otherwise(k))})
+    return out.select("ref_id", "verdict", F.filter("checks", lambda c: c["name"] == "track")[0]["outcome"].alias("track_check"))
+
+
+@query("SELECT o_orderkey AS ref_id, o_orderkey % 6 NOT IN (2, 3) AS agrees FROM orders WHERE o_orderkey % 5 <> 0")
+def evidence_three_way(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(k.alias("ref_id"))
+    r = F.col("ref_id")
+    return evidence.agree(o.withColumn("v", r), o.withColumn("v", F.when(r % 6 != 2, r)), o.where("ref_id % 5 <> 0").withColumn("v", F.when(r % 6 == 3, -r).otherwise(r)), ["v"])

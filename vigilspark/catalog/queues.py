@@ -1,0 +1,120 @@
+"""Queries: work queues, deduplicating inserts, lifecycle logs, sweeps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigilspark.catalog.common import query, table
+from vigilspark.operators import queues
+
+NOW = "1999-06-01 00:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def work(spark, d):
+    """Orders as rows of work."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("pending", "failed", "processing", "published", "dead_letter"))), (k % 5 + 1).cast("int"))
+    o = table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    return o.select(k.alias("id"), status.alias("status"), F.col("o_orderdate").alias("available_at"), F.when(k % 3 == 0, F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("lease_until"), F.when(k % 5 == 2, F.when(k % 2 == 0, "w1").otherwise("w2")).alias("claimed_by"), (k % 7).cast("int").alias("attempts"))
+
+
+_WORK = """work AS (SELECT o_orderkey AS id, ['pending','failed','processing','published','dead_letter'][o_orderkey % 5 + 1] AS status, o_orderdate AS available_at,
+CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS lease_until, CASE WHEN o_orderkey % 5 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'w1' ELSE 'w2' END END AS claimed_by, (o_orderkey % 7)::INTEGER AS attempts FROM orders)"""
+_DUE = f"status IN ('pending','failed','processing') AND available_at <= TIMESTAMP '{NOW}' AND (lease_until IS NULL OR lease_until < TIMESTAMP '{NOW}')"
+
+
+@query(f"WITH {_WORK} SELECT id, available_at, 'processing' AS status, 'w9' AS claimed_by, TIMESTAMP '{NOW}' + INTERVAL 60 SECOND AS lease_until, (attempts + 1)::INTEGER AS attempts FROM work WHERE {_DUE} ORDER BY available_at, id LIMIT 50")
+def queue_claim(spark, d):
+    return queues.claim(work(spark, d), "w9", 50, 60, _now()).select("id", "available_at", "status", "claimed_by", "lease_until", "attempts")
+
+
+@query(f"WITH {_WORK}, c AS (SELECT id FROM work WHERE {_DUE} ORDER BY available_at, id LIMIT 50) SELECT CASE WHEN c.id IS NOT NULL THEN 'processing' ELSE status END AS status, count(*) AS n, sum(attempts + CASE WHEN c.id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS attempts FROM work LEFT JOIN c USING (id) GROUP BY 1")
+def queue_after_claim(spark, d):
+    w = work(spark, d)
+    return queues.apply_claim(w, queues.claim(w, "w9", 50, 60, _now())).groupBy("status").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+@query(f"WITH {_WORK} SELECT id, CASE WHEN claimed_by = 'w1' AND status = 'processing' AND id % 4 = 0 THEN 'published' ELSE status END AS status FROM work")
+def queue_mark_published(spark, d):
+    w = work(spark, d)
+    return queues.marked(w, "w1", w.where("id % 4 = 0").select("id")).select("id", "status")
+
+
+@query(f"""WITH {_WORK} SELECT id, CASE WHEN id % 10 = 0 AND attempts >= 5 THEN 'dead_letter' WHEN id % 10 = 0 THEN 'failed' ELSE status END AS status,
+CASE WHEN id % 10 = 0 AND attempts < 5 THEN TIMESTAMP '{NOW}' + to_microseconds((least(600.0, 5.0 * pow(2, greatest(attempts, 1) - 1)) * 1000000)::BIGINT) ELSE available_at END AS available_at, CASE WHEN id % 10 = 0 THEN 'boom' || id END AS last_error FROM work""")
+def queue_mark_failed(spark, d):
+    w = work(spark, d)
+    e = w.where("id % 10 = 0").select("id", F.concat(F.lit("boom"), F.col("id").cast("string")).alias("error"))
+    return queues.failed(w, e, _now(), 5, 5.0, 600.0).select("id", "status", "available_at", "last_error")
+
+
+@query("SELECT min(event_id) AS event_id, user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 97 = 0) GROUP BY user_id, event_type")
+def queue_insert_new(spark, d):
+    e = table(spark, d, "events")
+    return queues.insert_new(e.where("event_id % 97 = 0"), e, ["user_id", "event_type"], ["event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT o.o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'new' WHEN c.c_mktsegment = o.o_orderpriority THEN 'replay' WHEN o.o_orderkey % 2 = 0 THEN 'replay' ELSE 'conflict' END AS outcome FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 3 = 0""")
+def queue_idempotency(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.lit("t").alias("tenant_id"), F.lit("op").alias("operation"), F.col("o_custkey").cast("string").alias("key"), F.concat(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("x")).alias("request_hash"))
+    c = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.lit("t").alias("tenant_id"), F.lit("op").alias("operation"), F.col("c_custkey").cast("string").alias("key"), F.col("c_custkey").cast("string").alias("request_hash"))
+    return queues.idempotent(o, c).select("o_orderkey", "outcome")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'count' WHEN 'purchase' THEN 'bill' END AS effect, CASE WHEN event_type IN ('click','purchase') THEN 'handled' ELSE 'dead_letter' END AS outcome FROM events")
+def queue_dispatch(spark, d):
+    return queues.dispatch(table(spark, d, "events"), {"click": "count", "purchase": "bill"}).select("event_id", "effect", "outcome")
+
+
+_STATES = ("created", "starting", "running", "reconnecting", "stopping", "stopped", "failed")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ['created','starting','running','reconnecting','stopping','stopped','failed'][(event_id * 31 // 7) % 7 + 1] AS status, lag(['created','starting','running','reconnecting','stopping','stopped','failed'][(event_id * 31 // 7) % 7 + 1]) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
+SELECT event_id, user_id, previous, status FROM s WHERE previous IS NOT NULL AND (previous, status) NOT IN (('created','starting'),('created','failed'),('created','stopped'),('starting','running'),('starting','failed'),('starting','stopping'),('running','reconnecting'),('running','stopping'),('running','failed'),('reconnecting','running'),('reconnecting','stopping'),('reconnecting','failed'),('stopping','stopped'),('stopping','failed'))""")
+def queue_illegal_transitions(spark, d):
+    e = table(spark, d, "events")
+    status = F.element_at(F.array(*map(F.lit, _STATES)), (F.floor(F.col("event_id") * 31 / 7) % 7 + 1).cast("int"))
+    log = e.select("event_id", F.col("user_id").alias("entity_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), status.alias("status"))
+    return queues.illegal_transitions(log, "live_session").select("event_id", F.col("entity_id").alias("user_id"), "previous", "status")
+
+
+@query(f"""WITH w AS (SELECT o_orderkey AS id, ['requested','failed','queued','extracting','uploading'][o_orderkey % 5 + 1] AS state, o_orderdate AS t FROM orders)
+SELECT id, CASE WHEN state = 'requested' THEN 'queued' WHEN state = 'failed' AND t + INTERVAL 10 DAY <= TIMESTAMP '{NOW}' THEN 'queued' WHEN state = 'queued' AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(t) > 8640000000000 THEN 'expired' ELSE state END AS new_state,
+CASE WHEN t < TIMESTAMP '{NOW}' AND state = 'extracting' THEN 'retry_now' WHEN t < TIMESTAMP '{NOW}' AND state = 'uploading' THEN 'resume_upload' ELSE 'none' END AS action FROM w""")
+def queue_evidence_states(spark, d):
+    k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    state = F.element_at(F.array(*map(F.lit, ("requested", "failed", "queued", "extracting", "uploading"))), (k % 5 + 1).cast("int"))
+    w = table(spark, d, "orders").select(k.alias("id"), state.alias("state"), t.alias("updated_at"), (t + F.expr("INTERVAL 10 DAYS")).alias("retry_at"), t.alias("lease_until"))
+    return queues.recovered(queues.promoted(w, _now(), 100 * 86400), _now()).select("id", "new_state", "action")
+
+
+@query("""SELECT id, CASE r WHEN 0 THEN 'continue' WHEN 1 THEN 'continue' WHEN 2 THEN CASE WHEN id % 7 < 4 THEN 'retry' ELSE 'failed' END ELSE 'failed' END AS route FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS r FROM orders)""")
+def queue_routes(spark, d):
+    k = F.col("o_orderkey")
+    r = F.element_at(F.array(*map(F.lit, ("resolved", "partial", "not_found", "auth_failure"))), (k % 4 + 1).cast("int"))
+    return queues.routed(table(spark, d, "orders").select(k.alias("id"), r.alias("resolution"), (k % 7).alias("attempts"), F.lit(4).alias("most_attempts"))).select("id", "route")
+
+
+def _objects(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders")
+    objects = o.where(k % 3 != 0).select(F.concat(F.lit("obj"), k.cast("string")).alias("object_key"), F.col("o_orderdate").cast("timestamp").alias("modified_at"))
+    rows = o.where(k % 4 != 0).select(F.concat(F.lit("obj"), k.cast("string")).alias("object_key"), F.element_at(F.array(*map(F.lit, ("available", "failed", "expired", "deletion_pending", "deleted"))), (k % 5 + 1).cast("int")).alias("state"))
+    return queues.orphans(objects, rows, _now(), 86400.0)
+
+
+_LIVE = "o_orderkey % 4 <> 0 AND o_orderkey % 5 NOT IN (1, 4)"
+
+
+@query(f"SELECT 'obj' || o_orderkey AS object_key FROM orders WHERE o_orderkey % 3 <> 0 AND NOT ({_LIVE}) AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(o_orderdate) >= 86400000000")
+def queue_orphan_objects(spark, d):
+    return _objects(spark, d)[0].select("object_key")
+
+
+@query(f"SELECT 'obj' || o_orderkey AS object_key, CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'deleted' ELSE 'failed' END AS new_state FROM orders WHERE o_orderkey % 3 = 0 AND {_LIVE}")
+def queue_missing_objects(spark, d):
+    return _objects(spark, d)[1].select("object_key", "new_state")
