@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are done: it does so once their plans are garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Remove tables of written() that nothing reads any more."""
     for df in frames:

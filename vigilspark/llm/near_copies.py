@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_arrow, table, written
+from .common import drop_written, free_shuffles, map_arrow, table, written
 
 WORDS = 4
 SIMILARITY = Fraction(85, 100)
@@ -424,13 +424,17 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMI
     classes = written(map_arrow(docs, classes_of, "doc_id long, n_shingles long, class long"), "classes")
     firsts = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     members = written(_blocks(docs, words, similarity), "blocks")
+    free_shuffles(docs.sparkSession)
     sets = written(_sets(docs, firsts, members.select("class").distinct(), words), "sets")
+    free_shuffles(docs.sparkSession)
     star = members.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
     links = written(_verified(star, sets, similarity), "links")
+    free_shuffles(docs.sparkSession)
     labels = components(links)
     for forest in (True, False):
         pairs = written(_tree_pairs(members, labels, sets, similarity, forest), "tree-pairs")
         links = links.union(written(_verified(pairs, sets, similarity), "links"))
+        free_shuffles(docs.sparkSession)
         labels = components(links)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
