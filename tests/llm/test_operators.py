@@ -74,6 +74,13 @@ def test_near_copies_equal_brute_force(spark, words, monkeypatch, n, num, den, b
     assert sorted(map(tuple, got)) == brute_components(texts, n, num, den)
 
 
+def test_near_copies_with_one_doc_id_for_several_texts(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, a), (1, "another text altogether with other words in it"), (2, a + " more"), (2, a + " more")]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 1), (1, 17, 1), (2, 18, 1), (2, 18, 1)]
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.near_copies(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in near_copies.near_copies(docs_of(spark, ["only one text of five words"])).collect()] == [(0, 3, 0)]

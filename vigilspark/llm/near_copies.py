@@ -307,15 +307,15 @@ def _blocks(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """class and its sorted hashes, from the text of each class's first document."""
+    """class and its sorted hashes, from the text of each class's first document (of several rows with its doc_id those of that class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["class", "hashes"])
+            found = [(c, h.tobytes()) for c, h in ((c, shingles(t, words)) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) if _digest(h) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], names=["class", "hashes"])
 
     wanted = firsts.join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    text = docs.join(wanted, "doc_id").dropDuplicates(["class"])
-    return map_arrow(text.select("class", "text"), run, "class long, hashes binary")
+    return map_arrow(docs.join(wanted, "doc_id").select("class", "text"), run, "class long, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
