@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Has Spark remove a query's shuffle files when the query ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of one Arrow batch; a batch is also bounded in bytes (BATCH_BYTES).
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -29,21 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
+    """Write df as Parquet to the shared folder and read it back, which cuts its lineage; its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._vigil_path = path
     return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of queries that are done: it does so once their plans are garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_written(*frames: DataFrame) -> None:
     """Remove tables of written() that nothing reads any more."""
     for df in frames:

@@ -11,8 +11,8 @@ group with equal content. So every set is listed under the content of each of it
 groups (per band of sizes), and linked sets meet in at least one block.
 
 1. Equal sets form classes. Blocks of one class are dropped at once.
-2. In each block every class is compared with the block's first class only (a star, so
-   groups of copies cost no more than their size), links give components.
+2. Every class is compared with one other only, the first class of most of its blocks
+   (a star, so groups of copies cost no more than their size); links give components.
 3. Blocks that still hold several components go through R-trees, which yield the pairs
    of different components whose bound allows a link. First only a spanning forest of
    them by the largest bound is verified, which joins what mostly belongs together; then
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free_shuffles, map_arrow, table, written
+from .common import drop_written, map_arrow, table, written
 
 WORDS = 4
 SIMILARITY = Fraction(85, 100)
@@ -424,18 +424,15 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMI
     classes = written(map_arrow(docs, classes_of, "doc_id long, n_shingles long, class long"), "classes")
     firsts = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     members = written(_blocks(docs, words, similarity), "blocks")
-    free_shuffles(docs.sparkSession)
     sets = written(_sets(docs, firsts, members.select("class").distinct(), words), "sets")
-    free_shuffles(docs.sparkSession)
-    star = members.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    heads = members.where("head <> class").groupBy("head", "class").count()
+    star = heads.groupBy(F.col("class").alias("b")).agg(F.max_by("head", F.struct("count", "head")).alias("a")).select("a", "b")
     links = written(_verified(star, sets, similarity), "links")
-    free_shuffles(docs.sparkSession)
     labels = components(links)
     for forest in (True, False):
         pairs = written(_tree_pairs(members, labels, sets, similarity, forest), "tree-pairs")
         links = links.union(written(_verified(pairs, sets, similarity), "links"))
-        free_shuffles(docs.sparkSession)
-        labels = components(links)
+            labels = components(links)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = first_of.join(smallest, "component").select("class", "component_id")
