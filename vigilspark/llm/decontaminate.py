@@ -161,7 +161,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarr
         u = u[:, :rank] / scale[:rank]  # every latent dimension counts alike
         yield pa.RecordBatch.from_arrays([pa.array([(u * 1e3).astype(np.float32).tobytes()], pa.binary())], names=["space"])
 
-    got = map_arrow(summed.coalesce(1), decompose, "space binary").collect()  # BUCKETS / block rows meet; one row returns
+    got = map_arrow(summed.repartition(1), decompose, "space binary").collect()  # BUCKETS / block rows meet; one row returns
     return np.frombuffer(got[0][0], np.float32).reshape(BUCKETS, -1) * idf[:, None] if got else np.zeros((BUCKETS, 1), np.float32)
 
 

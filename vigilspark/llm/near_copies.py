@@ -141,6 +141,21 @@ class Bands:
         return counts.astype(np.uint8 if counts.max() < 256 else "<u4")
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point's counts in half bytes where they fit."""
+    if point.max(initial=0) >= 16:
+        return point.tobytes()
+    even = np.append(point, 0) if len(point) % 2 else point
+    return (even[::2] | even[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes, dimensions: int) -> np.ndarray:
+    if len(raw) < dimensions:
+        pairs = np.frombuffer(raw, np.uint8)
+        return np.stack([pairs & 15, pairs >> 4], axis=1).ravel()[:dimensions]
+    return np.frombuffer(raw, np.uint8 if len(raw) == dimensions else "<u4")
+
+
 def linked(a: np.ndarray, b: np.ndarray, similarity: Fraction = SIMILARITY) -> bool:
     if not len(a) or not len(b):
         return False
@@ -306,20 +321,27 @@ def _blocks(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     return map_arrow(listed.repartition("key").sortWithinPartitions("key", "class"), shared, "key long, band int, head long, class long")
 
 
-def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """class and its sorted hashes, from the text of each class's first document (of several rows with its doc_id those of that class)."""
+def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, star: DataFrame, words: int) -> DataFrame:
+    """class, its sorted hashes and its partner a of the star with the part it is dealt to, from the text of each class's first document (of several rows with its doc_id those of that class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(c, h.tobytes()) for c, h in ((c, shingles(t, words)) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) if _digest(h) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], names=["class", "hashes"])
+            hashes = [shingles(t, words) for t in b.column(3).to_pylist()]
+            keep = pa.array([_digest(h) == c for c, h in zip(b.column(0).to_pylist(), hashes, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([h.tobytes() for h in hashes], pa.binary())], names=["class", "a", "part", "hashes"]).filter(keep)
+
+    parts = star.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    dealt = star.join(parts, "a").select(F.col("b").alias("class"), "a", _part("b").alias("part"))
+    wanted = firsts.join(classes, "class").join(dealt, "class", "left").select("class", "a", "part", F.col("first").alias("doc_id"))
+    return map_arrow(docs.join(wanted, "doc_id").select("class", "a", "part", "text"), run, "class long, a long, part int, hashes binary")
+
 
-    wanted = firsts.join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    return map_arrow(docs.join(wanted, "doc_id").select("class", "text"), run, "class long, hashes binary")
+def _part(column: str):
+    return F.pmod(F.xxhash64(column), F.col("parts")).cast("int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Those pairs (a, b) of classes whose sets are linked. Each a is dealt out by the number of its partners."""
+def _verified(pairs: DataFrame | None, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """Those pairs (a, b) of classes whose sets are linked; without pairs those of the star. Each a is dealt out by the number of its partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, centre, own = Bands(similarity), None, None
@@ -339,9 +361,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    centres = sets.withColumnRenamed("class", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "hashes")
-    others = pairs.join(parts, "a").join(sets.withColumnRenamed("class", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "hashes")
+    plain = sets.select("class", "hashes")
+    if pairs is None:
+        others = sets.where("a is not null").select("a", "part", F.col("class").alias("b"), "hashes")
+        dealt_to = sets.where("a is not null").select("a", "part").distinct()
+    else:
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+        others = pairs.join(parts, "a").join(plain.withColumnRenamed("class", "b"), "b").select("a", _part("b").alias("part"), "b", "hashes")
+        dealt_to = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    centres = plain.withColumnRenamed("class", "a").join(dealt_to, "a").select("a", "part", F.lit(None).cast("long").alias("b"), "hashes")
     dealt = centres.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return map_arrow(dealt, run, "a long, b long")
 
@@ -381,7 +409,7 @@ def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
                     cls.append(c)
                     band.append(k)
                     size.append(len(h))
-                    point.append(bands.point(h, k).tobytes())
+                    point.append(packed(bands.point(h, k)))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(size, pa.int64()), pa.array(point, pa.binary())], names=["class", "band", "size", "point"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +422,7 @@ def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
                 if b - a < 2 or (comp[a:b] == comp[a]).all():
                     continue
                 wide = bands.dimensions(int(band[a]))
-                pts = np.array([np.frombuffer(x, np.uint8 if len(x) == wide else "<u4") for x in point[a:b]])
+                pts = np.array([unpacked(x, wide) for x in point[a:b]])
                 got, shares = RTree(pts, size[a:b], similarity).pairs(comp[a:b])
                 if forest:
                     got = spanning(got, shares, comp[a:b])
@@ -407,7 +435,7 @@ def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(found), strict=True)], names=["a", "b"])
 
-    pts = map_arrow(sets, points, "class long, band int, size long, point binary")
+    pts = map_arrow(sets.select("class", "hashes"), points, "class long, band int, size long, point binary")
     dealt = rows.distinct().join(pts, ["class", "band"]).select("key", "p", "q", "class", "component", "band", "size", "point").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return map_arrow(dealt, search, "a long, b long").distinct()
 
@@ -424,15 +452,17 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMI
     classes = written(map_arrow(docs, classes_of, "doc_id long, n_shingles long, class long"), "classes")
     firsts = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     members = written(_blocks(docs, words, similarity), "blocks")
-    sets = written(_sets(docs, firsts, members.select("class").distinct(), words), "sets")
     heads = members.where("head <> class").groupBy("head", "class").count()
-    star = heads.groupBy(F.col("class").alias("b")).agg(F.max_by("head", F.struct("count", "head")).alias("a")).select("a", "b")
-    links = written(_verified(star, sets, similarity), "links")
+    star = written(heads.groupBy(F.col("class").alias("b")).agg(F.max_by("head", F.struct("count", "head")).alias("a")), "star")
+    sets = written(_sets(docs, firsts, members.select("class").distinct(), star, words), "sets")
+    links = written(_verified(None, sets, similarity), "links")
     labels = components(links)
     for forest in (True, False):
         pairs = written(_tree_pairs(members, labels, sets, similarity, forest), "tree-pairs")
         links = links.union(written(_verified(pairs, sets, similarity), "links"))
         labels = components(links)
+        drop_written(pairs)
+    drop_written(members, star, sets)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = first_of.join(smallest, "component").select("class", "component_id")
