@@ -74,6 +74,17 @@ def test_near_copies_equal_brute_force(spark, words, monkeypatch, n, num, den, b
     assert sorted(map(tuple, got)) == brute_components(texts, n, num, den)
 
 
+@pytest.mark.parametrize("side", [256, 16])
+def test_near_links_equal_brute_force(spark, words, monkeypatch, side):
+    monkeypatch.setattr(near_copies, "SIDE", side)
+    texts = group_texts(words)
+    sets = [brute_sets(t or "", 4) for t in texts]
+    linked = [[j for j, b in enumerate(sets) if j != i and a and 100 * len(a & b) >= 85 * len(a | b)] for i, a in enumerate(sets)]
+    want = [(i, n, min([i, *(j for j in linked[i] if sets[j] == sets[i])]), c, len(linked[i])) for i, n, c in brute_components(texts, 4, 85, 100)]
+    assert sorted(map(tuple, near_copies.near_links(docs_of(spark, texts)).collect())) == want
+    assert any(len(linked[i]) + 1 < sum(w[3] == want[i][3] for w in want) for i in range(len(texts)) if linked[i])  # chains, too
+
+
 def test_near_copies_with_one_doc_id_for_several_texts(spark):
     a = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     rows = [(1, a), (1, "another text altogether with other words in it"), (2, a + " more"), (2, a + " more")]

@@ -26,6 +26,11 @@ collisions are the only inexactness (below 1e-6 for 10^9 documents of 1000 shing
 Defined results: null text or text without words has an empty set, n_shingles 0, and is
 linked with nothing; fewer words than a shingle form one shingle; repeated rows with one
 doc_id give that many rows; other columns are ignored; an empty table gives no rows.
+
+near_copies() joins components only and leaves the links inside a found component aside.
+near_links() then compares all classes of one component, which every link lies in, and
+gives the number of links of each document; a group of n classes costs n * n / 2
+comparisons there, but never as many rows.
 """
 
 from __future__ import annotations
@@ -52,6 +57,8 @@ FINER, COUNTS = 5, 2048
 BLOCK, LEAF = 4096, 32
 #: Members that one task compares with a class at the centre of a star.
 STAR = 2000
+#: Classes of one side that one task of near_links() compares with another side's.
+SIDE = 256
 #: Digests a task remembers so as to list equal sets once.
 REMEMBERED = 50_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -440,8 +447,52 @@ def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
     return map_arrow(dealt, search, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _link_counts(classes: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """class and n, the rows of other classes that it is linked with: all pairs of classes of one component, dealt out by pairs of sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(similarity)
+        for cols in _runs(batches, 3):
+            edge, names, counts = _edges_of(cols, 3), [], []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                cls, at = np.unique(cols[4][lo:hi], return_index=True)
+                _, p, q, part, _, copies, raw = (c[lo:hi][at] for c in cols)
+                hashes = [np.frombuffer(x, np.uint64) for x in raw]
+                sizes = np.array([len(h) for h in hashes], np.int64)
+                band = bands.of(int(sizes.max()))[0]
+                points = [bands.point(h, band) for h in hashes]
+                pairs, _ = RTree(np.array(points), sizes, similarity).pairs(part if p[0] != q[0] else np.arange(len(cls)))
+                values, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+                ids, own, n = np.split(ids, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool), np.zeros(len(cls), np.int64)
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                for i, js in zip(*_grouped(pairs), strict=True):
+                    own[ids[i]] = True
+                    both = np.add.reduceat(own[np.concatenate([ids[j] for j in js])], np.concatenate([[0], np.cumsum(sizes[js])[:-1]]), dtype=np.int64)
+                    own[ids[i]] = False
+                    js = js[similarity.denominator * both >= similarity.numerator * (sizes[i] + sizes[js] - both)]
+                    n[i] += copies[js].sum()
+                    n[js] += copies[i]
+                names.append(cls[n > 0])
+                counts.append(n[n > 0])
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (names, counts)], names=["class", "n"])
+
+    copies = classes.where("class is not null").groupBy("class").agg(F.count("*").alias("copies"))
+    parts = labels.groupBy("component").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    sided = labels.select(F.col("id").alias("class"), "component").join(parts, "component").join(copies, "class").withColumn("part", _part("class")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = sets.select("class", "hashes").join(sided, "class").select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "class", "copies", "hashes")
+    dealt = rows.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+    return map_arrow(dealt, run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+
+
+def _grouped(pairs: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The first ends of pairs sorted by them, and the second ends of each."""
+    first, at = np.unique(pairs[:, 0], return_index=True)
+    return first.tolist(), np.split(pairs[:, 1], at[1:]) if len(first) else []
+
+
+def _joined(docs: DataFrame, words: int, similarity: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, n_shingles, class), the classes (class, first, component_id), the labels of linked classes and the sets of classes that share a block."""
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -462,17 +513,39 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMI
         links = links.union(written(_verified(pairs, sets, similarity), "links"))
         labels = components(links)
         drop_written(pairs)
-    drop_written(members, star, sets)
+    drop_written(members, star)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = first_of.join(smallest, "component").select("class", "component_id")
+    by_class = first_of.join(smallest, "component").select("class", "first", "component_id")
+    return classes, by_class, labels, sets
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    classes, by_class, _, sets = _joined(docs, words, similarity)
+    drop_written(sets)
     return classes.join(by_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def near_links(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """near_copies() with class_id, the smallest doc_id of equal sets, and n_links, the number of other rows that the row is linked with."""
+    classes, by_class, labels, sets = _joined(docs, words, similarity)
+    others = written(_link_counts(classes, labels, sets, similarity), "link-counts")
+    drop_written(sets)
+    copies = classes.where("class is not null").groupBy("class").agg((F.count("*") - 1).alias("copies"))
+    counted = by_class.join(copies, "class").join(others, "class", "left").withColumn("n_links", F.col("copies") + F.coalesce("n", F.lit(0)))
+    ids = (F.coalesce(c, "doc_id").alias(name) for c, name in (("first", "class_id"), ("component_id", "component_id")))
+    return classes.join(counted, "class", "left").select("doc_id", "n_shingles", *ids, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op2_near_copies(spark, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_near_links(spark, sf_dir: str) -> DataFrame:
+    return near_links(table(spark, sf_dir, "documents"))
+
+
 def keep_firsts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the smallest doc_id stays (five-word shingles, similarity 0.8)."""
     groups = near_copies(docs, words=5, similarity=Fraction(80, 100))

@@ -10,6 +10,7 @@ QUERIES = {
     "op10_chat_format": "chat",
     "op9_decontaminate": "decontaminate",
     "op2_near_copies": "near_copies",
+    "op2_near_links": "near_copies",
     "op6_media": "media",
     "op1_license_scan": "licenses",
     "op3_url_filter": "urls",
