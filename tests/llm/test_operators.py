@@ -234,6 +234,40 @@ def test_decontamination_of_planted_items(spark, words):
     assert decontaminate.contaminated(docs_of(spark, []), spark.createDataFrame(items, none.schema)).count() == 0
 
 
+def brute_contaminated(texts, items, idf):
+    """All (text, item) where a span of 1.5 times the item's length holds 0.7 of its words in order and 0.6 of its five rarest."""
+    out = set()
+    for i, w in ((i, decontaminate.words_of(t)) for i, t in items):
+        rare = sorted(dict.fromkeys(w), key=lambda x: (-float(idf[decontaminate.bucket_ids(x.decode())[0]]), -len(x), x))[:5]
+        for d, t in enumerate(texts):
+            v = decontaminate.words_of(t)
+            parts = (v[s : s + -(-3 * len(w) // 2)] for s in range(len(v)) if len(set(v[s : s + 90]) & set(rare)) >= 0.6 * len(rare))
+            if any(len(set(p) & set(rare)) >= 0.6 * len(rare) and 10 * decontaminate.common_subsequence(w, p) >= 7 * len(w) for p in parts):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_finds_what_brute_force_finds(spark, words):
+    rng = random.Random(8)
+    fill = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(fill((8, 9, 10, 12, 16, 20, 40)[i % 7]))) for i in range(70)]
+    texts = []
+    for i in range(280):
+        w = items[i % 70][1].split()
+        for k in rng.sample(range(len(w)), len(w) * (i % 4) // 12):  # up to a quarter replaced
+            w[k] = rng.choice(words)
+        t = fill(rng.randrange(100, 300))
+        cut = rng.randrange(len(t))
+        texts.append(" ".join([*t[:cut], *w, *t[cut:]]))
+    docs = docs_of(spark, texts)
+    seen, n = decontaminate.frequencies(docs)
+    want = brute_contaminated(texts, items, np.log((1 + n) / (1 + seen)).astype(np.float32))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    lengths = sorted({len(t.split()) for _, t in items})
+    print({k: (sum(len(items[i][1].split()) == k for _, i in found & want), sum(len(items[i][1].split()) == k for _, i in want)) for k in lengths})
+    assert len(want) > 200 and want <= found
+
+
 def test_chat_repair_over_partitions(spark):
     rng = random.Random(6)
     rows = [(7, i, rng.choice(["user", "assistant", "system", None, "Bot"]), f"t{i}", 0) for i in range(300)] + [(c, t, rng.choice(["user", "assistant"]), "x", 0) for c in range(20) for t in range(rng.randrange(1, 5))] + [(None, 0, "user", None, 0)] * 2

@@ -6,6 +6,11 @@ passage whose latent cosine with a benchmark passage is high is a candidate. Can
 by the longest common subsequence of words with the item, and by the item's answer (its
 rarest words, in order of appearance) being there.
 
+Short items and paraphrases in longer texts can fall below the latent gate. So a second
+route takes every place where enough of an item's answer words stand within SPREAD times
+its length, whatever the cosine. All items of LEAST words or more whose common
+subsequence and answer lie within such a span are found by it.
+
 Document frequencies, the SVD and the search cover all documents and whole texts. What
 reaches the driver is bounded by BUCKETS and RANK, not by the corpus. Benchmark items
 are broadcast only up to ITEMS_BYTES; more are searched in several rounds.
@@ -18,6 +23,7 @@ ignored; empty documents or an empty benchmark give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +55,8 @@ _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bucket_ids(text: str | None) -> np.ndarray:
-    """Hash buckets of words_of(text), from each word's first and last eight bytes and its length."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of words_of(text), from each word's first and last eight bytes and its length."""
     raw = b" " + (text or "").lower().encode().translate(_LOWER) + b" " * 9
     solid = np.frombuffer(raw, np.uint8) != 32
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
@@ -59,8 +65,16 @@ def bucket_ids(text: str | None) -> np.ndarray:
     head = eight[start] & _MASKS[np.minimum(size, 8)]
     tail = eight[start + np.maximum(size - 8, 0)] & _MASKS[np.minimum(size, 8)]
     x = (head * _MIX ^ head >> np.uint64(29)) + tail * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)
-    x = (x ^ x >> np.uint64(32)) * _MIX
-    return (x >> np.uint64(64 - 14)).astype(np.int32)
+    return (x ^ x >> np.uint64(32)) * _MIX
+
+
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 14)).astype(np.int32)
+
+
+def bucket_ids(text: str | None) -> np.ndarray:
+    """Hash buckets of words_of(text)."""
+    return buckets_of(word_hashes(text))
 
 
 def passages(texts: list[str | None]) -> np.ndarray:
@@ -199,11 +213,59 @@ class Finder:
             first = list(dict.fromkeys(w))
             rare = sorted(first, key=lambda x: (-float(idf[bucket_ids(x.decode())[0]]), -len(x), x))[:ANSWER_WORDS]
             self.answers.append(frozenset(rare))
+        long = [k for k, (_, w) in enumerate(self.items) if len(w) >= LEAST]
+        self.span = np.array([ceil(SPREAD * len(w)) for _, w in self.items], np.int64)
+        self.need = np.array([ceil(ANSWER_SHARE * len(a) - 1e-9) for a in self.answers], np.int64)
+        listed = sorted((int(word_hashes(x.decode())[0]), k) for k in long for x in self.answers[k])
+        hashes = np.array([h for h, _ in listed], np.uint64)
+        self.answer_items = np.array([k for _, k in listed], np.int64)
+        self.answer_hashes, first = np.unique(hashes, return_index=True)
+        self.answer_from = np.append(first, len(hashes))
+        self.flags = np.zeros(BUCKETS, bool)
+        self.flags[buckets_of(self.answer_hashes)] = True
         self.short = [(i, b" " + b" ".join(w) + b" ") for i, w in self.items if len(w) < LEAST]
 
-    def candidates(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def places(self, hashes: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(text, start, item) where as many answer words as the item needs stand within its span; a word may count twice here."""
+        base, flat = np.cumsum([0, *(len(x) for x in hashes)]), np.concatenate(hashes)
+        at = np.flatnonzero(self.flags[buckets_of(flat)])
+        if not len(at):
+            return
+        k = np.minimum(np.searchsorted(self.answer_hashes, flat[at]), len(self.answer_hashes) - 1)
+        hit = self.answer_hashes[k] == flat[at]
+        at, k = at[hit], k[hit]
+        n = self.answer_from[k + 1] - self.answer_from[k]
+        item = self.answer_items[np.repeat(self.answer_from[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        text = np.searchsorted(base, at, side="right") - 1
+        order = np.lexsort((at, item, text))
+        at, item, text = at[order], item[order], text[order]
+        last = np.arange(len(at)) + self.need[item] - 1
+        fit = last < len(at)
+        last = np.minimum(last, len(at) - 1)
+        fit &= (text[last] == text) & (item[last] == item) & (at[last] - at < self.span[item])
+        yield from zip(text[fit].tolist(), (at - base[text])[fit].tolist(), item[fit].tolist(), strict=True)
+
+    def closest(self, words: list[bytes], start: int, item: int, share: float) -> float:
+        """Largest share, above the given one, of the item's words in a common subsequence with a span of the text that holds start and the answer, or 0."""
+        want, span, answer = self.items[item][1], int(self.span[item]), self.answers[item]
+        n, lo = len(want), max(0, start - span + 1)
+        least = max(COMMON * n - 1e-9, share * n + 1e-9)
+        ahead = words[start : start + span]
+        if len(answer.intersection(ahead)) < self.need[item] or common_subsequence(want, words[lo:start] + ahead) < least:
+            return 0.0
+        best, own = 0, set(want)
+        for s in range(start, lo - 1, -1):
+            part = words[s : s + span]
+            if words[s] in own and len(answer.intersection(part)) >= self.need[item]:
+                best = max(best, common_subsequence(want, part))
+                if best == n:
+                    break
+        return best / n if best >= least else 0.0
+
+    def candidates(self, texts: list[str | None], hashes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(text, starts of passages, items) for texts that have passages with a high latent cosine to an item's."""
-        ids = [bucket_ids(t) for t in texts]
+        ids = [buckets_of(x) for x in hashes]
         starts = [starts_of(len(x)) for x in ids]
         own = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         if not len(own) or not len(self.own):
@@ -242,7 +304,8 @@ class Finder:
     def find(self, texts: list[str | None]) -> list[dict[int, float]]:
         """For each text: item id -> share of its words found, for items that the text holds."""
         out: list[dict[int, float]] = [{} for _ in texts]
-        for text, starts, items in self.candidates(texts):
+        hashes = [word_hashes(t) for t in texts]
+        for text, starts, items in self.candidates(texts, hashes):
             words = words_of(texts[text])
             present = self._present(words, set(items.tolist()))
             for s, k in zip(starts.tolist(), items.tolist(), strict=True) if present else ():
@@ -250,6 +313,16 @@ class Finder:
                     share = self.verify(words, s, k)
                     if share >= COMMON and share > out[text].get(self.items[k][0], 0):
                         out[text][self.items[k][0]] = share
+        own, words = -1, []
+        for text, start, k in self.places(hashes):
+            name = self.items[k][0]
+            if out[text].get(name, 0) == 1:
+                continue
+            if text != own:
+                own, words = text, words_of(texts[text])
+            share = self.closest(words, start, k, out[text].get(name, 0))
+            if share:
+                out[text][name] = share
         for text, found in zip(texts, out, strict=True) if self.short else ():
             joined = b" " + b" ".join(words_of(text)) + b" "
             found |= {i: 1.0 for i, w in self.short if w in joined}
