@@ -92,6 +92,29 @@ def test_near_copies_with_one_doc_id_for_several_texts(spark):
     assert sorted(map(tuple, got)) == [(1, 5, 1), (1, 17, 1), (2, 18, 1), (2, 18, 1)]
 
 
+def test_null_ids_and_repeated_rows(spark, words):
+    rng = random.Random(3)
+    a, b, c, d = ([rng.choice(words) for _ in range(80)] for _ in range(4))
+    a, b, c, d, near, nearer = (" ".join(x) for x in (a, b, c, d, [*a, "more"], [*b, "more"]))
+    rows = [(None, a), (3, near), (None, b), (None, nearer), (None, c), (5, d), (5, d), (7, "other text of its own"), (7, d), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in near_copies.near_copies(df).collect()), key=str)
+    assert got == sorted([(None, 3), (3, 3), (None, None), (None, None), (None, None), (5, 5), (5, 5), (7, 7), (7, 5), (None, None), (None, None)], key=str)
+    kept = [tuple(r) for r in near_copies.keep_firsts(spark, df, SF).collect()]
+    assert [r for r in kept if r[1] in (b, nearer)] in ([(None, b)], [(None, nearer)])
+    assert sorted((r for r in kept if r[1] not in (b, nearer)), key=str) == sorted([(3, near), (None, c), (5, d), (7, "other text of its own"), (None, None), (None, None)], key=str)
+    files = token_files.write_token_files(df, tokenizer_path("word_bpe_49k.json"), 2, True, file_ids=100)
+    out = token_files.read_token_files(files).orderBy("start", "n_tokens").collect()
+    assert [r.doc_id for r in out] == [None] * 6 + [3, 5, 5, 7, 7]
+    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:i]) for i in range(len(out))]
+
+
+def test_decontaminate_stage_drops_rows_with_null_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    df = spark.createDataFrame([(None, item), (None, "clean words"), (1, item), (1, "more clean words")], "doc_id long, text string")
+    assert {tuple(r) for r in decontaminate.drop_contaminated(spark, df, SF).collect()} == {(None, "clean words"), (1, "more clean words")}
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.near_copies(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in near_copies.near_copies(docs_of(spark, ["only one text of five words"])).collect()] == [(0, 3, 0)]

@@ -369,6 +369,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    found = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: rows whose text holds a benchmark item go, whatever their doc_id."""
+    mark = F.xxhash64("text")
+    found = written(contaminated(docs.select(mark.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    return docs.join(found.select(F.col("doc_id").alias("its_mark")), mark == F.col("its_mark"), "left_anti").select(*docs.columns)

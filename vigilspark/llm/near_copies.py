@@ -25,7 +25,9 @@ collisions are the only inexactness (below 1e-6 for 10^9 documents of 1000 shing
 
 Defined results: null text or text without words has an empty set, n_shingles 0, and is
 linked with nothing; fewer words than a shingle form one shingle; repeated rows with one
-doc_id give that many rows; other columns are ignored; an empty table gives no rows.
+doc_id give that many rows; other columns are ignored; an empty table gives no rows. Rows
+with null doc_id are linked like others; their component_id is the smallest doc_id of the
+component, null if it has none.
 
 near_copies() joins components only and leaves the links inside a found component aside.
 near_links() then compares all classes of one component, which every link lies in, and
@@ -42,7 +44,7 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, map_arrow, table, written
@@ -329,18 +331,26 @@ def _blocks(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, star: DataFrame, words: int) -> DataFrame:
-    """class, its sorted hashes and its partner a of the star with the part it is dealt to, from the text of each class's first document (of several rows with its doc_id those of that class)."""
+    """class, its sorted hashes and its partner a of the star with the part it is dealt to, from the text of each class's first document (rows repeated in full give it once a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
+            fresh = []
+            for c in b.column(0).to_pylist():
+                fresh.append(c not in seen)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(c)
+            b = b.filter(pa.array(fresh, pa.bool_()))
             hashes = [shingles(t, words) for t in b.column(3).to_pylist()]
             keep = pa.array([_digest(h) == c for c, h in zip(b.column(0).to_pylist(), hashes, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([h.tobytes() for h in hashes], pa.binary())], names=["class", "a", "part", "hashes"]).filter(keep)
 
     parts = star.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     dealt = star.join(parts, "a").select(F.col("b").alias("class"), "a", _part("b").alias("part"))
-    wanted = firsts.join(classes, "class").join(dealt, "class", "left").select("class", "a", "part", F.col("first").alias("doc_id"))
-    return map_arrow(docs.join(wanted, "doc_id").select("class", "a", "part", "text"), run, "class long, a long, part int, hashes binary")
+    wanted = firsts.join(classes, "class").join(dealt, "class", "left").select("class", "a", "part", "first", F.col("mark").alias("its"))
+    return map_arrow(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("its"))).select("class", "a", "part", "text"), run, "class long, a long, part int, hashes binary")
 
 
 def _part(column: str):
@@ -491,17 +501,22 @@ def _grouped(pairs: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     return first.tolist(), np.split(pairs[:, 1], at[1:]) if len(first) else []
 
 
+def _least(doc_id: str, mark: str):
+    """The smallest (doc_id, mark), null ids last."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(mark).alias("mark"))).alias("least")
+
+
 def _joined(docs: DataFrame, words: int, similarity: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows (doc_id, n_shingles, class), the classes (class, first, component_id), the labels of linked classes and the sets of classes that share a block."""
+    """The rows (doc_id, mark, n_shingles, class), mark being a hash of the text, the classes (class, first, mark, component, component_id), the labels of linked classes and the sets of classes that share a block."""
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets_ = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets_], pa.int64()), pa.array([_digest(h) if len(h) else None for h in sets_], pa.int64())], names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(h) for h in sets_], pa.int64()), pa.array([_digest(h) if len(h) else None for h in sets_], pa.int64())], names=["doc_id", "mark", "n_shingles", "class"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = written(map_arrow(docs, classes_of, "doc_id long, n_shingles long, class long"), "classes")
-    firsts = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    classes = written(map_arrow(docs, classes_of, "doc_id long, mark long, n_shingles long, class long"), "classes")
+    firsts = classes.where("class is not null").groupBy("class").agg(_least("doc_id", "mark")).select("class", F.col("least.id").alias("first"), "least.mark")
     members = written(_blocks(docs, words, similarity), "blocks")
     heads = members.where("head <> class").groupBy("head", "class").count()
     star = written(heads.groupBy(F.col("class").alias("b")).agg(F.max_by("head", F.struct("count", "head")).alias("a")), "star")
@@ -516,7 +531,7 @@ def _joined(docs: DataFrame, words: int, similarity: Fraction) -> tuple[DataFram
     drop_written(members, star)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = first_of.join(smallest, "component").select("class", "first", "component_id")
+    by_class = first_of.join(smallest, "component").select("class", "first", "mark", "component", "component_id")
     return classes, by_class, labels, sets
 
 
@@ -524,7 +539,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMI
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     classes, by_class, _, sets = _joined(docs, words, similarity)
     drop_written(sets)
-    return classes.join(by_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes.join(by_class.select("class", "component_id"), "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_links(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -533,7 +548,7 @@ def near_links(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMIL
     others = written(_link_counts(classes, labels, sets, similarity), "link-counts")
     drop_written(sets)
     copies = classes.where("class is not null").groupBy("class").agg((F.count("*") - 1).alias("copies"))
-    counted = by_class.join(copies, "class").join(others, "class", "left").withColumn("n_links", F.col("copies") + F.coalesce("n", F.lit(0)))
+    counted = by_class.select("class", "first", "component_id").join(copies, "class").join(others, "class", "left").withColumn("n_links", F.col("copies") + F.coalesce("n", F.lit(0)))
     ids = (F.coalesce(c, "doc_id").alias(name) for c, name in (("first", "class_id"), ("component_id", "component_id")))
     return classes.join(counted, "class", "left").select("doc_id", "n_shingles", *ids, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -547,6 +562,12 @@ def op2_near_links(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_firsts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest doc_id stays (five-word shingles, similarity 0.8)."""
-    groups = near_copies(docs, words=5, similarity=Fraction(80, 100))
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each group of near copies one row with the smallest doc_id stays, and each row without words (five-word shingles, similarity 0.8). Null ids come last."""
+    classes, by_class, _, sets = _joined(docs, 5, Fraction(80, 100))
+    drop_written(sets)
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("none"))
+    firsts = by_class.groupBy("component").agg(_least("first", "mark")).select(*key(F.col("least.id")), "least.mark", F.lit(True).alias("one"))
+    kept = firsts.union(classes.where("class is null").select(*key(F.col("doc_id")), "mark", F.lit(False)).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key(F.col("doc_id").cast("long")), F.xxhash64("text").alias("mark")).join(kept, ["id", "none", "mark"])
+    turn = F.row_number().over(Window.partitionBy("id", "none", "mark").orderBy("row"))
+    return rows.withColumn("turn", turn).where("turn = 1 or not one").select("row.*")

@@ -9,7 +9,7 @@ Files travel as rows (shard, seq, first_doc, n_ids, content) of a Parquet table
 shared folder: any store that Spark writes to holds them, a lost task rewrites its own.
 
 Defined results: null text counts as empty and yields just the end id; repeated doc_ids
-stay separate documents; an empty table gives an empty table of files; other columns of
+stay separate documents, in order of a hash of their texts; null doc_ids come first; an empty table gives an empty table of files; other columns of
 the input are ignored.
 """
 
@@ -45,14 +45,15 @@ def _planes(ids: np.ndarray, bits: bool, n: int) -> list[bytes]:
 
 
 def write_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, plane: str = "byte", block_ids: int = BLOCK_IDS, level: int = LEVEL) -> bytes:
-    """The bytes of one file. plane: "byte" or "bit"."""
+    """The bytes of one file. plane: "byte" or "bit"; masked doc_ids are null, and a third list tells which."""
     bits = plane == "bit"
     top = int(ids.max()).bit_length() if len(ids) else 0
     n_planes = max(1, top if bits else -(-top // 8))
     pack = zstandard.ZstdCompressor(level=level).compress
     blocks = [[pack(p) for p in _planes(ids[i : i + block_ids], bits, n_planes)] for i in range(0, len(ids), block_ids)]
     index = np.array([len(p) for b in blocks for p in b], "<u4").tobytes()
-    docs = pack(np.concatenate([np.diff(doc_ids, prepend=0), lengths]).astype("<i8").tobytes())
+    none, doc_ids = np.ma.getmaskarray(doc_ids), np.ma.filled(doc_ids, 0)
+    docs = pack(np.concatenate([np.diff(doc_ids, prepend=0), lengths, *([none] if none.any() else [])]).astype("<i8").tobytes())
     head = HEADER.pack(MAGIC, bits, n_planes, block_ids, len(ids), len(blocks), len(doc_ids))
     return b"".join([head, struct.pack("<I", len(docs)), docs, index, *(p for b in blocks for p in b)])
 
@@ -87,11 +88,12 @@ def read_block(content: bytes, block: int) -> np.ndarray:
 
 
 def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, lengths and ids of a file."""
+    """doc_ids (masked if some are null), lengths and ids of a file."""
     _, _, _, n, docs, index, _ = _open(content)
-    half = len(docs) // 2
+    k = HEADER.unpack_from(content)[-1]
+    doc_ids = np.cumsum(docs[:k])
     ids = np.concatenate([read_block(content, b) for b in range(len(index))]) if n else np.zeros(0, "<u4")
-    return np.cumsum(docs[:half]), docs[half:], ids
+    return np.ma.array(doc_ids, mask=docs[2 * k :] != 0) if len(docs) > 2 * k else doc_ids, docs[k : 2 * k], ids
 
 
 FILES = "shard int, seq int, first_doc long, n_ids long, content binary"
@@ -100,7 +102,7 @@ _DOCS = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, word_ends: bool, plane: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
-    """Encode docs (doc_id, text), append end_id to each and write files in ascending doc_id order.
+    """Encode docs (doc_id, text), append end_id to each and write files in ascending doc_id order, null ids first.
 
     Order comes from a range partitioning: shard is the partition, seq the file in it.
     """
@@ -110,14 +112,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, word_ends: b
 
         shard, seq, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         enc = encoder(tokenizer, word_ends)
-        names: list[int] = []
+        names: list[int | None] = []
         parts: list[bytes] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
             lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            content = write_file(np.array(names, np.int64), lengths, ids, plane)
+            doc_ids = np.ma.array([x or 0 for x in names], np.int64, mask=[x is None for x in names])
+            content = write_file(doc_ids, lengths, ids, plane)
             return record_batch(_FILES, [[shard], [seq], [names[0]], [len(ids)], [content]])
 
         for batch in batches:
@@ -134,8 +137,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, word_ends: b
             yield close()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return written(map_arrow(ranged, encode, FILES), "token-files")
+    order = F.col("doc_id").asc_nulls_first(), F.col("mark").asc()
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return written(map_arrow(ranged.select("doc_id", "text"), encode, FILES), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
