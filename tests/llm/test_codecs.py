@@ -47,12 +47,32 @@ def test_webp_round_trip(seed):
 
 
 def test_webp_payloads_and_damage():
-    for raw in (b"", b"a", bytes(range(256)) * 9, "ü€😀".encode() * 100):
-        payload = media.padded(raw)
-        image = media.to_image(payload)
-        assert len(payload) % 192 == 0 and media.payload_of(webp.decode(image), len(payload)) == payload
-    with pytest.raises((webp.WebpError, IndexError, ValueError)):
-        webp.decode(image[: len(image) // 2])
+    rng = np.random.default_rng(4)
+    prose = "the quick brown fox jumps over the lazy dog, und der Hund schläft. "
+    raws = [b"", b"a", bytes(range(256)) * 9, "ü€😀".encode() * 100, prose.encode() * 3, prose.encode() * 700, b"\xff" * 700, bytes(range(256)), *(rng.integers(0, 256, int(n)).astype(np.uint8).tobytes() for n in rng.integers(1, 4000, 12))] * 2
+    payloads = [media.padded(raw) for raw in raws]
+    assert all(len(p) % 192 == 0 and p.startswith(r) for p, r in zip(payloads, raws, strict=True))
+    seen = np.bincount(np.frombuffer(prose.encode() * 50, np.uint8), minlength=256)
+    shared = webp.Shared(seen, 10)
+    files = webp.encode_many([media.samples_of(p) for p in payloads], shared)
+    assert [media.payload_of(webp.decode(f), len(p)) for f, p in zip(files, payloads, strict=True)] == payloads
+    assert [media.payload_of(x, len(p)) for x, p in zip(webp.decode_many(files), payloads, strict=True)] == payloads
+    assert files == [webp.encode_many([media.samples_of(p)], shared)[0] for p in payloads]  # whatever the neighbours
+    own = [webp.encode(np.concatenate([media.samples_of(p), np.full((len(p) // 192, 64, 1), 255, np.uint8)], axis=2)) for p in payloads]
+    assert own[2] == files[2] and own[4] != files[4]  # some have own codes, some the shared ones
+    for decode in (webp.decode, lambda data: webp.decode_many([data])):
+        for image in (files[4], files[5], own[0]):
+            with pytest.raises((webp.WebpError, IndexError, ValueError)):
+                decode(image[: len(image) // 2])
+
+
+def test_webp_images_of_several_widths_side_by_side():
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, k, (h, w, 3)).astype(np.uint8) for h, w, k in ((1, 1, 2), (3, 7, 2), (20, 5, 1), (9, 64, 3), (2, 300, 256))]
+    images.append(np.repeat(images[-1], 4, axis=0))
+    files = webp.encode_many(images, webp.Shared(np.ones(256, int), 5))
+    for decoded in (webp.decode_many(files), [webp.decode(f) for f in files]):
+        assert all((d[..., :3] == i).all() and (d[..., 3] == 255).all() for d, i in zip(decoded, images, strict=True))
 
 
 def test_plan_holds_all_pieces():
