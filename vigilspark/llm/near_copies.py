@@ -7,8 +7,8 @@ Surviving pairs are verified on the shingles.
 
 Which points meet in one tree: at similarity t, sets of sizes a and b differ in at most
 (1 - t) / (1 + t) * (a + b) shingles. With more groups than that, linked sets have a
-group with equal content. So every set is listed under the content of each of its
-groups (per band of sizes), and linked sets meet in at least one block.
+group with equal content, here two of them at least. So every set is listed under the
+content of each of its groups (per band of sizes), and linked sets meet in two blocks.
 
 1. Equal sets form classes. Blocks of one class are dropped at once.
 2. Every class is compared with one other only, the first class of most of its blocks
@@ -16,9 +16,10 @@ groups (per band of sizes), and linked sets meet in at least one block.
 3. Blocks that still hold several components go through R-trees, which yield the pairs
    of different components whose bound allows a link. First only a spanning forest of
    them by the largest bound is verified, which joins what mostly belongs together; then
-   all that remain between different components are, and the components are final. A
-   block of more than BLOCK classes is dealt out in chunks, each pair of chunks being
-   one tree.
+   all that remain between different components are, and the components are final. The
+   members of a block of more than BLOCK classes (a line that many texts share can fill
+   one) meet under every two such blocks that they have in common instead; only what is
+   still too large then is dealt out in chunks, each pair of chunks being one tree.
 
 Shingles are 64-bit hashes and classes 64-bit digests with the set's size; chance
 collisions are the only inexactness (below 1e-6 for 10^9 documents of 1000 shingles).
@@ -40,6 +41,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from math import ceil, floor, log
 
 import numpy as np
@@ -58,7 +60,7 @@ FINER, COUNTS = 5, 2048
 #: Classes of one tree at most, and of one leaf.
 BLOCK, LEAF = 4096, 32
 #: Members that one task compares with a class at the centre of a star.
-STAR = 2000
+STAR = 500
 #: Classes of one side that one task of near_links() compares with another side's.
 SIDE = 256
 #: Digests a task remembers so as to list equal sets once.
@@ -137,9 +139,9 @@ class Bands:
         full = np.diff(cuts) > 0
         g = len(full)
         keys = _mix((sums[cuts[1:]] - sums[cuts[:-1]]) * _M1 + np.arange(g, dtype=np.uint64) * _M2 + np.uint64(band))
-        # equal empty groups alone could make up the groups that linked sets share: then they are listed too
+        # linked sets share two listed groups at least: where equal empty groups could make up nearly all that they share, empty ones are listed too
         most = differ(self.similarity, n, floor(n / self.similarity))
-        return keys if g - np.count_nonzero(full) >= g - most else keys[full]
+        return keys if g - np.count_nonzero(full) >= g - most - 1 else keys[full]
 
     def dimensions(self, band: int) -> int:
         return min(FINER * self.groups(band), COUNTS)
@@ -381,14 +383,17 @@ def _verified(pairs: DataFrame | None, sets: DataFrame, similarity: Fraction) ->
     plain = sets.select("class", "hashes")
     if pairs is None:
         others = sets.where("a is not null").select("a", "part", F.col("class").alias("b"), "hashes")
-        dealt_to = sets.where("a is not null").select("a", "part").distinct()
+        dealt_to = written(sets.where("a is not null").select("a", "part").distinct(), "dealt-to")  # a table of known size: where it is small, the join does not shuffle the sets
     else:
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-        others = pairs.join(parts, "a").join(plain.withColumnRenamed("class", "b"), "b").select("a", _part("b").alias("part"), "b", "hashes")
-        dealt_to = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt_pairs = written(pairs.join(parts, "a").select("a", "b", _part("b").alias("part")), "dealt-pairs")
+        others = dealt_pairs.join(plain.withColumnRenamed("class", "b"), "b").select("a", "part", "b", "hashes")
+        dealt_to = dealt_pairs.select("a", "part").distinct()
     centres = plain.withColumnRenamed("class", "a").join(dealt_to, "a").select("a", "part", F.lit(None).cast("long").alias("b"), "hashes")
     dealt = centres.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return map_arrow(dealt, run, "a long, b long")
+    found = written(map_arrow(dealt, run, "a long, b long"), "links")
+    drop_written(dealt_to if pairs is None else dealt_pairs)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -405,15 +410,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("x", F.col("n").alias("c"))
         labels._vigil_path = new._vigil_path
         if not changed:
+            drop_written(both)
             return labels.select(F.col("x").alias("id"), F.col("c").alias("component"))
 
 
 def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Fraction, forest: bool) -> DataFrame:
     """Pairs of classes in one block but in different components whose count vectors allow a link; of each block a forest only, if asked for."""
     labelled = members.select("key", "band", "class").join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts")).where("lo <> hi")
+    open_ = written(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi"), "open-blocks")
+    blocks = labelled.join(open_.where(F.col("n") <= BLOCK).select("key"), "key").withColumn("parts", F.lit(1))
+    hot = open_.where(F.col("n") > BLOCK).select("key")
+    if not hot.isEmpty():
+        # linked sets that meet in no smaller block share two of these: they meet under every pair of their large blocks
+        large = labelled.join(hot, "key").distinct()
+        again = large.select("band", "class", F.col("key").alias("key_2"))
+        both = large.join(again, ["class", "band"]).where("key < key_2").withColumn("key", F.xxhash64("key", "key_2")).drop("key_2")
+        sizes = both.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts")).where("lo <> hi")
+        blocks = blocks.unionByName(both.join(sizes.select("key", "parts"), "key").select(*blocks.columns))
     part = F.pmod(F.xxhash64("class", "key"), F.col("parts")).cast("int")
-    rows = labelled.join(open_.select("key", "parts"), "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = blocks.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "band", "class", "component")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +469,9 @@ def _tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
 
     pts = map_arrow(sets.select("class", "hashes"), points, "class long, band int, size long, point binary")
     dealt = rows.distinct().join(pts, ["class", "band"]).select("key", "p", "q", "class", "component", "band", "size", "point").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return map_arrow(dealt, search, "a long, b long").distinct()
+    found = written(map_arrow(dealt, search, "a long, b long").distinct(), "tree-pairs")
+    drop_written(open_)
+    return found
 
 
 def _link_counts(classes: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
@@ -521,14 +538,14 @@ def _joined(docs: DataFrame, words: int, similarity: Fraction) -> tuple[DataFram
     heads = members.where("head <> class").groupBy("head", "class").count()
     star = written(heads.groupBy(F.col("class").alias("b")).agg(F.max_by("head", F.struct("count", "head")).alias("a")), "star")
     sets = written(_sets(docs, firsts, members.select("class").distinct(), star, words), "sets")
-    links = written(_verified(None, sets, similarity), "links")
-    labels = components(links)
+    found = [_verified(None, sets, similarity)]
+    labels = components(found[0])
     for forest in (True, False):
-        pairs = written(_tree_pairs(members, labels, sets, similarity, forest), "tree-pairs")
-        links = links.union(written(_verified(pairs, sets, similarity), "links"))
-        labels = components(links)
+        pairs = _tree_pairs(members, labels, sets, similarity, forest)
+        found.append(_verified(pairs, sets, similarity))
+        labels = components(reduce(DataFrame.union, found))
         drop_written(pairs)
-    drop_written(members, star)
+    drop_written(members, star, *found)
     first_of = firsts.join(labels.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = first_of.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = first_of.join(smallest, "component").select("class", "first", "mark", "component", "component_id")
