@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from vigilspark.llm import chat, decontaminate, edit_counts, licenses, media, near_copies, packing, token_files, webp
 from vigilspark.llm.tokens import PieceEncoder, tokenizer_path
@@ -17,7 +18,11 @@ def test_pieces_give_the_library_ids(file, word_ends):
     enc = PieceEncoder(tokenizer_path(file), word_ends, cache_pieces=8)
     rng = random.Random(1)
     more = [" ".join(rng.choice(TEXTS) for _ in range(5)) for _ in range(60)]
-    assert enc.ids(TEXTS + more) == [enc.encode_whole(t) for t in TEXTS + more]
+    plain = Tokenizer.from_file(tokenizer_path(file))
+    specials = [f"{a}{t.content}{b}" for t in plain.get_added_tokens_decoder().values() for a in ("", "word ", "x") for b in ("", " word", "\n", "y z")]
+    want = [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS + more + specials]
+    assert enc.ids(TEXTS + more + specials) == want and [enc.encode_whole(t) for t in TEXTS + more + specials] == want
+    assert len(specials) >= 12 and all(len(want[-len(specials) + 12 * k]) == 4 for k in range(len(specials) // 12))
 
 
 @pytest.mark.parametrize("plane", ["byte", "bit"])
@@ -85,8 +90,23 @@ def test_plan_holds_all_pieces():
             for a, n in pattern.items():
                 held[a] += times * n
         assert (held == demand).all()
-    best, counts = packing.price(np.where(np.arange(65) == 33, 0.4, 0) + np.where(np.arange(65) == 31, 0.35, 0), 64)
-    assert best == pytest.approx(0.75) and counts[33] == counts[31] == 1
+    over, most, counts = packing.price(np.where(np.arange(65) == 33, 0.8, 0) + np.where(np.arange(65) == 31, 0.45, 0), 64)
+    assert over == pytest.approx(0.25) and most == pytest.approx(1.25) and counts[33] == counts[31] == 1
+
+
+def test_plan_pads_little_and_leaves_powers_of_two():
+    rng = np.random.default_rng(9)
+    for demand in (np.bincount(rng.integers(1, 257, 3000), minlength=257), np.bincount(rng.integers(100, 200, 3000), minlength=257), np.bincount([128] * 5 + [192] * 40, minlength=257)):
+        patterns, use, gap = packing.solve(demand, 256)
+        cost = packing.costs_of(256)
+        assert gap <= max(packing.GAP, 256 / (demand @ np.arange(257)))
+        held = sum(x * p for p, x in zip(patterns, use, strict=True))
+        assert np.allclose(held, demand[demand > 0])
+        total = sum(times * cost[sum(a * n for a, n in p.items())] for times, p in packing.plan(demand, 256))
+        lengths = np.flatnonzero(demand)
+        fractional = sum(x * cost[int(p @ lengths)] for p, x in zip(patterns, use, strict=True))
+        assert fractional - 1e-6 <= total <= fractional + len(lengths)
+    assert cost[128] == 0.5 and cost[129] == 1 and cost[256] == 1
 
 
 def brute_sets(text, words=4):

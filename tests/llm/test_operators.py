@@ -152,6 +152,21 @@ def test_url_templates_learn_from_labels(spark):
     assert {k.split("/")[1]: v for k, v in out.items()} == {"bad": "block", "good": "allow"} and all("{n}.html" in k for k in out)
 
 
+def test_url_templates_of_any_depth(spark):
+    paths = ["/1/2/3/44/55", "/1/2/3/45/55", "/1/2/3/45/56/a/b/c/d", "/a\nb/c", "//", "", "/es/1", "/es/2", "/es/3", "/de/9"]
+    rows = [(i, f"http://{'a.net' if i > 5 else 'x.org'}{p}") for i, p in enumerate(paths)]
+    rows += [(i, f"http://v.org/w{'abcdefghijklmnopqrst'[i - 100]}/deep/er/{'x' if i % 2 else 'y'}/{i}") for i in range(100, 120)] + [(None, "http://x.org/1/2/3/4/5")] * 2
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert {by[i].template for i in (0, 1, None)} == {"x.org/{n}/{n}/{n}/{n}/{n}"} and by[2].template == "x.org/{n}/{n}/{n}/{n}/{n}/a/b/c/d"
+    assert by[3].template == "x.org/a\nb/c" and by[5].template == "x.org/"
+    assert {r.template for r in got if (r.page_id or 0) >= 100} == {"v.org/{*}/deep/er/x/{n}", "v.org/{*}/deep/er/y/{n}"}
+    # three blocked of three labelled pages: (0 + 4 * 0.7) / 7 for the host, which the branch without labels inherits
+    assert by[9].rule is None and by[9].by_template and by[9].purity == pytest.approx(2.8 / 7) and by[9].verdict == "block"
+    assert not by[6].by_template and by[0].verdict == "allow" and by[0].purity == pytest.approx(0.7)
+
+
 def test_token_counts_equal_whole_encoding(spark, words):
     from pyspark.sql import functions as F
 
@@ -180,6 +195,11 @@ def test_language_of_odd_texts(spark):
     model = language.fit(train)
     got = [tuple(r) for r in language.predict(docs_of(spark, [None, "", "123 !!", "the dog and the cat", "die katze und der hund"]), model).orderBy("doc_id").select("lang_pred", "rejected").collect()]
     assert got == [("und", True), ("und", True), ("und", True), ("en", False), ("de", False)]
+    some = language.fit(train.union(docs_of(spark, ["12 34", "?!", None], "xx")).union(docs_of(spark, ["zz qq ww xx kk jj"] * 2000, "yy")))
+    assert sorted(set(some.langs)) == ["de", "en", "yy"]  # a language without letters has no centroid, one of copies has
+    junk = ["qzx wvk jjq xzzq vkqw" * 3, "Ελληνικά γράμματα και λέξεις", "the dog sat"]
+    assert [r.rejected for r in language.predict(docs_of(spark, junk), model).orderBy("doc_id").collect()] == [True, True, False]
+    assert language.predict(docs_of(spark, []), model).count() == 0
     nothing = language.fit(train.limit(0))
     assert [r.lang_pred for r in language.predict(docs_of(spark, ["some words"]), nothing).collect()] == ["und"]
 
@@ -257,6 +277,18 @@ def test_decontamination_of_planted_items(spark, words):
     assert decontaminate.contaminated(docs_of(spark, []), spark.createDataFrame(items, none.schema)).count() == 0
 
 
+def test_decontamination_with_null_ids_and_repeats(spark, words, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SUMMED", 2)
+    rng = random.Random(7)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(20)) for _ in range(3))
+    items = spark.createDataFrame([(None, a), (None, b), (4, c), (4, a)], "item_id long, text string")
+    fill = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(40)]
+    docs = [(None, f"x {a} y {b}"), (1, c), (1, c), (2, f"{a} {c}"), *((10 + i, t) for i, t in enumerate(fill)), (9, None)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), items).collect()
+    assert sorted((tuple(r)[:2] for r in found), key=str) == sorted([(None, None), (None, 4), (1, 4), (1, 4), (2, None), (2, 4)], key=str)
+    assert all(r.share == 1 for r in found)
+
+
 def brute_contaminated(texts, items, idf):
     """All (text, item) where a span of 1.5 times the item's length holds 0.7 of its words in order and 0.6 of its five rarest."""
     out = set()
@@ -283,7 +315,7 @@ def test_decontamination_finds_what_brute_force_finds(spark, words):
         cut = rng.randrange(len(t))
         texts.append(" ".join([*t[:cut], *w, *t[cut:]]))
     docs = docs_of(spark, texts)
-    seen, n = decontaminate.frequencies(docs)
+    seen, n, _ = decontaminate.frequencies(docs)
     want = brute_contaminated(texts, items, np.log((1 + n) / (1 + seen)).astype(np.float32))
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     lengths = sorted({len(t.split()) for _, t in items})

@@ -16,8 +16,11 @@ reaches the driver is bounded by BUCKETS and RANK, not by the corpus. Benchmark
 are broadcast only up to ITEMS_BYTES; more are searched in several rounds.
 
 Defined results: null or empty texts match nothing; items with fewer than LEAST words
-must stand in the text word for word; repeated rows are judged each; other columns are
-ignored; empty documents or an empty benchmark give no rows.
+must stand in the text word for word; items without item_id are looked for, too, and
+reported with a null one; items of one item_id are one item of several texts, whose
+largest share counts; documents with null doc_id are judged like others; repeated rows
+are judged each; other columns are ignored; empty documents or an empty benchmark give
+no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ COSINE = 0.42
 COMMON, SPREAD = 0.7, 1.5
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 ITEMS_BYTES = 8 << 20
+#: Sketches that one task adds up.
+SUMMED = 64
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 else 32 for b in range(256))
 
 
@@ -101,8 +106,8 @@ def random_rows(n: int, k: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, k)).astype(np.float32)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many whole passages (laid end to end) each bucket occurs, and their number."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """In how many whole passages (laid end to end) each bucket occurs, their number, and that of the tasks that had any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(BUCKETS, np.int64), 0
@@ -113,24 +118,26 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             seen += np.bincount(rows[first], minlength=BUCKETS + 1)[:BUCKETS]
             n += len(rows)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS)), pa.array(np.concatenate([[n], seen]))], names=["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, BUCKETS)), pa.array(np.concatenate([[1, n], seen]))], names=["bucket", "n"])
 
-    out = np.zeros(BUCKETS + 1, np.int64)
-    for bucket, n in map_arrow(docs.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS + 1 rows
-        out[bucket + 1] = n
-    return out[1:], int(out[0])
+    out = np.zeros(BUCKETS + 2, np.int64)
+    for bucket, n in map_arrow(docs.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS + 2 rows
+        out[bucket + 2] = n
+    return out[2:], int(out[1]), int(out[0])
 
 
-def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_space(docs: DataFrame, idf: np.ndarray, tasks: int, rank: int = RANK) -> np.ndarray:
     """Rows of the latent space by bucket (BUCKETS x rank), weighted by idf.
 
-    Randomised range finder: every task sums A'(A O) over its passages A for random O,
-    the sums meet by blocks of buckets, and one task orthogonalises the result (Nystroem).
+    Randomised range finder: every one of about `tasks` tasks sums A'(A O) over its passages A for
+    random O, the sums meet by blocks of buckets, and one task orthogonalises the result (Nystroem).
     """
     k = rank + OVERSAMPLED
     block = 512
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         omega = np.concatenate([random_rows(BUCKETS, k) * idf[:, None], np.zeros((1, k), np.float32)]).T.copy()
         squares = np.append(idf, 0) ** 2
         total = np.zeros((k, BUCKETS + 1))
@@ -143,26 +150,36 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarr
                 for j in range(k):
                     y = omega[j][flat].reshape(rows.shape).sum(axis=1) / length
                     total[j] += np.bincount(flat, np.repeat(y, PASSAGE), BUCKETS + 1)
-        total = (total[:, :BUCKETS] * idf).T.astype(np.float32)
+        total = (total[:, :BUCKETS] * idf).T.copy()
         at = np.arange(0, BUCKETS, block)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[i : i + block].tobytes() for i in at.tolist()], pa.binary())], names=["at", "sums"])
+        for i in at.tolist():
+            yield sums_of(i, TaskContext.get().partitionId(), total[i : i + block])
+
+    def sums_of(at: int, part: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["at", "part", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        own, sums = None, None
         for b in batches:
-            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.float32).astype(np.float64)
-                sums[at] = sums[at] + part if at in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["at", "sums"])
-
-    parts = map_arrow(docs.select("text"), product, "at long, sums binary")
-    summed = map_arrow(parts.repartition(BUCKETS // block, "at"), added, "at long, sums binary")
+            for at, part, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != (at, part):
+                    if own:
+                        yield sums_of(*own, sums)
+                    own, sums = (at, part), np.zeros(len(raw) // 8)
+                sums += np.frombuffer(raw, np.float64)
+        if own:
+            yield sums_of(*own, sums)
+
+    summed = map_arrow(docs.select("text"), product, "at long, part long, sums binary")
+    while tasks > 1:  # a task adds up to SUMMED sketches of one block of buckets, so the rounds grow, not the tasks
+        tasks = -(-tasks // SUMMED)
+        grouped = summed.withColumn("part", F.pmod("part", F.lit(tasks))).repartition("at", "part").sortWithinPartitions("at", "part")
+        summed = map_arrow(grouped, added, "at long, part long, sums binary")
 
     def decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = np.zeros((BUCKETS, k))
         for b in batches:
-            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for at, _, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 b_[at : at + block] += np.frombuffer(raw, np.float64).reshape(block, k)
         if not b_.any():
             return
@@ -340,9 +357,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
     items = written(benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text"), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-size // ITEMS_BYTES))
-    seen, n = frequencies(docs)
+    seen, n, tasks = frequencies(docs)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32)
-    space = latent_space(docs, idf)
+    space = latent_space(docs, idf, tasks)
     space_ = spark.sparkContext.broadcast((idf, space))  # BUCKETS x RANK floats
     out = None
     for k in range(rounds):
@@ -355,7 +372,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
                 names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 rows = []
                 for k in range(0, len(texts), 128):
-                    rows += [(d, i, s) for d, found in zip(names[k : k + 128], finder.find(texts[k : k + 128]), strict=True) for i, s in sorted(found.items())]
+                    rows += [(d, i, s) for d, found in zip(names[k : k + 128], finder.find(texts[k : k + 128]), strict=True) for i, s in sorted(found.items(), key=lambda x: (x[0] is None, x[0] or 0))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "share"])
 

@@ -2,15 +2,21 @@
 
 Texts become normalised TF-IDF vectors of hashed byte bigrams and trigrams; each
 language's training vectors are clustered by spherical k-means; the prediction is the
-language of the centroid with the largest cosine. A text is rejected when that cosine
-is below a threshold, or when it has no letters (prediction "und").
+language of the centroid with the largest cosine. A text is rejected when that cosine is
+below the language's own threshold for texts of its length, a share of the lowest one of
+training excerpts of at most this length (short texts have low cosines), or when it has
+no letters (prediction "und").
 
 Document frequencies count every training document. The clusters are fitted on a bounded
-sample: about SAMPLE documents per language, picked by a hash of the text.
+sample: the SAMPLE distinct texts of each language whose hashes are lowest, so copies of
+a text count once and every language with letters in its texts has centroids.
 
 Defined results: null text or text without letters is "und" with score 0; languages come
-from non-null labels only; without any labelled document all texts are "und"; repeated
-rows are judged each; other columns are ignored; an empty table gives no rows.
+from non-null labels only, and one whose sampled texts have no letters is never
+predicted; without any labelled document all texts are "und"; of equal cosines the
+language that comes first in the alphabet counts; documents with null
+doc_id are learnt from; repeated rows are judged each; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,19 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, table
 
 BUCKETS = 4096
-#: Training documents per language that the centroids are fitted on (in expectation).
+#: Distinct training texts per language that the centroids are fitted on, at most.
 SAMPLE = 400
 CENTROIDS = 4
 ROUNDS = 8
-#: A text whose best cosine is lower is rejected.
-MIN_COSINE = 0.12
+#: A text is rejected below this share of the lowest cosine that the language's training texts have with their centroids.
+SHARE_OF_LOWEST = 0.5
+#: Lengths of the excerpts of training texts that the thresholds are taken from; a shorter text with letters is not rejected.
+LENGTHS = (16, 64, 256, 1024, 4096)
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
@@ -70,8 +78,10 @@ def clusters(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, langs: list[str], centres: np.ndarray, min_cosine: float):
-        self.idf, self.langs, self.centres, self.min_cosine = idf, langs, centres, min_cosine
+    def __init__(self, idf: np.ndarray, langs: list[str], centres: np.ndarray, least: list[list[float]]):
+        """langs, centres, least: language, vector and, by LENGTHS, smallest accepted cosine of each centroid."""
+        self.idf, self.langs, self.centres = idf, langs, centres
+        self.least = np.array([[0.0, *row] for row in least]).reshape(-1, 1 + len(LENGTHS))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         langs, scores, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -79,12 +89,13 @@ class Model:
         if told:
             cosine = weigh(np.array([grams(texts[i]) for i in told]), self.idf) @ self.centres.T
             best = cosine.argmax(axis=1)
-            for i, k, s in zip(told, best.tolist(), np.clip(cosine.max(axis=1), 0, 1).tolist(), strict=True):
-                langs[i], scores[i], rejected[i] = self.langs[k], s, s < self.min_cosine
+            least = self.least[best, np.searchsorted(LENGTHS, [len(texts[i]) for i in told], side="right")]
+            for i, k, s, low in zip(told, best.tolist(), np.clip(cosine.max(axis=1), 0, 1).tolist(), least.tolist(), strict=True):
+                langs[i], scores[i], rejected[i] = self.langs[k], s, s < low
         return langs, scores, rejected
 
 
-def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, min_cosine: float = MIN_COSINE) -> Model:
+def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, share_of_lowest: float = SHARE_OF_LOWEST) -> Model:
     """Fit on train (text, lang); rows with null lang, or text without letters, teach nothing."""
     train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -101,20 +112,28 @@ def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, min_cosine:
     for bucket, n in map_arrow(train.select("text"), frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS + 1 rows
         df[bucket + 1] = n
     idf = np.log((1 + df[0]) / (1 + df[1:])).astype(np.float32) + 0.1
-    rates = train.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("rate"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
-    picked = train.join(F.broadcast(rates), "lang").where(draw).select("lang", "text")  # a row per language is broadcast
+    # texts below a hash that about twice the sample are below, copies left out in every task, then the lowest of them
+    place = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
+    rates = train.groupBy("lang").agg((F.lit(2.0 * sample) / F.approx_count_distinct(F.xxhash64("text"))).alias("rate"))
+    drawn = train.withColumn("place", place).join(F.broadcast(rates), "lang").where("place <= rate")  # a row per language is broadcast
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    picked = drawn.select("lang", "place", "text").distinct().withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample).select("lang", "text")
 
     def centre(rows: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(t for t in rows["text"] if _LETTER.search(t))
         if not texts:
-            return pd.DataFrame({"lang": [], "vector": []})
-        found = clusters(weigh(np.array([grams(t) for t in texts]), idf), k)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [c.astype("<f4").tobytes() for c in found]})
+            return pd.DataFrame({"lang": pd.Series(dtype=object), "vector": pd.Series(dtype=object), "least": pd.Series(dtype=object)})
+        vectors = weigh(np.array([grams(t) for t in texts]), idf)
+        found = clusters(vectors, k)
+        least = []
+        for n in LENGTHS:
+            cut = [x for t in texts if _LETTER.search(x := t[:n])]
+            least.append(share_of_lowest * float((weigh(np.array([grams(x) for x in cut]), idf) @ found.T).max(axis=1).min()) if cut else 0.0)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [c.astype("<f4").tobytes() for c in found], "least": [np.maximum.accumulate(least)] * len(found)})
 
-    got = sorted(tuple(r) for r in picked.groupBy("lang").applyInPandas(centre, "lang string, vector binary").collect())
-    centres = np.array([np.frombuffer(v, "<f4") for _, v in got]) if got else np.zeros((0, BUCKETS), np.float32)
-    return Model(idf, [lang for lang, _ in got], centres, min_cosine)
+    got = sorted(tuple(r) for r in picked.groupBy("lang").applyInPandas(centre, "lang string, vector binary, least array<double>").collect())
+    centres = np.array([np.frombuffer(v, "<f4") for _, v, _ in got]) if got else np.zeros((0, BUCKETS), np.float32)
+    return Model(idf, [lang for lang, *_ in got], centres, [x for *_, x in got])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -136,7 +155,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a document is not learnt from; one without doc_id is learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
@@ -147,6 +167,6 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of an identified language stay."""
+    """Pipeline stage: rows of an identified language stay, whatever their doc_id and repeated ones each; null texts and texts without letters go."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, model).where(~F.col("rejected")).select(*docs.columns)

@@ -2,13 +2,17 @@
 
 The length histogram (at most `capacity` classes, whatever the corpus) is the demand of
 a cutting-stock problem. Its linear program is solved over patterns; a knapsack dynamic
-program prices new patterns. The rounded-down solution packs nearly all pieces, the few
-classes left over go by best fit. Pieces get their pattern by their rank among the
-pieces of the same length, so nothing but the histogram reaches the driver.
+program prices new patterns. A sequence costs its capacity, or its length if that is a
+power of two, which needs no padding. The program ends within GAP of a lower bound, which
+the dual values give. The rounded-down solution packs nearly all pieces; what is left
+fills one sequence after another, largest pieces first. Pieces get their pattern by
+their rank among the pieces of the same length, so nothing but the histogram reaches
+the driver.
 
 Defined results: null text counts as empty, so the document is its end id alone; a
 document longer than the capacity is cut into full sequences and one rest; repeated rows
-are packed each; an empty table gives no rows; other columns are ignored.
+are packed each; rows with null doc_id are packed like others; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,43 +30,46 @@ from .common import map_arrow, record_batch, table, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
-#: Pricing rounds; the program is solved nearly always before (the bound keeps the driver's work constant).
-ROUNDS = 400
+#: Column generation ends within this share, or one sequence, of a lower bound of the cost.
+GAP = 2e-3
 TOLERANCE = 1e-7
 
 
-def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best pattern by an unbounded knapsack: values[l] is the worth of a piece of length l. Returns worth and counts by length."""
+def costs_of(capacity: int) -> np.ndarray:
+    """What a sequence of each fill costs: it is padded to the capacity, except at a power of two."""
+    fill = np.arange(capacity + 1)
+    return np.where((fill > 0) & (fill & fill - 1 == 0), fill / capacity, 1.0)
+
+
+def price(values: np.ndarray, capacity: int) -> tuple[float, float, np.ndarray]:
+    """Pattern of the largest worth over its cost, by an unbounded knapsack over exact fills: values[l] is the worth of a piece of length l. Returns worth minus cost, the largest worth by cost, and counts by length."""
     sizes = np.flatnonzero(values > 1e-12)
     counts = np.zeros(capacity + 1, np.int64)
     if not len(sizes):
-        return 0.0, counts
-    worth, best = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        return -1.0, 0.0, counts
+    worth, best = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    worth[0] = 0
     v = values[sizes]
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        worth[c], n = worth[c - 1], fits[c]
-        if n:
-            got = worth[c - sizes[:n]] + v[:n]
-            k = int(got.argmax())
-            if got[k] > worth[c]:
-                worth[c], best[c] = got[k], sizes[k]
-    c = capacity
+    for c in range(int(sizes[0]), capacity + 1):
+        got = worth[c - sizes[: fits[c]]] + v[: fits[c]]
+        k = int(got.argmax())
+        worth[c], best[c] = got[k], sizes[k]
+    cost = costs_of(capacity)
+    c = over = int((worth[1:] - cost[1:]).argmax()) + 1
     while c > 0:
-        if best[c]:
-            counts[best[c]] += 1
-            c -= best[c]
-        else:
-            c -= 1
-    return float(worth[capacity]), counts
+        counts[best[c]] += 1
+        c -= best[c]
+    return float(worth[over] - cost[over]), float((worth[1:] / cost[1:]).max()), counts
 
 
-def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Patterns and their fractional use that meet demand[l] pieces of each length l with few sequences.
+def solve(demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Patterns and their fractional use that meet demand[l] pieces of each length l at least cost, and the gap to a lower bound of it.
 
     Revised simplex. The first basis fills sequences with the largest lengths that fit; each
     of its patterns is used until one length is met, so it is triangular and feasible. Then
-    every pivot brings in the pattern that price() finds.
+    every pivot brings in the pattern that price() finds, until the cost is within `gap`, or
+    one sequence, of the bound: that of the dual values, or of sequences without padding.
     """
     lengths = np.flatnonzero(demand)
     m = len(lengths)
@@ -91,12 +98,17 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list
         rows[i] /= uses[i, i]
     inverse = np.zeros((m, m))
     inverse[:, met] = rows
-    for _ in range(rounds):
+    by_fill = costs_of(capacity)
+    cost = by_fill[np.array(basis) @ lengths]
+    bound = float(demand @ np.arange(capacity + 1)) / capacity
+    while True:
         values = np.zeros(capacity + 1)
-        values[lengths] = inverse.sum(axis=0)  # dual values: each pattern costs one sequence
-        worth, counts = price(values, capacity)
-        if worth <= 1 + TOLERANCE:
-            break
+        values[lengths] = cost @ inverse  # dual values
+        over, most, counts = price(values, capacity)
+        total = float(cost @ use)
+        bound = max(bound, total / max(most, 1.0))
+        if over <= TOLERANCE or total - bound <= max(gap * bound, 1.0):
+            return basis, use, total / bound - 1
         column = counts[lengths].astype(float)
         has = np.flatnonzero(column)
         step = (inverse[:, has] * column[has]).sum(axis=1)
@@ -109,17 +121,16 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list
         inverse[r] /= step[r]
         others = np.arange(m) != r
         inverse[others] -= np.outer(step[others], inverse[r])
-        basis[r] = counts[lengths]
-    return basis, use
+        basis[r], cost[r] = counts[lengths], by_fill[counts @ np.arange(capacity + 1)]
 
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+def plan(demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: pieces}) patterns that hold exactly demand[l] pieces of each length l, 1 <= l <= capacity."""
     left = demand.astype(np.int64).copy()
     out: list[tuple[int, dict[int, int]]] = []
     if left.sum():
         lengths = np.flatnonzero(left)
-        for counts, x in zip(*solve(left, capacity, rounds), strict=True):
+        for counts, x in zip(*solve(left, capacity, gap)[:2], strict=True):
             has = counts > 0
             times = int(min(np.floor(x + 1e-6), (left[lengths][has] // counts[has]).min())) if has.any() else 0
             if times > 0:
@@ -181,13 +192,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, word_ends: bool,
     return written(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES), "pieces")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, gap: float = GAP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of token_pieces()."""
     counts = written(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "piece-counts")
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most `capacity` rows
         demand[length] = n
-    where = slots(plan(demand, capacity, rounds))
+    where = slots(plan(demand, capacity, gap))
     key = where["length"] * (1 << 44) + where["rank"]
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_from"))

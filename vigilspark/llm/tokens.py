@@ -2,7 +2,8 @@
 
 A text is cut only where no token of its vocabulary can span the cut, each piece is
 encoded by the library once, and the ids of the pieces are joined. Texts with other
-white space than single spaces and line feeds are encoded in one go.
+white space than single spaces and line feeds, or with a token that the vocabulary adds
+(like its end of text, which gives one id), are encoded in one go.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        self._added = [t.content for t in self._tok.get_added_tokens_decoder().values() if t.content]
         self._word_ends, self._limit = word_ends, cache_pieces
         self._cache: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -47,6 +48,8 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """Cache keys of a text's pieces; None if it has to be encoded in one go."""
+        if any(t in text for t in self._added):
+            return None
         if self._word_ends:
             return text.replace("\n", " ").split(" ")
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", "").isprintable() or text[:1] == "\n" or text[-1:] in (" ", "\n"):
