@@ -303,7 +303,7 @@ class Finder:
             i, j = np.nonzero(v[:, k : k + 8192].T @ self.vectors.T >= self.cosine)
             text = own[k + i]
             cut = np.flatnonzero(np.diff(text, prepend=-1))
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(text)], strict=True):
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(text))[: len(cut)].tolist(), strict=True):
                 yield int(text[a]), start[k + i[a:b]], self.own[j[a:b]]
 
     def verify(self, words: list[bytes], start: int, item: int) -> float:
