@@ -1,8 +1,9 @@
 """Work queues, deduplicating inserts and lifecycle logs as transitions of whole tables.
 
-A table of work is a DataFrame with status, available_at, lease_until, claimed_by and
-attempts; every operator returns the table's next state (or the changed rows), which a
-single writer stores per micro-batch.
+A table of work is a DataFrame with id, status, available_at, lease_until, claimed_by,
+attempts and last_error; every operator returns the table's next state (or the changed
+rows), which a single writer stores per micro-batch. Only the worker that holds a row may
+end its processing; rows of others stay as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from vigilspark.functions.scalars import backoff, truncate_error
 
 
 def claimable(work: DataFrame, now) -> DataFrame:
-    free = F.col("lease_until").isNull() | (F.col("lease_until") < now)
+    free = F.col("lease_until").isNull() | (F.col("lease_until") <= now)
     return work.where(F.col("status").isin("pending", "failed", "processing") & (F.col("available_at") <= now) & free)
 
 
@@ -28,25 +29,69 @@ def apply_claim(work: DataFrame, claimed: DataFrame) -> DataFrame:
     return work.join(claimed.select("id"), "id", "left_anti").unionByName(claimed)
 
 
+def _held(worker: str):
+    return F.coalesce((F.col("claimed_by") == worker) & (F.col("status") == "processing"), F.lit(False))
+
+
+def _released(work: DataFrame, hit) -> DataFrame:
+    """Without claim and lease where hit."""
+    return work.withColumns({"claimed_by": F.when(~hit, F.col("claimed_by")), "lease_until": F.when(~hit, F.col("lease_until"))})
+
+
 def marked(work: DataFrame, worker: str, done: DataFrame) -> DataFrame:
-    """Rows of done (id) become published where worker holds them; others stay."""
-    hit = (F.col("claimed_by") == worker) & (F.col("status") == "processing") & F.col("_done")
-    return work.join(done.select("id", F.lit(True).alias("_done")), "id", "left").withColumn("status", F.when(F.coalesce(hit, F.lit(False)), "published").otherwise(F.col("status"))).drop("_done")
+    """Rows of done (id) become published and free where worker holds them; others stay."""
+    both = work.join(done.select("id", F.lit(True).alias("_done")).distinct(), "id", "left").withColumn("_hit", _held(worker) & F.col("_done").isNotNull())
+    return _released(both, F.col("_hit")).withColumn("status", F.when(F.col("_hit"), "published").otherwise(F.col("status"))).drop("_done", "_hit")
 
 
-def failed(work: DataFrame, errors: DataFrame, now, most_attempts: int, base: float, most: float) -> DataFrame:
-    """Rows of errors (id, error) wait for their next attempt, or are dead letters after most_attempts."""
-    hit = F.col("error").isNotNull()
+def failed(work: DataFrame, worker: str, errors: DataFrame, now, most_attempts: int, base: float, most: float) -> DataFrame:
+    """Rows of errors (id, error, retryable) that worker holds wait for their next attempt; after most_attempts, or where not retryable, they are dead letters."""
+    last = errors.groupBy("id").agg(F.max("error").alias("error"), F.min("retryable").alias("retryable"))
+    both = work.join(last, "id", "left").withColumn("_hit", _held(worker) & F.col("error").isNotNull())
+    dead = F.col("_hit") & (~F.col("retryable") | (F.col("attempts") >= most_attempts))
     retry = F.timestamp_micros(F.unix_micros(now) + (backoff(F.col("attempts"), base, most) * 1e6).cast("long"))
-    dead = hit & (F.col("attempts") >= most_attempts)
-    return (
-        work.join(errors.select("id", F.col("error")), "id", "left")
-        .withColumn("status", F.when(dead, "dead_letter").when(hit, "failed").otherwise(F.col("status")))
-        .withColumn("available_at", F.when(hit & ~dead, retry).otherwise(F.col("available_at")))
-        .withColumn("last_error", truncate_error(F.col("error")))
-        .withColumn("lease_until", F.when(~hit, F.col("lease_until")))
-        .drop("error")
-    )
+    out = both.withColumns({
+        "available_at": F.when(F.col("_hit") & ~dead, retry).otherwise(F.col("available_at")),
+        "last_error": F.when(F.col("_hit"), truncate_error(F.col("error"))).otherwise(F.col("last_error")),
+        "_status": F.when(dead, "dead_letter").when(F.col("_hit"), "failed").otherwise(F.col("status")),
+    })
+    return _released(out, F.col("_hit")).withColumn("status", F.col("_status")).drop("error", "retryable", "_hit", "_status")
+
+
+def cycle(work: DataFrame, worker: str, batch: int, lease_seconds: int, now, results: DataFrame, most_attempts: int, base: float, most: float) -> DataFrame:
+    """One publisher cycle: claim due rows, and mark them by results (id, error or null, retryable); claimed rows without a result keep their lease."""
+    held = apply_claim(work, claim(work, worker, batch, lease_seconds, now))
+    ok, bad = results.where("error is null").select("id"), results.where("error is not null")
+    return failed(marked(held, worker, ok), worker, bad, now, most_attempts, base, most)
+
+
+def consumed(inbox: DataFrame, effects: dict[str, str], done: DataFrame) -> DataFrame:
+    """Pending rows of an inbox with their effect and next status: processed once (an event in done has no second effect), dead_letter without an effect."""
+    pending = dispatch(inbox.where("status = 'pending'"), effects)
+    known = done.select("event_id", F.lit(True).alias("_done")).distinct()
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy("id")) == 1
+    out = pending.join(known, "event_id", "left").withColumn("applies", F.col("effect").isNotNull() & F.col("_done").isNull() & first)
+    return out.withColumn("status", F.when(F.col("effect").isNull(), "dead_letter").otherwise("processed")).drop("_done", "outcome")
+
+
+def idempotency_claims(requests: DataFrame, records: DataFrame, now) -> DataFrame:
+    """Outcome of requests (tenant_id, operation, key, request_hash) against records with status and lease_until: claimed (no record), conflict (another hash), replay (completed), reclaimed (in progress with a lease that ended) or busy. Of requests of one unit the first by request_id decides."""
+    unit = ["tenant_id", "operation", "key"]
+    known = records.select(*unit, F.col("request_hash").alias("_hash"), F.col("status").alias("_status"), F.col("lease_until").alias("_lease"))
+    first = F.row_number().over(Window.partitionBy(*unit).orderBy("request_id")) == 1
+    outcome = (
+        F.when(F.col("_hash").isNull(), F.when(first, "claimed").otherwise("busy")).when(F.col("_hash") != F.col("request_hash"), "conflict").when(F.col("_status") == "completed", "replay")
+        .when((F.col("_lease").isNull() | (F.col("_lease") <= now)) & first, "reclaimed").otherwise("busy")
+    )
+    return requests.join(known, unit, "left").withColumn("outcome", outcome).drop("_hash", "_status", "_lease")
+
+
+def completed(records: DataFrame, worker: str, done: DataFrame) -> DataFrame:
+    """Records of done (tenant_id, operation, key, response) are completed where worker holds them."""
+    unit = ["tenant_id", "operation", "key"]
+    hit = F.coalesce((F.col("status") == "in_progress") & (F.col("claimed_by") == worker) & F.col("_response").isNotNull(), F.lit(False))
+    both = records.join(done.select(*unit, F.col("response").alias("_response")).dropDuplicates(unit), unit, "left").withColumn("_hit", hit)
+    return _released(both.withColumns({"status": F.when(F.col("_hit"), "completed").otherwise(F.col("status")), "response": F.when(F.col("_hit"), F.col("_response")).otherwise(F.col("response"))}), F.col("_hit")).drop("_hit", "_response")
 
 
 def insert_new(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -69,37 +114,118 @@ def dispatch(rows: DataFrame, effects: dict[str, str]) -> DataFrame:
     return rows.withColumn("effect", effect).withColumn("outcome", F.when(F.col("effect").isNull(), "dead_letter").otherwise("handled"))
 
 
-#: Legal transitions by lifecycle; a state without successors is final.
-LIFECYCLES: dict[str, dict[str, tuple[str, ...]]] = {
-    "outbox": {"pending": ("processing", "dead_letter"), "processing": ("published", "failed", "pending", "dead_letter"), "failed": ("processing", "pending", "dead_letter"), "published": (), "dead_letter": ()},
-    "live_session": {"created": ("starting", "failed", "stopped"), "starting": ("running", "failed", "stopping"), "running": ("reconnecting", "stopping", "failed"), "reconnecting": ("running", "stopping", "failed"), "stopping": ("stopped", "failed"), "stopped": (), "failed": ()},
-    "configuration": {"draft": ("validated", "archived"), "validated": ("draft", "published", "archived"), "published": ("superseded", "archived"), "superseded": ("archived",), "archived": ()},
-    "evidence": {"requested": ("queued", "failed", "expired"), "queued": ("extracting", "failed", "expired"), "extracting": ("uploading", "queued", "failed"), "uploading": ("available", "queued", "failed"), "available": ("expired", "deleted"), "expired": ("deleted",), "failed": ("queued",), "deleted": ()},
-}
+#: Legal transitions by lifecycle, state -> operation -> next state; a state without operations is final.
+LIFECYCLES: dict[str, dict[str, dict[str, str]]] = {
+    "live_session": {
+        "connecting": {"connected": "active", "connection_failed": "failed", "stop_requested": "stopped"},
+        "active": {"stale_detected": "degraded", "stop_requested": "stopped", "fatal_error": "failed"},
+        "degraded": {"reconnecting": "reconnecting", "stop_requested": "stopped", "fatal_error": "failed"},
+        "reconnecting": {"reconnected": "active", "reconnect_failed": "degraded", "fatal_error": "failed", "stop_requested": "stopped"},
+        "stopped": {}, "failed": {},
+    },
+    "configuration": {
+        "draft": {"edit": "draft", "start_validation": "validating"},
+        "validating": {"validation_succeeded": "validated", "validation_failed": "draft"},
+        "validated": {"publish": "published"},
+        "published": {},
+    },
+    "evidence": {
+        "requested": {"queue": "queued", "expire": "expired"},
+        "queued": {"start_extracting": "extracting", "expire": "expired"},
+        "extracting": {"extraction_complete": "uploading", "retryable_failure": "retryable_failure", "terminal_failure": "terminal_failure", "expire": "expired"},
+        "uploading": {"finalize": "finalized", "retryable_failure": "retryable_failure", "terminal_failure": "terminal_failure", "expire": "expired"},
+        "retryable_failure": {"retry": "queued"},
+        "finalized": {}, "terminal_failure": {}, "expired": {},
+    },
+}
+#: Operations that change nothing in the state they lead to.
+IDEMPOTENT = {"live_session": ("stop_requested",), "configuration": ("publish",), "evidence": ()}
 
 
 def illegal_transitions(log: DataFrame, lifecycle: str, entity: str = "entity_id") -> DataFrame:
     """Rows of a log (entity, at, seq, status) that do not legally follow the entity's row before."""
-    legal = [f"{a}>{b}" for a, bs in LIFECYCLES[lifecycle].items() for b in bs]
+    legal = [f"{a}>{b}" for a, operations in LIFECYCLES[lifecycle].items() for b in operations.values()]
     before = F.lag("status").over(Window.partitionBy(entity).orderBy("at", "seq"))
     out = log.withColumn("previous", before)
     return out.where(F.col("previous").isNotNull() & ~F.concat_ws(">", "previous", "status").isin(legal))
 
 
+def transitions(entities: DataFrame, requests: DataFrame, lifecycle: str) -> DataFrame:
+    """Requests (entity_id, operation, one for an entity) with previous state, new_state and outcome: applied, unchanged (idempotent), terminal, illegal or unknown entity."""
+    steps = [(a, o, b) for a, operations in LIFECYCLES[lifecycle].items() for o, b in operations.items()]
+    target = F.lit(None).cast("string")
+    for a, o, b in steps:
+        target = F.when((F.col("previous") == a) & (F.col("operation") == o), b).otherwise(target)
+    again = F.lit(False)
+    for o in IDEMPOTENT[lifecycle]:
+        again = again | ((F.col("operation") == o) & F.col("previous").isin(sorted({b for _, x, b in steps if x == o})))
+    final = [a for a, operations in LIFECYCLES[lifecycle].items() if not operations]
+    out = requests.join(entities.select("entity_id", F.col("status").alias("previous")), "entity_id", "left").withColumn("_target", target)
+    outcome = F.when(F.col("previous").isNull(), "unknown").when(F.col("_target").isNotNull(), "applied").when(again, "unchanged").when(F.col("previous").isin(final), "terminal").otherwise("illegal")
+    return out.withColumn("outcome", outcome).withColumn("new_state", F.coalesce("_target", "previous")).drop("_target")
+
+
+def apply_transitions(entities: DataFrame, decided: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Entities with the new states of transitions(), and the log's new rows, one for each that was applied."""
+    applied = decided.where("outcome = 'applied'")
+    after = entities.join(applied.select("entity_id", F.col("new_state").alias("_new")), "entity_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+    return after, applied.select("entity_id", "previous", F.col("new_state").alias("status"), F.col("operation").alias("reason"), now.alias("at"))
+
+
 def recovered(work: DataFrame, now) -> DataFrame:
-    """Work with an expired lease: extracting starts again, uploading resumes at its checkpoint."""
-    stale = F.col("lease_until") < now
+    """Evidence with a lease that ended: extracting is a retryable failure due at once, uploading resumes at its checkpoint."""
+    stale = F.col("lease_until") <= now
     action = F.when(stale & (F.col("state") == "extracting"), "retry_now").when(stale & (F.col("state") == "uploading"), "resume_upload").otherwise("none")
     return work.withColumn("action", action)
 
 
 def promoted(work: DataFrame, now, abandon_seconds: float) -> DataFrame:
-    """requested becomes queued, failed with a due retry becomes queued, queued for too long expires."""
-    old = F.unix_micros(now) - F.unix_micros("updated_at") > round(abandon_seconds * 1e6)
-    state = F.when(F.col("state") == "requested", "queued").when((F.col("state") == "failed") & (F.col("retry_at") <= now), "queued").when((F.col("state") == "queued") & old, "expired").otherwise(F.col("state"))
+    """requested becomes queued, requested or queued for too long expires, a retryable failure whose retry is due becomes queued."""
+    old = F.unix_micros("created_at") <= F.unix_micros(now) - round(abandon_seconds * 1e6)
+    state = F.when(F.col("state").isin("requested", "queued") & old, "expired").when(F.col("state") == "requested", "queued").when((F.col("state") == "retryable_failure") & (F.col("retry_at") <= now), "queued").otherwise(F.col("state"))
     return work.withColumn("new_state", state)
 
 
+def evidence_cycle(work: DataFrame, worker: str, now, batch: int, abandon_seconds: float, lease_seconds: int) -> DataFrame:
+    """One worker cycle in its order: requests are queued, abandoned ones expire, stale extractions fail and retry, due retries are queued, and the first `batch` queued ones without a lease are claimed."""
+    step = recovered(work, now)
+    again = F.col("action") == "retry_now"
+    step = step.withColumns({"state": F.when(again, "retryable_failure").otherwise(F.col("state")), "retry_at": F.when(again, now).otherwise(F.col("retry_at"))})
+    step = promoted(step, now, abandon_seconds).withColumn("state", F.col("new_state")).drop("new_state")
+    free = F.col("lease_until").isNull() | (F.col("lease_until") <= now)
+    ready = step.where((F.col("state") == "queued") & free).orderBy("created_at", "id").limit(batch).select("id", F.lit(True).alias("_claimed"))
+    both, claimed = step.join(ready, "id", "left"), F.col("_claimed").isNotNull()
+    until = F.timestamp_micros(F.unix_micros(now) + lease_seconds * 1_000_000)
+    return both.withColumns({
+        "state": F.when(claimed, "extracting").otherwise(F.col("state")), "claimed_by": F.when(claimed, worker).otherwise(F.col("claimed_by")),
+        "lease_until": F.when(claimed, until).otherwise(F.col("lease_until")), "attempts": F.col("attempts") + claimed.cast("int"),
+    }).drop("_claimed")
+
+
+def expired(media: DataFrame, now, limit: int) -> DataFrame:
+    """Media whose retention is over; those already pending deletion are tried again."""
+    return media.where(F.col("state").isin("available", "deletion_pending") & (F.col("expires_at") <= now)).orderBy("expires_at", "id").limit(limit)
+
+
+def stale_uploads(media: DataFrame, older_than, limit: int) -> DataFrame:
+    return media.where((F.col("state") == "uploading") & (F.col("created_at") < older_than)).orderBy("created_at", "id").limit(limit)
+
+
+#: States of media whose object should be there.
+RECONCILED = ("uploaded", "validating", "available", "expired", "deletion_pending")
+
+
+def reconcilable(media: DataFrame, older_than, limit: int, states: tuple[str, ...] = RECONCILED) -> DataFrame:
+    """Media whose object should be looked for again."""
+    return media.where(F.col("state").isin(*states) & (F.col("updated_at") < older_than)).orderBy("updated_at", "id").limit(limit)
+
+
+def reclaimable(messages: DataFrame, now, idle_seconds: float, limit: int) -> DataFrame:
+    """Delivered, unacknowledged messages that were idle for at least idle_seconds, oldest first."""
+    idle = F.unix_micros(now) - F.unix_micros("delivered_at") >= round(idle_seconds * 1e6)
+    return messages.where(~F.col("acknowledged") & idle).orderBy("delivered_at", "id").limit(limit)
+
+
 def routed(rows: DataFrame) -> DataFrame:
     """What a resolution means for its work: continue, retry or a final state."""
     r = F.col("resolution")
