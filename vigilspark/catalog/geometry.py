@@ -110,20 +110,29 @@ def spatial_line_crossings(spark, d):
     return out.select("track", "frame", "crossing_state", "direction")
 
 
-_ENTITIES = """e AS (SELECT 'v' || (n_nationkey % 5) AS version_id, n_nationkey AS k, 'zone-' || n_nationkey AS profile_id, 'zone-' || (n_nationkey + CASE WHEN n_nationkey % 6 = 0 THEN 100 ELSE 0 END) AS target, (n_nationkey % 7) / 10.0::DOUBLE AS x FROM nation)"""
+_ENTITIES = """e AS (SELECT 'v' || (n_nationkey % 9) AS version_id, n_nationkey AS k, 'zone-' || n_nationkey AS profile_id, 'zone-' || (n_nationkey + CASE WHEN n_nationkey % 6 = 0 THEN 100 ELSE 0 END) AS target, (n_nationkey % 7) / 10.0::DOUBLE AS x, 0.1 + (n_nationkey % 2) / 5.0::DOUBLE AS w FROM nation)"""
 
 
 def _configuration(spark, d):
+    """Zones, a table for each (those of odd keys stick out of their zone), and cameras."""
     k = F.col("n_nationkey")
     x, w = k % 7 / 10, F.when(k % 8 == 0, 0.0).otherwise(0.2)
-    ring = F.array(G.point(x, F.lit(0.1)), G.point(x + w, F.lit(0.1)), G.point(x + w, F.lit(0.3)), G.point(x, F.lit(0.3)), G.point(x, F.lit(0.1)))
-    n, none = table(spark, d, "nation"), F.lit(None)
-    base = [F.concat(F.lit("v"), (k % 5).cast("string")).alias("version_id")]
+    box = lambda x0, y0, x1, y1: F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1), G.point(x0, y0))
+    n, none, key = table(spark, d, "nation"), F.lit(None), k.cast("string")
+    base = [F.concat(F.lit("v"), (k % 9).cast("string")).alias("version_id")]
     refs = F.array(F.struct(F.lit("zone").alias("category"), F.concat(F.lit("zone-"), (k + F.when(k % 6 == 0, 100).otherwise(0)).cast("string")).alias("profile_id")))
-    rest = lambda status: [none.cast("string").alias("camera_id"), status.alias("status"), F.lit("count").alias("task"), F.lit(1).alias("priority"), none.cast("string").alias("zone_profile_id")]
-    zones = n.select(*base, F.lit("zone").alias("category"), F.concat(F.lit("zone-"), k.cast("string")).alias("profile_id"), k.cast("int").alias("ord"), F.lit("venue_local").alias("space"), F.lit("polygon").alias("geometry_type"), ring.alias("ring"), *rest(F.lit("active")), F.slice(refs, 1, 0).alias("refs"))
-    cameras = n.select(*base, F.lit("camera").alias("category"), F.concat(F.lit("cam-"), k.cast("string")).alias("profile_id"), k.cast("int").alias("ord"), F.lit("venue_local").alias("space"), F.lit("point").alias("geometry_type"), none.cast(zones.schema["ring"].dataType).alias("ring"), *rest(F.when(k % 4 == 0, "offline").otherwise("active")), refs.alias("refs"))
-    return zones.unionByName(cameras)
+
+    def entity(category: str, name: str, shape: str, ring, status, zone, refs_):
+        return n.select(
+            *base, F.lit(category).alias("category"), F.concat(F.lit(name), key).alias("profile_id"), k.cast("int").alias("ord"), F.lit("venue_local").alias("space"), F.lit(shape).alias("geometry_type"), ring.alias("ring"),
+            none.cast("string").alias("camera_id"), status.alias("status"), F.lit("count").alias("task"), F.lit(1).alias("priority"), zone.cast("string").alias("zone_profile_id"), refs_.alias("refs"),
+        )
+
+    zone_ring = box(x, F.lit(0.1), x + w, F.lit(0.3))
+    zones = entity("zone", "zone-", "polygon", zone_ring, F.lit("active"), none, F.slice(refs, 1, 0))
+    tables = entity("table", "table-", "polygon", box(x + 0.05, F.lit(0.15), x + 0.05 + 0.1 + k % 2 / 5, F.lit(0.25)), F.lit("active"), F.concat(F.lit("zone-"), key), F.slice(refs, 1, 0))
+    cameras = entity("camera", "cam-", "point", none.cast(zones.schema["ring"].dataType), F.when(k % 4 == 0, "offline").otherwise("active"), none, refs)
+    return zones.unionByName(tables).unionByName(cameras)
 
 
 _FINDINGS = f"""{_ENTITIES}, broken AS (SELECT DISTINCT version_id FROM e WHERE k % 6 = 0 OR k % 8 = 0),
@@ -131,7 +140,8 @@ findings AS (SELECT version_id, 'reference' AS stage, 'error' AS severity, 'dang
 UNION ALL SELECT version_id, 'geometry', 'error', 'degenerate', profile_id, NULL FROM e WHERE k % 8 = 0
 UNION ALL SELECT version_id, 'camera', 'error', 'camera_not_active', 'cam-' || k, NULL FROM e WHERE k % 4 = 0
 UNION ALL SELECT version_id, 'compatibility', 'warning', 'zone_not_covered', profile_id, NULL FROM e WHERE profile_id NOT IN (SELECT target FROM e)
-UNION ALL SELECT a.version_id, 'spatial', 'warning', 'overlap', a.profile_id, b.profile_id FROM e a JOIN e b ON a.version_id = b.version_id AND a.k < b.k AND (least(a.x, b.x) + 0.2 - greatest(a.x, b.x)) * 0.2 > 1e-6 WHERE a.version_id NOT IN (SELECT version_id FROM broken))"""
+UNION ALL SELECT a.version_id, 'spatial', 'error', 'table_overlap', 'table-' || a.k, 'table-' || b.k FROM e a JOIN e b ON a.version_id = b.version_id AND a.k < b.k AND (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * 0.1 > 1e-6 WHERE a.version_id NOT IN (SELECT version_id FROM broken)
+UNION ALL SELECT version_id, 'spatial', 'error', 'invalid_containment', 'table-' || k, profile_id FROM e WHERE k % 2 = 1 AND version_id NOT IN (SELECT version_id FROM broken))"""
 
 
 @query(f"WITH {_FINDINGS} SELECT * FROM findings")
@@ -149,3 +159,48 @@ def config_summary(spark, d):
 def config_hydrated(spark, d):
     n = configuration.nested(_configuration(spark, d))
     return n.select("version_id", F.size("zones").cast("long").alias("zones"), F.size("cameras").cast("long").alias("cameras"), F.array_min(F.transform("zones", lambda z: z["profile_id"])).alias("first_zone"))
+
+
+#: The policies of pairs, written from their description: all pairs not named otherwise allow an overlap.
+@query("""SELECT category, other_category, CASE WHEN category = 'table' AND other_category = 'table' THEN 'reject' WHEN other_category = 'zone' AND category IN ('table','queue_area','service_area') THEN 'validate' WHEN category = 'privacy_roi' AND other_category = 'exclusion_roi' THEN 'validate' ELSE 'allow' END AS overlap,
+CASE WHEN (category, other_category) IN (('zone','zone'), ('queue_area','service_area'), ('queue_area','queue_area'), ('camera','zone')) THEN 'warning' ELSE 'error' END AS severity,
+other_category = 'zone' AND category IN ('table','queue_area','service_area') AS containment, category = 'entrance' AS touch
+FROM (VALUES ('table','table'), ('table','zone'), ('queue_area','zone'), ('service_area','zone'), ('entrance','zone'), ('zone','zone'), ('queue_area','service_area'), ('queue_area','queue_area'), ('privacy_roi','exclusion_roi'), ('camera','zone')) v(category, other_category)
+UNION ALL SELECT a, b, 'allow', 'error', false, false FROM (VALUES ('privacy_roi'), ('exclusion_roi')) p(a), (VALUES ('zone'), ('table'), ('queue_area'), ('service_area'), ('entrance')) q(b)""")
+def config_policies(spark, d):
+    return configuration.policies(spark)
+
+
+@query("""SELECT 'v' || (p_partkey % 50) AS version_id, 'p' || (p_partkey % 200) AS profile_id FROM part WHERE p_partkey % 4 IN (1, 2) OR (p_partkey % 4 = 0 AND p_partkey % 3 = 0) GROUP BY ALL""")
+def config_waiting_contexts(spark, d):
+    k = F.col("p_partkey")
+    category = F.element_at(F.array(*map(F.lit, ("zone", "queue_area", "service_area", "table"))), (k % 4 + 1).cast("int"))
+    e = table(spark, d, "part").select(F.concat(F.lit("v"), (k % 50).cast("string")).alias("version_id"), category.alias("category"), F.concat(F.lit("p"), (k % 200).cast("string")).alias("profile_id"), F.when(k % 3 == 0, "waiting_area").otherwise("lobby").alias("zone_type"))
+    return configuration.waiting_contexts(e)
+
+
+@query("""WITH e AS (SELECT n_nationkey % 5 AS v, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey % 4 END AS c, n_nationkey % 4 IN (0, 1) OR (n_nationkey % 4 < 3 AND n_nationkey % 2 = 1) OR (n_nationkey % 4 = 2 AND n_nationkey % 5 = 0) AS venue FROM nation)
+SELECT c_custkey AS point_id, c_custkey % 2 = 0 AND EXISTS (SELECT 1 FROM e WHERE venue AND e.v = c_custkey % 5 AND (e.c IS NULL OR e.c = c_custkey % 6)) AS needs_venue_point FROM customer""")
+def spatial_needs_venue_point(spark, d):
+    k = F.col("n_nationkey")
+    category = F.element_at(F.array(*map(F.lit, ("zone", "table", "privacy_roi", "camera"))), (k % 4 + 1).cast("int"))
+    e = table(spark, d, "nation").select((k % 5).alias("version_id"), F.when(k % 3 != 0, k % 4).alias("camera_id"), category.alias("category"), F.when(k % 5 == 0, "venue_local").otherwise("image_normalized").alias("space"))
+    c = F.col("c_custkey")
+    points = table(spark, d, "customer").select(c.alias("point_id"), (c % 5).alias("version_id"), (c % 6).alias("camera_id"), F.when(c % 2 == 0, "image_normalized").otherwise("venue_local").alias("space"))
+    return spatial.needs_venue_point(points, e).select("point_id", "needs_venue_point")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 4 = s_suppkey % 5 AND s_suppkey % 7 <> 0 ELSE s_suppkey % 2 = 0 OR s_suppkey % 5 IN (1, 2) END AS applies FROM supplier""")
+def spatial_line_applies(spark, d):
+    k = F.col("s_suppkey")
+    scope, reference = F.when(k % 3 == 0, "camera").otherwise("venue"), F.when(k % 7 != 0, (k % 4).cast("string"))
+    cameras = F.when(k % 2 == 1, F.array(F.lit("1"), F.lit("2")))
+    return table(spark, d, "supplier").select("s_suppkey", spatial.line_applies(scope, reference, cameras, (k % 5).cast("string")).alias("applies"))
+
+
+@query(f"""{_EVALUATED}, n AS (SELECT * FROM b, (VALUES (1), (2)) twice(t)) SELECT frame, CASE WHEN pi THEN 'privacy' WHEN ei THEN 'excluded' WHEN len(zh) > 1 THEN 'ambiguous' WHEN len(zh) = 1 OR th IS NOT NULL THEN 'inside' ELSE 'outside' END AS status FROM n WHERE error_code IS NULL""")
+def spatial_repeated_points(spark, d):
+    """Repeated rows of a point give one observation each."""
+    p = events(spark, d).select(F.col("frame").alias("point_id"), "x", "y", F.lit(1).alias("version"))
+    rings = [polygons(spark, x) for x in ({"private-1": PRIVATE}, {"closed-1": CLOSED}, ZONES, {"table-1": TABLE, "table-2": BENCH})]
+    return spatial.evaluate(p.union(p), *rings, ["version"])[0].select(F.col("point_id").alias("frame"), "status")

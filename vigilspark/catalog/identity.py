@@ -58,7 +58,7 @@ SELECT o_orderkey, key, CASE WHEN o_orderkey % 9 <> 0 THEN m END AS month, CASE
 def fn_object_keys(spark, d):
     u = lambda p, c: ids.uuid5(F.concat(F.lit(p), F.col(c).cast("string")))
     cat = F.when(F.col("o_orderkey") % 9 == 0, "unknown").otherwise("evidence")
-    o = table(spark, d, "orders").withColumn("key", scalars.object_key(u("t", "o_custkey"), u("v", "o_custkey"), cat, u("a", "o_orderkey"), F.lit(".JPG"), F.col("o_orderdate")))
+    o = table(spark, d, "orders").withColumn("key", scalars.object_key(u("t", "o_custkey"), u("v", "o_custkey"), cat, u("a", "o_orderkey"), F.lit(".JPG"), F.col("o_orderdate").cast("timestamp")))
     p = scalars.parse_key(F.col("key"))
     return o.select("o_orderkey", "key", p["month"].alias("month"), p["extension"].alias("extension"))
 

@@ -16,16 +16,44 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+_DAY = 86_400_000_000
+
+
+def _of_day(ts: Column) -> Column:
+    return F.pmod(F.unix_micros(ts), F.lit(_DAY))
+
+
+def utc_date(ts: Column) -> Column:
+    """The day in UTC, whatever the session's zone."""
+    days = (F.unix_micros(ts) - _of_day(ts)) / _DAY
+    return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+
+
+def _utc_text(ts: Column) -> Column:
+    s = F.floor(_of_day(ts) / 1_000_000)
+    return F.concat(utc_date(ts).cast("string"), F.format_string("T%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+
+
+def utc_second_text(ts: Column) -> Column:
+    """Day and time in UTC to the second, with a blank between."""
+    return F.translate(_utc_text(ts), "T", " ")
+
+
 def iso(ts: Column) -> Column:
-    """ISO 8601 in UTC; the fraction is left out where it is zero."""
-    text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO 8601 in UTC, whatever the session's zone; the fraction is left out where it is zero."""
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    return F.concat(text, F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))), F.lit("+00:00"))
+    return F.concat(_utc_text(ts), F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))), F.lit("+00:00"))
 
 
 def lease_time(ts: Column) -> Column:
-    """Fixed-width ISO text, which sorts as time does."""
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    """Fixed-width ISO text in UTC, which sorts as time does."""
+    return F.concat(_utc_text(ts), F.lit("."), F.lpad(F.pmod(F.unix_micros(ts), F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("+00:00"))
+
+
+def parsed_utc(text: Column) -> Column:
+    """The time of ISO text with an offset or Z; text without one (a naive time) or of another form is null."""
+    aware = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$")
+    return F.when(aware, F.try_to_timestamp(text))
 
 
 def seconds(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilspark.functions import ids
+
 #: Days of each retention class (None never expires) and each category's default.
 RETENTION_DAYS = {"cctv_30_days": 30, "evidence_365_days": 365, "report_730_days": 730, "analytics_90_days": 90, "standard_90_days": 90, "legal_hold": None}
 CATEGORY_CLASS = {"recordings": "cctv_30_days", "evidence": "evidence_365_days", "reports": "report_730_days", "analytics": "analytics_90_days", "temporary": "standard_90_days"}
@@ -75,7 +77,7 @@ def retention_state(cls: Column, created: Column, now: Column, hold: Column, del
 
 
 def object_key(tenant: Column, venue: Column, category: Column, artifact: Column, extension: Column, captured: Column) -> Column:
-    return F.concat(F.lit("tenants/"), tenant, F.lit("/venues/"), venue, F.lit("/"), category, F.lit("/"), F.date_format(captured, "yyyy/MM/dd"), F.lit("/"), artifact, F.lit("."), normal_extension(extension))
+    return F.concat(F.lit("tenants/"), tenant, F.lit("/venues/"), venue, F.lit("/"), category, F.lit("/"), F.translate(ids.utc_date(captured).cast("string"), "-", "/"), F.lit("/"), artifact, F.lit("."), normal_extension(extension))
 
 
 def normal_extension(x: Column) -> Column:

@@ -14,12 +14,33 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import geometry as G
 
-CATEGORIES = ("camera", "zone", "table", "line", "privacy_roi", "exclusion_roi", "service_area", "queue_area")
-POLYGONS = tuple(c for c in CATEGORIES if c not in ("camera", "line"))
+CATEGORIES = ("camera", "zone", "table", "entrance", "privacy_roi", "exclusion_roi", "service_area", "queue_area")
+POLYGONS = tuple(c for c in CATEGORIES if c not in ("camera", "entrance"))
 #: Geometry spaces that a category accepts.
-SPACES = {"zone": ("venue_local",), "table": ("venue_local",), "service_area": ("venue_local",), "queue_area": ("venue_local",), "line": ("venue_local", "image_normalized"), "privacy_roi": ("venue_local", "image_normalized"), "exclusion_roi": ("venue_local", "image_normalized"), "camera": ("venue_local",)}
-#: Unordered pairs of categories whose meaningful overlap is a finding, and its severity.
-OVERLAPS = {("table", "table"): "error", ("zone", "zone"): "warning", ("queue_area", "service_area"): "warning", ("exclusion_roi", "zone"): "warning", ("privacy_roi", "table"): "warning", ("exclusion_roi", "privacy_roi"): "warning"}
+SPACES = {"zone": ("venue_local",), "table": ("venue_local",), "service_area": ("venue_local",), "queue_area": ("venue_local",), "entrance": ("venue_local",), "privacy_roi": ("venue_local", "image_normalized"), "exclusion_roi": ("venue_local", "image_normalized"), "camera": ("venue_local",)}
+#: What unordered pairs of categories may do: overlap (allow, reject, validate), severity, whether a declared parent must contain the child, whether boundaries may touch.
+POLICIES = (
+    ("table", "table", "reject", "error", False, False),
+    ("table", "zone", "validate", "error", True, False),
+    ("queue_area", "zone", "validate", "error", True, False),
+    ("service_area", "zone", "validate", "error", True, False),
+    ("entrance", "zone", "allow", "error", False, True),
+    ("zone", "zone", "allow", "warning", False, False),
+    ("queue_area", "service_area", "allow", "warning", False, False),
+    ("queue_area", "queue_area", "allow", "warning", False, False),
+    ("privacy_roi", "zone", "allow", "error", False, False),
+    ("privacy_roi", "table", "allow", "error", False, False),
+    ("privacy_roi", "queue_area", "allow", "error", False, False),
+    ("privacy_roi", "service_area", "allow", "error", False, False),
+    ("privacy_roi", "entrance", "allow", "error", False, False),
+    ("exclusion_roi", "zone", "allow", "error", False, False),
+    ("exclusion_roi", "table", "allow", "error", False, False),
+    ("exclusion_roi", "queue_area", "allow", "error", False, False),
+    ("exclusion_roi", "service_area", "allow", "error", False, False),
+    ("exclusion_roi", "entrance", "allow", "error", False, False),
+    ("privacy_roi", "exclusion_roi", "validate", "error", False, False),
+    ("camera", "zone", "allow", "warning", False, False),
+)
 FINDING = ("version_id", "stage", "severity", "code", "profile_id", "other_id")
 
 
@@ -57,33 +78,46 @@ def geometry(e: DataFrame) -> DataFrame:
     for c, spaces in SPACES.items():
         space_ok = F.when(F.col("category") == c, F.col("space").isin(*spaces)).otherwise(space_ok)
     ring = F.col("ring")
-    polygon = F.col("category").isin(*POLYGONS)
+    entrance = F.col("category") == "entrance"
+    polygon = F.col("category").isin(*POLYGONS) | (entrance & (F.col("geometry_type") == "polygon"))
     code = (
-        F.when(~space_ok, "wrong_space").when(polygon & (F.col("geometry_type") != "polygon"), "wrong_type").when((F.col("category") == "line") & ~G.valid_line(ring), "bad_line")
-        .when(polygon & ~G.is_closed(ring), "not_closed").when(polygon & ~G.valid_ring(ring), "degenerate").when(polygon & G.self_intersecting(ring), "self_intersecting")
+        F.when(~space_ok, "wrong_space").when(~F.when(entrance, F.col("geometry_type").isin("linestring", "polygon")).otherwise(F.col("geometry_type") == "polygon"), "wrong_type")
+        .when(entrance & (F.col("geometry_type") == "linestring") & ~G.valid_line(ring), "bad_line").when(polygon & ~G.is_closed(ring), "not_closed").when(polygon & ~G.valid_ring(ring), "degenerate").when(polygon & G.self_intersecting(ring), "self_intersecting")
     )
     return _found(e.where("category <> 'camera' and ring is not null").withColumn("code", code).where("code is not null"), "geometry", "error", F.col("code"))
 
 
+def policies(spark: SparkSession) -> DataFrame:
+    """The policies of pairs as rows."""
+    return spark.createDataFrame(list(POLICIES), "category string, other_category string, overlap string, severity string, containment boolean, touch boolean")
+
+
 def spatial(e: DataFrame) -> DataFrame:
-    """Pairs of polygons of one version, space and camera whose overlap a policy names.
+    """Pairs of polygons of one version and space whose meaningful overlap a policy rejects.
 
-    A self-join by version and space: a venue's version holds tens of polygons, so its pairs are few however many versions there are.
+    Only categories of such policies are paired and clipped. A self-join by version and space: a venue's version holds
+    tens of polygons, so its pairs are few however many versions there are.
     """
-    p = e.where(F.col("category").isin(*POLYGONS)).select("version_id", "space", "category", "profile_id", "ord", "ring")
+    rejected = [(a, b) for a, b, overlap, *_ in POLICIES if overlap == "reject"]
+    p = e.where(F.col("category").isin(*sorted({c for pair in rejected for c in pair})) & (F.col("geometry_type") == "polygon")).select("version_id", "space", "category", "profile_id", "ord", "ring")
     q = p.select("version_id", "space", *(F.col(c).alias(f"{c}_2") for c in ("category", "profile_id", "ord", "ring")))
-    pairs = p.join(q, ["version_id", "space"]).where("ord < ord_2")
-    severity = F.lit(None).cast("string")
-    for (a, b), s in OVERLAPS.items():
-        severity = F.when((F.least("category", "category_2") == min(a, b)) & (F.greatest("category", "category_2") == max(a, b)), s).otherwise(severity)
-    hit = pairs.withColumn("severity", severity).where("severity is not null").where(G.meaningful_overlap(F.col("ring"), F.col("ring_2")))
-    return _found(hit, "spatial", F.col("severity"), "overlap", F.col("profile_id_2"))
+    wanted = reduce(lambda x, y: x | y, (F.least("category", "category_2").eqNullSafe(min(pair)) & F.greatest("category", "category_2").eqNullSafe(max(pair)) for pair in rejected))
+    hit = p.join(q, ["version_id", "space"]).where(F.struct("category", "ord", "profile_id") < F.struct("category_2", "ord_2", "profile_id_2")).where(wanted).where(G.meaningful_overlap(F.col("ring"), F.col("ring_2")))
+    code = F.when((F.col("category") == "table") & (F.col("category_2") == "table"), "table_overlap").otherwise("invalid_spatial_relationship")
+    return _found(hit, "spatial", "error", code, F.col("profile_id_2"))
 
 
 def containment(e: DataFrame) -> DataFrame:
-    """Entities that name a zone (zone_profile_id) and do not lie in it."""
-    zones = e.where("category = 'zone'").select("version_id", F.col("profile_id").alias("zone_profile_id"), F.col("ring").alias("zone_ring"))
-    return _found(e.where("zone_profile_id is not null").join(zones, ["version_id", "zone_profile_id"]).where(~G.contains(F.col("zone_ring"), F.col("ring"))), "spatial", "error", "not_contained", F.col("zone_profile_id"))
+    """Entities that name a zone (zone_profile_id), have to lie in it by policy, and do not."""
+    children = [a for a, b, _, _, contained, _ in POLICIES if contained and b == "zone"]
+    zones = e.where("category = 'zone' and geometry_type = 'polygon'").select("version_id", F.col("profile_id").alias("zone_profile_id"), F.col("ring").alias("zone_ring"))
+    own = e.where(F.col("zone_profile_id").isNotNull() & F.col("category").isin(*children))
+    return _found(own.join(zones, ["version_id", "zone_profile_id"]).where(~G.contains(F.col("zone_ring"), F.col("ring"))), "spatial", "error", "invalid_containment", F.col("zone_profile_id"))
+
+
+def waiting_contexts(entities: DataFrame) -> DataFrame:
+    """version_id and profile_id of what a version declares as a place to wait: queue areas, service areas, and zones of that type (zone_type)."""
+    return entities.where(F.col("category").isin("queue_area", "service_area") | ((F.col("category") == "zone") & (F.col("zone_type") == "waiting_area"))).select("version_id", "profile_id").distinct()
 
 
 def cameras(e: DataFrame) -> DataFrame:

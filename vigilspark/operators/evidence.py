@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.functions import ids
+
 #: Days that one bucket of the range join spans.
 BUCKET_DAYS = 7
 _IDENTITY = ("tenant_id", "venue_id", "camera_id", "session_id")
@@ -51,7 +53,7 @@ def resolve(requests: DataFrame, recordings: DataFrame) -> DataFrame:
     missing = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + F.unix_micros(g["b"]) - F.unix_micros(g["a"]))
     whole = F.unix_micros("end_time") - F.unix_micros("start_time")
     status = F.when(F.col("n").isNull(), F.when(F.col("candidates").isNotNull() & ~F.coalesce("venue_seen", F.lit(False)), "auth_failure").otherwise("not_found")).when(F.size(gaps) > 0, "partial").otherwise("resolved")
-    text = F.array_join(F.transform(gaps, lambda g: F.concat(F.date_format(g["a"], "yyyy-MM-dd HH:mm:ss"), F.lit("/"), F.date_format(g["b"], "yyyy-MM-dd HH:mm:ss"))), "; ")
+    text = F.array_join(F.transform(gaps, lambda g: F.concat(ids.utc_second_text(g["a"]), F.lit("/"), ids.utc_second_text(g["b"]))), "; ")
     return out.select("ref_id", status.alias("resolution"), F.when(F.col("n").isNotNull(), (whole - missing) / 1e6).otherwise(0.0).alias("covered_seconds"), F.when(F.col("n").isNotNull(), text).alias("gap_text"))
 
 

@@ -1,35 +1,71 @@
 """Spatial joins: points with zones, tables and regions; line crossings.
 
-Polygons are a dimension, yet a join does not rely on broadcasting them: polygons are
-listed under the grid cells that their bounding box covers and points look up their own
-cell, so it stays an equi-join at any size; Spark still broadcasts a small side itself.
+Polygons are a dimension, yet a join does not rely on broadcasting them: each polygon is
+listed under the few cells of its own size that its bounding box covers, and points look
+up their cell of every size that their scope has, so it stays an equi-join at any size
+and extent; Spark still broadcasts a small side itself.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions import geometry as G
 
-CELL = 0.25
+#: Cells are squares of 2**level; a polygon's level is that of its longer side, between these.
+LEVELS = (-20, 40)
 
 
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def located(points: DataFrame, polygons: DataFrame, on: list[str], cell: float = CELL) -> DataFrame:
+def located(points: DataFrame, polygons: DataFrame, on: list[str]) -> DataFrame:
     """Every point with every polygon whose bounding box holds it, and its location: inside, boundary or outside.
 
     points: on, x, y; polygons: on, profile_id, ring. Points outside of a box are outside and left out.
     """
     xs, ys = F.col("ring.x"), F.col("ring.y")
     boxed = polygons.withColumns({"_x0": F.array_min(xs) - G.TOLERANCE, "_x1": F.array_max(xs) + G.TOLERANCE, "_y0": F.array_min(ys) - G.TOLERANCE, "_y1": F.array_max(ys) + G.TOLERANCE})
-    listed = boxed.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), cell))).withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), cell)))
-    own = points.withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
-    near = own.join(listed, [*on, "_cx", "_cy"]).where("x between _x0 and _x1 and y between _y0 and _y1")
-    return near.withColumn("location", G.classify_point(F.struct("x", "y"), F.col("ring"))).drop("_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "ring")
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    boxed = boxed.withColumn("_level", F.greatest(F.least(F.ceil(F.log2(side)), F.lit(LEVELS[1])), F.lit(LEVELS[0])).cast("int"))
+    level = F.col("_level")
+    listed = boxed.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_x0"), level), _cell(F.col("_x1"), level)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_y0"), level), _cell(F.col("_y1"), level))))
+    levels = boxed.select(*on, "_level").distinct()  # at most one row for each level of a scope
+    own = points.join(levels, on).withColumn("_cx", _cell(F.col("x"), level)).withColumn("_cy", _cell(F.col("y"), level))
+    near = own.join(listed, [*on, "_level", "_cx", "_cy"]).where("x between _x0 and _x1 and y between _y0 and _y1")
+    return near.withColumn("location", G.classify_point(F.struct("x", "y"), F.col("ring"))).drop("_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "ring")
+
+
+def _matched(kind: str | None = None) -> list[Column]:
+    """Aggregates: whether a polygon's boundary holds the point, and the polygons that hold it."""
+    own = F.lit(True) if kind is None else F.col("kind") == kind
+    name = kind or "polygon"
+    return [F.bool_or(own & (F.col("location") == "boundary")).alias(f"{name}_boundary"), F.array_sort(F.collect_set(F.when(own & (F.col("location") == "inside"), F.col("profile_id")))).alias(f"{name}_ids")]
+
+
+def _membership(name: str, priority: list[str] | None) -> tuple[Column, Column]:
+    """Status and polygon of a point by the aggregates of _matched()."""
+    ids = F.coalesce(F.col(f"{name}_ids"), F.array().cast("array<string>"))
+    first = F.get(F.filter(F.array(*(F.lit(p) for p in priority or [""])), lambda p: F.array_contains(ids, p)), F.lit(0))
+    n = F.size(ids)
+    status = F.when(F.col(f"{name}_boundary"), "boundary").when(n == 0, "outside").when((n == 1) | first.isNotNull(), "inside").otherwise("ambiguous")
+    return status, F.when(status == "inside", F.when(n == 1, F.get(ids, F.lit(0))).otherwise(first))
+
+
+def _once(points: DataFrame, on: list[str]) -> DataFrame:
+    """Each place of a point once, so that repeated rows don't multiply."""
+    return points.select("point_id", "x", "y", *on).distinct()
+
+
+def _back(points: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Every row of points with what was found at its place."""
+    keys = ["point_id", "x", "y", *on]
+    f = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *[c for c in found.columns if c not in keys])
+    return points.join(f, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").drop(*(f"_{k}" for k in keys))
 
 
 def membership(points: DataFrame, polygons: DataFrame, on: list[str], priority: list[str] | None = None) -> DataFrame:
@@ -37,43 +73,57 @@ def membership(points: DataFrame, polygons: DataFrame, on: list[str], priority:
 
     A boundary of any polygon makes the point one for quarantine. Of several matches the first of priority counts.
     """
-    hit = located(points, polygons, on).groupBy("point_id").agg(
-        F.bool_or(F.col("location") == "boundary").alias("on_boundary"), F.array_sort(F.collect_set(F.when(F.col("location") == "inside", F.col("profile_id")))).alias("matched")
-    )
-    first = F.get(F.filter(F.array(*(F.lit(p) for p in priority or [""])), lambda p: F.array_contains("matched", p)), F.lit(0))
-    n = F.coalesce(F.size("matched"), F.lit(0))
-    status = F.when(F.col("on_boundary"), "boundary").when(F.col("matched").isNull() | (n == 0), "outside").when((n == 1) | first.isNotNull(), "inside").otherwise("ambiguous")
-    out = points.join(hit, "point_id", "left").withColumn("status", status)
-    return out.withColumn("profile_id", F.when(F.col("status") == "inside", F.when(F.size("matched") == 1, F.get("matched", F.lit(0))).otherwise(first))).withColumn("matched", F.coalesce("matched", F.array().cast("array<string>"))).drop("on_boundary")
-
-
-def first_region(points: DataFrame, regions: DataFrame, on: list[str]) -> DataFrame:
-    """The first region by profile_id that holds a point; a boundary that comes before it makes the point one for quarantine."""
-    first = located(points, regions, on).where("location <> 'outside'").groupBy("point_id").agg(F.min(F.struct("profile_id", "location")).alias("hit"))
-    return points.join(first, "point_id", "left").select(*points.columns, F.when(F.col("hit.location") == "inside", F.col("hit.profile_id")).alias("region"), (F.coalesce(F.col("hit.location"), F.lit("")) == "boundary").alias("region_boundary"))
+    hit = located(_once(points, on), polygons, on).groupBy("point_id", "x", "y", *on).agg(*_matched())
+    status, profile = _membership("polygon", priority)
+    out = _back(points, hit, on).withColumns({"status": status, "profile_id": profile, "matched": F.coalesce("polygon_ids", F.array().cast("array<string>"))})
+    return out.drop("polygon_boundary", "polygon_ids")
 
 
 def evaluate(points: DataFrame, privacy: DataFrame, exclusion: DataFrame, zones: DataFrame, tables: DataFrame, on: list[str], zone_priority: list[str] | None = None, table_priority: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Spatial observations and quarantined points. Privacy comes before exclusion, exclusion before zones and tables."""
-    p = first_region(points, privacy, on).withColumnRenamed("region", "privacy_region").withColumnRenamed("region_boundary", "privacy_boundary")
-    e = first_region(points.select("point_id", "x", "y", *on), exclusion, on).select("point_id", F.col("region").alias("exclusion_region"), F.col("region_boundary").alias("exclusion_boundary"))
-    z = membership(points.select("point_id", "x", "y", *on), zones, on, zone_priority).select("point_id", F.col("status").alias("zone_status"), F.col("profile_id").alias("zone_profile_id"))
-    t = membership(points.select("point_id", "x", "y", *on), tables, on, table_priority).select("point_id", F.col("status").alias("table_status"), F.col("profile_id").alias("table_profile_id"))
-    all_ = p.join(e, "point_id").join(z, "point_id").join(t, "point_id")
-    private, excluded = F.col("privacy_region").isNotNull(), F.col("exclusion_region").isNotNull()
+    """Spatial observations and quarantined points. Privacy comes before exclusion, exclusion before zones and tables.
+
+    Of privacy (and exclusion) regions the first by profile_id that holds a point counts; a boundary that comes before it
+    makes the point one for quarantine. All polygons are joined and aggregated at once.
+    """
+    kinds = {"privacy": privacy, "exclusion": exclusion, "zone": zones, "table": tables}
+    all_polygons = reduce(DataFrame.unionByName, (df.select(*on, "profile_id", "ring", F.lit(k).alias("kind")) for k, df in kinds.items()))
+    first = lambda k: F.min(F.when((F.col("kind") == k) & (F.col("location") != "outside"), F.struct("profile_id", "location"))).alias(k)
+    hit = located(_once(points, on), all_polygons, on).groupBy("point_id", "x", "y", *on).agg(first("privacy"), first("exclusion"), *_matched("zone"), *_matched("table"))
+    at = _back(points, hit, on)
+    (zone_status, zone), (table_status, table) = _membership("zone", zone_priority), _membership("table", table_priority)
+    private, excluded = F.coalesce(F.col("privacy.location") == "inside", F.lit(False)), F.coalesce(F.col("exclusion.location") == "inside", F.lit(False))
     bad = (
-        F.when(F.col("privacy_boundary"), "privacy_boundary").when(private, None).when(F.col("exclusion_boundary"), "exclusion_boundary").when(excluded, None)
-        .when(F.col("zone_status") == "boundary", "zone_boundary").when(F.col("table_status") == "boundary", "table_boundary")
+        F.when(F.col("privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
+        .when(zone_status == "boundary", "zone_boundary").when(table_status == "boundary", "table_boundary")
     )
-    ambiguous = (F.col("zone_status") == "ambiguous") | (F.col("table_status") == "ambiguous")
-    inside = (F.col("zone_status") == "inside") | (F.col("table_status") == "inside")
+    ambiguous, inside = (zone_status == "ambiguous") | (table_status == "ambiguous"), (zone_status == "inside") | (table_status == "inside")
     status = F.when(private, "privacy").when(excluded, "excluded").when(ambiguous, "ambiguous").when(inside, "inside").otherwise("outside")
-    marked = all_.withColumn("error_code", bad).withColumn("status", status)
-    plain = F.col("status").isin("privacy", "excluded")
-    good = marked.where("error_code is null").withColumns({c: F.when(~plain, F.col(c)) for c in ("zone_profile_id", "table_profile_id")}).select(*points.columns, "status", "zone_profile_id", "table_profile_id")
+    plain = private | excluded
+    marked = at.withColumns({"error_code": bad, "status": status, "zone_profile_id": F.when(~plain, zone), "table_profile_id": F.when(~plain, table)})
+    good = marked.where("error_code is null").select(*points.columns, "status", "zone_profile_id", "table_profile_id")
     return good, marked.where("error_code is not null").select(*points.columns, "error_code")
 
 
+def needs_venue_point(points: DataFrame, entities: DataFrame) -> DataFrame:
+    """Points (version_id, camera_id, space) with needs_venue_point: their camera declares venue geometry, but they are in image coordinates.
+
+    Zones and tables are venue geometry; privacy and exclusion regions are where their space says so. Entities without camera_id hold for all cameras of their version.
+    """
+    venue = F.col("category").isin("zone", "table") | (F.col("category").isin("privacy_roi", "exclusion_roi") & (F.col("space") == "venue_local"))
+    declared = entities.where(venue).select("version_id", "camera_id").distinct()
+    every = declared.where("camera_id is null").select("version_id", F.lit(True).alias("_every"))
+    own = declared.where("camera_id is not null").select("version_id", "camera_id", F.lit(True).alias("_own"))
+    both = points.join(every, "version_id", "left").join(own, ["version_id", "camera_id"], "left")
+    needs = (F.col("space") == "image_normalized") & (F.col("_every").isNotNull() | F.col("_own").isNotNull())
+    return both.withColumn("needs_venue_point", F.coalesce(needs, F.lit(False))).drop("_every", "_own")
+
+
+def line_applies(scope: Column, reference_camera: Column, cameras: Column, camera: Column) -> Column:
+    """Whether a line holds for a camera: a camera's own line for that camera only, others for those they list, or for all where they list none."""
+    listed = F.size(F.coalesce(cameras, F.array().cast("array<string>"))) == 0
+    return F.when(scope == "camera", F.coalesce(reference_camera == camera, F.lit(False))).otherwise(listed | F.coalesce(F.array_contains(cameras, camera), F.lit(False)))
+
+
 def line_crossings(points: DataFrame, keys: list[str], line: tuple[tuple[float, float], ...], direction: str = "both") -> DataFrame:
     """Crossings of a line's edges between a track's consecutive points, the first edge counting.
 

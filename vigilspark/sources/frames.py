@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilspark import schemas
-from vigilspark.functions import scalars
+from vigilspark.functions import ids, scalars
 
 
 def read_contract(spark: SparkSession, path: str, name: str, source: str = "parquet") -> tuple[DataFrame, DataFrame]:
     """Rows of a contract, and those that could not be read (JSON only; Parquet has its schema)."""
     if source == "json":
         schema = schemas.contract(name).add("_corrupt", "string")
-        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        df = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
         return df.where("_corrupt is null").drop("_corrupt"), df.where("_corrupt is not null")
     return schemas.assert_contract(spark.read.parquet(path), name), spark.createDataFrame([], "_corrupt string")
 
@@ -35,8 +36,6 @@ def resolved_times(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def newest(frames: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """A full queue that drops its oldest: the newest `most` frames of each session, and those dropped."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("arrival")))
     marked = frames.withColumn("_n", n)
     return marked.where(F.col("_n") <= most).drop("_n"), marked.where(F.col("_n") > most).drop("_n")
@@ -51,14 +50,20 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_new(batch: DataFrame, path: str, key: str, order: str) -> int:
-    """Append the batch's rows whose key the target lacks; a replay appends nothing. Returns their number."""
+    """Append the batch's rows whose key the target lacks; a replay appends nothing. Returns their number.
+
+    Of rows of one key the first by `order` counts; rows without a key are told apart by their content.
+    """
     spark = batch.sparkSession
-    first = batch.dropDuplicates([key])
+    text = F.to_json(F.struct(*sorted(batch.columns)))
+    identity = F.coalesce(F.col(key).cast("string"), F.sha2(text, 256))
+    turn = F.row_number().over(Window.partitionBy("_identity").orderBy(order, "_text"))
+    first = batch.withColumns({"_identity": identity, "_text": text}).withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_text")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(conf).exists(p):
-        first = first.join(spark.read.parquet(path).select(key), key, "left_anti")
-    first = first.persist()
+        first = first.join(spark.read.parquet(path).select(identity.alias("_identity")), "_identity", "left_anti")
+    first = first.drop("_identity").persist()
     try:
         n = first.count()
         if n:
@@ -71,7 +76,7 @@ def append_new(batch: DataFrame, path: str, key: str, order: str) -> int:
 def fact_rows(facts: DataFrame) -> DataFrame:
     """Facts as rows of the log: typed key columns, the rest as JSON, and the day they are partitioned by."""
     own = [c for c in facts.columns if c not in ("key", "event_time")]
-    return facts.select(*(F.col(f"key.{c}").alias(c) for c in ("tenant_id", "venue_id", "session_id", "camera_id", "configuration_version_id", "track_id", "semantic_context")), "event_time", F.to_json(F.struct(*own)).alias("payload"), F.to_date("event_time").alias("event_date"))
+    return facts.select(*(F.col(f"key.{c}").alias(c) for c in ("tenant_id", "venue_id", "session_id", "camera_id", "configuration_version_id", "track_id", "semantic_context")), "event_time", F.to_json(F.struct(*own)).alias("payload"), ids.utc_date(F.col("event_time")).alias("event_date"))
 
 
 def persist_operational(facts: DataFrame, events: DataFrame, folder: str, actor: str) -> dict[str, int]:

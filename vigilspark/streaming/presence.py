@@ -19,7 +19,7 @@ STATE_VERSION = "1"
 
 
 def stream_fold(rows: DataFrame, key: str, make: Callable[[], Machine], inputs: list[str], outputs: dict[str, str], revision: str) -> DataFrame:
-    """Results of each row (key, t, frame, outputs) as a stream. Within a micro-batch rows apply in order of arrival.
+    """Results of each row (key, t, frame, outputs) as a stream. Within a micro-batch all rows of a key apply in order of arrival.
 
     The state holds its version and the policy's revision; a restart under another one is an error.
     """
@@ -36,11 +36,11 @@ def stream_fold(rows: DataFrame, key: str, make: Callable[[], Machine], inputs:
         else:
             current = machine.initial()
         got = []
-        for f in sorted(frames, key=lambda x: x["arrival"].min()):
-            for r in f.sort_values("arrival").to_dict("records"):
-                t = pd.Timestamp(r["t"])
-                current, out = machine.apply(current, {c: r[c] for c in inputs} | {"t": t.value // 1000, "frame": r["frame"]})
-                got.append({key: k[0], "t": t, "frame": r["frame"]} | {n: out.get(n) for n in outputs})
+        rows_ = pd.concat(list(frames)).sort_values("arrival", kind="stable")  # a key's rows of one micro-batch
+        for r in rows_.to_dict("records"):
+            t = pd.Timestamp(r["t"])
+            current, out = machine.apply(current, {c: r[c] for c in inputs} | {"t": t.value // 1000, "frame": r["frame"]})
+            got.append({key: k[0], "t": t, "frame": r["frame"]} | {n: out.get(n) for n in outputs})
         state.update((STATE_VERSION, revision, json.dumps(current)))
         yield pd.DataFrame(got, columns=[key, "t", "frame", *outputs])
 
@@ -57,14 +57,17 @@ def pump(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
 
 
 def supervised(start: Callable[[], object], attempts: int, base: float, most: float, sleep: Callable[[float], None]) -> int:
-    """Restart a query that fails, with growing pauses, up to `attempts` times in a row. Returns the restarts."""
-    for n in range(attempts + 1):
+    """Restart a query that fails, with growing pauses, up to `attempts` times in a row; a query that read rows begins a new row. Returns the restarts."""
+    n = restarts = 0
+    while True:
         query = start()
         try:
             query.awaitTermination()
-            return n
+            return restarts
         except Exception:  # noqa: BLE001  the query's own failure, whatever it is
+            if any(p["numInputRows"] for p in getattr(query, "recentProgress", ())):
+                n = 0
             if n == attempts:
                 raise
             sleep(min(most, base * 2**n))
-    return attempts
+            n, restarts = n + 1, restarts + 1
