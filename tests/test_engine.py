@@ -105,3 +105,96 @@ def test_idempotent_outcomes(spark):
     q = spark.createDataFrame([("t", "o", "k1", "h"), ("t", "o", "k2", "h"), ("t", "o", "k3", "h")], "tenant_id string, operation string, key string, request_hash string")
     d = spark.createDataFrame([("t", "o", "k1", "h"), ("t", "o", "k2", "other")], q.schema)
     assert {r["key"]: r["outcome"] for r in queues.idempotent(q, d).collect()} == {"k1": "replay", "k2": "conflict", "k3": "new"}
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    from vigilspark.functions import ids
+
+    micros = [0, 1, -1, 1_700_000_000_250_000, -62_135_596_800_000_000, 4_102_444_799_999_999]
+    df = spark.createDataFrame([(m,) for m in micros], "m long").select("m", F.timestamp_micros("m").alias("t"))
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    epoch = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/St_Johns", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for r in df.select("m", ids.iso(F.col("t")).alias("iso"), ids.lease_time(F.col("t")).alias("lease"), ids.utc_date(F.col("t")).cast("string").alias("day"), ids.utc_second_text(F.col("t")).alias("text")).collect():
+                at = epoch + datetime.timedelta(microseconds=r.m)
+                assert (r.iso, r.lease) == (at.isoformat(), at.isoformat(timespec="microseconds"))
+                assert (r.day, r.text) == (at.date().isoformat(), at.replace(microsecond=0, tzinfo=None).isoformat(" "))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+
+
+def test_append_new_with_null_keys_and_a_defined_winner(spark, tmp_path):
+    df = spark.createDataFrame([(None, 1, "x"), (None, 2, "x"), (None, 2, "x"), ("a", 5, "late"), ("a", 3, "first"), ("a", 3, "second")], "event_id string, at int, v string")
+    path = str(tmp_path / "facts")
+    assert [frames.append_new(d, path, "event_id", "at") for d in (df, df.repartition(3))] == [3, 0]
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == sorted([(None, 1, "x"), (None, 2, "x"), ("a", 3, "first")], key=str)
+
+
+def test_persist_operational_writes_once(spark, tmp_path):
+    events = spark.createDataFrame([("e1", "t", T0, "{}"), ("e2", "t", T0, "{}")], "event_id string, event_type string, event_time timestamp, payload string")
+    facts = spark.createDataFrame([("e1", 3), (None, 4), (None, 5)], "event_id string, occupancy_count int").withColumn("event_time", F.lit(T0))
+    got = [frames.persist_operational(facts, events, str(tmp_path / "log"), "me") for _ in range(2)]
+    assert got == [{"facts": 3, "events": 2, "audit": 2, "outbox": 2}, {"facts": 0, "events": 0, "audit": 0, "outbox": 0}]
+
+
+def test_corrupt_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "in.json").write_text('{"frame_id":"f1","session_id":"s","frame_index":1}\n\n{broken\n{"frame_id":"f2"}\n')
+    good, bad = frames.read_contract(spark, str(tmp_path / "in.json"), "frame_packet", "json")
+    assert sorted(r.frame_id for r in good.collect()) == ["f1", "f2"] and bad.count() == 1 and bad.first()["_corrupt"] == "{broken"
+
+
+def test_supervisor_counts_failures_in_a_row():
+    from vigilspark.streaming.presence import supervised
+
+    class Query:
+        def __init__(self, rows, fails):
+            self.recentProgress, self.fails = [{"numInputRows": rows}], fails
+
+        def awaitTermination(self):
+            if self.fails:
+                raise RuntimeError("gone")
+
+    def run(plan, attempts):
+        queries, pauses = iter(Query(*p) for p in plan), []
+        return supervised(lambda: next(queries), attempts, 1.0, 8.0, pauses.append), pauses
+
+    assert run([(0, True), (0, True), (5, True), (0, True), (0, False)], 2) == (4, [1.0, 2.0, 1.0, 2.0])
+    with pytest.raises(RuntimeError):
+        run([(0, True), (0, True), (0, True)], 2)
+
+
+def test_spatial_join_of_large_and_small_polygons(spark):
+    box = lambda x0, y0, x1, y1: [{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
+    polygons = spark.createDataFrame([(1, "venue", box(-500.0, -500.0, 500.0, 500.0)), (1, "spot", box(10.0, 10.0, 10.01, 10.01)), (2, "other", box(0.0, 0.0, 1.0, 1.0))], "version int, profile_id string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([("a", 10.005, 10.005, 1), ("a", 10.005, 10.005, 1), ("a", 0.5, 0.5, 2), ("b", 499.0, -499.0, 1), ("c", 501.0, 0.0, 1), ("d", None, 0.0, 1), ("e", 0.5, 0.5, 3)], "point_id string, x double, y double, version int")
+    got = sorted((r.point_id, r.version, r.status, tuple(r.matched)) for r in spatial.membership(points, polygons, ["version"]).collect())
+    assert got == [("a", 1, "ambiguous", ("spot", "venue")), ("a", 1, "ambiguous", ("spot", "venue")), ("a", 2, "inside", ("other",)), ("b", 1, "inside", ("venue",)), ("c", 1, "outside", ()), ("d", 1, "outside", ()), ("e", 3, "outside", ())]
+    none = polygons.limit(0)
+    seen, bad = spatial.evaluate(points, none, none, polygons, none, ["version"])
+    assert seen.count() == 7 and bad.count() == 0
+
+
+def test_marks_leave_other_rows_alone(spark):
+    rows = [(1, "processing", "w1", "e0"), (2, "processing", "w2", "e0"), (3, "pending", None, "old")]
+    work = spark.createDataFrame([(i, s, T0, T0, c, 1, e) for i, s, c, e in rows], "id long, status string, available_at timestamp, lease_until timestamp, claimed_by string, attempts int, last_error string")
+    errors = spark.createDataFrame([(i, "boom", True) for i in (1, 2, 3)], "id long, error string, retryable boolean")
+    out = {r.id: r for r in queues.failed(work, "w1", errors, F.lit(T0), 3, 1.0, 10.0).collect()}
+    assert (out[1].status, out[1].claimed_by, out[1].last_error, out[1].lease_until) == ("failed", None, "boom", None) and out[1].available_at > T0
+    assert [(out[i].status, out[i].claimed_by, out[i].last_error, out[i].lease_until) for i in (2, 3)] == [("processing", "w2", "e0", T0), ("pending", None, "old", T0)]
+
+
+def test_registry_allow_lists():
+    r = rules.Registry(evaluators=("dwell_threshold",))
+    r.register(rules.Rule("dwell_threshold", "v1", rules.dwell_threshold, "dwell_interval"))
+    for bad in (rules.Rule("queue_candidate", "v1", rules.queue_candidate, "x"), rules.Rule("dwell_threshold", "v2", rules.dwell_threshold, "x", engine_version="9"), rules.Rule("dwell_threshold", "v3", rules.dwell_threshold, "x", evidence="perhaps")):
+        with pytest.raises(ValueError):
+            r.register(bad)
+
+
+def test_observed_counts(spark):
+    from vigilspark.operators import counters
+
+    df, seen = counters.observed(spark.range(10), "numbers", even=F.col("id") % 2 == 0, large=F.col("id") > 7)
+    assert df.count() == 10 and seen.get == {"even": 5, "large": 2}

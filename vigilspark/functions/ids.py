@@ -87,6 +87,10 @@ def interval_id(kind: str, key: Column, start: Column, end: Column, fsm_version:
     return uuid5(F.when(end.isNull(), joined(kind, key, iso(start), fsm_version, policy)).otherwise(joined(kind, key, iso(start), iso(end), fsm_version, policy)))
 
 
+def transition_id(key: Column, frame: Column, event_time: Column, from_state: Column, to_state: Column, kind: Column, reason: Column) -> Column:
+    return uuid5(joined(key, frame, iso(event_time), from_state, to_state, kind, reason))
+
+
 def snapshot_id(key: Column, event_time: Column, count: Column, source: Column) -> Column:
     return uuid5(joined("occupancy_snapshot", key, iso(event_time), count, source))
 

@@ -120,6 +120,20 @@ def waiting_contexts(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("category").isin("queue_area", "service_area") | ((F.col("category") == "zone") & (F.col("zone_type") == "waiting_area"))).select("version_id", "profile_id").distinct()
 
 
+def camera_entities(points: DataFrame, entities: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:
+    """The entities of a category that each point's camera declares (point_id, version_id, camera_id, profile_id, ring), and errors (point_id, error_code, target): cameras that the version lacks, and declared entities that it lacks.
+
+    Of a camera_id's cameras the first by ord counts.
+    """
+    cams = entities.where("category = 'camera'").groupBy("version_id", "camera_id").agg(F.min_by("refs", F.struct("ord", "profile_id")).alias("refs"))
+    at = points.select("point_id", "version_id", "camera_id").join(cams, ["version_id", "camera_id"], "left")
+    lost = at.where("refs is null").select("point_id", F.lit("camera_not_configured").alias("error_code"), F.col("camera_id").cast("string").alias("target"))
+    declared = at.select("point_id", "version_id", "camera_id", F.explode("refs").alias("r")).where(F.col("r.category") == category).select("point_id", "version_id", "camera_id", F.col("r.profile_id").alias("profile_id"))
+    own = entities.where(F.col("category") == category).select("version_id", "profile_id", "ring")
+    missing = declared.join(own, ["version_id", "profile_id"], "left_anti").select("point_id", F.lit(f"{category}_not_configured").alias("error_code"), F.col("profile_id").alias("target"))
+    return declared.join(own, ["version_id", "profile_id"]), lost.unionByName(missing)
+
+
 def cameras(e: DataFrame) -> DataFrame:
     """Cameras that are not active, or cover no zone."""
     c = e.where("category = 'camera'")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.functions import ids
+
 
 class Actor:
     def __init__(self, tenant_id, venues=()):
@@ -69,3 +71,61 @@ def latency_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     pick = lambda p: at(F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n"))))
     middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
     return ranked.groupBy(*by).agg(F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), middle.alias("median"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+#: Statuses of a live session that runs.
+RUNNING = ("connecting", "active", "degraded", "reconnecting")
+
+
+def ordered_versions(versions: DataFrame, configuration) -> DataFrame:
+    return versions.where(F.col("configuration_id") == configuration).orderBy("number")
+
+
+def of_camera(sessions: DataFrame, camera, status: str | None = None) -> DataFrame:
+    """A camera's sessions, newest first, of one status if given."""
+    return listed(sessions, camera_id=camera, status=status).orderBy(F.desc("started_at"), "session_id")
+
+
+def running(sessions: DataFrame) -> DataFrame:
+    return sessions.where(F.col("status").isin(*RUNNING))
+
+
+def listed(df: DataFrame, **wanted) -> DataFrame:
+    """Rows with these values; None asks for nothing."""
+    for column, value in wanted.items():
+        df = df if value is None else df.where(F.col(column) == value)
+    return df
+
+
+def counts_by(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def distinct_pairs(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    return df.select(*columns).distinct().orderBy(*columns).limit(limit)
+
+
+def stale_leases(refs: DataFrame, now, limit: int) -> DataFrame:
+    """Refs (id, created_at, metadata as JSON text) that are extracting or uploading and whose lease, fixed-width ISO text, has ended."""
+    field = lambda name: F.get_json_object("metadata", f"$.{name}")
+    ended = field("processing_lease_until") <= ids.lease_time(now)
+    return refs.where(field("processing_state").isin("extracting", "uploading") & ended).orderBy("created_at", "id").limit(limit)
+
+
+def linked(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """Requests (ref_id, event_id) with the row that holds their ref_id: the existing one, else the first request of it."""
+    known = existing.select("ref_id", F.col("event_id").alias("_known"))
+    first = F.min("event_id").over(Window.partitionBy("ref_id"))
+    out = requests.join(known, "ref_id", "left").withColumn("linked_event_id", F.coalesce("_known", first))
+    return out.withColumn("created", F.col("_known").isNull() & (F.col("event_id") == F.col("linked_event_id"))).drop("_known")
+
+
+def resolved_models(requests: DataFrame, registry: DataFrame, require_active: bool = True) -> DataFrame:
+    """Requests (model_id, version or null) with resolved_version and outcome: ok, not_found, version_required (several and none named), version_not_found or unavailable (not active)."""
+    models = registry.groupBy("model_id").agg(F.count("*").alias("_versions"), F.min("version").alias("_only"))
+    wanted = requests.join(models, "model_id", "left").withColumn("_wanted", F.coalesce("version", F.when(F.col("_versions") == 1, F.col("_only"))))
+    known = registry.select("model_id", F.col("version").alias("_wanted"), F.col("state").alias("_state"))
+    out = wanted.join(known, ["model_id", "_wanted"], "left")
+    usable = (F.col("_state") == "active") | F.lit(not require_active)
+    outcome = F.when(F.col("_versions").isNull(), "not_found").when(F.col("_wanted").isNull(), "version_required").when(F.col("_state").isNull(), "version_not_found").when(usable, "ok").otherwise("unavailable")
+    return out.withColumn("outcome", outcome).withColumn("resolved_version", F.when(F.col("outcome") == "ok", F.col("_wanted"))).drop("_versions", "_only", "_wanted", "_state")

@@ -18,6 +18,8 @@ from vigilspark.functions import ids
 from vigilspark.functions.scalars import is_rule_version
 
 MATCH, NO_MATCH, INVALID = "match", "no_match", "invalid"
+#: Evidence requirements of a rule.
+EVIDENCE = ("required", "optional", "none")
 
 
 def _number(c: Column) -> Column:
@@ -81,23 +83,31 @@ class Rule:
     requires: tuple[str, ...] = ()
     evidence: str = "required"
     positive: tuple[str, ...] = field(default=())
+    engine_version: str = "1"
 
 
 class Registry:
-    """Rules by (id, version); a second registration of either is an error."""
+    """Rules by (id, version); a second registration of either is an error, as is an evaluator or engine version that is not allowed."""
 
-    def __init__(self):
+    def __init__(self, evaluators: tuple[str, ...] | None = None, engine_versions: tuple[str, ...] = ("1",)):
         self._rules: dict[tuple[str, str], Rule] = {}
+        self._evaluators, self._engine_versions = evaluators, engine_versions
 
     def register(self, rule: Rule) -> None:
         if (rule.rule_id, rule.version) in self._rules:
             raise ValueError(f"rule {rule.rule_id} {rule.version} is registered")
         if not rule.version.startswith("v") or not all(p.isdigit() for p in rule.version[1:].split(".")):
             raise ValueError(f"bad rule version {rule.version}")
+        if self._evaluators is not None and rule.rule_id not in self._evaluators:
+            raise ValueError(f"no evaluator {rule.rule_id}")
+        if rule.engine_version not in self._engine_versions:
+            raise ValueError(f"engine version {rule.engine_version} is not supported")
+        if rule.evidence not in EVIDENCE:
+            raise ValueError(f"bad evidence requirement {rule.evidence}")
         self._rules[rule.rule_id, rule.version] = rule
 
     def evaluate(self, rule_id: str, version: str, facts: DataFrame, config: dict) -> DataFrame:
-        """Facts with the rule's status, reason and event columns, and the event id of matches."""
+        """Facts with the rule's status, reason and event columns, and the event id of matches; results are checked (result_error) and the rule's evidence policy applied."""
         rule = self._rules.get((rule_id, version))
         if rule is None:
             raise KeyError(f"no rule {rule_id} {version}")
@@ -107,7 +117,7 @@ class Registry:
             raise ValueError(f"{rule_id}: must be positive: {wrong}")
         out = rule.evaluate(facts, config).withColumn("rule_id", F.lit(rule_id)).withColumn("rule_version", F.lit(version))
         event = ids.rule_event_id(*(F.col(c) for c in ("tenant", "venue", "session", "camera", "track", "context", "rule_id", "rule_version", "event_type", "event_time", "config")))
-        return out.withColumn("event_id", F.when(F.col("status") == MATCH, event))
+        return with_evidence(out.withColumn("event_id", F.when(F.col("status") == MATCH, event)), rule.evidence)
 
 
 def default_registry() -> Registry:
@@ -157,12 +167,35 @@ def data_quality(facts: DataFrame, config: dict) -> DataFrame:
     return out.withColumn("reason", F.lit(None).cast("string")).withColumn("status", F.when(F.size("findings") > 0, MATCH).otherwise(NO_MATCH)).withColumn("event_type", F.when(F.size("findings") > 0, "data_quality"))
 
 
+def result_errors(results: DataFrame, rule_id: str, rule_version: str) -> DataFrame:
+    """Results with result_error, the first of what they must not be: another rule's, of another configuration or time than their fact (config, event_time against fact_config, fact_event_time), an event without a match, a match without an event, or invalid without a reason."""
+    c = F.col
+    error = (
+        F.when((c("rule_id") != rule_id) | (c("rule_version") != rule_version), "foreign_rule").when(~c("config").eqNullSafe(c("fact_config")), "mixed_configuration")
+        .when(~c("event_time").eqNullSafe(c("fact_event_time")), "event_time_changed").when((c("status") != MATCH) & c("event_id").isNotNull(), "event_without_match")
+        .when((c("status") == MATCH) & c("event_id").isNull(), "match_without_event").when((c("status") == INVALID) & (F.coalesce(c("reason"), F.lit("")) == ""), "invalid_without_reason")
+    )
+    return results.withColumn("result_error", error)
+
+
+def scope_errors(facts: DataFrame, by: list[str], scope: tuple[str, ...] = ("tenant", "venue", "session", "camera", "config")) -> DataFrame:
+    """Evaluations (by) whose facts are of more than one scope, with the number of scopes."""
+    return facts.groupBy(*by).agg(F.count_distinct(F.struct(*scope)).alias("scopes")).where("scopes > 1")
+
+
+def with_evidence(results: DataFrame, requirement: str) -> DataFrame:
+    """Results with evidence_ref_id: required makes one for each match that brings none, optional passes on what the evaluator gave, none forbids it (evidence_error)."""
+    own = F.col("evidence_ref_id") if "evidence_ref_id" in results.columns else F.lit(None).cast("string")
+    match = F.col("status") == MATCH
+    made = F.when(match, F.coalesce(own, ids.evidence_ref_id(F.col("event_id"), F.col("session")))) if requirement == "required" else F.when(match, own) if requirement == "optional" else F.lit(None).cast("string")
+    error = F.when(match & own.isNotNull(), "evidence_forbidden") if requirement == "none" else F.lit(None).cast("string")
+    return results.withColumns({"evidence_ref_id": made, "evidence_error": error})
+
+
 def evidence_requests(events: DataFrame, policy: str = "required") -> DataFrame:
-    """A request for each match from the first non-null start of its episode (else its time) to its time; policy none forbids."""
-    if policy == "none":
-        return events.limit(0).select("event_id").withColumns({"ref_id": F.lit(""), "start_time": F.lit(None).cast("timestamp"), "end_time": F.lit(None).cast("timestamp")})
-    ok = events.where(F.col("status") == MATCH)
-    return ok.select("event_id", ids.evidence_ref_id(F.col("event_id"), F.col("session")).alias("ref_id"), F.coalesce("interval_start", "event_time").alias("start_time"), F.col("event_time").alias("end_time"))
+    """A request for each match from the first non-null start of its episode (else its time) to its time: for all by policy required, for those that bring an evidence_ref_id by optional, for none otherwise."""
+    ok = with_evidence(events.where(F.col("status") == MATCH), policy).where("evidence_ref_id is not null")
+    return ok.select("event_id", F.col("evidence_ref_id").alias("ref_id"), F.coalesce("interval_start", "event_time").alias("start_time"), F.col("event_time").alias("end_time"))
 
 
 def valid_definitions(definitions: DataFrame) -> DataFrame:

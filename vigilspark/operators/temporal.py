@@ -129,3 +129,23 @@ def arrival_status(rows: DataFrame, keys: list[str], window_seconds: float) -> D
     place = F.struct("t", "frame")
     status = F.when(high.isNull() | (place > high), "applied").when(place == high, "deduplicated").when(F.unix_micros(high["t"]) - F.unix_micros("t") <= round(window_seconds * 1e6), "reordered").otherwise("late")
     return rows.withColumn("status", status)
+
+
+def presence_kind(status: Column) -> Column:
+    """What a spatial status observes: inside and ambiguous are present, outside is absent, excluded and privacy are not observed."""
+    return F.when(status.isin("inside", "ambiguous"), "present").when(status == "outside", "absent").when(status.isin("excluded", "privacy"), "not_observed")
+
+
+def foreign_observations(observations: DataFrame, parts: tuple[str, ...] = ("session_id", "track_id", "camera_id", "configuration_version_id")) -> DataFrame:
+    """Observations whose key (struct) is of another session, track, camera or configuration than they are, with the first part that differs."""
+    differs = F.coalesce(*(F.when(~F.col(f"key.{p}").eqNullSafe(F.col(p)), F.lit(p)) for p in parts))
+    return observations.withColumn("mismatch", differs).where("mismatch is not null")
+
+
+def restorable(snapshots: DataFrame, scope_track: str) -> DataFrame:
+    """Stored occupancy (key_track, occupied, positions: arrays of tracks, occupancy_count) with restore_error: a key of a single track, a count that is not the set's size, or a counted track without a position."""
+    error = (
+        F.when(~F.col("key_track").eqNullSafe(F.lit(scope_track)), "key_not_of_scope").when(F.size(F.array_distinct("occupied")) != F.col("occupancy_count"), "count_differs")
+        .when(F.size(F.array_except("occupied", "positions")) > 0, "track_without_position")
+    )
+    return snapshots.withColumn("restore_error", error)

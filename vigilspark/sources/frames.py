@@ -79,6 +79,18 @@ def fact_rows(facts: DataFrame) -> DataFrame:
     return facts.select(*(F.col(f"key.{c}").alias(c) for c in ("tenant_id", "venue_id", "session_id", "camera_id", "configuration_version_id", "track_id", "semantic_context")), "event_time", F.to_json(F.struct(*own)).alias("payload"), ids.utc_date(F.col("event_time")).alias("event_date"))
 
 
+def event_rows(facts: DataFrame, events: DataFrame) -> DataFrame:
+    """Event rows: envelope fields as columns, payload as it is, and the scope of the fact (event_id, key) that made the event, never of its payload."""
+    scope = facts.select("event_id", *(F.col(f"key.{c}").alias(c) for c in ("tenant_id", "venue_id", "session_id", "camera_id")))
+    own = ("event_id", "event_type", "schema_version", "event_time", "produced_at", "correlation_id", "causation_id", "source", "payload")
+    return events.select(*own).join(scope, "event_id")
+
+
+def envelopes(events: DataFrame) -> DataFrame:
+    """What a stream publishes of each event: its id and the envelope as compact JSON."""
+    return events.select(F.col("event_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+
+
 def persist_operational(facts: DataFrame, events: DataFrame, folder: str, actor: str) -> dict[str, int]:
     """Write fact, event, audit and outbox rows of events that are new; each is keyed by event_id, so a replay writes nothing."""
     base = events.select("event_id", "event_type", "event_time")
