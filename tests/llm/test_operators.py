@@ -183,6 +183,33 @@ def test_token_counts_equal_whole_encoding(spark, words):
         assert (r.n_tokens_after, r.text_crc32) == (len(enc.encode_whole(t)) // 4, zlib.crc32(t.encode()))
 
 
+def test_stored_trees_go_through_rounds_of_edits(spark, words):
+    from pyspark.sql import functions as F
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    enc = PieceEncoder(path, False)
+    rng = random.Random(12)
+    texts = [*ODD, *group_texts(words)[:12], None]
+    rows = [(i if i else None, t) for i, t in enumerate(texts)]
+    trees = edit_counts.build_trees(spark.createDataFrame(rows, "doc_id long, text string").withColumn("counts", F.lit("clash")), path)
+    now = {i if i else None: t or "" for i, t in enumerate(texts)}
+    for turn in range(3):
+        edits = {k: [(rng.randrange(-2, len(t) + 3), rng.choice([0, 3, None, 10_000]), rng.choice(["", " and more words", None, "x"])) for _ in range(rng.randrange(0, 4))] for k, t in now.items()}
+        table = spark.createDataFrame([(k, [*e, None, (None, 5, "y")]) for k, e in edits.items()], f"id long, edits array<{edit_counts.EDIT}>")
+        trees = edit_counts.edit_trees(trees.join(table, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id"), path)
+        for k, e in edits.items():
+            t = now[k]
+            for at, gone, new in e:
+                at = min(max(0, at), len(t))
+                t = t[:at] + (new or "") + t[at + (gone or 0) :]
+            now[k] = t
+        got = trees.collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert "".join(r.leaves) == now[r.doc_id] and sum(r.counts) == r.n_tokens_after == len(enc.encode_whole(now[r.doc_id])) // 4
+    assert edit_counts.build_trees(docs_of(spark, []), path).count() == 0
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = registry.queries()["op5_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

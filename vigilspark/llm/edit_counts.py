@@ -6,9 +6,15 @@ token and character counts. An edit finds its leaves by descending the character
 re-encodes only these and as much boundary context as makes both ends safe cuts again,
 and updates the sums above them.
 
-Defined results: null text counts as empty; an edit's position and length are clipped to
-the text; a null edit, or null fields of it, change nothing; repeated rows are counted
-each; other columns are ignored; an empty table gives no rows.
+build_trees() keeps the trees as rows: a document's leaves and their token counts, from
+which the sums above follow. edit_trees() takes stored trees with edits and gives the
+trees after them, without encoding any leaf that an edit does not touch, so tables of
+trees go from one round of edits to the next.
+
+Defined results: null text counts as empty and has one empty leaf; an edit's position and
+length are clipped to the text; a null edit or position changes nothing, a null length or
+insertion counts as none; null doc_ids and repeated rows are counted each; other columns
+stay (those named leaves and counts are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +25,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, record_batch, table
+from .common import map_arrow, table, written
 from .tokens import PieceEncoder, encoder, tokenizer_path
 
 #: Characters of a leaf at least, and of a leaf that is split anew.
@@ -51,6 +58,19 @@ class EditTree:
         self._count, self.encoded_leaves, self.encoded_chars = count, 0, 0
         self._load(*self._encode(leaves_of(text)))
 
+    @classmethod
+    def stored(cls, leaves: list[str], counts: list[int], count: Callable[[list[str]], list[int]]) -> EditTree:
+        """The tree of stored leaves; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree._count, tree.encoded_leaves, tree.encoded_chars = count, 0, 0
+        tree._load(leaves, counts)
+        return tree
+
+    def rows(self) -> tuple[list[str], list[int]]:
+        """Leaves that hold text (one at least) and their counts, to be stored."""
+        kept = [k for k, leaf in enumerate(self.leaves) if leaf] or [0]
+        return [self.leaves[k] for k in kept], [self._sums[0][self._base + k] for k in kept]
+
     def _encode(self, leaves: list[str]) -> tuple[list[str], list[int]]:
         self.encoded_leaves += len(leaves)
         self.encoded_chars += sum(map(len, leaves))
@@ -133,41 +153,67 @@ class EditTree:
 
 
 EDIT = "struct<at:long,delete:long,insert:string>"
-OUT = "doc_id long, n_tokens long, n_tokens_after long, n_chars_after long, text_crc32 long, n_leaves long, leaves_encoded long, chars_encoded long"
-_OUT = pa.schema([(c.split()[0], pa.int64()) for c in OUT.split(", ")])
+TREE = [T.StructField("leaves", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))]
+_STORED = (pa.list_(pa.string()), pa.list_(pa.int64()))
+#: What edit_trees() adds: tokens before and after, characters and CRC-32 of the text after, leaves, and what the edits had encoded anew.
+COUNTED = ("n_tokens", "n_tokens_after", "n_chars_after", "text_crc32", "n_leaves", "leaves_encoded", "chars_encoded")
 
 
-def count_with_edits(docs: DataFrame, tokenizer: str, word_ends: bool = False) -> DataFrame:
-    """Token counts of docs (doc_id, text, edits: array of EDIT, applied in order) before and after the edits.
+def build_trees(docs: DataFrame, tokenizer: str, word_ends: bool = False) -> DataFrame:
+    """docs with the tree of each text (leaves, counts) in place of the text."""
+    docs = docs.drop("leaves", "counts")
+    at = docs.columns.index("text")
+    rest = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc: PieceEncoder = encoder(tokenizer, word_ends)
+        for b in batches:
+            leaves, counts = [], []
+            texts = b.column(at).to_pylist()
+            for i in range(0, len(texts), 128):
+                cut = [leaves_of(t or "") for t in texts[i : i + 128]]
+                found = iter(enc.ids([x for c in cut for x in c]))
+                leaves += cut
+                counts += [[len(next(found)) // 4 for _ in c] for c in cut]
+            own = [c for k, c in enumerate(b.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip((leaves, counts), _STORED, strict=True))], names=[*rest, "leaves", "counts"])
+
+    return map_arrow(docs, run, T.StructType([*(docs.schema[c] for c in rest), *TREE]))
 
-    leaves_encoded and chars_encoded are what the edits alone had encoded anew.
-    """
+
+def edit_trees(trees: DataFrame, tokenizer: str, word_ends: bool = False) -> DataFrame:
+    """Stored trees after their edits (array of EDIT, applied in order), and COUNTED; the edits are dropped."""
+    trees = trees.drop(*COUNTED)
+    rest = [c for c in trees.columns if c not in ("leaves", "counts", "edits")]
+    trees = trees.select(*rest, "leaves", "counts", F.col("edits").cast(f"array<{EDIT}>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc: PieceEncoder = encoder(tokenizer, word_ends)
-        known: dict[str, int] = {}
 
         def count(leaves: list[str]) -> list[int]:
-            return [known[x] if x in known else len(enc.ids([x])[0]) // 4 for x in leaves]
+            return [len(x) // 4 for x in enc.ids(leaves)]
 
         for b in batches:
-            names, texts, edits = (c.to_pylist() for c in b.columns)
-            rows = []
-            for i in range(0, len(texts), 128):
-                cut = [x for t in texts[i : i + 128] for x in leaves_of(t or "")]
-                known.clear()
-                known.update(zip(cut, (len(r) // 4 for r in enc.ids(cut)), strict=True))
-                for name, text, changes in zip(names[i : i + 128], texts[i : i + 128], edits[i : i + 128], strict=True):
-                    tree = EditTree(text or "", count)
-                    before = tree.tokens
-                    tree.encoded_leaves = tree.encoded_chars = 0
-                    for e in changes or ():
-                        if e and e["at"] is not None:
-                            tree.edit(e["at"], e["delete"] or 0, e["insert"] or "")
-                    rows.append((name, before, tree.tokens, tree.chars, zlib.crc32(tree.text.encode()), len(tree.leaves), tree.encoded_leaves, tree.encoded_chars))
-            yield record_batch(_OUT, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in _OUT])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", F.col("edits").cast(f"array<{EDIT}>")), run, OUT)
+            leaves, counts, rows = [], [], []
+            for own_leaves, own_counts, edits in zip(*(b.column(len(rest) + k).to_pylist() for k in range(3)), strict=True):
+                tree = EditTree.stored(own_leaves, own_counts, count)
+                before = tree.tokens
+                for e in edits or ():
+                    if e and e["at"] is not None:
+                        tree.edit(e["at"], e["delete"] or 0, e["insert"] or "")
+                stored = tree.rows()
+                leaves.append(stored[0])
+                counts.append(stored[1])
+                rows.append((before, tree.tokens, tree.chars, zlib.crc32(tree.text.encode()), len(stored[0]), tree.encoded_leaves, tree.encoded_chars))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in COUNTED]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array(v, t) for v, t in zip((leaves, counts), _STORED, strict=True)), *(pa.array(c, pa.int64()) for c in columns)], names=[*rest, "leaves", "counts", *COUNTED])
+
+    return map_arrow(trees, run, T.StructType([*(trees.schema[c] for c in rest), *TREE, *(T.StructField(c, T.LongType()) for c in COUNTED)]))
+
+
+def count_with_edits(docs: DataFrame, tokenizer: str, word_ends: bool = False) -> DataFrame:
+    """Token counts of docs (text, edits: array of EDIT, applied in order) before and after the edits, without the trees."""
+    return edit_trees(build_trees(docs, tokenizer, word_ends), tokenizer, word_ends).drop("leaves", "counts")
 
 
 def sample_edits(text) -> Column:
@@ -181,5 +227,7 @@ def sample_edits(text) -> Column:
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", sample_edits(F.col("text")))
-    return count_with_edits(docs, tokenizer_path("byte_bpe_50k.json"))
+    path = tokenizer_path("byte_bpe_50k.json")
+    trees = written(build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), path), "trees")
+    edited = edit_trees(trees.withColumn("edits", sample_edits(F.array_join("leaves", ""))), path)
+    return edited.select(F.col("doc_id").cast("long"), *COUNTED)
