@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, record_batch, table, written
+from .common import BATCH_ROWS, map_arrow, record_batch, table, written
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role spoken last.
@@ -205,7 +205,7 @@ def repair(conversations: DataFrame) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, _, conv, _, roles in _runs(batches):
-            if conv in shared:
+            if conv in shared:  # two of a partition at most
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([conv], pa.int64()), pa.array([[x for row in matrix(roles) for x in row]], pa.list_(pa.int64()))], names=["shard", "conv_id", "costs"])
 
     known: dict[tuple, tuple[int, int, int, bool]] = {}
@@ -224,14 +224,21 @@ def repair(conversations: DataFrame) -> DataFrame:
                 at += sizes[conv, shard]
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"shard": pa.int64(), "idx": pa.int64(), "position": pa.int64(), "before": pa.int32(), "choice": pa.int32(), "is_last": pa.bool_()}
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], names=list(types))
+
         for shard, _, conv, idx, roles in _runs(batches):
             start, end, at, last = known.get((shard, conv), (START, None, 0, True))
-            steps = solve(roles, start, end)
             n = len(idx)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard, np.int64)), pa.array(idx, pa.int64()), pa.array(np.arange(at, at + n)), pa.array([s for s, _ in steps], pa.int32()), pa.array([k for _, k in steps], pa.int32()), pa.array([last and i == n - 1 for i in range(n)])],
-                names=["shard", "idx", "position", "before", "choice", "is_last"],
-            )
+            out += [(shard, i, at + j, s, k, last and j == n - 1) for j, (i, (s, k)) in enumerate(zip(idx, solve(roles, start, end), strict=True))]
+            if len(out) >= BATCH_ROWS:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
 
     decisions = map_arrow(narrow, decide, "shard long, idx long, position long, before int, choice int, is_last boolean")
     names = ["conv_id", "turn", "position", "role", "new_role", "action", "cost", "rendered"]

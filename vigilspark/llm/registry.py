@@ -20,8 +20,12 @@ QUERIES = {
 }
 
 
+def query(name: str):
+    return getattr(importlib.import_module(f"{__package__}.{QUERIES[name]}"), name)
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in QUERIES.items()}
+    return {name: query(name) for name in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
