@@ -59,7 +59,7 @@ arriving AS (SELECT * FROM late UNION ALL SELECT * REPLACE (arrival + 1 AS arriv
 
 #: Presence under HOURS, by the decision table: one recursion step per row of a track. Hours are micros here.
 _H = 3_600_000_000
-PRESENCE = f"""{EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, frame) AS rn, epoch_us(t) AS us FROM obs),
+PRESENCE_OF = f"""n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, frame) AS rn, epoch_us(t) AS us FROM {{rows}}),
 walk AS (
   SELECT track, rn, 'absent' AS f, CASE WHEN kind = 'present' THEN 'entering' ELSE 'absent' END AS s, 'observed_stay' AS reason,
     CASE WHEN kind = 'present' THEN us END AS since, CASE WHEN kind = 'present' THEN us END AS seen,
@@ -81,6 +81,7 @@ walk AS (
       ELSE 'observed_stay' END AS reason
     FROM (SELECT n.track, n.rn, n.kind, n.us, w.s, w.since, w.seen, w.en, w.ex FROM walk w JOIN n ON n.track = w.track AND n.rn = w.rn + 1) j) k),
 presence AS (SELECT n.track, n.scope, n.t, n.frame, w.f AS from_state, w.s AS to_state, w.reason FROM walk w JOIN n USING (track, rn))"""
+PRESENCE = f"{EVENTS}, {PRESENCE_OF.format(rows='obs')}"
 
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilspark.catalog.common import ARRIVING, EVENTS, HOURS, PRESENCE, arriving, events, presence, query
+from vigilspark.catalog.common import ARRIVING, EVENTS, HOURS, PRESENCE, PRESENCE_OF, arriving, events, presence, query
 from vigilspark.operators import temporal
 from vigilspark.plans.machines import Policy
 
@@ -76,7 +76,16 @@ def temporal_classification(spark, d):
 WAITS = Policy(waiting_qualification=5 * 3600, waiting_contexts=("c0", "c1"))
 
 
-@query()
+# Rows without a reason to end make up runs: a run's first row is its candidate, the first row five hours later begins the interval.
+@query(f"""WITH p AS (WITH RECURSIVE {PRESENCE} SELECT track, frame, reason, to_state FROM presence), c AS (WITH RECURSIVE {_CLASSIFY} SELECT track, m.t, m.frame, s AS movement FROM walk JOIN m USING (track, rn)),
+r AS (SELECT track, t, frame, CASE WHEN reason IN ('exit_confirmed','missing_expired') THEN reason WHEN movement <> 'stationary' THEN 'movement_exceeded'
+    WHEN reason = 'observed_stay' AND to_state <> 'present' THEN 'not_present' WHEN track % 3 NOT IN (0, 1) THEN 'context_not_declared' END AS ended FROM c JOIN p USING (track, frame)),
+g AS (SELECT *, count(ended) OVER (PARTITION BY track ORDER BY t, frame) AS run FROM r), first AS (SELECT *, min(t) FILTER (ended IS NULL) OVER (PARTITION BY track, run) AS candidate FROM g),
+starts AS (SELECT *, min(t) FILTER (ended IS NULL AND epoch_us(t) - epoch_us(candidate) >= 18000000000) OVER (PARTITION BY track, run) AS began FROM first),
+states AS (SELECT *, CASE WHEN ended IS NOT NULL THEN 'not_waiting' WHEN t >= began THEN 'waiting' ELSE 'candidate' END AS state FROM starts),
+steps AS (SELECT *, coalesce(lag(state) OVER w, 'not_waiting') AS before, lag(began) OVER w AS began_before FROM states WINDOW w AS (PARTITION BY track ORDER BY t, frame))
+SELECT track, frame, before AS from_state, state AS to_state, CASE WHEN ended IS NOT NULL THEN ended WHEN state = 'candidate' THEN 'qualifying' WHEN before = 'waiting' THEN 'stay' ELSE 'confirmed' END AS reason,
+  CASE WHEN state = 'waiting' THEN began WHEN ended IS NOT NULL AND before = 'waiting' THEN began_before END AS interval_start, CASE WHEN ended IS NOT NULL AND before = 'waiting' THEN t END AS interval_end FROM steps""")
 def temporal_waiting(spark, d):
     """Presence and classification in lockstep (equal key and place), then the waiting machine."""
     p = presence(spark, d).select("track", "frame", F.when(F.col("reason") == "observed_stay", F.when(F.col("to") == "present", "stay").otherwise("absent")).otherwise(F.col("reason")).alias("presence"))
@@ -86,14 +95,18 @@ def temporal_waiting(spark, d):
     return w.select("track", "frame", F.col("from").alias("from_state"), F.col("to").alias("to_state"), "reason", "interval_start", "interval_end")
 
 
-@query(f"""WITH {EVENTS}, {ARRIVING}, p AS (SELECT *, strftime(t, '%Y%m%d%H%M%S%f') || frame AS place FROM arriving),
-h AS (SELECT *, max(t) OVER w AS high_t, max(place) OVER w AS high FROM p WINDOW w AS (PARTITION BY track ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT track, arrival, frame, CASE WHEN high IS NULL OR place > high THEN 'applied' WHEN place = high THEN 'deduplicated' WHEN epoch_us(high_t) - epoch_us(t) <= 21600000000 THEN 'reordered' ELSE 'late' END AS status FROM h""")
+_ARRIVALS = f"""{EVENTS}, {ARRIVING}, p AS (SELECT *, strftime(t, '%Y%m%d%H%M%S%f') || frame AS place FROM arriving),
+h AS (SELECT *, max(t) OVER w AS high_t, max(place) OVER w AS high FROM p WINDOW w AS (PARTITION BY track ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+told AS (SELECT *, CASE WHEN high IS NULL OR place > high THEN 'applied' WHEN place = high THEN 'deduplicated' WHEN epoch_us(high_t) - epoch_us(t) <= 21600000000 THEN 'reordered' ELSE 'late' END AS status FROM h)"""
+
+
+@query(f"WITH {_ARRIVALS} SELECT track, arrival, frame, status FROM told")
 def temporal_arrival_status(spark, d):
     return temporal.arrival_status(arriving(spark, d), ["track"], HOURS.reorder_window).select("track", "arrival", "frame", "status")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ARRIVALS}, applied AS (SELECT * FROM told WHERE status = 'applied'), {PRESENCE_OF.format(rows='applied')}
+SELECT told.track, told.frame, status, from_state, to_state, reason FROM told LEFT JOIN presence ON status = 'applied' AND presence.track = told.track AND presence.frame = told.frame""")
 def temporal_presence_replay(spark, d):
     """Presence in order of arrival, with duplicates, reordered and late rows."""
     out = temporal.presence(arriving(spark, d).select("track", "t", "frame", "kind", "arrival"), ["track"], HOURS, temporal.BY_ARRIVAL)
