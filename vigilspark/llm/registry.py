@@ -17,6 +17,9 @@ QUERIES = {
     "op5_language_id": "language",
     "op7_token_files": "token_files",
     "op8_packing": "packing",
+    "op11_spelling": "spelling",
+    "op12_shards": "sharding",
+    "op13_collocations": "collocations",
 }
 
 

@@ -1,5 +1,19 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
+#: tab: the table of the CRC-32 of ISO 3309, by its rule.
+_CRC = """bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; tab of the CTE crc is in scope."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, len({digits}), 2), lambda i: ('0x' || {digits}[i:i + 1])::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
     "op2_near_copies": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -10,5 +24,41 @@ links AS (SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id =
 near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+""",
+    "op12_shards": f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT row_number() OVER () AS id, doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:16])::UBIGINT::HUGEINT AS key FROM documents, crc),
+walk AS (SELECT id, key, -1::BIGINT AS b, 0::BIGINT AS j FROM d UNION ALL
+  SELECT id, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT FROM (SELECT id, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM walk WHERE j < 16)),
+ends AS (SELECT id, max(j) FILTER (j < 16) AS shard, CASE WHEN max(j) = 16 THEN 16 ELSE max(j) FILTER (j < 16) END AS grown FROM walk GROUP BY id)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INTEGER AS grown_shard FROM d JOIN ends USING (id)
+""",
+    "op11_spelling": f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+once AS (SELECT doc_id, w, count(*) AS m FROM runs GROUP BY ALL),
+h AS (SELECT w, m, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM once, crc),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, m FROM h),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+gap AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS g FROM words, unnest(range(1, length(word) + 1)) t(i)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM gap a JOIN gap b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM gap a JOIN words b ON a.g = b.word UNION SELECT b.word, a.word FROM gap a JOIN words b ON a.g = b.word),
+best AS (SELECT p.a, count(*) AS n_near, arg_min(struct_pack(w := w.word, n := w.n), struct_pack(n := -w.n, w := encode(w.word))) AS f FROM pairs p JOIN words w ON w.word = p.b GROUP BY p.a),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * n THEN f.w END AS form, CASE WHEN f.n >= 2 * n THEN f.n END AS form_n FROM words LEFT JOIN best ON a = word),
+follow AS (SELECT word, word AS root, form FROM named UNION ALL SELECT f.word, n.word, n.form FROM follow f JOIN named n ON n.word = f.form)
+SELECT n.word, n.form, f.root, n.n, n.n_near, n.form_n FROM named n JOIN follow f ON f.word = n.word AND f.form IS NULL
+""",
+    "op13_collocations": f"""
+WITH cut AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w, count(*) AS m FROM cut GROUP BY ALL),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, sum(m)::HUGEINT AS f FROM (SELECT lang, w, m, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k)) GROUP BY ALL),
+tot AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n, 1000 * c.a * n // (l.f * r.f) AS score, j FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ') JOIN tot ON tot.lang = c.lang),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, k, unnest(list_transform(flatten(list_transform(range(2, k), lambda n: list_transform(range(1, k - n + 2), lambda i: w[i:i + n - 1]))), lambda x: array_to_string(x, ' '))) AS phrase FROM c) s JOIN c ON c.lang = s.lang AND c.phrase = s.phrase AND 100 * s.a >= 100 * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low ANTI JOIN inside USING (lang, phrase))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """,
 }
