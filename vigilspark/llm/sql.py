@@ -5,11 +5,24 @@ _CRC = """bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION A
 crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)"""
 
 
-def _crc(text: str) -> str:
-    """Unsigned CRC-32 of a text's UTF-8 bytes; tab of the CTE crc is in scope."""
-    digits = f"hex(encode({text}))"
+def _run(digits: str, start: int) -> str:
+    """The register after the bytes of a text of hex digits; tab of the CTE crc is in scope."""
     octets = f"list_transform(range(1, len({digits}), 2), lambda i: ('0x' || {digits}[i:i + 1])::BIGINT)"
-    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    return f"list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), {start})"
+
+
+def _crc(text: str) -> str:
+    """Unsigned CRC-32 of a short text's UTF-8 bytes."""
+    return f"xor({_run(f'hex(encode({text}))', 4294967295)}, 4294967295)"
+
+
+#: CRC-32 (h_crc: id, text_crc32) of the texts of hx (id, h: hex digits): bytes beyond whole blocks of 256 come first, each block's register is then moved on linearly.
+_LONG_CRC = f"""z AS (SELECT i, 1::BIGINT << i AS v, 0 AS k FROM range(32) t(i) UNION ALL SELECT i, xor(v >> 8, tab[(v & 255) + 1]), k + 1 FROM z, crc WHERE k < 256),
+ahead AS (SELECT list(v ORDER BY i) AS adv FROM z WHERE k = 256),
+heads AS (SELECT id, {_run("h[:len(h) % 512]", 4294967295)} AS s FROM hx, crc),
+blocks AS (SELECT id, i, {_run("b", 0)} AS r FROM (SELECT id, i, h[i:i + 511] AS b FROM (SELECT id, h, unnest(range(len(h) % 512 + 1, len(h), 512)) AS i FROM hx)), crc),
+listed AS (SELECT id, list(r ORDER BY i) AS rs FROM blocks GROUP BY id),
+h_crc AS (SELECT id, xor(list_reduce(coalesce(rs, []), lambda s, r: xor(r, list_reduce(list_transform(range(32), lambda i: CASE WHEN (s >> i) & 1 = 1 THEN adv[i + 1] ELSE 0 END), lambda a, b: xor(a, b))), s), 4294967295) AS text_crc32 FROM heads LEFT JOIN listed USING (id), ahead)"""
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,7 +40,9 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(b)
 """,
     "op12_shards": f"""
 WITH RECURSIVE {_CRC},
-d AS (SELECT row_number() OVER () AS id, doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:16])::UBIGINT::HUGEINT AS key FROM documents, crc),
+hx AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+{_LONG_CRC},
+d AS (SELECT id, doc_id, len(h) // 2 + 1 AS size, text_crc32, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:16])::UBIGINT::HUGEINT AS key FROM hx JOIN h_crc USING (id)),
 walk AS (SELECT id, key, -1::BIGINT AS b, 0::BIGINT AS j FROM d UNION ALL
   SELECT id, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT FROM (SELECT id, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM walk WHERE j < 16)),
 ends AS (SELECT id, max(j) FILTER (j < 16) AS shard, CASE WHEN max(j) = 16 THEN 16 ELSE max(j) FILTER (j < 16) END AS grown FROM walk GROUP BY id)
