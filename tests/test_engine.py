@@ -9,7 +9,7 @@ from vigilspark import schemas
 from vigilspark.functions import geometry as G
 from vigilspark.operators import queues, rules, spatial, temporal
 from vigilspark.plans.machines import Policy
-from vigilspark.sources import frames
+from vigilspark.sources import commits, frames
 from vigilspark.streaming.presence import pump, stream_presence
 
 T0 = datetime.datetime(2026, 8, 1, 10)
@@ -135,7 +135,7 @@ def test_append_new_with_null_keys_and_a_defined_winner(spark, tmp_path):
 def test_persist_operational_writes_once(spark, tmp_path):
     events = spark.createDataFrame([("e1", "t", T0, "{}"), ("e2", "t", T0, "{}")], "event_id string, event_type string, event_time timestamp, payload string")
     facts = spark.createDataFrame([("e1", 3), (None, 4), (None, 5)], "event_id string, occupancy_count int").withColumn("event_time", F.lit(T0))
-    got = [frames.persist_operational(facts, events, str(tmp_path / "log"), "me") for _ in range(2)]
+    got = [commits.persist_operational(facts, events, str(tmp_path / "log"), "me") for _ in range(2)]
     assert got == [{"facts": 3, "events": 2, "audit": 2, "outbox": 2}, {"facts": 0, "events": 0, "audit": 0, "outbox": 0}]
 
 

@@ -89,15 +89,3 @@ def event_rows(facts: DataFrame, events: DataFrame) -> DataFrame:
 def envelopes(events: DataFrame) -> DataFrame:
     """What a stream publishes of each event: its id and the envelope as compact JSON."""
     return events.select(F.col("event_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
-
-
-def persist_operational(facts: DataFrame, events: DataFrame, folder: str, actor: str) -> dict[str, int]:
-    """Write fact, event, audit and outbox rows of events that are new; each is keyed by event_id, so a replay writes nothing."""
-    base = events.select("event_id", "event_type", "event_time")
-    rows = {
-        "facts": facts.select("event_id", *[c for c in facts.columns if c != "event_id"]),
-        "events": events,
-        "audit": base.withColumn("actor", F.lit(actor)).withColumn("action", F.lit("operational_event.persisted")),
-        "outbox": base.withColumn("status", F.lit("pending")).withColumn("attempts", F.lit(0)),
-    }
-    return {name: append_new(df, f"{folder}/{name}", "event_id", "event_time") for name, df in rows.items()}
