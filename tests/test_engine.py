@@ -10,7 +10,8 @@ from vigilspark.functions import geometry as G
 from vigilspark.operators import queues, rules, spatial, temporal
 from vigilspark.plans.machines import Policy
 from vigilspark.sources import commits, frames
-from vigilspark.streaming.presence import pump, stream_presence
+from vigilspark.streaming.presence import pump
+from vigilspark.streaming.stateful import stream_presence, use_rocksdb
 
 T0 = datetime.datetime(2026, 8, 1, 10)
 
@@ -24,6 +25,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for n, part in enumerate((df.where("arrival < 30"), df.where("arrival >= 30"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p{n}"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    use_rocksdb(spark)
     query = pump(stream_presence(stream, "track", policy), lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"))
     query.awaitTermination()
     cols = ["track", "frame", "status", "from", "to", "reason"]

@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilspark.plans.machines import Classification, Machine, Occupancy, Policy, Presence, Waiting
+from vigilspark.plans.machines import INVALID, Classification, Machine, Occupancy, Policy, Presence, Waiting
 
 #: Ways to order a key's rows: by event time, or as they arrived (which shows duplicates and late rows).
 BY_TIME, BY_ARRIVAL = "time", "arrival"
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Machine], inputs: list[str], outputs: dict[str, str]) -> DataFrame:
-    """df's keys, t, frame and inputs with the machine's outputs. df needs t (timestamp) and frame (string)."""
+    """df's keys, t, frame and inputs with the machine's outputs. df needs t (timestamp) and frame (string).
+
+    A row without one of its keys, t or frame has the status invalid_input and changes no state.
+    """
     schema = T.StructType([*(df.schema[c] for c in dict.fromkeys([*keys, "t", "frame", *inputs])), *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in outputs.items())).fields])
     names = schema.names
     kept = names[: len(names) - len(outputs)]
@@ -31,14 +34,17 @@ def fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Ma
         for f in frames:
             out = {n: [] for n in outputs}
             rows = {c: f[c].tolist() for c in inputs}
-            times, frame = (f["t"].astype("int64") // (1000 if str(f["t"].dtype).endswith("[ns]") or "ns" in str(f["t"].dtype) else 1)).tolist(), f["frame"].tolist()
+            valid = f[[*keys, "t", "frame"]].notna().all(axis=1).tolist()
+            times = (f["t"].astype("int64") // (1000 if str(f["t"].dtype).endswith("[ns]") or "ns" in str(f["t"].dtype) else 1)).tolist()
+            frame = f["frame"].tolist()
             for i, k in enumerate(zip(*(f[c].tolist() for c in keys), strict=True)):
-                if k != key:
-                    key, state = k, machine.initial()
-                row = {c: None if isinstance(v := rows[c][i], float) and v != v and c != "distance" else v for c in inputs}
-                if "distance" in row and row["distance"] is not None and row["distance"] != row["distance"]:
-                    row["distance"] = None
-                state, got = machine.apply(state, row | {"t": times[i], "frame": frame[i]})
+                row = {c: None if isinstance(v := rows[c][i], float) and v != v else v for c in inputs}
+                if valid[i]:
+                    if k != key:
+                        key, state = k, machine.initial()
+                    state, got = machine.apply(state, row | {"t": times[i], "frame": frame[i]})
+                else:
+                    got = {"status": INVALID}
                 for n in outputs:
                     out[n].append(got.get(n))
             for n in time_outputs:

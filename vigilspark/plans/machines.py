@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-APPLIED, DEDUPLICATED, REORDERED, LATE, ILLEGAL = "applied", "deduplicated", "reordered", "late", "illegal"
+APPLIED, DEDUPLICATED, REORDERED, LATE, ILLEGAL, INVALID = "applied", "deduplicated", "reordered", "late", "illegal", "invalid_input"
 INFINITE = 1 << 62
 
 
@@ -70,7 +70,9 @@ class Machine:
         return REORDERED if state["t"] - t <= micros(self.policy.reorder_window) else LATE
 
     def apply(self, state: dict, row: dict) -> tuple[dict, dict]:
-        """New state and result (status and the step's outputs)."""
+        """New state and result (status and the step's outputs). A row without a place changes nothing."""
+        if row["t"] is None or row["frame"] is None:
+            return state, {"status": INVALID}
         status = self.place(state, row["t"], row["frame"])
         if status == REORDERED:
             state = state | {"last_seen": max(state["last_seen"], row["t"])}
@@ -213,6 +215,8 @@ class Occupancy(Machine):
 
     def apply(self, state: dict, row: dict) -> tuple[dict, dict]:
         track, at = row["track"], (row["t"], row["frame"])
+        if track is None or None in at:
+            return state, {"status": INVALID}
         seen = state["positions"].get(track)
         if seen is not None and tuple(seen) == at:
             return state, {"status": DEDUPLICATED}

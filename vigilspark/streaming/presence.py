@@ -1,54 +1,10 @@
-"""Streaming twins of the folds: the same machines, with their state kept by Structured Streaming.
-
-Late rows are judged per key against the key's own watermark, as in batch; there are no
-timers and nothing is dropped silently.
-"""
+"""Running streams: the pump and the supervisor."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from vigilspark.plans.machines import Machine, Policy, Presence
-
-STATE_VERSION = "1"
-
-
-def stream_fold(rows: DataFrame, key: str, make: Callable[[], Machine], inputs: list[str], outputs: dict[str, str], revision: str) -> DataFrame:
-    """Results of each row (key, t, frame, outputs) as a stream. Within a micro-batch all rows of a key apply in order of arrival.
-
-    The state holds its version and the policy's revision; a restart under another one is an error.
-    """
-    key_type = rows.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, t timestamp, frame string, " + ", ".join(f"`{n}` {t}" for n, t in outputs.items())
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = make()
-        if state.exists:
-            version, kept_revision, text = state.get
-            if (version, kept_revision) != (STATE_VERSION, revision):
-                raise ValueError("the stored state is of another version or policy")
-            current = json.loads(text)
-        else:
-            current = machine.initial()
-        got = []
-        rows_ = pd.concat(list(frames)).sort_values("arrival", kind="stable")  # a key's rows of one micro-batch
-        for r in rows_.to_dict("records"):
-            t = pd.Timestamp(r["t"])
-            current, out = machine.apply(current, {c: r[c] for c in inputs} | {"t": t.value // 1000, "frame": r["frame"]})
-            got.append({key: k[0], "t": t, "frame": r["frame"]} | {n: out.get(n) for n in outputs})
-        state.update((STATE_VERSION, revision, json.dumps(current)))
-        yield pd.DataFrame(got, columns=[key, "t", "frame", *outputs])
-
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "version string, revision string, state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_presence(rows: DataFrame, key: str, policy: Policy) -> DataFrame:
-    return stream_fold(rows, key, lambda: Presence(policy), ["kind"], {"status": "string", "from": "string", "to": "string", "reason": "string"}, repr(policy))
 
 
 def pump(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
