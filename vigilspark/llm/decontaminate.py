@@ -13,7 +13,9 @@ subsequence and answer lie within such a span are found by it.
 
 Document frequencies, the SVD and the search cover all documents and whole texts. What
 reaches the driver is bounded by BUCKETS and RANK, not by the corpus. Benchmark items
-are broadcast only up to ITEMS_BYTES; more are searched in several rounds.
+are broadcast in parts of about ITEMS_BYTES; more are searched in several rounds.
+What the latent search proposes is held to the same span, so both routes report the
+same items, and no share comes from words further apart.
 
 Defined results: null or empty texts match nothing; items with fewer than LEAST words
 must stand in the text word for word; items without item_id are looked for, too, and
@@ -264,17 +266,23 @@ class Finder:
         yield from zip(text[fit].tolist(), (at - base[text])[fit].tolist(), item[fit].tolist(), strict=True)
 
     def closest(self, words: list[bytes], start: int, item: int, share: float) -> float:
-        """Largest share, above the given one, of the item's words in a common subsequence with a span of the text that holds start and the answer, or 0."""
+        """Largest share, above the given one, of the item's words in a common subsequence with a span of the text that holds start and the answer, or 0. An answer word stands at start."""
+        return self.best(words, start - int(self.span[item]) + 1, start, item, share)
+
+    def best(self, words: list[bytes], first: int, last: int, item: int, share: float) -> float:
+        """Largest share, above the given one, of the item's words in a common subsequence with a span of the text that begins from first to last and holds the answer, or 0."""
         want, span, answer = self.items[item][1], int(self.span[item]), self.answers[item]
-        n, lo = len(want), max(0, start - span + 1)
+        n, lo = len(want), max(0, first)
         least = max(COMMON * n - 1e-9, share * n + 1e-9)
-        ahead = words[start : start + span]
-        if len(answer.intersection(ahead)) < self.need[item] or common_subsequence(want, words[lo:start] + ahead) < least:
+        around = words[lo : last + span]
+        if len(answer.intersection(around)) < self.need[item] or common_subsequence(want, around) < least:
             return 0.0
         best, own = 0, set(want)
-        for s in range(start, lo - 1, -1):
+        for s in range(min(last, len(words) - 1), lo - 1, -1):
+            if words[s] not in own:
+                continue
             part = words[s : s + span]
-            if words[s] in own and len(answer.intersection(part)) >= self.need[item]:
+            if len(answer.intersection(part)) >= self.need[item]:
                 best = max(best, common_subsequence(want, part))
                 if best == n:
                     break
@@ -306,17 +314,9 @@ class Finder:
             for a, b in zip(cut.tolist(), np.append(cut[1:], len(text))[: len(cut)].tolist(), strict=True):
                 yield int(text[a]), start[k + i[a:b]], self.own[j[a:b]]
 
-    def verify(self, words: list[bytes], start: int, item: int) -> float:
-        """Share of the item's words in a common subsequence with the text around start; 0 if the answer is missing."""
-        want = self.items[item][1]
-        n = len(want)
-        reach = int(SPREAD * n)
-        lo, hi = max(0, start - reach), min(len(words), start + PASSAGE + reach)
-        part = words[lo:hi]
-        have = self.answers[item].intersection(part)
-        if len(have) < ANSWER_SHARE * len(self.answers[item]):
-            return 0.0
-        return common_subsequence(want, part) / n
+    def verify(self, words: list[bytes], start: int, item: int, share: float) -> float:
+        """The same over all spans that meet the passage at start."""
+        return self.best(words, start - int(self.span[item]) + 1, start + PASSAGE - 1, item, share)
 
     def find(self, texts: list[str | None]) -> list[dict[int, float]]:
         """For each text: item id -> share of its words found, for items that the text holds."""
@@ -326,10 +326,11 @@ class Finder:
             words = words_of(texts[text])
             present = self._present(words, set(items.tolist()))
             for s, k in zip(starts.tolist(), items.tolist(), strict=True) if present else ():
-                if k in present:
-                    share = self.verify(words, s, k)
-                    if share >= COMMON and share > out[text].get(self.items[k][0], 0):
-                        out[text][self.items[k][0]] = share
+                name = self.items[k][0]
+                if k in present and out[text].get(name, 0) < 1:
+                    share = self.verify(words, s, k, out[text].get(name, 0))
+                    if share:
+                        out[text][name] = share
         own, words = -1, []
         for text, start, k in self.places(hashes):
             name = self.items[k][0]
@@ -353,7 +354,7 @@ class Finder:
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id and share of every document of docs (doc_id, text) that holds an item of benchmark (item_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     items = written(benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text"), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-size // ITEMS_BYTES))
@@ -363,22 +364,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
     space_ = spark.sparkContext.broadcast((idf, space))  # BUCKETS x RANK floats
     out = None
     for k in range(rounds):
-        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).orderBy("item_id").collect()]  # about ITEMS_BYTES
+        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k).orderBy("item_id", "text").collect()]  # about ITEMS_BYTES
         items_ = spark.sparkContext.broadcast(part)
 
         def search(batches: Iterator[pa.RecordBatch], items_=items_) -> Iterator[pa.RecordBatch]:
             finder = Finder(items_.value, *space_.value, cosine)
             for b in batches:
-                names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                names, texts = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1).to_pylist()
                 rows = []
                 for k in range(0, len(texts), 128):
-                    rows += [(d, i, s) for d, found in zip(names[k : k + 128], finder.find(texts[k : k + 128]), strict=True) for i, s in sorted(found.items(), key=lambda x: (x[0] is None, x[0] or 0))]
+                    rows += [(*d, i, s) for d, found in zip(names[k : k + 128], finder.find(texts[k : k + 128]), strict=True) for i, s in sorted(found.items(), key=lambda x: (x[0] is None, x[0] or 0))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "share"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "row", "item_id", "share"])
 
-        found = map_arrow(docs, search, "doc_id long, item_id long, share double")
+        found = map_arrow(docs, search, "doc_id long, row long, item_id long, share double")
         out = found if out is None else out.union(found)
-    return out
+    if rounds > 1:  # texts of one item can be in several rounds
+        out = out.groupBy("doc_id", "row", "item_id").agg(F.max("share").alias("share"))
+    return out.drop("row")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +41,14 @@ ROUNDS = 8
 SHARE_OF_LOWEST = 0.5
 #: Lengths of the excerpts of training texts that the thresholds are taken from; a shorter text with letters is not rejected.
 LENGTHS = (16, 64, 256, 1024, 4096)
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of one of the Unicode letter categories is there; numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 def grams(text: str) -> np.ndarray:
     """Counts of hashed byte bigrams and trigrams of the lower-cased letters and single spaces."""
     raw = (text if text.isascii() else text.lower()).encode().translate(_TO_LETTERS)
@@ -85,7 +88,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         langs, scores, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        told = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        told = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         if told:
             cosine = weigh(np.array([grams(texts[i]) for i in told]), self.idf) @ self.centres.T
             best = cosine.argmax(axis=1)
@@ -120,14 +123,14 @@ def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, share_of_low
     picked = drawn.select("lang", "place", "text").distinct().withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample).select("lang", "text")
 
     def centre(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(t for t in rows["text"] if _LETTER.search(t))
+        texts = sorted(t for t in rows["text"] if has_letter(t))
         if not texts:
             return pd.DataFrame({"lang": pd.Series(dtype=object), "vector": pd.Series(dtype=object), "least": pd.Series(dtype=object)})
         vectors = weigh(np.array([grams(t) for t in texts]), idf)
         found = clusters(vectors, k)
         least = []
         for n in LENGTHS:
-            cut = [x for t in texts if _LETTER.search(x := t[:n])]
+            cut = [x for t in texts if has_letter(x := t[:n])]
             least.append(share_of_lowest * float((weigh(np.array([grams(x) for x in cut]), idf) @ found.T).max(axis=1).min()) if cut else 0.0)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [c.astype("<f4").tobytes() for c in found], "least": [np.maximum.accumulate(least)] * len(found)})
 

@@ -11,6 +11,7 @@ rows are judged each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -94,26 +95,32 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + held[::-1]
 
 
+#: What follows a listed identifier within a word: no letter, or a version.
+_ENDS = re.compile(r"(?![^\W\d_])|v[0-9]")
+
+
 def label_of(identifier: str) -> str | None:
-    return next((label for prefix, label in IDENTIFIERS.items() if identifier.startswith(prefix)), None)
+    """Label of an identifier that is a listed one, alone or followed by a version or variant; a longer word is another identifier."""
+    return next((label for prefix, label in IDENTIFIERS.items() if identifier.startswith(prefix) and _ENDS.match(identifier, len(prefix))), None)
 
 
 def evaluate(postfix: list[str]) -> bool | None:
-    """Whether the expression leaves a free choice: or needs one side, and both; with an exception counts as free. None: unknown identifier decides."""
+    """Whether the expression leaves a free choice: or needs one side, and both; an identifier with an exception counts as free. None: an unknown identifier decides."""
     stack: list = []
     for t in postfix:
         if t not in _PRECEDENCE:
             label = label_of(t)
-            stack.append(None if label is None else label in FREE)
+            stack.append((None if label is None else label in FREE, t))
             continue
-        b, a = stack.pop(), stack.pop()
-        if t == "with":
-            stack.append(True if a is not None else None)
+        (b, name), (a, _) = stack.pop(), stack.pop()
+        if t == "with":  # other words behind it lift nothing
+            value = True if a is not None and "exception" in name else a
         elif t == "or":
-            stack.append(True if a or b else None if a is None or b is None else False)
+            value = True if a or b else None if a is None or b is None else False
         else:
-            stack.append(False if a is False or b is False else None if a is None or b is None else True)
-    return stack[0]
+            value = False if a is False or b is False else None if a is None or b is None else True
+        stack.append((value, ""))
+    return stack[0][0]
 
 
 def expression_after(text: str) -> str:
