@@ -7,8 +7,9 @@
    false yes costs time only).
 3. Every place of a piece gives its run of up to 5 such words. Runs are dealt to buckets by
    hash of their first words: two, or as many as it takes to meet a word that holds less
-   than 1/HEAVY of all words, so no key holds a larger share. A bucket's task counts all
-   beginnings of its runs in a DuckDB that spills to the task's own disk. Only phrases of
+   than 1/HEAVY of all words, so no key holds a larger share. They travel compressed, a
+   block for each bucket. A bucket's task counts all beginnings of its runs in a DuckDB
+   that spills to the task's own disk. Only phrases of
    heavy words alone can be in several buckets; their counts are added up.
 4. Cuts: each candidate sends a lookup request for both parts of each cut; requests and
    counts meet by a shuffle on (lang, part), and the answers by one on the candidate.
@@ -26,6 +27,7 @@ import os
 import shutil
 import tempfile
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,24 +40,51 @@ from .common import drop_written, map_arrow, table, written
 MOST_WORDS, LEAST, TOP, SCALE = 5, 100, 2000, 1000
 #: Bits of the bitmap of words that may be frequent (2 MB).
 FILTER_BITS = 24
-#: Runs that begin with words which hold 1/HEAVY of all words or more are dealt by more words.
+#: Runs that begin with words which hold 1/HEAVY of all words or more (or half a task's share, if less) are dealt by more words.
 HEAVY = 256
-#: Distinct runs that a task gathers before it hands them on.
-GATHERED = 200_000
+#: Distinct runs that a task gathers before it hands them on, and bytes of text.
+GATHERED, GATHERED_BYTES = 400_000, 16 << 20
+#: Places of words that one counting task gets on average, at most; and its hash buckets.
+RUNS_PER_TASK, BUCKETS_PER_TASK = 4_000_000, 3
 #: Memory of the DuckDB of one task; it spills beyond.
 DUCKDB_MEMORY = "200MB"
 #: Parts of a language in each of which the first TOP are found before the last ranking.
 RANK_PARTS = 64
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes that end a piece become line feeds, A-Z become lower case.
+_TO_PIECES = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
     """lang, piece (its words with single spaces), m (how often it occurs)."""
-    text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    each = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, r"[.,;:!?\x0A-\x0D]")).alias("p"))
-    # white space within words, like that of other scripts, belongs to the word
-    tidy = F.regexp_replace(F.regexp_replace("p", r"[\x20\x09]+", " "), r"\A | \z", "")
-    return each.select("lang", tidy.alias("piece")).where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("m"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: defaultdict[str, Counter] = defaultdict(Counter)
+
+        def out() -> pa.RecordBatch:
+            langs = [lang for lang, own in sums.items() for _ in range(len(own))]
+            columns = [pa.array(langs, pa.string()), pa.array([p for own in sums.values() for p in own], pa.binary()).cast(pa.string()), pa.array([m for own in sums.values() for m in own.values()], pa.int64())]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "piece", "m"])
+
+        held = 0
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # bytes beyond ASCII are no white space here
+                found = [b" ".join(p.split()) for p in text.encode().translate(_TO_PIECES).split(b"\n")]
+                sums[lang].update(found)
+                held += len(text)
+                if held >= GATHERED_BYTES:
+                    for own in sums.values():
+                        own.pop(b"", None)
+                    yield out()
+                    held = 0
+        for own in sums.values():
+            own.pop(b"", None)
+        if any(sums.values()):
+            yield out()
+
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
+    return map_arrow(rows, cut, "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
 def _slot(lang: Column, word: Column) -> Column:
@@ -74,67 +103,72 @@ def frequent_filter(words: DataFrame) -> bytes:
     return bytes(out)
 
 
-def runs(found: DataFrame, bitmap: bytes, heavy: set[tuple[str, str]], most: int = MOST_WORDS) -> DataFrame:
-    """lang, run, lead (words of the run that are heavy, up to the first that isn't), bucket, m of every place whose word and the next may be frequent."""
+def runs(found: DataFrame, bitmap: bytes, heavy: set[tuple[str, str]], buckets: int, most: int = MOST_WORDS) -> DataFrame:
+    """bucket, lang, data: runs of up to `most` words at every place whose word and the next may be frequent.
+
+    data is Zstandard of lines `run lead m` between tabs, which runs don't hold: lead is how many words the run begins with
+    are heavy. A task adds up equal runs before it hands them on.
+    """
     mask = (1 << FILTER_BITS) - 1
+    heavy_of: dict[str, set[str]] = {}
+    for lang, word in heavy:
+        heavy_of.setdefault(lang, set()).add(word)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], int] = {}  # 0: not frequent, 1: may be, 2: heavy
-        sums: dict[tuple[str, str, int], int] = {}
+        import zstandard
 
-        def state(lang: str, word: str) -> int:
-            s = zlib.crc32(f"{lang}\0{word}".encode()) & mask
-            return (2 if (lang, word) in heavy else 1) if bitmap[s >> 3] >> (s & 7) & 1 else 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        known: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        sums: defaultdict[str, dict[str, int]] = defaultdict(dict)
 
         def out() -> pa.RecordBatch:
-            langs, texts, leads, buckets = [], [], [], []
-            for lang, text, lead in sums:
-                depth = min(max(2, lead + 1), text.count(" ") + 1)
-                head = text if depth == most else " ".join(text.split(" ", depth)[:depth])
-                langs.append(lang)
-                texts.append(text)
-                leads.append(lead)
-                buckets.append(zlib.crc32(f"{lang}\0{head}".encode()))
-            batch = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(leads, pa.int32()), pa.array(buckets, pa.int64()), pa.array(sums.values(), pa.int64())], names=["lang", "run", "lead", "bucket", "m"])
+            rows = []
+            for lang, own in sums.items():
+                lines: defaultdict[int, list[str]] = defaultdict(list)
+                prefix, weighty = zlib.crc32(f"{lang}\0".encode()), heavy_of.get(lang, ())
+                for text, m in own.items():
+                    cut = text.find(" ")
+                    lead, end = 0, text.find(" ", cut + 1)
+                    if text[:cut] in weighty:  # the head goes on to the first word that isn't heavy
+                        lead, words = 1, text.split(" ")
+                        while lead < len(words) and words[lead] in weighty:
+                            lead += 1
+                        if lead > 1:
+                            end = -1 if lead + 1 >= len(words) else len(" ".join(words[: lead + 1]))
+                    head = text if end < 0 else text[:end]
+                    lines[zlib.crc32(head.encode(), prefix) % buckets].append(f"{text}\t{lead}\t{m}\n")
+                rows += [(k, lang, squeeze("".join(sorted(x)).encode())) for k, x in lines.items()]
             sums.clear()
-            return batch
+            known.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "lang", "data"])
 
         for b in batches:
+            held = 0
             for lang, piece, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = piece.split(" ")
-                states = []
-                for w in words:
-                    k = known.get((lang, w))
-                    if k is None:
-                        if len(known) >= GATHERED:
-                            known.clear()
-                        k = known[lang, w] = state(lang, w)
-                    states.append(k)
-                end = 0  # of the stretch of words that may be frequent
-                for i, k in enumerate(states):
-                    if not k:
-                        continue
-                    if end <= i:
-                        end = i + 1
-                        while end < len(words) and states[end]:
-                            end += 1
-                    stop = min(end, i + most)
-                    if stop - i < 2:
+                words, yes, own = piece.split(" "), known[lang], sums[lang]
+                for w in set(words).difference(yes):
+                    s = zlib.crc32(f"{lang}\0{w}".encode()) & mask
+                    yes[w] = bool(bitmap[s >> 3] >> (s & 7) & 1)
+                stretch: list[str] = []
+                for w in (*words, None):
+                    if w is not None and yes[w]:
+                        stretch.append(w)
                         continue
-                    lead = 0
-                    while i + lead < stop and states[i + lead] == 2:
-                        lead += 1
-                    key = (lang, " ".join(words[i:stop]), lead)
-                    sums[key] = sums.get(key, 0) + m
-                if len(sums) >= GATHERED:
-                    yield out()
-        if sums:
+                    for text in [" ".join(stretch[i : i + most]) for i in range(len(stretch) - 1)]:
+                        own[text] = own.get(text, 0) + m
+                    stretch = []
+                held += len(words)
+                if held >= GATHERED // 8:
+                    held = 0
+                    if sum(map(len, sums.values())) + sum(map(len, known.values())) >= GATHERED:
+                        yield out()
+        if any(sums.values()):
             yield out()
 
-    return map_arrow(found.select("lang", "piece", "m"), make, "lang string, run string, lead int, bucket long, m long")
+    return map_arrow(found.select("lang", "piece", "m"), make, "bucket int, lang string, data binary")
 
 
-def counted(dealt: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -> DataFrame:
+def counted(dealt: DataFrame, partitions: int, least: int = LEAST, most: int = MOST_WORDS) -> DataFrame:
     """lang, phrase, f of the phrases of 2 to `most` words with at least `least` occurrences, from runs.
 
     The runs of a bucket lie in one partition. Its task keeps them in a DuckDB file beside itself and removes it.
@@ -142,15 +176,33 @@ def counted(dealt: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -> Dat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
+        import zstandard
+        from pyarrow import csv
 
         folder = tempfile.mkdtemp(prefix="collocations-")  # of this task alone: nothing else reads it
         con = duckdb.connect(os.path.join(folder, "runs.db"), config={"memory_limit": DUCKDB_MEMORY, "threads": 1, "temp_directory": os.path.join(folder, "spill"), "preserve_insertion_order": False})
+        lines: defaultdict[str, list[bytes]] = defaultdict(list)
+        plain = csv.ParseOptions(delimiter="\t", quote_char=False, escape_char=False)
+        types = csv.ConvertOptions(column_types={"run": pa.string(), "lead": pa.int32(), "m": pa.int64()})
+
+        def insert() -> None:
+            for lang, own in lines.items():
+                con.register("arrived", csv.read_csv(pa.BufferReader(b"".join(own)), csv.ReadOptions(column_names=["run", "lead", "m"], use_threads=False), plain, types))
+                con.execute("INSERT INTO r SELECT ?, run, lead, m FROM arrived", [lang])
+                con.unregister("arrived")
+            lines.clear()
+
         try:
             con.execute("CREATE TABLE r (lang VARCHAR, run VARCHAR, lead INTEGER, m BIGINT)")
-            for batch in batches:
-                con.register("arrived", pa.Table.from_batches([batch]))
-                con.execute("INSERT INTO r SELECT lang, run, lead, m FROM arrived")
-                con.unregister("arrived")
+            expand, held = zstandard.ZstdDecompressor().decompress, 0
+            for b in batches:
+                for lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    lines[lang].append(expand(data))
+                    held += len(lines[lang][-1])
+                    if held >= GATHERED_BYTES:
+                        insert()
+                        held = 0
+            insert()
             # the longest first: what is grouped already is cut by a word and joins the runs of that length
             con.execute("CREATE TABLE g AS SELECT lang, run AS phrase, lead, length(run) - length(replace(run, ' ', '')) + 1 AS k, sum(m)::BIGINT AS f FROM r GROUP BY ALL")
             con.execute("DROP TABLE r")
@@ -167,7 +219,7 @@ def counted(dealt: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -> Dat
             con.close()
             shutil.rmtree(folder, ignore_errors=True)
 
-    per_bucket = map_arrow(dealt.repartition("bucket").select("lang", "run", "lead", "m"), count, "lang string, phrase string, f long")
+    per_bucket = map_arrow(dealt.repartition(partitions, "bucket").select("lang", "data"), count, "lang string, phrase string, f long")
     return per_bucket.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -207,8 +259,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int
     totals = written(counts.groupBy("lang").agg(F.sum("f").alias("n")), "collocations")  # a row for each language; a table, so that Spark knows its size
     all_words = counts.agg(F.sum("f")).first()[0] or 0
     frequent = counts.where(F.col("f") >= least)
-    heavy = {(r["lang"], r["word"]) for r in counts.where(F.col("f") * HEAVY >= all_words).select("lang", "word").collect()}  # HEAVY at most
-    phrases = written(counted(runs(found, frequent_filter(frequent), heavy, most), least, most), "collocations")
+    partitions = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-all_words // RUNS_PER_TASK))
+    share = max(HEAVY, 2 * partitions)  # a key then holds less than half of what a task reads on average
+    heavy = {(r["lang"], r["word"]) for r in counts.where(F.col("f") * share >= all_words).select("lang", "word").collect()}  # that many at most
+    dealt = runs(found, frequent_filter(frequent), heavy, BUCKETS_PER_TASK * partitions, most)
+    phrases = written(counted(dealt, partitions, least, most), "collocations")
     drop_written(found)
     marked = scored(phrases, frequent.withColumnRenamed("word", "phrase"), totals, most, scale).join(contained(phrases), ["lang", "phrase"], "left")
     kept = marked.where(F.col("longest").isNull() | (F.col("longest") < F.col("a")))
