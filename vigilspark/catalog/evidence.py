@@ -9,32 +9,60 @@ from vigilspark.operators import evidence
 
 
 def _inputs(spark, d):
-    """Customers' orders as recordings of 20 days, and a request of 90 days for each customer."""
-    o = table(spark, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp"))
-    recordings = o.select(F.col("o_orderkey").alias("asset_id"), F.col("o_custkey").alias("tenant_id"), (F.col("o_orderkey") % 2).alias("venue_id"), F.lit("c").alias("camera_id"), F.lit("s").alias("session_id"), F.col("t").alias("start_time"), (F.col("t") + F.expr("INTERVAL 20 DAYS")).alias("end_time"), (F.col("o_orderstatus") != "P").alias("available"))
+    """Customers' orders as recordings of 1 hour, 20 or 400 days, and a request for each customer: an instant, some minutes, or 90 days.
+
+    Some requests name no tenant, venue or source, others a camera or session that nothing has.
+    """
+    o, n = table(spark, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")
+    day = F.lit(86400000000)
+    length = F.when(n % 10 == 1, F.lit(3600000000)).when(n % 50 == 2, 400 * day).otherwise(20 * day)
+    recordings = o.select(
+        n.alias("asset_id"), F.col("o_custkey").alias("tenant_id"), (n % 2).alias("venue_id"), F.lit("c").alias("camera_id"), F.when(n % 9 == 0, "s2").otherwise("s").alias("session_id"), F.col("t").alias("start_time"),
+        F.timestamp_micros(F.unix_micros("t") + length).alias("end_time"), (F.col("o_orderstatus") != "P").alias("available"),
+    )
     k = F.col("c_custkey")
-    start = F.timestamp_micros(F.lit(852076800000000) + (k % 900) * F.lit(86400000000))
-    requests = table(spark, d, "customer").select(k.alias("ref_id"), k.alias("tenant_id"), F.when(k % 3 == 0, k % 2).alias("venue_id"), F.lit("c").alias("camera_id"), F.lit(None).cast("string").alias("session_id"), start.alias("start_time"), (start + F.expr("INTERVAL 90 DAYS")).alias("end_time"))
+    start = F.timestamp_micros(F.lit(852076800000000) + (k % 900) * day)
+    asked = F.when(k % 6 == 1, F.lit(0)).when(k % 6 == 2, F.lit(600000000)).otherwise(90 * day)
+    requests = table(spark, d, "customer").select(
+        k.alias("ref_id"), F.when(k % 19 != 0, k).alias("tenant_id"), F.when(k % 7 != 3, k % 2).alias("venue_id"), F.when(k % 13 == 2, 4 * k).alias("video_asset_id"), F.when(k % 11 != 1, F.when(k % 17 == 5, "d").otherwise("c")).alias("camera_id"),
+        F.when(k % 4 == 0, "s").alias("session_id"), start.alias("start_time"), F.timestamp_micros(F.unix_micros(start) + asked).alias("end_time"),
+    )
     return requests, recordings
 
 
-_COVER = """q AS (SELECT c_custkey AS ref, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 END AS venue, make_timestamp((852076800000000 + (c_custkey % 900) * 86400000000)::BIGINT) AS a, make_timestamp((852076800000000 + (c_custkey % 900) * 86400000000)::BIGINT) + INTERVAL 90 DAY AS b FROM customer),
-m AS (SELECT ref, a, b, o_orderkey AS asset, o_orderdate AS s, o_orderdate + INTERVAL 20 DAY AS e, o_orderstatus <> 'P' AS ok, venue IS NULL OR venue = o_orderkey % 2 AS mine FROM q JOIN orders ON o_custkey = ref AND o_orderdate <= b AND o_orderdate + INTERVAL 20 DAY >= a),
-v AS (SELECT *, greatest(s, a) AS f, least(e, b) AS u FROM m WHERE ok AND mine),
-w AS (SELECT *, coalesce(max(u) OVER (PARTITION BY ref ORDER BY s, e, asset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS reach FROM v),
-g AS (SELECT ref, count(*) AS n, sum(greatest(0, epoch_us(f) - epoch_us(reach))) AS missing, max(u) AS top, count(*) FILTER (f > reach) AS holes FROM w GROUP BY ref), h AS (SELECT ref, bool_or(mine) AS mine FROM m GROUP BY ref)"""
+def _candidates(spark, d):
+    """Recordings of the request's venue; those of a fifth of the requests were not scoped."""
+    requests, recordings = _inputs(spark, d)
+    near = evidence.overlapping(requests, recordings).where("ref_id % 5 = 0 or venue_id = rec_venue")
+    return requests, near.withColumn("rec_tenant", F.col("tenant_id"))
 
 
-@query(f"""WITH {_COVER} SELECT q.ref AS ref_id, CASE WHEN n IS NULL THEN CASE WHEN h.mine IS FALSE THEN 'auth_failure' ELSE 'not_found' END WHEN holes > 0 OR top < b THEN 'partial' ELSE 'resolved' END AS resolution,
-CASE WHEN n IS NULL THEN 0 ELSE ((epoch_us(b) - epoch_us(a) - missing - (epoch_us(b) - epoch_us(top))) / 1e6)::DOUBLE END AS covered_seconds FROM q LEFT JOIN g USING (ref) LEFT JOIN h USING (ref)""")
+_PAIRS = """q AS (SELECT c_custkey AS ref, CASE WHEN c_custkey % 19 <> 0 THEN c_custkey END AS tenant, CASE WHEN c_custkey % 7 <> 3 THEN c_custkey % 2 END AS venue, CASE WHEN c_custkey % 13 = 2 THEN 4 * c_custkey END AS asset,
+CASE WHEN c_custkey % 11 <> 1 THEN CASE WHEN c_custkey % 17 = 5 THEN 'd' ELSE 'c' END END AS cam, CASE WHEN c_custkey % 4 = 0 THEN 's' END AS ses, make_timestamp((852076800000000 + (c_custkey % 900) * 86400000000)::BIGINT) AS a,
+a + to_microseconds((CASE c_custkey % 6 WHEN 1 THEN 0 WHEN 2 THEN 600000000 ELSE 7776000000000 END)::BIGINT) AS b FROM customer),
+o AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderkey % 2 AS v, CASE WHEN o_orderkey % 9 = 0 THEN 's2' ELSE 's' END AS sess, o_orderdate::TIMESTAMP AS s, s + to_microseconds((CASE WHEN o_orderkey % 10 = 1 THEN 3600000000 WHEN o_orderkey % 50 = 2 THEN 34560000000000 ELSE 1728000000000 END)::BIGINT) AS e, o_orderstatus <> 'P' AS free FROM orders),
+p AS (SELECT q.*, o.* FROM q JOIN o ON owner = tenant AND s <= b AND e >= a)"""
+_COVER = f"""{_PAIRS}, m AS (SELECT *, venue IS NULL OR v <> venue AS alien, (asset IS NULL OR asset = id) AND (cam IS NULL OR cam = 'c') AND (ses IS NULL OR ses = sess) AS fits FROM p WHERE ref % 5 = 0 OR v = venue),
+h AS (SELECT ref, bool_or(alien) AS alien, bool_or(fits) AS fits, bool_or(fits AND free) AS free FROM m GROUP BY ref),
+u AS (SELECT ref, greatest(s, a) AS f, least(e, b) AS t, a, b FROM m WHERE fits AND free),
+w AS (SELECT *, coalesce(max(t) OVER (PARTITION BY ref ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS reach FROM u),
+holes AS (SELECT ref, reach AS x, f AS y FROM w WHERE f > reach UNION ALL SELECT ref, max(t), max(b) FROM u GROUP BY ref HAVING max(t) < max(b)),
+g AS (SELECT ref, sum(epoch_us(y) - epoch_us(x)) AS missing, string_agg(strftime(x, '%Y-%m-%d %H:%M:%S') || '/' || strftime(y, '%Y-%m-%d %H:%M:%S'), '; ' ORDER BY x) AS text FROM holes GROUP BY ref),
+r AS (SELECT q.*, missing, text, CASE WHEN tenant IS NULL OR venue IS NULL THEN 'no_scope' WHEN alien THEN 'foreign_venue' WHEN asset IS NULL AND cam IS NULL AND ses IS NULL THEN 'no_identity' WHEN fits IS NOT TRUE THEN 'no_match'
+  WHEN NOT free THEN 'unavailable' WHEN missing IS NOT NULL THEN 'gaps' END AS reason FROM q LEFT JOIN h USING (ref) LEFT JOIN g USING (ref))"""
+
+
+@query(f"""WITH {_COVER} SELECT ref AS ref_id, CASE WHEN reason IS NULL THEN 'resolved' WHEN reason = 'gaps' THEN 'partial' WHEN reason IN ('no_scope', 'foreign_venue') THEN 'auth_failure' ELSE 'not_found' END AS resolution, reason,
+CASE WHEN reason IS NULL OR reason = 'gaps' THEN (epoch_us(b) - epoch_us(a) - coalesce(missing, 0)) / 1e6 ELSE 0 END::DOUBLE AS covered_seconds, CASE WHEN reason IS NULL THEN '' WHEN reason = 'gaps' THEN text END AS gap_text FROM r""")
 def evidence_coverage(spark, d):
-    return evidence.resolve(*_inputs(spark, d)).select("ref_id", "resolution", "covered_seconds")
+    """Requests that name no scope, or whose candidates are foreign, fail; gaps are told in order."""
+    return evidence.resolve(*_candidates(spark, d))
 
 
-@query(f"WITH {_COVER} SELECT ref AS ref_id, asset AS asset_id, mine FROM m")
+@query(f"WITH {_PAIRS} SELECT ref AS ref_id, id AS asset_id FROM p")
 def evidence_overlaps(spark, d):
-    mine = F.col("venue_id").isNull() | (F.col("venue_id") == F.col("rec_venue"))
-    return evidence.overlapping(*_inputs(spark, d)).select("ref_id", "asset_id", mine.alias("mine"))
+    """Windows of no length to 90 days with recordings of an hour to 400 days."""
+    return evidence.overlapping(*_inputs(spark, d)).select("ref_id", "asset_id")
 
 
 _HOPS = "['event','rule','fact','transition','observation','track','detection','frame','session','camera','recording','object']"

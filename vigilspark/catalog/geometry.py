@@ -90,8 +90,8 @@ def _evaluate(spark, d):
     return spatial.evaluate(p, polygons(spark, {"private-1": PRIVATE}), polygons(spark, {"closed-1": CLOSED}), polygons(spark, ZONES), polygons(spark, {"table-1": TABLE, "table-2": BENCH}), ["version"])
 
 
-@query(f"""{_EVALUATED} SELECT frame, CASE WHEN pi THEN 'privacy' WHEN ei THEN 'excluded' WHEN len(zh) > 1 THEN 'ambiguous' WHEN len(zh) = 1 OR th IS NOT NULL THEN 'inside' ELSE 'outside' END AS status,
-CASE WHEN NOT pi AND NOT ei AND len(zh) = 1 THEN zh[1] END AS zone_profile_id, CASE WHEN NOT pi AND NOT ei THEN th END AS table_profile_id FROM b WHERE error_code IS NULL""")
+@query(f"""{_EVALUATED} SELECT frame, CASE WHEN pi THEN 'privacy' WHEN ei THEN 'excluded' WHEN len(zh) > 1 THEN 'ambiguous' WHEN len(zh) = 1 THEN 'inside' ELSE 'outside' END AS status,
+CASE WHEN NOT pi AND NOT ei AND len(zh) = 1 THEN zh[1] END AS zone_profile_id, CASE WHEN NOT pi AND NOT ei AND coalesce(len(zh), 0) <= 1 THEN th END AS table_profile_id FROM b WHERE error_code IS NULL""")
 def spatial_observations(spark, d):
     return _evaluate(spark, d)[0].select(F.col("point_id").alias("frame"), "status", "zone_profile_id", "table_profile_id")
 
@@ -198,9 +198,63 @@ def spatial_line_applies(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", spatial.line_applies(scope, reference, cameras, (k % 5).cast("string")).alias("applies"))
 
 
-@query(f"""{_EVALUATED}, n AS (SELECT * FROM b, (VALUES (1), (2)) twice(t)) SELECT frame, CASE WHEN pi THEN 'privacy' WHEN ei THEN 'excluded' WHEN len(zh) > 1 THEN 'ambiguous' WHEN len(zh) = 1 OR th IS NOT NULL THEN 'inside' ELSE 'outside' END AS status FROM n WHERE error_code IS NULL""")
+@query(f"""{_EVALUATED}, n AS (SELECT * FROM b, (VALUES (1), (2)) twice(t)) SELECT frame, CASE WHEN pi THEN 'privacy' WHEN ei THEN 'excluded' WHEN len(zh) > 1 THEN 'ambiguous' WHEN len(zh) = 1 THEN 'inside' ELSE 'outside' END AS status FROM n WHERE error_code IS NULL""")
 def spatial_repeated_points(spark, d):
     """Repeated rows of a point give one observation each."""
     p = events(spark, d).select(F.col("frame").alias("point_id"), "x", "y", F.lit(1).alias("version"))
     rings = [polygons(spark, x) for x in ({"private-1": PRIVATE}, {"closed-1": CLOSED}, ZONES, {"table-1": TABLE, "table-2": BENCH})]
     return spatial.evaluate(p.union(p), *rings, ["version"])[0].select(F.col("point_id").alias("frame"), "status")
+
+
+#: Rings beside the zones: a table that lies in no zone, one across a zone's edge, and one that overlaps another.
+_SIDE = [(0.05, 0.05), (0.12, 0.05), (0.12, 0.12), (0.05, 0.12), (0.05, 0.05)]
+_ACROSS = [(0.45, 0.18), (0.65, 0.18), (0.65, 0.28), (0.45, 0.28), (0.45, 0.18)]
+_OVER = [(0.25, 0.25), (0.36, 0.25), (0.36, 0.36), (0.25, 0.36), (0.25, 0.25)]
+_TABLES = {"table-1": TABLE, "table-2": BENCH, "table-3": _SIDE, "table-4": _ACROSS, "table-5": _OVER}
+_ROIS = {"private-1": PRIVATE, "closed-1": CLOSED}
+
+
+def _camera_inputs(spark, d):
+    """Versions 1 (published) and 2 (draft); camera 0 declares zones and regions, camera 1 the image's regions only (its version has no tables), camera 2 zone-b and zone-c, camera 3 nothing is known of."""
+    e, f = events(spark, d), F.col("frame").cast("long")
+    points = e.select(
+        F.col("frame").alias("point_id"), F.when(f % 10 == 7, F.lit(2)).when(f % 4 == 1, F.lit(3)).otherwise(F.lit(1)).alias("version"), F.when(f % 4 == 3, F.when(f % 3 == 0, "cam-3").otherwise("cam-0")).otherwise(F.concat(F.lit("cam-"), (f % 4).cast("string"))).alias("camera_id"),
+        F.when((f % 5 == 0) | (f % 4 == 1), "image_normalized").otherwise("venue_local").alias("space"), F.when(f % 50 != 4, F.col("x")).alias("x"), F.when(f % 50 == 5, F.col("y") + 1).otherwise(F.col("y")).alias("y"),
+    )
+    some, none = F.array(F.lit("zone-a"), F.lit("zone-b"), F.lit("zone-c")), F.array().cast("array<string>")
+    cams = spark.range(5).select(
+        F.element_at(F.array(*map(F.lit, (1, 3, 1, 2, 2))), (F.col("id") + 1).cast("int")).alias("version"), F.when(F.col("id").isin(3, 4), "draft").otherwise("published").alias("status"),
+        F.element_at(F.array(*map(F.lit, ("cam-0", "cam-1", "cam-2", "cam-0", "cam-2"))), (F.col("id") + 1).cast("int")).alias("camera_id"), F.when(F.col("id") == 0, some).when(F.col("id") == 2, F.slice(some, 2, 2)).otherwise(none).alias("zones"),
+        F.when(F.col("id") <= 1, F.array(F.lit("private-1"))).otherwise(none).alias("privacy"), F.when(F.col("id") <= 1, F.array(F.lit("closed-1"))).otherwise(none).alias("exclusion"),
+    )
+    rows = [(v, k, n, "image_normalized" if v == 3 else "venue_local", [{"x": x, "y": y} for x, y in r], ["table-1", "table-5"] if n == "zone-a" else None)
+            for v in (1, 2, 3) for k, rings in (("zone", ZONES), ("table", _TABLES), ("privacy", {"private-1": PRIVATE}), ("exclusion", {"closed-1": CLOSED})) if not (v == 3 and k in ("zone", "table")) for n, r in rings.items()]
+    polygons_ = spark.createDataFrame(rows, "version int, kind string, profile_id string, space string, ring array<struct<x:double,y:double>>, contained array<string>")
+    return points, cams, polygons_
+
+
+_CAMERAS = f"""WITH {EVENTS}, {_place_sql(ZONES, 'z')}, {_place_sql(_TABLES, 't')}, {_place_sql({'private-1': PRIVATE}, 'pr')}, {_place_sql({'closed-1': CLOSED}, 'ex')},
+c AS (SELECT frame, frame::BIGINT AS n, CASE WHEN n % 10 = 7 THEN 2 WHEN n % 4 = 1 THEN 3 ELSE 1 END AS version, CASE WHEN n % 4 = 3 THEN CASE WHEN n % 3 = 0 THEN 3 ELSE 0 END ELSE n % 4 END AS cam, n % 5 = 0 OR n % 4 = 1 AS image FROM obs),
+zz AS (SELECT frame, bool_or(boundary) AS zb, list_sort(list(id) FILTER (inside)) AS zh FROM z JOIN c USING (frame) WHERE version = 1 AND (cam = 0 OR cam = 2 AND id <> 'zone-a') GROUP BY frame),
+tt AS (SELECT frame, bool_or(boundary) AS tb, list_sort(list(id) FILTER (inside)) AS th FROM t GROUP BY frame),
+k AS (SELECT c.*, version = 1 AND cam IN (0, 2) OR version = 3 AND cam = 1 AS seen, coalesce(zb, false) AS zb, coalesce(zh, []) AS zh, tb, coalesce(th, []) AS th, cam < 2 AND image = (version = 3) AS roi, pr.boundary AS pb, pr.inside AND NOT pr.boundary AS pi, ex.boundary AS eb, ex.inside AND NOT ex.boundary AS ei
+  FROM c LEFT JOIN zz USING (frame) LEFT JOIN tt USING (frame) JOIN pr USING (frame) JOIN ex USING (frame)),
+j AS (SELECT frame, zh, th, roi AND pi AS pi, roi AND ei AND NOT pi AS ei, CASE WHEN len(zh) > 1 OR version = 1 AND len(th) > 1 AND NOT list_contains(th, 'table-5') THEN 'ambiguous' END AS amb, version,
+  CASE WHEN n % 50 = 4 OR n % 50 = 5 AND image THEN 'invalid_point' WHEN version = 2 THEN 'not_published' WHEN NOT seen THEN 'unknown_camera' WHEN roi AND pb THEN 'privacy_boundary' WHEN roi AND pi THEN NULL WHEN roi AND eb THEN 'exclusion_boundary' WHEN roi AND ei THEN NULL
+    WHEN image AND version = 1 THEN 'venue_point_required' WHEN zb THEN 'zone_boundary' WHEN version = 1 AND tb THEN 'table_boundary' END AS error_code FROM k WHERE n % 50 <> 5 OR image)"""
+
+
+@query(f"""{_CAMERAS} SELECT frame, CASE WHEN pi THEN 'privacy' WHEN ei THEN 'excluded' WHEN amb IS NOT NULL THEN amb WHEN len(zh) = 1 THEN 'inside' ELSE 'outside' END AS status, CASE WHEN pi THEN 'private-1' WHEN ei THEN 'closed-1' END AS roi_profile_id,
+CASE WHEN NOT pi AND NOT ei AND amb IS NULL THEN zh[1] END AS zone_profile_id, CASE WHEN NOT pi AND NOT ei AND amb IS NULL AND version = 1 THEN CASE WHEN len(th) > 1 THEN 'table-5' ELSE th[1] END END AS table_profile_id,
+CASE WHEN NOT pi AND NOT ei AND amb IS NULL AND zh[1] = 'zone-a' THEN 'table-1,table-5' END AS contained FROM j WHERE error_code IS NULL""")
+def spatial_camera_observations(spark, d):
+    """Camera-scoped evaluation; venue points beyond the rings are left to spatial_camera_errors' data."""
+    points, cams, rings = _camera_inputs(spark, d)
+    good = spatial.evaluate_cameras(points.where("not (point_id % 50 = 5 and space = 'venue_local')"), cams, rings, None, ["table-5"])[0]
+    return good.select(F.col("point_id").alias("frame"), "status", "roi_profile_id", "zone_profile_id", "table_profile_id", F.array_join("contained_tables", ",").alias("contained"))
+
+
+@query(f"{_CAMERAS} SELECT frame, error_code FROM j WHERE error_code IS NOT NULL")
+def spatial_camera_errors(spark, d):
+    points, cams, rings = _camera_inputs(spark, d)
+    return spatial.evaluate_cameras(points.where("not (point_id % 50 = 5 and space = 'venue_local')"), cams, rings, None, ["table-5"])[1].select(F.col("point_id").alias("frame"), "error_code")

@@ -94,14 +94,17 @@ def _records(spark, d):
     k = F.col("c_custkey")
     return table(spark, d, "customer").where("c_custkey % 4 <> 0").select(
         F.lit("t").alias("tenant_id"), F.lit("op").alias("operation"), k.cast("string").alias("key"), k.cast("string").alias("request_hash"), F.when(k % 3 == 0, "completed").otherwise("in_progress").alias("status"),
-        F.when(k % 5 == 0, _now()).when(k % 5 < 3, F.lit("1999-06-02").cast("timestamp")).alias("lease_until"), F.when(k % 2 == 0, "w1").otherwise("w2").alias("claimed_by"), F.lit(None).cast("string").alias("response"),
+        F.when(k % 5 == 0, _now()).when(k % 5 < 3, F.lit("1999-06-02").cast("timestamp")).when(k % 5 == 4, F.lit("1999-05-31").cast("timestamp")).alias("lease_until"), F.when(k % 11 == 0, "v2").when(k % 11 > 5, "v1").alias("venue_id"), F.when(k % 2 == 0, "w1").otherwise("w2").alias("claimed_by"), F.lit(None).cast("string").alias("response"),
     )
 
 
+# Leases: c % 5 = 0 ends now, 1 and 2 later, 3 has none, 4 ended before. Venues: c % 11 = 0 v2, above 5 v1, else none; requests name v1 above 5 only.
 @query("""WITH q AS (SELECT o_orderkey AS request_id, o_custkey AS c, o_orderkey % 5 = 0 AS other, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS first FROM orders)
-SELECT request_id, CASE WHEN c % 4 = 0 OR c NOT IN (SELECT c_custkey FROM customer) THEN CASE WHEN first THEN 'claimed' ELSE 'busy' END WHEN other THEN 'conflict' WHEN c % 3 = 0 THEN 'replay' WHEN c % 5 NOT IN (1, 2) AND first THEN 'reclaimed' ELSE 'busy' END AS outcome FROM q""")
+SELECT request_id, CASE WHEN c % 4 = 0 OR c NOT IN (SELECT c_custkey FROM customer) THEN CASE WHEN first THEN 'claimed' ELSE 'busy' END WHEN c % 11 = 0 THEN 'conflict'
+WHEN c % 3 = 0 THEN CASE WHEN other THEN 'conflict' ELSE 'replay' END WHEN c % 5 = 4 AND first THEN 'reclaimed' ELSE 'busy' END AS outcome FROM q""")
 def queue_idempotency_claims(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("t").alias("tenant_id"), F.lit("op").alias("operation"), F.col("o_custkey").cast("string").alias("key"), F.concat(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise("")).alias("request_hash"))
+    c = F.col("o_custkey")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("t").alias("tenant_id"), F.lit("op").alias("operation"), c.cast("string").alias("key"), F.concat(c.cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise("")).alias("request_hash"), F.when(c % 11 > 5, "v1").alias("venue_id"))
     return queues.idempotency_claims(o, _records(spark, d), _now()).select("request_id", "outcome")
 
 
@@ -162,14 +165,14 @@ def _transitions(spark, d):
 
 
 @query(f"""WITH {_TRANSITIONS} SELECT entity_id, operation, previous, coalesce(b, previous) AS new_state, CASE WHEN previous IS NULL THEN 'unknown' WHEN b IS NOT NULL THEN 'applied'
-WHEN operation = 'stop_requested' AND previous = 'stopped' THEN 'unchanged' WHEN previous IN ('stopped', 'failed') THEN 'terminal' ELSE 'illegal' END AS outcome FROM t""")
+WHEN operation = 'stop_requested' AND previous IN ('stopped', 'failed') THEN 'unchanged' WHEN previous IN ('stopped', 'failed') THEN 'terminal' ELSE 'illegal' END AS outcome FROM t""")
 def queue_transitions(spark, d):
     return _transitions(spark, d)[1].select("entity_id", "operation", "previous", "new_state", "outcome")
 
 
-@query(f"WITH {_TRANSITIONS} SELECT entity_id, coalesce(b, previous) AS status, CASE WHEN b IS NOT NULL THEN operation END AS reason FROM t WHERE previous IS NOT NULL")
+@query(f"WITH {_TRANSITIONS} SELECT entity_id, coalesce(b, previous) AS status, CASE WHEN b IS NOT NULL OR operation = 'stop_requested' AND previous IN ('stopped', 'failed') THEN operation END AS reason FROM t WHERE previous IS NOT NULL")
 def queue_apply_transitions(spark, d):
-    """The entities after the transitions, with the reason in the log of those that moved."""
+    """The entities after the transitions, with the reason in the log of those that moved or were stopped again."""
     entities, decided = _transitions(spark, d)
     after, log = queues.apply_transitions(entities, decided, _now())
     return after.join(log.select("entity_id", "reason"), "entity_id", "left").select("entity_id", "status", "reason")
@@ -260,3 +263,29 @@ def queue_orphan_objects(spark, d):
 @query(f"SELECT 'obj' || o_orderkey AS object_key, CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'deleted' ELSE 'failed' END AS new_state FROM orders WHERE o_orderkey % 3 = 0 AND {_LIVE}")
 def queue_missing_objects(spark, d):
     return _objects(spark, d)[1].select("object_key", "new_state")
+
+
+_OUTBOX_STATES = ("pending", "processing", "published", "failed")
+_GUARD = """o AS (SELECT o_orderkey AS id, ['pending','processing','published','failed'][o_custkey % 4 + 1] AS status, CASE WHEN o_custkey % 4 = 2 THEN o_orderdate::TIMESTAMP END AS published_at, o_orderdate::TIMESTAMP AS updated_at FROM orders),
+c AS (SELECT o_orderkey + 3 AS id, CASE WHEN o_orderkey % 13 <> 0 THEN ['pending','processing','published','failed'][o_orderkey // 8 % 4 + 1] END AS s, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '1999-05-01' END AS told FROM orders WHERE o_orderkey % 3 <> 0),
+legal(a, b) AS (VALUES ('pending','processing'), ('pending','failed'), ('processing','published'), ('processing','failed'), ('processing','pending'), ('failed','pending'), ('failed','processing'))"""
+
+
+def _guarded(spark, d):
+    k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    o = table(spark, d, "orders")
+    rows = o.select(k.alias("id"), _of(_OUTBOX_STATES, F.col("o_custkey") % 4).alias("status"), F.when(F.col("o_custkey") % 4 == 2, t).alias("published_at"), t.alias("updated_at"))
+    changes = o.where("o_orderkey % 3 <> 0").select((k + 3).alias("id"), F.when(k % 13 != 0, _of(_OUTBOX_STATES, F.floor(k / 8) % 4)).alias("status"), F.when(k % 5 == 0, F.lit("1999-05-01").cast("timestamp")).alias("published_at"))
+    return queues.guarded_outbox(rows, changes, _now())
+
+
+@query(f"""WITH {_GUARD} SELECT id, CASE WHEN legal.a IS NOT NULL THEN s ELSE status END AS status, CASE WHEN legal.a IS NOT NULL AND s = 'published' THEN coalesce(told, published_at, TIMESTAMP '{NOW}') ELSE published_at END AS published_at,
+CASE WHEN legal.a IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM o LEFT JOIN c USING (id) LEFT JOIN legal ON legal.a = status AND legal.b = s""")
+def queue_outbox_guarded(spark, d):
+    """Changes of an outbox under its status graph; some are of unknown rows or without a status."""
+    return _guarded(spark, d)[0]
+
+
+@query(f"WITH {_GUARD} SELECT c.id, o.status AS previous, s AS status FROM c LEFT JOIN o USING (id) WHERE s IS NULL OR o.status IS NULL OR s <> o.status AND (o.status, s) NOT IN (SELECT (a, b) FROM legal)")
+def queue_outbox_refused(spark, d):
+    return _guarded(spark, d)[1]

@@ -45,8 +45,8 @@ def marked(work: DataFrame, worker: str, done: DataFrame) -> DataFrame:
 
 
 def failed(work: DataFrame, worker: str, errors: DataFrame, now, most_attempts: int, base: float, most: float) -> DataFrame:
-    """Rows of errors (id, error, retryable) that worker holds wait for their next attempt; after most_attempts, or where not retryable, they are dead letters."""
-    last = errors.groupBy("id").agg(F.max("error").alias("error"), F.min("retryable").alias("retryable"))
+    """Rows of errors (id, error, retryable) that worker holds wait for their next attempt; after most_attempts, or where not retryable, they are dead letters. An unknown retryable counts as yes."""
+    last = errors.groupBy("id").agg(F.max("error").alias("error"), F.coalesce(F.min("retryable"), F.lit(True)).alias("retryable"))
     both = work.join(last, "id", "left").withColumn("_hit", _held(worker) & F.col("error").isNotNull())
     dead = F.col("_hit") & (~F.col("retryable") | (F.col("attempts") >= most_attempts))
     retry = F.timestamp_micros(F.unix_micros(now) + (backoff(F.col("attempts"), base, most) * 1e6).cast("long"))
@@ -75,15 +75,20 @@ def consumed(inbox: DataFrame, effects: dict[str, str], done: DataFrame) -> Data
 
 
 def idempotency_claims(requests: DataFrame, records: DataFrame, now) -> DataFrame:
-    """Outcome of requests (tenant_id, operation, key, request_hash) against records with status and lease_until: claimed (no record), conflict (another hash), replay (completed), reclaimed (in progress with a lease that ended) or busy. Of requests of one unit the first by request_id decides."""
+    """Outcome of requests (request_id, tenant_id, operation, key, request_hash, venue_id) against records with status and lease_until.
+
+    claimed (no record), conflict (another venue, or completed with another hash), replay (completed), reclaimed (in progress
+    with a lease that ended before now; the new request's hash counts from then on) or busy. A record in progress without a
+    lease is never reclaimed. Of requests of one unit the first by request_id claims or reclaims.
+    """
     unit = ["tenant_id", "operation", "key"]
-    known = records.select(*unit, F.col("request_hash").alias("_hash"), F.col("status").alias("_status"), F.col("lease_until").alias("_lease"))
+    known = records.select(*unit, F.lit(True).alias("_known"), F.col("request_hash").alias("_hash"), F.col("status").alias("_status"), F.col("lease_until").alias("_lease"), F.col("venue_id").alias("_venue"))
     first = F.row_number().over(Window.partitionBy(*unit).orderBy("request_id")) == 1
     outcome = (
-        F.when(F.col("_hash").isNull(), F.when(first, "claimed").otherwise("busy")).when(F.col("_hash") != F.col("request_hash"), "conflict").when(F.col("_status") == "completed", "replay")
-        .when((F.col("_lease").isNull() | (F.col("_lease") <= now)) & first, "reclaimed").otherwise("busy")
+        F.when(F.col("_known").isNull(), F.when(first, "claimed").otherwise("busy")).when(~F.col("_venue").eqNullSafe(F.col("venue_id")), "conflict")
+        .when(F.col("_status") == "completed", F.when(F.col("_hash").eqNullSafe(F.col("request_hash")), "replay").otherwise("conflict")).when((F.col("_lease") < now) & first, "reclaimed").otherwise("busy")
     )
-    return requests.join(known, unit, "left").withColumn("outcome", outcome).drop("_hash", "_status", "_lease")
+    return requests.join(known, unit, "left").withColumn("outcome", outcome).drop("_known", "_hash", "_status", "_lease", "_venue")
 
 
 def completed(records: DataFrame, worker: str, done: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ LIFECYCLES: dict[str, dict[str, dict[str, str]]] = {
         "finalized": {}, "terminal_failure": {}, "expired": {},
     },
 }
-#: Operations that change nothing in the state they lead to.
+#: Operations that change nothing in a final state.
 IDEMPOTENT = {"live_session": ("stop_requested",), "configuration": ("publish",), "evidence": ()}
 
 
@@ -156,22 +161,42 @@ def transitions(entities: DataFrame, requests: DataFrame, lifecycle: str) -> Dat
     target = F.lit(None).cast("string")
     for a, o, b in steps:
         target = F.when((F.col("previous") == a) & (F.col("operation") == o), b).otherwise(target)
-    again = F.lit(False)
-    for o in IDEMPOTENT[lifecycle]:
-        again = again | ((F.col("operation") == o) & F.col("previous").isin(sorted({b for _, x, b in steps if x == o})))
     final = [a for a, operations in LIFECYCLES[lifecycle].items() if not operations]
+    again = F.col("operation").isin(list(IDEMPOTENT[lifecycle])) & F.col("previous").isin(final)
     out = requests.join(entities.select("entity_id", F.col("status").alias("previous")), "entity_id", "left").withColumn("_target", target)
     outcome = F.when(F.col("previous").isNull(), "unknown").when(F.col("_target").isNotNull(), "applied").when(again, "unchanged").when(F.col("previous").isin(final), "terminal").otherwise("illegal")
     return out.withColumn("outcome", outcome).withColumn("new_state", F.coalesce("_target", "previous")).drop("_target")
 
 
 def apply_transitions(entities: DataFrame, decided: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """Entities with the new states of transitions(), and the log's new rows, one for each that was applied."""
-    applied = decided.where("outcome = 'applied'")
+    """Entities with the new states of transitions(), and the log's new rows: one for each that was applied or left a final state unchanged."""
+    applied = decided.where("outcome in ('applied', 'unchanged')")
     after = entities.join(applied.select("entity_id", F.col("new_state").alias("_new")), "entity_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
     return after, applied.select("entity_id", "previous", F.col("new_state").alias("status"), F.col("operation").alias("reason"), now.alias("at"))
 
 
+#: Statuses that an outbox row's status may change to.
+OUTBOX = {"pending": ("processing", "failed"), "processing": ("published", "failed", "pending"), "failed": ("pending", "processing"), "published": ()}
+
+
+def guarded_outbox(rows: DataFrame, changes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Outbox rows (id, status, published_at, updated_at) after changes (id, status, published_at), and the changes that are refused.
+
+    A change to the status that a row has passes and leaves the row's times; a legal one sets updated_at, and published_at
+    where it publishes and has none. Others, those of unknown rows and null statuses are refused, with the status before.
+    """
+    legal = [f"{a}>{b}" for a, after in OUTBOX.items() for b in after]
+    asked = changes.select("id", F.col("status").alias("_to"), F.col("published_at").alias("_at"))
+    both = asked.join(rows.select("id", F.col("status").alias("_from")), "id", "left")
+    moves, stays = F.concat_ws(">", "_from", "_to").isin(legal), F.col("_from") == F.col("_to")
+    marked = both.withColumns({"_moves": F.coalesce(moves & F.col("_to").isNotNull(), F.lit(False)), "_stays": F.coalesce(stays, F.lit(False))})
+    ok = F.col("_moves")
+    out = rows.join(marked.where(ok).select("id", "_to", "_at", "_moves"), "id", "left")
+    published = F.when(ok & (F.col("_to") == "published"), F.coalesce("_at", "published_at", now)).otherwise(F.col("published_at"))
+    after = out.withColumns({"published_at": published, "updated_at": F.when(ok, now).otherwise(F.col("updated_at")), "status": F.coalesce("_to", "status")}).drop("_to", "_at", "_moves")
+    return after, marked.where(~F.col("_moves") & ~F.col("_stays")).select("id", F.col("_from").alias("previous"), F.col("_to").alias("status"))
+
+
 def recovered(work: DataFrame, now) -> DataFrame:
     """Evidence with a lease that ended: extracting is a retryable failure due at once, uploading resumes at its checkpoint."""
     stale = F.col("lease_until") <= now

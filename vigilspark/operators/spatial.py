@@ -83,7 +83,8 @@ def evaluate(points: DataFrame, privacy: DataFrame, exclusion: DataFrame, zones:
     """Spatial observations and quarantined points. Privacy comes before exclusion, exclusion before zones and tables.
 
     Of privacy (and exclusion) regions the first by profile_id that holds a point counts; a boundary that comes before it
-    makes the point one for quarantine. All polygons are joined and aggregated at once.
+    makes the point one for quarantine. All polygons are joined and aggregated at once. An ambiguous point names neither zone
+    nor table; a table without a zone is outside and keeps its name.
     """
     kinds = {"privacy": privacy, "exclusion": exclusion, "zone": zones, "table": tables}
     all_polygons = reduce(DataFrame.unionByName, (df.select(*on, "profile_id", "ring", F.lit(k).alias("kind")) for k, df in kinds.items()))
@@ -96,14 +97,72 @@ def evaluate(points: DataFrame, privacy: DataFrame, exclusion: DataFrame, zones:
         F.when(F.col("privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
         .when(zone_status == "boundary", "zone_boundary").when(table_status == "boundary", "table_boundary")
     )
-    ambiguous, inside = (zone_status == "ambiguous") | (table_status == "ambiguous"), (zone_status == "inside") | (table_status == "inside")
+    ambiguous, inside = (zone_status == "ambiguous") | (table_status == "ambiguous"), zone_status == "inside"
     status = F.when(private, "privacy").when(excluded, "excluded").when(ambiguous, "ambiguous").when(inside, "inside").otherwise("outside")
-    plain = private | excluded
-    marked = at.withColumns({"error_code": bad, "status": status, "zone_profile_id": F.when(~plain, zone), "table_profile_id": F.when(~plain, table)})
+    named = ~(private | excluded | ambiguous)
+    marked = at.withColumns({"error_code": bad, "status": status, "zone_profile_id": F.when(named, zone), "table_profile_id": F.when(named, table)})
     good = marked.where("error_code is null").select(*points.columns, "status", "zone_profile_id", "table_profile_id")
     return good, marked.where("error_code is not null").select(*points.columns, "error_code")
 
 
+#: Coordinate spaces.
+IMAGE, VENUE = "image_normalized", "venue_local"
+
+
+def evaluate_cameras(points: DataFrame, cameras: DataFrame, polygons: DataFrame, zone_priority: list[str] | None = None, table_priority: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Spatial observations and quarantined points of cameras under the pinned configuration versions.
+
+    points: point_id, version, camera_id, space, x, y. cameras: version, status, camera_id and the profile ids that the camera
+    declares (zones, privacy, exclusion: arrays). polygons: version, kind (zone, table, privacy, exclusion), profile_id, space,
+    ring, and for zones contained (table profile ids). Tables belong to all cameras of their version.
+
+    In this order: a point without coordinates, or outside of its space, is invalid_point; a version that is not published,
+    or a camera that it lacks, is an error; privacy and then exclusion regions of the point's own space (the first by profile
+    id; a boundary that comes before it is an error); a point of the image where the camera declares venue geometry needs a
+    venue point; zones, then tables (boundaries are errors). Several zones or tables without a priority are ambiguous, and
+    an ambiguous point names none; a table without a zone is outside and keeps its name; inside carries the zone's tables.
+    """
+    keys = ["version", "camera_id"]
+    known = cameras.groupBy(*keys).agg(F.min("status").alias("_status"), *(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))).alias(f"_{c}") for c in ("zones", "privacy", "exclusion")))
+    named = polygons.select("version", "kind", "profile_id", F.col("space").alias("its_space"), "ring")
+
+    def of(column: str, kind: str) -> Column:
+        return F.transform(column, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("profile_id")))
+
+    own = known.select(*keys, F.explode(F.concat(of("_zones", "zone"), of("_privacy", "privacy"), of("_exclusion", "exclusion"))).alias("_p"))
+    declared = own.select(*keys, "_p.kind", "_p.profile_id").join(named, ["version", "kind", "profile_id"])
+    tables = known.select(*keys).join(named.where("kind = 'table'"), "version")
+    each = declared.unionByName(tables)
+    venue = each.groupBy(*keys).agg(F.bool_or(F.col("kind").isin("zone", "table") | (F.col("its_space") == VENUE)).alias("_venue"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    in_image = (F.col("space") != IMAGE) | (F.col("x").between(0, 1) & F.col("y").between(0, 1))
+    valid = F.coalesce(finite("x") & finite("y") & in_image & F.col("space").isin(IMAGE, VENUE), F.lit(False))
+
+    place = ["point_id", "x", "y", "space", *keys]
+    first = lambda k: F.min(F.when((F.col("kind") == k) & (F.col("location") != "outside") & (F.col("its_space") == F.col("space")), F.struct("profile_id", "location"))).alias(k)
+    found = located(points.where(valid).select(*place).distinct(), each, keys).groupBy(*place).agg(first("privacy"), first("exclusion"), *_matched("zone"), *_matched("table"))
+    back = found.select(*(F.col(k).alias(f"_k_{k}") for k in place), *[c for c in found.columns if c not in place])
+    at = points.join(back, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in place)), "left").drop(*(f"_k_{k}" for k in place))
+    at = at.join(known.select(*keys, "_status"), keys, "left").join(venue, keys, "left")
+
+    (zone_status, zone), (table_status, table) = _membership("zone", zone_priority), _membership("table", table_priority)
+    private, excluded = F.coalesce(F.col("privacy.location") == "inside", F.lit(False)), F.coalesce(F.col("exclusion.location") == "inside", F.lit(False))
+    versions = cameras.groupBy("version").agg(F.min("status").alias("_version_status"))
+    at = at.join(versions, "version", "left")
+    bad = (
+        F.when(~valid, "invalid_point").when(~F.col("_version_status").eqNullSafe(F.lit("published")), "not_published").when(F.col("_status").isNull(), "unknown_camera")
+        .when(F.col("privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
+        .when((F.col("space") == IMAGE) & F.coalesce("_venue", F.lit(False)), "venue_point_required").when(zone_status == "boundary", "zone_boundary").when(table_status == "boundary", "table_boundary")
+    )
+    ambiguous = (zone_status == "ambiguous") | (table_status == "ambiguous")
+    status = F.when(private, "privacy").when(excluded, "excluded").when(ambiguous, "ambiguous").when(zone_status == "inside", "inside").otherwise("outside")
+    names = ~(private | excluded | ambiguous)
+    marked = at.withColumns({"error_code": bad, "status": status, "roi_profile_id": F.when(private, F.col("privacy.profile_id")).when(excluded, F.col("exclusion.profile_id")), "zone_profile_id": F.when(names, zone), "table_profile_id": F.when(names, table)})
+    contained = polygons.where("kind = 'zone'").select("version", F.col("profile_id").alias("zone_profile_id"), F.col("contained").alias("contained_tables"))
+    good = marked.where("error_code is null").join(contained, ["version", "zone_profile_id"], "left")
+    return good.select(*points.columns, "status", "roi_profile_id", "zone_profile_id", "table_profile_id", "contained_tables"), marked.where("error_code is not null").select(*points.columns, "error_code")
+
+
 def needs_venue_point(points: DataFrame, entities: DataFrame) -> DataFrame:
     """Points (version_id, camera_id, space) with needs_venue_point: their camera declares venue geometry, but they are in image coordinates.
 

@@ -49,6 +49,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: its lineage ends there, and a lost executor costs nothing."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Folder:
     """The few file operations a commit needs, by Hadoop's file systems."""
 
