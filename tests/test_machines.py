@@ -70,7 +70,7 @@ def test_occupancy_of_tracks():
     rows = [at(1, track="a", change="enter"), at(1, track="b", change="enter"), at(1, track="b", change="enter"), at(2, track="c", change="exit"), at(3, track="a", change="exit"), at(2, track="b", change="stay")]
     state, out = run(m, rows)
     assert [o["status"] for o in out] == ["applied", "applied", "deduplicated", "illegal", "applied", "reordered"]
-    assert state["occupied"] == ["b"] and out[4]["occupancy_count"] == 1
+    assert state["occupied"] == {"b"} and out[4]["occupancy_count"] == 1
 
 
 def test_bad_policy():

@@ -38,7 +38,7 @@ def temporal_occupancy_fold(spark, d):
     """The exact fold with the set of tracks as state; on clean input it equals the running sum."""
     t = presence(spark, d).where("reason <> 'observed_stay'")
     change = F.when(F.col("reason") == "enter_confirmed", "enter").otherwise("exit")
-    out = temporal.occupancy_fold(t.select("scope", "t", "frame", F.col("track").cast("string").alias("track"), change.alias("change")), ["scope"], HOURS)
+    out = temporal.occupancy_fold(t.select("scope", "t", "frame", F.col("track").cast("string").alias("track"), change.alias("change")), ["scope"], HOURS, tracks=False)
     return out.select("scope", F.col("track").cast("long").alias("track"), "frame", "delta", "occupancy_count")
 
 

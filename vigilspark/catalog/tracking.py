@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilspark.catalog.common import query, table
 from vigilspark.functions import geometry as G
 from vigilspark.operators import detection
+from vigilspark.plans.tracker import TrackPolicy
 from vigilspark.sources import frames
 
 
@@ -39,7 +40,11 @@ def track_suppressed(spark, d):
     return detection.suppressed(boxes(spark, d), 0.2).select("frame_id", "class_id", "ord")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOXES}, i AS (SELECT a.frame_id, a.ord AS t, b.ord AS d, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas
+  FROM boxes a JOIN boxes b ON a.frame_id = b.frame_id AND a.class_id = 0 AND b.class_id = 1), p AS (SELECT frame_id, t, d, s / (areas - s) AS iou, row_number() OVER (PARTITION BY frame_id ORDER BY s / (areas - s) DESC, t, d) AS n FROM i WHERE s / (areas - s) > 0.05),
+w AS (SELECT frame_id, n, [t] AS ts, [d] AS ds, true AS free FROM p WHERE n = 1 UNION ALL SELECT p.frame_id, p.n, CASE WHEN ok THEN list_append(ts, p.t) ELSE ts END, CASE WHEN ok THEN list_append(ds, p.d) ELSE ds END, ok
+  FROM (SELECT w.*, p.t, p.d, p.n AS m, NOT list_contains(ts, p.t) AND NOT list_contains(ds, p.d) AS ok FROM w JOIN p ON p.frame_id = w.frame_id AND p.n = w.n + 1) w JOIN p ON p.frame_id = w.frame_id AND p.n = w.m)
+SELECT frame_id, t AS target_id, d AS detection_id, round(iou, 6) AS iou FROM w JOIN p USING (frame_id, n) WHERE free""")
 def track_associated(spark, d):
     """Boxes of odd lines as detections, of even ones as targets."""
     b = boxes(spark, d)
@@ -113,3 +118,29 @@ def track_foreign_detections(spark, d):
     f = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("frame_id"), F.lit("s").alias("session_id"))
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.lit("s").alias("session_id"), "l_partkey")
     return detection.foreign_detections(li, f).select(F.col("frame_id").alias("l_orderkey"), "l_partkey")
+
+
+def _tracked(spark, d):
+    """Orders of a customer as frames of a session in order of time, some late or twice, and their line items as detections."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    frame = o.select(
+        (F.col("o_custkey") % 40).alias("session_id"), F.col("o_orderdate").alias("day"), k.alias("frame_id"), F.col("o_orderdate").cast("timestamp").alias("event_time"), F.when(k % 97 == 0, "other").otherwise("cam").alias("source_ref"),
+    ).withColumn("arrival", F.row_number().over(Window.partitionBy("session_id").orderBy("day", "frame_id")))
+    frame = frame.withColumn("frame_index", F.when(F.col("frame_id") % 31 == 0, F.col("arrival") - 3).otherwise(F.col("arrival"))).drop("day")
+    sessions = o.select(k.alias("frame_id"), (F.col("o_custkey") % 40).alias("session_id"))
+    found = boxes(spark, d).drop("session_id").join(sessions, "frame_id").select("session_id", "frame_id", F.col("ord").alias("detection_id"), F.concat(F.lit("k"), (F.col("ord") % 2).cast("string")).alias("class_name"), "confidence", "box")
+    return detection.track(frame, found, TrackPolicy(floor=0.05, buffer=2, start=0.2))
+
+
+@query()
+def track_observations(spark, d):
+    """A tracker over all sessions; its association and ends depend on their past, so tests compare with brute force."""
+    return _tracked(spark, d)[0].select("session_id", "frame_id", "local_track_id", "detection_id", "track_state", "matched")
+
+
+@query("""WITH f AS (SELECT o_custkey % 40 AS session_id, o_orderkey AS frame_id, o_orderkey % 97 = 0 AS other, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderdate, o_orderkey) AS arrival FROM orders),
+i AS (SELECT *, CASE WHEN frame_id % 31 = 0 THEN arrival - 3 ELSE arrival END AS idx FROM f), s AS (SELECT *, first_value(other) OVER (PARTITION BY session_id ORDER BY arrival) AS own FROM i)
+SELECT session_id, arrival::INTEGER AS arrival, frame_id, CASE WHEN other <> own THEN 'foreign_source' ELSE 'index_not_advancing' END AS error_code FROM s
+WHERE other <> own OR idx <= (SELECT max(x.idx) FROM s x WHERE x.session_id = s.session_id AND x.arrival < s.arrival AND x.other = x.own)""")
+def track_refused(spark, d):
+    return _tracked(spark, d)[1]

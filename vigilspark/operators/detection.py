@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions import geometry as G
+from vigilspark.functions import ids
+from vigilspark.plans.tracker import Tracker, TrackPolicy
 
 
 def confident(detections: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -93,23 +95,56 @@ def foreign_detections(detections: DataFrame, frames: DataFrame) -> DataFrame:
 def associate(targets: DataFrame, detections: DataFrame, floor: float = 0.0) -> DataFrame:
     """Greedy one-to-one match of targets and detections in each frame, best overlap first, above the floor.
 
-    Pairs overlap within one frame only; ties go to the smaller target, then the smaller detection.
+    Pairs overlap within one frame only; ties go to the smaller target, then the smaller detection. A frame's pairs are one row.
     """
     pairs = targets.withColumnRenamed("box", "target_box").join(detections.withColumnRenamed("box", "detection_box"), ["session_id", "frame_id"])
-    scored = pairs.withColumn("iou", G.box_iou(F.col("target_box"), F.col("detection_box"))).where(F.col("iou") > floor).select("session_id", "frame_id", "iou", "target_id", "detection_id")
-
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame, taken = None, set()
-        for f in frames:
-            keep = []
-            for s, fr, t, d in zip(f["session_id"], f["frame_id"], f["target_id"], f["detection_id"], strict=True):
-                if (s, fr) != frame:
-                    frame, taken = (s, fr), set()
-                free = ("t", t) not in taken and ("d", d) not in taken
-                if free:
-                    taken |= {("t", t), ("d", d)}
-                keep.append(free)
-            yield f[keep]
-
-    ordered = scored.repartition("session_id", "frame_id").sortWithinPartitions("session_id", "frame_id", F.desc("iou"), "target_id", "detection_id")
-    return ordered.mapInPandas(match, scored.schema)
+    scored = pairs.withColumn("iou", G.box_iou(F.col("target_box"), F.col("detection_box"))).where(F.col("iou") > floor)
+    pair = F.struct((-F.col("iou")).alias("order"), "target_id", "detection_id")
+    frames = scored.groupBy("session_id", "frame_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    none = F.filter("pairs", lambda p: F.lit(False))
+
+    def take(kept: Column, p: Column) -> Column:
+        busy = F.exists(kept, lambda k: (k["target_id"] == p["target_id"]) | (k["detection_id"] == p["detection_id"]))
+        return F.when(busy, kept).otherwise(F.concat(kept, F.array(p)))
+
+    kept = frames.select("session_id", "frame_id", F.explode(F.aggregate("pairs", none, take)).alias("p"))
+    return kept.select("session_id", "frame_id", (-F.col("p.order")).alias("iou"), "p.target_id", "p.detection_id")
+
+
+def track(frames: DataFrame, detections: DataFrame, policy: TrackPolicy) -> tuple[DataFrame, DataFrame]:
+    """Track observations, and frames that the order guard refused with error_code.
+
+    frames: session_id, arrival, frame_id, frame_index, event_time, source_ref. detections: session_id, frame_id,
+    detection_id, class_name, confidence, box. Rows are observations (session_id, frame_id, event_time, track_id,
+    local_track_id, detection_id, track_state, matched). A session's frames pass one task in order of arrival, one frame at a
+    time; detections without box or score are left out, those of frames that don't come are nobody's.
+    """
+    box = F.col("box")
+    own = F.struct("detection_id", "class_name", F.col("confidence").cast("double").alias("score"), F.array(*(box[c].cast("double") for c in ("x_min", "y_min", "x_max", "y_max"))).alias("box"))
+    seen = detections.where(F.col("confidence").isNotNull() & box.isNotNull()).groupBy("session_id", "frame_id").agg(F.array_sort(F.collect_list(own)).alias("found"))  # one frame's
+    rows = frames.select("session_id", "arrival", "frame_id", "frame_index", "event_time", "source_ref").join(seen, ["session_id", "frame_id"], "left")
+    kinds = {c: frames.schema[c].dataType.simpleString() for c in ("session_id", "arrival", "frame_id")}
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + f", event_time timestamp, local_track_id int, detection_id {detections.schema['detection_id'].dataType.simpleString()}, track_state string, matched boolean, error_code string"
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, tracker = None, None
+        for f in batches:
+            out = []
+            for s, arrival, frame, index, at, source, found in zip(*(f[c] for c in ("session_id", "arrival", "frame_id", "frame_index", "event_time", "source_ref", "found")), strict=True):
+                if tracker is None or s != session:
+                    session, tracker = s, Tracker(policy)
+                missing = pd.isna(at)
+                plain = lambda v: None if pd.isna(v) else v
+                error = tracker.guard(plain(frame), plain(index), None if missing else at.value, plain(source)) if plain(s) is not None else "incomplete_frame"
+                if error:
+                    out.append((s, arrival, frame, at, None, None, None, None, error))
+                    continue
+                own = [] if found is None else [dict(d, box=tuple(d["box"])) for d in found]
+                out += [(s, arrival, frame, at, *x, None) for x in tracker.step(own)]
+            yield pd.DataFrame(out, columns=names).astype({"local_track_id": "Int32"})
+
+    dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "arrival")
+    got = dealt.mapInPandas(run, schema)
+    good = got.where("error_code is null").withColumn("track_id", ids.track_uuid(F.col("session_id"), F.col("local_track_id")))
+    return good.drop("error_code", "arrival"), got.where("error_code is not null").select("session_id", "arrival", "frame_id", "error_code")

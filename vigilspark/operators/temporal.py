@@ -7,6 +7,7 @@ machine as a stream: a task holds one key's state at a time, however many rows i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,9 +73,13 @@ def waiting(rows: DataFrame, keys: list[str], policy: Policy, by: str = BY_TIME)
     return fold(rows, keys, _order(by), lambda: Waiting(policy), ["presence", "movement", "context"], {"status": "string", "from": "string", "to": "string", "reason": "string", "interval_start": "timestamp", "interval_end": "timestamp"})
 
 
-def occupancy_fold(changes: DataFrame, scope: list[str], policy: Policy, by: str = BY_TIME) -> DataFrame:
-    """Exact occupancy with late and duplicate rows: changes (scope, t, frame, track, change)."""
-    return fold(changes, scope, _order(by), lambda: Occupancy(policy), ["track", "change"], {"status": "string", "previous_count": "int", "delta": "int", "occupancy_count": "int", "occupied_tracks": "array<string>"})
+def occupancy_fold(changes: DataFrame, scope: list[str], policy: Policy, by: str = BY_TIME, tracks: bool = True) -> DataFrame:
+    """Exact occupancy with late and duplicate rows: changes (scope, t, frame, track, change).
+
+    tracks: whether each row lists the tracks that are present; without it a row costs the same however many there are.
+    """
+    listed = {"occupied_tracks": "array<string>"} if tracks else {}
+    return fold(changes, scope, _order(by), lambda: Occupancy(policy, tracks), ["track", "change"], {"status": "string", "previous_count": "int", "delta": "int", "occupancy_count": "int"} | listed)
 
 
 def dwell_event(reason: Column) -> Column:
@@ -98,12 +103,23 @@ def dwell(transitions: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
     return out.withColumn("dwell_last", F.coalesce("dwell_end", "seen")).withColumn("duration_seconds", seconds).withColumn("qualified", F.col("duration_seconds") >= policy.dwell_minimum).withColumnRenamed("n", "ordinal").drop("seen")
 
 
-def occupancy(transitions: DataFrame, scope: list[str]) -> DataFrame:
-    """A snapshot for every confirmed change of the number of present tracks; for clean input, by a running sum."""
+def occupancy(transitions: DataFrame, scope: list[str], bucket_seconds: int = 3600) -> DataFrame:
+    """A snapshot for every confirmed change of the number of present tracks; for clean input, by a running sum.
+
+    Sums run within buckets of time, and over a scope's buckets, so a busy scope is many tasks: bucket_seconds should be a
+    time in which one task can hold a scope's changes.
+    """
     delta = F.when(F.col("reason") == "enter_confirmed", 1).when(F.col("reason").isin("exit_confirmed", "missing_expired") | ((F.col("reason") == "session_closed") & F.col("from").isin("present", "exiting")), -1)
-    changes = transitions.where("status = 'applied'").withColumn("delta", delta).where("delta is not null")
-    w = Window.partitionBy(*scope).orderBy("t", "frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.withColumn("occupancy_count", F.sum("delta").over(w)).withColumn("previous_count", F.col("occupancy_count") - F.col("delta"))
+    bucket = F.floor(F.unix_micros("t") / (bucket_seconds * 1_000_000))
+    changes = transitions.where("status = 'applied'").withColumn("delta", delta).where("delta is not null").withColumn("_bucket", bucket)
+    within = Window.partitionBy(*scope, "_bucket").orderBy("t", "frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = changes.withColumn("_count", F.sum("delta").over(within))
+    before = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = inner.groupBy(*scope, "_bucket").agg(F.sum("delta").alias("_total")).withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    starts = totals.select(*(F.col(c).alias(f"_k_{c}") for c in scope), F.col("_bucket").alias("_k__bucket"), "_before")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*scope, "_bucket"]))
+    out = inner.join(starts, same).withColumn("occupancy_count", F.col("_count") + F.col("_before")).withColumn("previous_count", F.col("occupancy_count") - F.col("delta"))
+    return out.select(*transitions.columns, "delta", "occupancy_count", "previous_count")
 
 
 def movement(points: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
@@ -116,8 +132,10 @@ def movement(points: DataFrame, keys: list[str], threshold: float = 0.0) -> Data
 
 
 def history(transitions: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """The last `limit` states up to each row (all where it is 0)."""
-    w = Window.partitionBy(*keys).orderBy("t", "frame").rowsBetween(Window.unboundedPreceding if not limit else 1 - limit, Window.currentRow)
+    """The last `limit` states up to each row. Whole histories are the rows themselves, so limit is at least 1."""
+    if limit < 1:
+        raise ValueError("limit begins at 1")
+    w = Window.partitionBy(*keys).orderBy("t", "frame").rowsBetween(1 - limit, Window.currentRow)
     return transitions.withColumn("history", F.collect_list("to").over(w))
 
 

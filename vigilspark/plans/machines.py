@@ -208,28 +208,33 @@ class Waiting(Machine):
 
 
 class Occupancy(Machine):
-    """Rows have track and change (enter, exit or stay), for one scope: deduplicated by track, ordered by the scope."""
+    """Rows have track and change (enter, exit or stay), for one scope: deduplicated by track, ordered by the scope.
+
+    The state is changed in place: it holds a place for each track, and who is inside. listed: results name those inside.
+    """
+
+    def __init__(self, policy: Policy, listed: bool = True):
+        super().__init__(policy)
+        self.listed = listed
 
     def initial(self) -> dict:
-        return super().initial() | {"positions": {}, "occupied": []}
+        return super().initial() | {"positions": {}, "occupied": set()}
 
     def apply(self, state: dict, row: dict) -> tuple[dict, dict]:
         track, at = row["track"], (row["t"], row["frame"])
         if track is None or None in at:
             return state, {"status": INVALID}
-        seen = state["positions"].get(track)
-        if seen is not None and tuple(seen) == at:
+        if state["positions"].get(track) == at:
             return state, {"status": DEDUPLICATED}
         if state["t"] is not None and at < (state["t"], state["frame"]):
             return state, {"status": REORDERED if state["t"] - row["t"] <= micros(self.policy.reorder_window) else LATE}
-        occupied, before = list(state["occupied"]), len(state["occupied"])
-        if row["change"] == "enter":
-            if track in occupied:
-                return state, {"status": ILLEGAL}
-            occupied = sorted([*occupied, track])
-        elif row["change"] == "exit":
-            if track not in occupied:
+        occupied = state["occupied"]
+        before, inside = len(occupied), track in occupied
+        if row["change"] in ("enter", "exit"):
+            if (row["change"] == "enter") == inside:
                 return state, {"status": ILLEGAL}
-            occupied.remove(track)
-        new = state | {"t": row["t"], "frame": row["frame"], "last_seen": row["t"], "positions": state["positions"] | {track: list(at)}, "occupied": occupied}
-        return new, {"status": APPLIED, "previous_count": before, "delta": len(occupied) - before, "occupancy_count": len(occupied), "occupied_tracks": occupied}
+            (occupied.add if row["change"] == "enter" else occupied.remove)(track)
+        state["positions"][track] = at
+        state |= {"t": row["t"], "frame": row["frame"], "last_seen": row["t"]}
+        out = {"status": APPLIED, "previous_count": before, "delta": len(occupied) - before, "occupancy_count": len(occupied)}
+        return state, out | {"occupied_tracks": sorted(occupied)} if self.listed else out
