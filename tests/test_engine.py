@@ -200,3 +200,49 @@ def test_observed_counts(spark):
 
     df, seen = counters.observed(spark.range(10), "numbers", even=F.col("id") % 2 == 0, large=F.col("id") > 7)
     assert df.count() == 10 and seen.get == {"even": 5, "large": 2}
+
+
+def engine_facts(spark):
+    t = lambda s: T0 + datetime.timedelta(seconds=s)
+    rows = [(1, "dwell_interval", "t", "cfg", t(0), 50.0, "a"), (2, "waiting_interval", "t", "cfg", t(1), 50.0, "a"), (3, "dwell_interval", None, "cfg", t(2), 50.0, "a"), (4, "other", "t", "cfg", t(3), 50.0, "a"), (5, None, "t", "cfg", t(4), 50.0, "a"), (6, "dwell_interval", "t", "cfg", t(5), -1.0, None)]
+    df = spark.createDataFrame(rows, "n int, fact_type string, tenant string, config string, event_time timestamp, duration_seconds double, context string")
+    return df.withColumns({"venue": F.lit("v"), "session": F.lit("s"), "camera": F.lit("c"), "track": F.lit("k"), "last_seen": F.col("event_time"), "interval_end": F.lit(None).cast("timestamp"), "first_occupancy": F.lit(1)})
+
+
+def test_rules_of_a_fact_in_one_pass(spark):
+    r = rules.default_registry()
+    chosen = [("dwell_threshold", "v1", {"dwell_threshold_seconds": 10}), ("turnover_delay", "v1", {"turnover_delay_seconds": 1, "service_window_seconds": 2}), ("service_gap_candidate", "v1", {"service_gap_grace_seconds": 3, "service_area_ids": ["a"]})]
+    out = r.evaluate_all(engine_facts(spark), chosen, ("n",))
+    got = sorted((x.n, str(x.rule_id), str(x.status), str(x.reason), str(x.result_error), x.event_id is not None, x.evidence_ref_id is not None) for x in out.collect())
+    assert got == sorted([
+        (1, "dwell_threshold", "match", "None", "None", True, True), (1, "turnover_delay", "match", "None", "None", True, True), (2, "service_gap_candidate", "match", "None", "None", True, True),
+        (3, "dwell_threshold", "invalid", "missing_scope", "None", False, False), (3, "turnover_delay", "invalid", "missing_scope", "None", False, False), (4, "None", "None", "None", "unknown_fact_type", False, False), (5, "None", "None", "None", "unknown_fact_type", False, False),
+        (6, "dwell_threshold", "invalid", "negative_duration", "None", False, False), (6, "turnover_delay", "invalid", "negative_duration", "None", False, False),
+    ])
+    one = {x.n: x.event_id for x in r.evaluate("dwell_threshold", "v1", engine_facts(spark), {"dwell_threshold_seconds": 10}).collect()}
+    many = {x.n: x.event_id for x in out.where("rule_id = 'dwell_threshold'").collect()}
+    assert set(one) == {1, 3, 6} and one[1] == many[1]
+
+
+def test_rules_pass_their_facts_once(spark, tmp_path):
+    engine_facts(spark).write.parquet(str(tmp_path / "facts"))
+    chosen = [("dwell_threshold", "v1", {"dwell_threshold_seconds": 10}), ("turnover_delay", "v1", {"turnover_delay_seconds": 1, "service_window_seconds": 2}), ("queue_candidate", "v1", {"waiting_qualification_seconds": 1, "queue_area_ids": ["a"]})]
+    out = rules.default_registry().evaluate_all(spark.read.parquet(str(tmp_path / "facts")), chosen, ("n",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Generate") == 1 and "Exchange" not in plan
+
+
+def test_wrong_results_carry_an_error_and_no_event(spark):
+    ok = lambda **claims: lambda config: rules.Result(F.lit("match"), F.lit(None).cast("string"), F.lit("x"), {}, claims)
+    wrong = {
+        "foreign_rule": ok(rule_id=F.lit("another")), "mixed_configuration": ok(config=F.lit("other")), "event_time_changed": ok(event_time=F.col("event_time") + F.expr("INTERVAL 1 SECOND")), "match_without_event": ok(event_id=F.lit(None).cast("string")), "event_id_differs": ok(event_id=F.lit("made up")),
+        "event_without_match": lambda c: rules.Result(F.lit("no_match"), F.lit(None).cast("string"), F.lit("x"), {}, {"event_id": F.lit("e")}), "invalid_without_reason": lambda c: rules.Result(F.lit("invalid"), F.lit(""), F.lit("x")), "unknown_status": lambda c: rules.Result(F.lit("maybe"), F.lit("r"), F.lit("x")),
+    }
+    r = rules.Registry()
+    for name, result in wrong.items():
+        r.register(rules.Rule(name, "v1", lambda df, c: df, "dwell_interval", result=result))
+    out = r.evaluate_all(engine_facts(spark).where("n = 1"), [(n, "v1", {}) for n in wrong], ()).collect()
+    assert {x.rule_id: x.result_error for x in out} == {n: n for n in wrong} and all(x.event_id is None and x.evidence_ref_id is None for x in out)
+    bad = rules.Registry()
+    bad.register(rules.Rule("r", "v1", lambda df, c: rules.dwell_threshold(df, c).withColumn("config", F.lit("other")), "dwell_interval"))
+    assert bad.evaluate("r", "v1", engine_facts(spark).where("n = 1"), {"dwell_threshold_seconds": 10}).first()["result_error"] == "mixed_configuration"

@@ -83,3 +83,36 @@ def rule_data_quality(spark, d):
     )
     out = rules.data_quality(f, {"known_spatial_contexts": ["c0", "c1", "c2"]})
     return out.select("event_id", F.array_join("findings", ",").alias("findings"), "severity")
+
+
+#: Six rules: id, version, configuration, fact type, and the condition, event type and findings in SQL.
+_MANY = (
+    ("dwell_threshold", "v1", {"dwell_threshold_seconds": 36000}, "dwell_interval", "secs >= 36000", "dwell_threshold_exceeded"),
+    ("turnover_delay", "v1", {"turnover_delay_seconds": 3600, "service_window_seconds": 7200}, "dwell_interval", "secs >= 10800 AND dwell_end IS NULL AND first_occupancy > 0", "turnover_delay"),
+    ("queue_candidate", "v1", {"waiting_qualification_seconds": 36000, "queue_area_ids": ["area1", "area2"]}, "waiting_interval", "secs >= 36000 AND context IN ('area1','area2')", "queue_candidate"),
+    ("queue_candidate", "v2", {"waiting_qualification_seconds": 7200, "queue_area_ids": ["area3"], "queue_max_length": 5}, "waiting_interval", "secs >= 7200 AND context = 'area3'", "queue_candidate"),
+    ("service_gap_candidate", "v1", {"service_gap_grace_seconds": 7200, "service_area_ids": ["area0", "area1"]}, "waiting_interval", "secs >= 7200 AND dwell_end IS NULL AND context IN ('area0','area1')", "service_gap_candidate"),
+    ("data_quality", "v1", {"known_spatial_contexts": ["area0", "area1", "area2"]}, "any", "context = 'area3' OR config IS NULL", "data_quality"),
+)
+_FOUND = "array_to_string(list_filter([CASE WHEN config IS NULL THEN 'DATA_INVALID_PROVENANCE' END, CASE WHEN context = 'area3' THEN 'DATA_UNKNOWN_CONTEXT' END], lambda z: z IS NOT NULL), ',')"
+
+
+def _many_sql() -> str:
+    parts = []
+    for rule, version, _, kind, hit, event in _MANY:
+        name = f"'rule_event|t1|v1|s1|cam' || scope || '|' || track || '|' || context || '|{rule}|{version}|{event}|' || {_ISO} || '|' || coalesce(config, '')"
+        bad = "false" if kind == "any" else "config IS NULL"
+        status = f"CASE WHEN {bad} THEN 'invalid' WHEN {hit} THEN 'match' ELSE 'no_match' END"
+        parts.append(f"SELECT track::VARCHAR AS track, ordinal, '{rule}' AS rule_id, '{version}' AS rule_version, {status} AS status, CASE WHEN {bad} THEN 'missing_scope' END AS reason, CASE WHEN {status} = 'match' THEN {_uuid(name)} END AS event_id, {_FOUND if kind == 'any' else 'NULL'} AS findings FROM many" + ("" if kind == "any" else f" WHERE fact_type = '{kind}'"))
+    return f"WITH RECURSIVE {_FACTS}, many AS (SELECT *, CASE WHEN (track + ordinal) % 2 = 0 THEN 'dwell_interval' ELSE 'waiting_interval' END AS fact_type, CASE WHEN (track + ordinal) % 7 <> 0 THEN 'cfg1' END AS config FROM facts) " + " UNION ALL ".join(parts)
+
+
+@query(_many_sql())
+def rule_engine(spark, d):
+    """Six rules over dwell and waiting facts in one pass over the facts."""
+    even = (F.col("track").cast("long") + F.col("ordinal")) % 2 == 0
+    none = {"previous_event_time": "timestamp", "time_delta_seconds": "double", "qualified": "boolean", "minimum_seconds": "double", "previous_count": "int", "delta": "int", "occupancy_count": "int"}
+    f = dwell_facts(spark, d).withColumn("fact_type", F.when(even, "dwell_interval").otherwise("waiting_interval")).withColumn("config", F.when((F.col("track").cast("long") + F.col("ordinal")) % 7 != 0, F.col("config")))
+    f = f.drop(*none).withColumns({k: F.lit(None).cast(t) for k, t in none.items()} | {"fsm_version": F.lit("1"), "policy_revision": F.lit("r1"), "evaluation_config": F.col("config")})
+    out = REGISTRY.evaluate_all(f, [m[:3] for m in _MANY], ("track", "ordinal"))
+    return out.select("track", "ordinal", "rule_id", "rule_version", "status", "reason", "event_id", F.col("details")["findings"].alias("findings"))

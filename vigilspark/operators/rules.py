@@ -26,11 +26,28 @@ def _number(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def _outcome(df: DataFrame, invalid: list[tuple[Column, str]], matched: Column, event_type: Column | str) -> DataFrame:
+@dataclass(frozen=True)
+class Result:
+    """What a rule says of a fact, as Columns over the fact. details: further named values, as text.
+
+    claims: identities that an evaluator states itself (rule_id, rule_version, config, event_time, event_id); they are checked.
+    """
+
+    status: Column
+    reason: Column
+    event_type: Column
+    details: dict[str, Column] = field(default_factory=dict)
+    claims: dict[str, Column] = field(default_factory=dict)
+
+
+def _result(invalid: list[tuple[Column, str]], matched: Column, event_type: Column | str, **details: Column) -> Result:
     reason = reduce(lambda acc, x: F.coalesce(acc, F.when(F.coalesce(x[0], F.lit(True)), F.lit(x[1]))), invalid, F.lit(None).cast("string"))
-    status = F.when(F.col("reason").isNotNull(), INVALID).when(F.coalesce(matched, F.lit(False)), MATCH).otherwise(NO_MATCH)
-    out = df.withColumn("reason", reason).withColumn("status", status)
-    return out.withColumn("event_type", F.when(F.col("status") == MATCH, F.lit(event_type) if isinstance(event_type, str) else event_type))
+    status = F.when(reason.isNotNull(), INVALID).when(F.coalesce(matched, F.lit(False)), MATCH).otherwise(NO_MATCH)
+    return Result(status, reason, F.when(status == MATCH, F.lit(event_type) if isinstance(event_type, str) else event_type), details)
+
+
+def _applied(facts: DataFrame, result: Result) -> DataFrame:
+    return facts.withColumns({"reason": result.reason, "status": result.status, "event_type": result.event_type} | result.details)
 
 
 def _duration_checks() -> list[tuple[Column, str]]:
@@ -38,40 +55,62 @@ def _duration_checks() -> list[tuple[Column, str]]:
     return [(F.col("event_time") != F.col("last_seen"), "event_time_mismatch"), (d.isNull() | F.isnan(d), "missing_duration"), (d < 0, "negative_duration")]
 
 
-def occupancy_session(snapshots: DataFrame, config: dict) -> DataFrame:
+def occupancy_result(config: dict) -> Result:
     started = (F.col("previous_count") == 0) & (F.col("occupancy_count") > 0)
     ended = (F.col("previous_count") > 0) & (F.col("occupancy_count") == 0)
     wrong = (F.col("previous_count") < 0) | (F.col("occupancy_count") < 0)
-    out = _outcome(snapshots, [(wrong, "negative_count")], started | ended, "occupancy_session")
-    return out.withColumn("phase", F.when(F.col("status") == MATCH, F.when(started, "started").otherwise("ended")))
+    return _result([(wrong, "negative_count")], started | ended, "occupancy_session", phase=F.when(~wrong, F.when(started, "started").when(ended, "ended")))
 
 
-def dwell_threshold(intervals: DataFrame, config: dict) -> DataFrame:
-    limit = float(config["dwell_threshold_seconds"])
-    return _outcome(intervals, _duration_checks(), F.col("duration_seconds") >= limit, "dwell_threshold_exceeded")
+def dwell_result(config: dict) -> Result:
+    return _result(_duration_checks(), F.col("duration_seconds") >= float(config["dwell_threshold_seconds"]), "dwell_threshold_exceeded")
 
 
-def queue_candidate(intervals: DataFrame, config: dict) -> DataFrame:
+def queue_result(config: dict) -> Result:
     areas, limit = list(config["queue_area_ids"]), float(config["waiting_qualification_seconds"])
-    return _outcome(intervals, _duration_checks(), F.col("context").isin(areas) & (F.col("duration_seconds") >= limit), "queue_candidate")
+    return _result(_duration_checks(), F.col("context").isin(areas) & (F.col("duration_seconds") >= limit), "queue_candidate")
 
 
-def queue_candidate_v2(intervals: DataFrame, config: dict) -> DataFrame:
+def queue_v2_result(config: dict) -> Result:
     if config["queue_max_length"] <= 0:
         raise ValueError("queue_max_length must be positive")
-    return queue_candidate(intervals, config)
+    return queue_result(config)
 
 
-def service_gap_candidate(intervals: DataFrame, config: dict) -> DataFrame:
+def service_gap_result(config: dict) -> Result:
     areas, grace = list(config["service_area_ids"]), float(config["service_gap_grace_seconds"])
-    return _outcome(intervals, _duration_checks(), F.col("interval_end").isNull() & F.col("context").isin(areas) & (F.col("duration_seconds") >= grace), "service_gap_candidate")
+    return _result(_duration_checks(), F.col("interval_end").isNull() & F.col("context").isin(areas) & (F.col("duration_seconds") >= grace), "service_gap_candidate")
 
 
-def turnover_delay(intervals: DataFrame, config: dict) -> DataFrame:
+def turnover_result(config: dict) -> Result:
     """Open dwell with a context; where first_occupancy is given it must be positive."""
     limit = float(config["service_window_seconds"]) + float(config["turnover_delay_seconds"])
     occupied = F.col("first_occupancy").isNull() | (F.col("first_occupancy") > 0)
-    return _outcome(intervals, _duration_checks(), F.col("interval_end").isNull() & F.col("context").isNotNull() & occupied & (F.col("duration_seconds") >= limit), "turnover_delay")
+    return _result(_duration_checks(), F.col("interval_end").isNull() & F.col("context").isNotNull() & occupied & (F.col("duration_seconds") >= limit), "turnover_delay")
+
+
+def occupancy_session(snapshots: DataFrame, config: dict) -> DataFrame:
+    return _applied(snapshots, occupancy_result(config))
+
+
+def dwell_threshold(intervals: DataFrame, config: dict) -> DataFrame:
+    return _applied(intervals, dwell_result(config))
+
+
+def queue_candidate(intervals: DataFrame, config: dict) -> DataFrame:
+    return _applied(intervals, queue_result(config))
+
+
+def queue_candidate_v2(intervals: DataFrame, config: dict) -> DataFrame:
+    return _applied(intervals, queue_v2_result(config))
+
+
+def service_gap_candidate(intervals: DataFrame, config: dict) -> DataFrame:
+    return _applied(intervals, service_gap_result(config))
+
+
+def turnover_delay(intervals: DataFrame, config: dict) -> DataFrame:
+    return _applied(intervals, turnover_result(config))
 
 
 @dataclass(frozen=True)
@@ -84,6 +123,13 @@ class Rule:
     evidence: str = "required"
     positive: tuple[str, ...] = field(default=())
     engine_version: str = "1"
+    #: the same as Columns, for many rules in one pass
+    result: Callable[[dict], Result] | None = None
+
+
+#: Parts of a fact's scope, which rules need (data quality tells of facts that lack them instead).
+SCOPE = ("tenant", "venue", "session", "config")
+_IDENTITY = ("tenant", "venue", "session", "camera", "track", "context", "rule_id", "rule_version", "event_type", "event_time", "config")
 
 
 class Registry:
@@ -106,8 +152,7 @@ class Registry:
             raise ValueError(f"bad evidence requirement {rule.evidence}")
         self._rules[rule.rule_id, rule.version] = rule
 
-    def evaluate(self, rule_id: str, version: str, facts: DataFrame, config: dict) -> DataFrame:
-        """Facts with the rule's status, reason and event columns, and the event id of matches; results are checked (result_error) and the rule's evidence policy applied."""
+    def _rule(self, rule_id: str, version: str, config: dict) -> Rule:
         rule = self._rules.get((rule_id, version))
         if rule is None:
             raise KeyError(f"no rule {rule_id} {version}")
@@ -115,21 +160,86 @@ class Registry:
             raise ValueError(f"{rule_id}: configuration lacks {missing}")
         if wrong := [k for k in rule.positive if not config[k] > 0]:
             raise ValueError(f"{rule_id}: must be positive: {wrong}")
-        out = rule.evaluate(facts, config).withColumn("rule_id", F.lit(rule_id)).withColumn("rule_version", F.lit(version))
-        event = ids.rule_event_id(*(F.col(c) for c in ("tenant", "venue", "session", "camera", "track", "context", "rule_id", "rule_version", "event_type", "event_time", "config")))
-        return with_evidence(out.withColumn("event_id", F.when(F.col("status") == MATCH, event)), rule.evidence)
+        return rule
+
+    def evaluate(self, rule_id: str, version: str, facts: DataFrame, config: dict) -> DataFrame:
+        """Facts with the rule's status, reason and event columns, and the event id of matches; results are checked (result_error) and the rule's evidence policy applied.
+
+        Facts that name another fact_type than the rule's are left out.
+        """
+        rule = self._rule(rule_id, version, config)
+        if "fact_type" in facts.columns and rule.fact_type != "any":
+            facts = facts.where(F.col("fact_type") == rule.fact_type)
+        given = facts.withColumns({"fact_config": F.col("config"), "fact_event_time": F.col("event_time")})
+        out = rule.evaluate(given, config)
+        out = out.withColumns({c: F.col(c) if c in out.columns and c not in facts.columns else F.lit(v) for c, v in (("rule_id", rule_id), ("rule_version", version))})
+        made = F.when(F.col("status") == MATCH, ids.rule_event_id(*(F.col(c) for c in _IDENTITY)))
+        out = out.withColumn("event_id", made) if "event_id" not in out.columns or "event_id" in facts.columns else out
+        checked = result_errors(out, rule_id, version).withColumn("result_error", F.coalesce("result_error", F.when(F.col("event_id") != made, "event_id_differs")))
+        return with_evidence(checked.drop("fact_config", "fact_event_time"), rule.evidence)
+
+    def evaluate_all(self, facts: DataFrame, chosen: list[tuple[str, str, dict]], keep: tuple[str, ...]) -> DataFrame:
+        """Results of many rules (id, version, configuration) over facts in one pass: one row for each fact and rule of its fact_type.
+
+        facts: fact_type and the columns that the rules read. Rows are keep (columns of the fact), rule_id, rule_version,
+        status, reason, event_type, event_id, evidence_ref_id, details and result_error. A fact without its scope is invalid
+        (missing_scope) to all rules but data quality; a fact of a type that no chosen rule takes has one row with the
+        result_error unknown_fact_type. Matches carry an event id made from the fact, never an evaluator's own.
+        """
+        each, taken, text = [], set(), F.lit(None).cast("string")
+        lacking = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in SCOPE))
+
+        def result(rule_id, version, status, reason, event_type, details, evidence, claims, error=text) -> Column:
+            own = {c: claims.get(c, v) for c, v in (("rule_id", rule_id), ("rule_version", version), ("config", F.col("config")), ("event_time", F.col("event_time")), ("event_id", text))}
+            named = {"rule_id": rule_id, "rule_version": version, "status": status, "reason": reason, "event_type": event_type, "details": details, "evidence": evidence, "error": error, "claims_event": F.lit("event_id" in claims)}
+            return F.struct(*(v.alias(k) for k, v in (named | {f"own_{k}": v for k, v in own.items()}).items()))
+
+        for rule_id, version, config in chosen:
+            rule = self._rule(rule_id, version, config)
+            if rule.result is None:
+                raise ValueError(f"{rule_id} {version} is no rule of columns")
+            taken.add(rule.fact_type)
+            r, free = rule.result(config), rule.fact_type == "any"
+            status = r.status if free else F.when(lacking, INVALID).otherwise(r.status)
+            reason = r.reason if free else F.when(lacking, "missing_scope").otherwise(r.reason)
+            details = F.map_from_arrays(F.array(*map(F.lit, r.details)), F.array(*(v.cast("string") for v in r.details.values()))) if r.details else F.lit(None).cast("map<string,string>")
+            made = result(F.lit(rule_id), F.lit(version), status, reason, r.event_type, details, F.lit(rule.evidence == "required"), r.claims)
+            each.append(made if free else F.when(F.col("fact_type") == rule.fact_type, made))
+        if "any" not in taken:
+            unknown = result(text, text, text, text, text, F.lit(None).cast("map<string,string>"), F.lit(False), {}, F.lit("unknown_fact_type"))
+            each.append(F.when(~F.coalesce(F.col("fact_type").isin(sorted(taken)), F.lit(False)), unknown))
+        fact = [F.col(c).alias(f"_f_{c}") for c in ("tenant", "venue", "session", "camera", "track", "context", "event_time", "config")]
+        rows = facts.select(*keep, *fact, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_r"))
+        # from here on once for each result: the event's id from the fact, and what the evaluator said against it
+        of = lambda c: F.col(f"_r.{c}")
+        matched = F.coalesce(of("status") == MATCH, F.lit(False))
+        identity = [F.col(f"_f_{c}") for c in ("tenant", "venue", "session", "camera", "track", "context")]
+        rows = rows.withColumn("_event", F.when(matched, ids.rule_event_id(*identity, of("rule_id"), of("rule_version"), of("event_type"), F.col("_f_event_time"), F.col("_f_config"))))
+        claimed = F.when(of("claims_event"), of("own_event_id")).otherwise(F.col("_event"))
+        error = (
+            F.when(of("error").isNotNull(), of("error")).when((of("own_rule_id") != of("rule_id")) | (of("own_rule_version") != of("rule_version")), "foreign_rule").when(~of("own_config").eqNullSafe(F.col("_f_config")), "mixed_configuration")
+            .when(~of("own_event_time").eqNullSafe(F.col("_f_event_time")), "event_time_changed").when(~F.coalesce(of("status").isin(MATCH, NO_MATCH, INVALID), F.lit(False)), "unknown_status").when(~matched & claimed.isNotNull(), "event_without_match")
+            .when(matched & claimed.isNull(), "match_without_event").when(matched & (claimed != F.col("_event")), "event_id_differs").when((of("status") == INVALID) & (F.coalesce(of("reason"), F.lit("")) == ""), "invalid_without_reason")
+        )
+        rows = rows.withColumn("_error", error)
+        event = F.when(F.col("_error").isNull(), F.col("_event"))
+        evidence = F.when(of("evidence"), F.when(event.isNotNull(), ids.evidence_ref_id(event, F.col("_f_session"))))
+        return rows.select(
+            *keep, of("rule_id").alias("rule_id"), of("rule_version").alias("rule_version"), of("status").alias("status"), of("reason").alias("reason"), F.when(matched, of("event_type")).alias("event_type"), event.alias("event_id"),
+            evidence.alias("evidence_ref_id"), of("details").alias("details"), F.col("_error").alias("result_error"),
+        )
 
 
 def default_registry() -> Registry:
     r = Registry()
     for rule in (
-        Rule("occupancy_session", "v1", occupancy_session, "occupancy_snapshot"),
-        Rule("dwell_threshold", "v1", dwell_threshold, "dwell_interval", ("dwell_threshold_seconds",), positive=("dwell_threshold_seconds",)),
-        Rule("queue_candidate", "v1", queue_candidate, "waiting_interval", ("waiting_qualification_seconds", "queue_area_ids")),
-        Rule("queue_candidate", "v2", queue_candidate_v2, "waiting_interval", ("waiting_qualification_seconds", "queue_area_ids", "queue_max_length")),
-        Rule("service_gap_candidate", "v1", service_gap_candidate, "waiting_interval", ("service_gap_grace_seconds", "service_area_ids")),
-        Rule("turnover_delay", "v1", turnover_delay, "dwell_interval", ("turnover_delay_seconds", "service_window_seconds"), positive=("turnover_delay_seconds",)),
-        Rule("data_quality", "v1", lambda df, c: data_quality(df, c), "any", ("known_spatial_contexts",)),
+        Rule("occupancy_session", "v1", occupancy_session, "occupancy_snapshot", result=occupancy_result),
+        Rule("dwell_threshold", "v1", dwell_threshold, "dwell_interval", ("dwell_threshold_seconds",), positive=("dwell_threshold_seconds",), result=dwell_result),
+        Rule("queue_candidate", "v1", queue_candidate, "waiting_interval", ("waiting_qualification_seconds", "queue_area_ids"), result=queue_result),
+        Rule("queue_candidate", "v2", queue_candidate_v2, "waiting_interval", ("waiting_qualification_seconds", "queue_area_ids", "queue_max_length"), result=queue_v2_result),
+        Rule("service_gap_candidate", "v1", service_gap_candidate, "waiting_interval", ("service_gap_grace_seconds", "service_area_ids"), result=service_gap_result),
+        Rule("turnover_delay", "v1", turnover_delay, "dwell_interval", ("turnover_delay_seconds", "service_window_seconds"), positive=("turnover_delay_seconds",), result=turnover_result),
+        Rule("data_quality", "v1", lambda df, c: data_quality(df, c), "any", ("known_spatial_contexts",), result=lambda c: quality_result(c)),
     ):
         r.register(rule)
     return r
@@ -156,13 +266,27 @@ def quality_checks(known_contexts: list[str]) -> dict[str, tuple[str, Column]]:
     }
 
 
+_RANKS = {"critical": 0, "error": 1, "warning": 2}
+
+
+def _findings(config: dict) -> tuple[Column, Column]:
+    """The codes of a fact's findings, sorted, and the gravest (rank, code, severity)."""
+    checks = quality_checks(list(config["known_spatial_contexts"]))
+    each = F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(_RANKS[sev]).alias("rank"), F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for code, (sev, cond) in checks.items()))
+    found = F.filter(each, lambda x: x.isNotNull())
+    return F.array_sort(F.transform(found, lambda x: x["code"])), F.array_min(found)
+
+
+def quality_result(config: dict) -> Result:
+    codes, headline = _findings(config)
+    matched = F.size(codes) > 0
+    return Result(F.when(matched, MATCH).otherwise(NO_MATCH), F.lit(None).cast("string"), F.when(matched, "data_quality"), {"findings": F.array_join(codes, ","), "headline": headline["code"], "severity": headline["severity"]})
+
+
 def data_quality(facts: DataFrame, config: dict) -> DataFrame:
     """All findings of each fact, sorted by code, the gravest first as headline; a fact with a finding matches."""
-    rank = {"critical": 0, "error": 1, "warning": 2}
-    checks = quality_checks(list(config["known_spatial_contexts"]))
-    found = F.array_sort(F.filter(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, (_, cond) in checks.items())), lambda x: x.isNotNull()))
-    order = F.array(*(F.when(F.array_contains("findings", code), F.struct(F.lit(rank[sev]).alias("rank"), F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for code, (sev, _) in checks.items()))
-    out = facts.withColumn("findings", found).withColumn("headline", F.array_min(F.filter(order, lambda x: x.isNotNull())))
+    codes, headline = _findings(config)
+    out = facts.withColumn("findings", codes).withColumn("headline", headline)
     out = out.withColumn("severity", F.col("headline.severity")).withColumn("headline", F.col("headline.code"))
     return out.withColumn("reason", F.lit(None).cast("string")).withColumn("status", F.when(F.size("findings") > 0, MATCH).otherwise(NO_MATCH)).withColumn("event_type", F.when(F.size("findings") > 0, "data_quality"))
 
