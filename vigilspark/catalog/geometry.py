@@ -258,3 +258,39 @@ def spatial_camera_observations(spark, d):
 def spatial_camera_errors(spark, d):
     points, cams, rings = _camera_inputs(spark, d)
     return spatial.evaluate_cameras(points.where("not (point_id % 50 = 5 and space = 'venue_local')"), cams, rings, None, ["table-5"])[1].select(F.col("point_id").alias("frame"), "error_code")
+
+
+#: Shapes of unit cells, counter-clockwise: an L, a U and a square, as cells and as rings.
+_SHAPES = {
+    "l": ([(0, 0), (1, 0), (2, 0), (0, 1), (0, 2)], [(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3), (0, 0)]),
+    "u": ([(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (2, 2)], [(0, 0), (3, 0), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3), (0, 0)]),
+    "s": ([(0, 0), (1, 0), (0, 1), (1, 1)], [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]),
+}
+_CELLS = ", ".join(f"('{n}', {x}, {y})" for n, (cells, _) in _SHAPES.items() for x, y in cells)
+
+
+@query(f"""WITH c(s, x, y) AS (VALUES {_CELLS}), k AS (SELECT s_suppkey, ['l', 'u', 's'][s_suppkey % 3 + 1] AS sa, ['l', 'u', 's'][s_suppkey // 3 % 3 + 1] AS sb, s_suppkey // 9 % 5 - 1 AS dx, s_suppkey // 45 % 5 - 1 AS dy FROM supplier),
+a AS (SELECT s_suppkey, x, y FROM k JOIN c ON s = sa), b AS (SELECT s_suppkey, x + dx AS x, y + dy AS y FROM k JOIN c ON s = sb), n AS (SELECT s_suppkey, count(*) AS n FROM b GROUP BY ALL),
+i AS (SELECT s_suppkey, count(*) AS cells FROM a JOIN b USING (s_suppkey, x, y) GROUP BY ALL), g AS (SELECT DISTINCT a.s_suppkey FROM a JOIN b ON a.s_suppkey = b.s_suppkey AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)
+SELECT s_suppkey, coalesce(cells, 0)::DOUBLE AS overlap, coalesce(cells, 0) = n AS contains, cells IS NULL AND g.s_suppkey IS NOT NULL AS touches FROM k JOIN n USING (s_suppkey) LEFT JOIN i USING (s_suppkey) LEFT JOIN g USING (s_suppkey)""")
+def geo_overlay(spark, d):
+    """Concave shapes against each other at all offsets, some clockwise; the SQL counts unit cells."""
+    k = F.col("s_suppkey")
+    shape = lambda n, dx, dy: F.element_at(F.array(*(F.array(*(F.struct((F.lit(float(x)) + dx).alias("x"), (F.lit(float(y)) + dy).alias("y")) for x, y in r)) for _, r in _SHAPES.values())), (n % 3 + 1).cast("int"))
+    zero = F.lit(0.0)
+    a, b = shape(k, zero, zero), shape(F.floor(k / 3), F.floor(k / 9) % 5 - 1.0, F.floor(k / 45) % 5 - 1.0)
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(k % 2 == 0, a).otherwise(F.reverse(a)).alias("a"), F.when(k % 7 < 3, b).otherwise(F.reverse(b)).alias("b"))
+    s = s.withColumn("overlap", G.overlay_area(F.col("a"), F.col("b")))
+    return s.select("s_suppkey", F.round("overlap", 9).alias("overlap"), G.overlay_contains(F.col("a"), F.col("b"), F.col("overlap")).alias("contains"), G.overlay_touches(F.col("a"), F.col("b"), F.col("overlap")).alias("touches"))
+
+
+@query("""WITH r AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS image, s_suppkey / 7.0::DOUBLE AS x, s_suppkey / 9.0::DOUBLE AS y, s_suppkey % 3 = 0 AS open FROM supplier)
+SELECT s_suppkey, CASE WHEN open THEN 4 ELSE 5 END + CASE WHEN open THEN 1 ELSE 0 END AS points, round_even(x, CASE WHEN image THEN 6 ELSE 3 END) AS x, round_even(y, CASE WHEN image THEN 6 ELSE 3 END) AS y FROM r""")
+def geo_canonical_ring(spark, d):
+    """Rings rounded by their space and closed."""
+    k = F.col("s_suppkey")
+    x, y = k / 7, k / 9
+    open_ring = F.array(G.point(x, y), G.point(x + 1, y), G.point(x + 1, y + 1), G.point(x, y + 1))
+    ring = F.when(k % 3 == 0, open_ring).otherwise(F.concat(open_ring, F.slice(open_ring, 1, 1)))
+    s = table(spark, d, "supplier").select("s_suppkey", G.canonical_ring(ring, F.when(k % 2 == 0, "image_normalized").otherwise("venue_local")).alias("r"))
+    return s.select("s_suppkey", F.size("r").alias("points"), F.col("r")[0]["x"].alias("x"), F.col("r")[F.size("r") - 1]["y"].alias("y"))

@@ -183,16 +183,16 @@ _T = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0
 
 
 @query(f"""SELECT event_id, {_uuid(f"'dwell|k' || user_id || '|' || {_T} || '|' || {_T} || '|f1|p1'")} AS closed, {_uuid(f"'dwell|k' || user_id || '|' || {_T} || '|f1|p1'")} AS opened, {_uuid(f"'occupancy_snapshot|k' || user_id || '|' || {_T} || '|3|src'")} AS snapshot,
-{_uuid(f"'k' || user_id || '|' || event_id || '|' || {_T} || '|absent|present|present|enter_confirmed'")} AS transition, {_uuid(f"'movement_measurement|k' || user_id || '|' || {_T} || '|' || {_T} || '|' || printf('%.12f', value)")} AS measurement,
+{_uuid(f"'k' || user_id || '|' || event_id || '|' || {_T} || '|absent|present|present|enter_confirmed'")} AS transition, {_uuid(f"'k' || user_id || '|' || {_T} || '|' || {_T} || '|' || value::DOUBLE || '|' || (value::DOUBLE / 3) || '|' || (value::DOUBLE * 1e-7) || '|' || (value::DOUBLE * 1e15) || '|f1|p1'")} AS measurement,
 {_uuid(f"'evidence_extraction|r' || event_id || '|' || {_T} || '|' || {_T}")} AS extraction, {_uuid("'evidence_package|r' || event_id || '|abc'")} AS package FROM events""")
 def id_derived(spark, d):
     """Identities of intervals, snapshots, transitions, measurements, extractions and packages."""
     e, t = table(spark, d, "events"), F.col("ts").cast("timestamp")
     key, ref = F.concat(F.lit("k"), F.col("user_id").cast("string")), F.concat(F.lit("r"), F.col("event_id").cast("string"))
-    none = F.lit(None).cast("timestamp")
+    none, v = F.lit(None).cast("timestamp"), F.col("value").cast("double")
     return e.select(
         "event_id", ids.interval_id("dwell", key, t, t, "f1", "p1").alias("closed"), ids.interval_id("dwell", key, t, none, "f1", "p1").alias("opened"), ids.snapshot_id(key, t, F.lit(3), F.lit("src")).alias("snapshot"),
-        ids.transition_id(key, F.col("event_id"), t, F.lit("absent"), F.lit("present"), F.lit("present"), F.lit("enter_confirmed")).alias("transition"), ids.measurement_id(key, t, t, F.col("value").cast("double")).alias("measurement"),
+        ids.transition_id(key, F.col("event_id"), t, F.lit("absent"), F.lit("present"), F.lit("present"), F.lit("enter_confirmed")).alias("transition"), ids.measurement_id(key, t, t, v, v / 3, v * 1e-7, v * 1e15, "f1", "p1").alias("measurement"),
         ids.extraction_id(ref, t, t).alias("extraction"), ids.package_id(ref, F.lit("abc")).alias("package"),
     )
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilspark.functions.numbers import round_half_even
+
 TOLERANCE = 1e-9
 AREA_TOLERANCE = 1e-6
 
@@ -102,13 +104,15 @@ def clip_area(subject: Column, clip: Column) -> Column:
 
         def part(pair: Column) -> Column:
             s, t = pair["a"], pair["b"]
-            ss, st = signed_side(a, b, s), signed_side(a, b, t)
+            ss, st = s["side"], t["side"]
             r = ss / F.nullif(ss - st, zero)
             meet = F.struct((s["x"] + r * (t["x"] - s["x"])).alias("x"), (s["y"] + r * (t["y"] - s["y"])).alias("y"))
-            none = F.slice(F.array(t), 1, 0)
-            return F.when((ss >= 0) & (st >= 0), F.array(t)).when((ss < 0) & (st >= 0), F.array(meet, t)).when((ss >= 0) & (st < 0), F.array(meet)).otherwise(none)
+            own = F.struct(t["x"].alias("x"), t["y"].alias("y"))
+            none = F.slice(F.array(own), 1, 0)
+            return F.when((ss >= 0) & (st >= 0), F.array(own)).when((ss < 0) & (st >= 0), F.array(meet, own)).when((ss >= 0) & (st < 0), F.array(meet)).otherwise(none)
 
-        return F.when(F.size(points) == 0, points).otherwise(F.flatten(F.transform(edges(ring), part)))
+        sided = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), signed_side(a, b, p).alias("side")))
+        return F.when(F.size(points) == 0, points).otherwise(F.flatten(F.transform(edges(sided), part)))
 
     start = F.slice(subject, 1, F.size(subject) - 1)
     left = F.aggregate(edges(clip), F.transform(start, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))), cut)
@@ -200,10 +204,58 @@ def normalize_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column,
     return F.when(good, F.struct(*(v.alias(n) for v, n in zip(c, ("x_min", "y_min", "x_max", "y_max"), strict=True))))
 
 
-def canonical_ring(points: list[tuple[float, float]], space: str) -> list[tuple[float, float]]:
-    """Dimension geometry, made canonical on the driver: rounded (6 places in images, 3 in venues) and closed."""
-    places = 6 if space == "image_normalized" else 3
-    out = [(round(x, places), round(y, places)) for x, y in points]
-    if out and (abs(out[0][0] - out[-1][0]) > AREA_TOLERANCE or abs(out[0][1] - out[-1][1]) > AREA_TOLERANCE):
-        out.append(out[0])
-    return out
+def canonical_ring(ring: Column, space: Column) -> Column:
+    """A ring with rounded coordinates (6 places in images, 3 in venues), closed by its first point unless it is within the tolerance."""
+    image = space == "image_normalized"
+    place = lambda v: F.when(image, round_half_even(v, 6)).otherwise(round_half_even(v, 3))
+    out = F.transform(ring, lambda p: F.struct(place(p["x"]).alias("x"), place(p["y"]).alias("y")))
+    return F.get(F.transform(F.array(out), lambda r: F.when((F.size(r) == 0) | is_closed(r), r).otherwise(F.concat(r, F.slice(r, 1, 1)))), F.lit(0))
+
+
+def triangles(ring: Column) -> Column:
+    """The triangles of a ring's edges with its first point, counter-clockwise, each with the sign of its winding.
+
+    Their signed sum is the polygon whatever its shape: what lies outside of a concave one cancels out.
+    """
+    first = F.get(ring, F.lit(0))
+
+    def one(e: Column) -> Column:
+        turn = signed_side(first, e["a"], e["b"])
+        corner = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+        second, third = F.when(turn > 0, corner(e["a"])).otherwise(corner(e["b"])), F.when(turn > 0, corner(e["b"])).otherwise(corner(e["a"]))
+        return F.struct(F.array(corner(first), second, third, corner(first)).alias("ring"), F.signum(turn).alias("sign"))
+
+    return F.filter(F.transform(edges(ring), one), lambda t: t["sign"] != 0)
+
+
+def overlay_area(a: Column, b: Column) -> Column:
+    """Area of the intersection of two simple polygons, concave ones and either winding included."""
+
+    def apart(s: Column, t: Column) -> Column:
+        lows, highs = (lambda r, c: F.array_min(F.transform(r, lambda p: p[c]))), (lambda r, c: F.array_max(F.transform(r, lambda p: p[c])))
+        return (highs(s, "x") <= lows(t, "x")) | (highs(t, "x") <= lows(s, "x")) | (highs(s, "y") <= lows(t, "y")) | (highs(t, "y") <= lows(s, "y"))
+
+    def of(both: Column) -> Column:  # each polygon's triangles are made once
+        def pair(total: Column, t: Column) -> Column:
+            return F.aggregate(both["b"], total, lambda u, v: u + F.when(apart(t["ring"], v["ring"]), 0.0).otherwise(t["sign"] * v["sign"] * clip_area(t["ring"], v["ring"])))
+
+        return F.aggregate(both["a"], F.lit(0.0), pair)
+
+    turned = F.signum(signed_area(a)) * F.signum(signed_area(b))
+    area_ = F.get(F.transform(F.array(F.struct(triangles(a).alias("a"), triangles(b).alias("b"))), of), F.lit(0))
+    return F.greatest(area_ * turned, F.lit(0.0))
+
+
+def overlay_contains(outer: Column, inner: Column, overlap: Column | None = None) -> Column:
+    """Whether no part of inner lies outside of outer; common boundaries do not matter. overlap: their overlay_area where it is known."""
+    return (area(inner) > AREA_TOLERANCE) & ((overlay_area(outer, inner) if overlap is None else overlap) >= area(inner) - AREA_TOLERANCE)
+
+
+def overlay_touches(a: Column, b: Column, overlap: Column | None = None) -> Column:
+    """Whether only the boundaries of two polygons meet."""
+    return touches(a, b) & ((overlay_area(a, b) if overlap is None else overlap) <= AREA_TOLERANCE)
+
+
+def overlay_valid(ring: Column) -> Column:
+    """Closed, without crossing edges, and with an area beyond the tolerance."""
+    return valid_polygon(ring) & (area(ring) > AREA_TOLERANCE)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilspark.functions.numbers import shortest
+
 #: Fixed value: the URL namespace of name-based UUIDs.
 NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -95,9 +97,8 @@ def snapshot_id(key: Column, event_time: Column, count: Column, source: Column)
     return uuid5(joined("occupancy_snapshot", key, iso(event_time), count, source))
 
 
-def measurement_id(key: Column, before: Column, now: Column, *coordinates: Column) -> Column:
-    """Coordinates enter with twelve decimals, which Spark and Python print alike."""
-    return uuid5(joined("movement_measurement", key, iso(before), iso(now), *(F.format_string("%.12f", c) for c in coordinates)))
+def measurement_id(key: Column, before: Column, now: Column, x0: Column, y0: Column, x1: Column, y1: Column, fsm_version: str, policy: str) -> Column:
+    return uuid5(joined(key, iso(before), iso(now), *(shortest(c) for c in (x0, y0, x1, y1)), fsm_version, policy))
 
 
 def extraction_id(ref: Column, start: Column, end: Column) -> Column:
