@@ -6,7 +6,7 @@ from vigilspark.catalog import common
 
 
 def _load() -> None:
-    from vigilspark.catalog import evidence, geometry, identity, more, queues, reads, rules, temporal, tracking, worker  # noqa: F401
+    from vigilspark.catalog import evidence, geometry, identity, more, queues, reads, rules, streams, temporal, tracking, worker  # noqa: F401
 
 
 def queries() -> dict:

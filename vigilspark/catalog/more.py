@@ -224,3 +224,37 @@ def config_publishable(spark, d):
     k = F.col("o_orderkey")
     v = table(spark, d, "orders").select(k.alias("version_id"), (F.col("o_custkey") % 30).alias("configuration_id"), k.alias("number"), _of(("published", "validated", "draft"), k % 3).alias("status"), F.lit("r").alias("content_revision"), F.when(k % 5 == 0, "old").otherwise("r").alias("validated_revision"))
     return configuration.publishable(v, v.select("version_id", (F.col("version_id") % 7 != 0).alias("valid"))).select("version_id")
+
+
+def _camera_regions(spark, d, category):
+    """Cameras of three versions that declare zones, privacy and exclusion regions, some of which are missing; customers are points."""
+    k = F.col("n_nationkey")
+    name = lambda kind, n: F.concat(F.lit(f"{kind}-"), n.cast("string"))
+    refs = F.array(*(F.struct(F.lit(kind).alias("category"), name(kind, (k + i) % 5).alias("profile_id")) for kind, i in (("zone", 0), ("privacy_roi", 1), ("privacy_roi", 3), ("exclusion_roi", 2))))
+    ring = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    n = table(spark, d, "nation")
+    cams = n.select(F.lit("camera").alias("category"), (k % 3).alias("version_id"), k.cast("string").alias("camera_id"), name("camera", k).alias("profile_id"), k.alias("ord"), refs.alias("refs"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("ring"))
+    regions = n.where("n_nationkey < 12").select(F.explode(F.array(*map(F.lit, ("zone", "privacy_roi", "exclusion_roi")))).alias("category"), (k % 3).alias("version_id"), F.lit(None).cast("string").alias("camera_id"), F.floor(k / 3).alias("m")).select(
+        "category", "version_id", "camera_id", F.concat_ws("-", "category", F.col("m").cast("string")).alias("profile_id"), F.lit(0).cast("long").alias("ord"), F.when(F.lit(False), F.array(F.struct(F.lit("").alias("category"), F.lit("").alias("profile_id")))).alias("refs"), ring.alias("ring"))
+    c = F.col("c_custkey")
+    points = table(spark, d, "customer").select(c.alias("point_id"), (c % 3).alias("version_id"), (c % 30).cast("string").alias("camera_id"))
+    return configuration.camera_entities(points, cams.unionByName(regions), category)
+
+
+_REGION_POINTS = """p AS (SELECT c_custkey AS point_id, c_custkey % 3 AS v, c_custkey % 30 AS cam, n_nationkey AS k FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 30 AND n_nationkey % 3 = c_custkey % 3)"""
+
+
+@query(f"WITH {_REGION_POINTS} SELECT point_id, 'privacy_roi-' || (k + i) % 5 AS profile_id FROM p, (VALUES (1), (3)) t(i) WHERE (k + i) % 5 < 4")
+def config_camera_privacy(spark, d):
+    """Privacy regions of each point's camera; no version has the fifth."""
+    return _camera_regions(spark, d, "privacy_roi")[0].select("point_id", "profile_id")
+
+
+@query(f"WITH {_REGION_POINTS} SELECT point_id, 'exclusion_roi-' || (k + 2) % 5 AS profile_id FROM p WHERE (k + 2) % 5 < 4")
+def config_camera_exclusions(spark, d):
+    return _camera_regions(spark, d, "exclusion_roi")[0].select("point_id", "profile_id")
+
+
+@query(f"WITH {_REGION_POINTS} SELECT point_id, 'exclusion_roi_not_configured' AS error_code, 'exclusion_roi-4' AS target FROM p WHERE (k + 2) % 5 = 4 UNION ALL SELECT point_id, 'camera_not_configured', cam::VARCHAR FROM p WHERE k IS NULL")
+def config_camera_region_errors(spark, d):
+    return _camera_regions(spark, d, "exclusion_roi")[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilspark.catalog.common import ARRIVING, EVENTS, HOURS, PRESENCE, PRESENCE_OF, arriving, events, presence, query
+from vigilspark.catalog.common import ORACLES, ARRIVING, EVENTS, HOURS, PRESENCE, PRESENCE_OF, arriving, events, presence, query
 from vigilspark.operators import temporal
 from vigilspark.plans.machines import Policy
 
@@ -88,11 +88,14 @@ SELECT track, frame, before AS from_state, state AS to_state, CASE WHEN ended IS
   CASE WHEN state = 'waiting' THEN began WHEN ended IS NOT NULL AND before = 'waiting' THEN began_before END AS interval_start, CASE WHEN ended IS NOT NULL AND before = 'waiting' THEN t END AS interval_end FROM steps""")
 def temporal_waiting(spark, d):
     """Presence and classification in lockstep (equal key and place), then the waiting machine."""
+    w = temporal.waiting(waiting_rows(spark, d), ["track"], WAITS)
+    return w.select("track", "frame", F.col("from").alias("from_state"), F.col("to").alias("to_state"), "reason", "interval_start", "interval_end")
+
+
+def waiting_rows(spark, d):
     p = presence(spark, d).select("track", "frame", F.when(F.col("reason") == "observed_stay", F.when(F.col("to") == "present", "stay").otherwise("absent")).otherwise(F.col("reason")).alias("presence"))
     c = classified(spark, d).select("track", "t", "frame", F.col("to").alias("movement"))
-    rows = c.join(p, ["track", "frame"]).withColumn("context", F.concat(F.lit("c"), (F.col("track") % 3).cast("string")))
-    w = temporal.waiting(rows, ["track"], WAITS)
-    return w.select("track", "frame", F.col("from").alias("from_state"), F.col("to").alias("to_state"), "reason", "interval_start", "interval_end")
+    return temporal.lockstep(p, c, ["track"]).withColumn("context", F.concat(F.lit("c"), (F.col("track") % 3).cast("string")))
 
 
 _ARRIVALS = f"""{EVENTS}, {ARRIVING}, p AS (SELECT *, strftime(t, '%Y%m%d%H%M%S%f') || frame AS place FROM arriving),
@@ -122,3 +125,11 @@ def temporal_streaks(spark, d):
 @query(f"WITH RECURSIVE {PRESENCE} SELECT track, frame, array_to_string(list(to_state) OVER (PARTITION BY track ORDER BY t, frame ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ',') AS history FROM presence")
 def temporal_history(spark, d):
     return temporal.history(presence(spark, d), ["track"], 8).select("track", "frame", F.array_join("history", ",").alias("history"))
+
+
+@query(f"""WITH w AS ({ORACLES["temporal_waiting"]}), r AS (SELECT w.*, e.ts FROM w JOIN events e ON e.event_id = w.frame::BIGINT), l AS (SELECT track, max_by(to_state, (ts, frame)) AS state, max_by(interval_start, (ts, frame)) AS began, max(ts) AS seen FROM r GROUP BY track)
+SELECT track, began AS waiting_start, seen AS last_seen, (epoch_us(seen) - epoch_us(began)) / 1e6 AS duration_seconds, epoch_us(seen) - epoch_us(began) >= 18000000000 AS qualified FROM l WHERE state = 'waiting'""")
+def temporal_open_waiting(spark, d):
+    """One row for each track that waits still; its id binds its start only, so it stays while the interval goes on."""
+    w = temporal.waiting(waiting_rows(spark, d), ["track"], WAITS)
+    return temporal.open_waiting(w, ["track"], WAITS).select("track", "waiting_start", "last_seen", "duration_seconds", "qualified")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilspark.functions import ids
 from vigilspark.plans.machines import INVALID, Classification, Machine, Occupancy, Policy, Presence, Waiting
 
 #: Ways to order a key's rows: by event time, or as they arrived (which shows duplicates and late rows).
@@ -73,6 +74,21 @@ def waiting(rows: DataFrame, keys: list[str], policy: Policy, by: str = BY_TIME)
     return fold(rows, keys, _order(by), lambda: Waiting(policy), ["presence", "movement", "context"], {"status": "string", "from": "string", "to": "string", "reason": "string", "interval_start": "timestamp", "interval_end": "timestamp"})
 
 
+def lockstep(transitions: DataFrame, classified: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides with equal keys and frame, as the waiting machine takes them; a row without its partner is left out."""
+    return classified.join(transitions.select(*keys, "frame", *[c for c in transitions.columns if c not in (*keys, *classified.columns)]), [*keys, "frame"])
+
+
+def open_waiting(waits: DataFrame, keys: list[str], policy: Policy, fsm_version: str = "1") -> DataFrame:
+    """The running interval of each key whose last applied row (of waiting()) waits: waiting_start, last_seen, duration_seconds, qualified and interval_id, which binds key and start only."""
+    place = F.struct("t", "frame")
+    last = waits.where("status = 'applied'").groupBy(*keys).agg(F.max_by("to", place).alias("_to"), F.max_by("interval_start", place).alias("waiting_start"), F.max("t").alias("last_seen"))
+    out = last.where("_to = 'waiting'").drop("_to").withColumn("duration_seconds", (F.unix_micros("last_seen") - F.unix_micros("waiting_start")) / 1e6)
+    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+    ident = ids.interval_id("waiting", key, F.col("waiting_start"), F.lit(None).cast("timestamp"), fsm_version, repr(policy))
+    return out.withColumn("qualified", F.col("duration_seconds") >= policy.waiting_qualification).withColumn("interval_id", ident)
+
+
 def occupancy_fold(changes: DataFrame, scope: list[str], policy: Policy, by: str = BY_TIME, tracks: bool = True) -> DataFrame:
     """Exact occupancy with late and duplicate rows: changes (scope, t, frame, track, change).
 
