@@ -13,6 +13,7 @@ from vigilspark.llm.tokens import tokenizer_path
 
 
 def pack_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last stage: the pieces of all rows in sequences of at most 1024 tokens; a null text is empty, repeated rows are packed each, an empty table has no pieces."""
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, word_ends=False)
 
 

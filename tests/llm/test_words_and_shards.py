@@ -31,7 +31,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["op11_spelling", "op12_shards", "op13_collocations"])
+@pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = registry.query(name)(spark, SF)
     r = duck.execute(sql.ORACLES[name])

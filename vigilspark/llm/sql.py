@@ -27,16 +27,25 @@ h_crc AS (SELECT id, xor(list_reduce(coalesce(rs, []), lambda s, r: xor(r, list_
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLES: dict[str, str] = {
-    "op2_near_copies": r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+#: Sets of the distinct four-word shingles of each document, links between documents, and what links reach.
+_LINKS = f"""w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
 one AS (SELECT doc_id, unnest(s) AS g FROM s),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
 near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)"""
+
+ORACLES: dict[str, str] = {
+    "op2_near_copies": f"""
+WITH RECURSIVE {_LINKS}
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+""",
+    "op2_near_links": f"""
+WITH RECURSIVE {_LINKS},
+c AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id FROM s),
+m AS (SELECT a, min(b) AS least FROM reach GROUP BY a), k AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT c.doc_id, c.n::BIGINT AS n_shingles, class_id, least(c.doc_id, coalesce(m.least, c.doc_id)) AS component_id, coalesce(k.n, 0)::BIGINT AS n_links FROM c LEFT JOIN m ON m.a = c.doc_id LEFT JOIN k ON k.a = c.doc_id
 """,
     "op12_shards": f"""
 WITH RECURSIVE {_CRC},
