@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,12 +57,31 @@ def drop_written(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small for long texts."""
+#: What a worker process keeps between tasks, by name; a task that does not keep a cache empties it first.
+caches: dict[str, dict] = {}
+
+
+def _emptied(keeps: str | None) -> None:
+    others = [c for name, c in caches.items() if name != keeps and c]
+    for c in others:
+        c.clear()
+    if others:
+        gc.collect()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with batches that stay small for long texts. keeps: the cache that fn uses; workers are shared by all operators of a job."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vigilspark.llm.common import _emptied  # that of the worker
+
+        _emptied(keeps)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

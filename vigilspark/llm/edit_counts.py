@@ -178,7 +178,7 @@ def build_trees(docs: DataFrame, tokenizer: str, word_ends: bool = False) -> Dat
             own = [c for k, c in enumerate(b.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip((leaves, counts), _STORED, strict=True))], names=[*rest, "leaves", "counts"])
 
-    return map_arrow(docs, run, T.StructType([*(docs.schema[c] for c in rest), *TREE]))
+    return map_arrow(docs, run, T.StructType([*(docs.schema[c] for c in rest), *TREE]), keeps="tokens")
 
 
 def edit_trees(trees: DataFrame, tokenizer: str, word_ends: bool = False) -> DataFrame:
@@ -208,7 +208,7 @@ def edit_trees(trees: DataFrame, tokenizer: str, word_ends: bool = False) -> Dat
             columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in COUNTED]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array(v, t) for v, t in zip((leaves, counts), _STORED, strict=True)), *(pa.array(c, pa.int64()) for c in columns)], names=[*rest, "leaves", "counts", *COUNTED])
 
-    return map_arrow(trees, run, T.StructType([*(trees.schema[c] for c in rest), *TREE, *(T.StructField(c, T.LongType()) for c in COUNTED)]))
+    return map_arrow(trees, run, T.StructType([*(trees.schema[c] for c in rest), *TREE, *(T.StructField(c, T.LongType()) for c in COUNTED)]), keeps="tokens")
 
 
 def count_with_edits(docs: DataFrame, tokenizer: str, word_ends: bool = False) -> DataFrame:

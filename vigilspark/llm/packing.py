@@ -189,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, word_ends: bool,
                         seen[k] += 1
                 yield record_batch(_PIECES, list(np.array(rows, dtype=object).T.astype(np.int64)) if all(r[0] is not None for r in rows) else list(zip(*rows, strict=True)))
 
-    return written(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES), "pieces")
+    return written(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES, keeps="tokens"), "pieces")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, gap: float = GAP) -> DataFrame:

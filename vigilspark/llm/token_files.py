@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, word_ends: b
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_first(), F.col("mark").asc()
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return written(map_arrow(ranged.select("doc_id", "text"), encode, FILES), "token-files")
+    return written(map_arrow(ranged.select("doc_id", "text"), encode, FILES, keeps="tokens"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

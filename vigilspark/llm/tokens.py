@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import caches
+
 #: Pieces whose ids one worker keeps (about 240 MB); a full cache keeps those used since it was half full.
 CACHE_PIECES = 1_000_000
 #: New pieces that one call of the library encodes.
@@ -100,11 +102,11 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = caches.setdefault("tokens", {})
 
 
 def encoder(path: str, word_ends: bool) -> PieceEncoder:
-    """One encoder per worker process, kept between tasks."""
+    """One encoder per worker process, kept between tasks that keep `tokens`."""
     key = (path, word_ends)
     if key not in _encoders:
         _encoders[key] = PieceEncoder(path, word_ends)
