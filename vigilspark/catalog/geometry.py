@@ -162,13 +162,22 @@ def config_hydrated(spark, d):
 
 
 #: The policies of pairs, written from their description: all pairs not named otherwise allow an overlap.
-@query("""SELECT category, other_category, CASE WHEN category = 'table' AND other_category = 'table' THEN 'reject' WHEN other_category = 'zone' AND category IN ('table','queue_area','service_area') THEN 'validate' WHEN category = 'privacy_roi' AND other_category = 'exclusion_roi' THEN 'validate' ELSE 'allow' END AS overlap,
+@query("""WITH policy AS (SELECT category, other_category, CASE WHEN category = 'table' AND other_category = 'table' THEN 'reject' WHEN other_category = 'zone' AND category IN ('table','queue_area','service_area') THEN 'validate' WHEN category = 'privacy_roi' AND other_category = 'exclusion_roi' THEN 'validate' ELSE 'allow' END AS overlap,
 CASE WHEN (category, other_category) IN (('zone','zone'), ('queue_area','service_area'), ('queue_area','queue_area'), ('camera','zone')) THEN 'warning' ELSE 'error' END AS severity,
 other_category = 'zone' AND category IN ('table','queue_area','service_area') AS containment, category = 'entrance' AS touch
 FROM (VALUES ('table','table'), ('table','zone'), ('queue_area','zone'), ('service_area','zone'), ('entrance','zone'), ('zone','zone'), ('queue_area','service_area'), ('queue_area','queue_area'), ('privacy_roi','exclusion_roi'), ('camera','zone')) v(category, other_category)
-UNION ALL SELECT a, b, 'allow', 'error', false, false FROM (VALUES ('privacy_roi'), ('exclusion_roi')) p(a), (VALUES ('zone'), ('table'), ('queue_area'), ('service_area'), ('entrance')) q(b)""")
+UNION ALL SELECT a, b, 'allow', 'error', false, false FROM (VALUES ('privacy_roi'), ('exclusion_roi')) p(a), (VALUES ('zone'), ('table'), ('queue_area'), ('service_area'), ('entrance')) q(b)), names AS (SELECT ['camera','zone','table','entrance','privacy_roi','exclusion_roi','service_area','queue_area'] AS n),
+pair AS (SELECT s_suppkey, n[s_suppkey % 8 + 1] AS a, n[s_suppkey // 8 % 8 + 1] AS b FROM supplier, names)
+SELECT s_suppkey, a, b, overlap, severity, containment, touch FROM pair LEFT JOIN policy ON (category = a AND other_category = b) OR (category = b AND other_category = a)""")
 def config_policies(spark, d):
-    return configuration.policies(spark)
+    """The policy of each pair of entities, in either order."""
+    k = F.col("s_suppkey")
+    name = lambda n: F.element_at(F.array(*map(F.lit, configuration.CATEGORIES)), (n % 8 + 1).cast("int"))
+    pairs = table(spark, d, "supplier").select("s_suppkey", name(k).alias("a"), name(F.floor(k / 8)).alias("b"))
+    p = configuration.policies(spark)
+    rest = ("overlap", "severity", "containment", "touch")
+    turned = p.where("category <> other_category").select(F.col("other_category").alias("a"), F.col("category").alias("b"), *rest)
+    return pairs.join(p.select(F.col("category").alias("a"), F.col("other_category").alias("b"), *rest).unionByName(turned), ["a", "b"], "left").select("s_suppkey", "a", "b", "overlap", "severity", "containment", "touch")
 
 
 @query("""SELECT 'v' || (p_partkey % 50) AS version_id, 'p' || (p_partkey % 200) AS profile_id FROM part WHERE p_partkey % 4 IN (1, 2) OR (p_partkey % 4 = 0 AND p_partkey % 3 = 0) GROUP BY ALL""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilspark import schemas
 from vigilspark.catalog.common import query, table
 from vigilspark.catalog.rules import _uuid
 from vigilspark.functions import ids
@@ -258,3 +259,21 @@ def config_camera_exclusions(spark, d):
 @query(f"WITH {_REGION_POINTS} SELECT point_id, 'exclusion_roi_not_configured' AS error_code, 'exclusion_roi-4' AS target FROM p WHERE (k + 2) % 5 = 4 UNION ALL SELECT point_id, 'camera_not_configured', cam::VARCHAR FROM p WHERE k IS NULL")
 def config_camera_region_errors(spark, d):
     return _camera_regions(spark, d, "exclusion_roi")[1]
+
+
+@query("""SELECT event_id, (CASE WHEN event_id % 7 = 0 THEN 'missing_user,' ELSE '' END) || (CASE WHEN value < 5 THEN 'small_value,' ELSE '' END) AS codes FROM events WHERE event_id % 7 = 0 OR value < 5 UNION ALL SELECT event_id, '' FROM events WHERE event_id % 7 <> 0 AND value >= 5""")
+def frame_valid_rows(spark, d):
+    """Rows that pass all checks, and the others with every check that they fail."""
+    e = table(spark, d, "events").withColumn("user_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")))
+    good, bad = schemas.split_valid(e, {"missing_user": F.col("user_id").isNotNull(), "small_value": F.col("value") >= 5})
+    return good.select("event_id", F.lit("").alias("codes")).unionByName(bad.select("event_id", F.concat(F.array_join("error_codes", ","), F.lit(",")).alias("codes")))
+
+
+@query("""SELECT event_id, 't' AS tenant_id, 'c' || user_id AS camera_id, strftime(ts, '%Y-%m-%d') AS event_date, '{"occupancy_count":' || (event_id % 5) || ',"event_id":' || event_id || '}' AS payload FROM events""")
+def frame_fact_rows(spark, d):
+    """Facts as rows of the log."""
+    text = lambda c: F.lit(c).cast("string")
+    key = F.struct(F.lit("t").alias("tenant_id"), text(None).alias("venue_id"), text(None).alias("session_id"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("camera_id"), text(None).alias("configuration_version_id"), text(None).alias("track_id"), text(None).alias("semantic_context"))
+    f = table(spark, d, "events").select(key.alias("key"), F.col("ts").cast("timestamp").alias("event_time"), (F.col("event_id") % 5).alias("occupancy_count"), "event_id")
+    rows = frames.fact_rows(f)
+    return rows.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "tenant_id", "camera_id", F.col("event_date").cast("string").alias("event_date"), "payload")

@@ -98,3 +98,13 @@ SELECT event_type, n, round(list_avg(v), 6) AS mean, round(list_median(v), 6) AS
 def agg_latency_stats(spark, d):
     s = reads.latency_stats(table(spark, d, "events"), ["event_type"], "value")
     return s.withColumn("mean", F.round("mean", 6)).withColumn("median", F.round("median", 6))
+
+
+@query("""SELECT 'sessions' AS name, o_orderkey AS id FROM orders WHERE o_custkey % 4 = 2 UNION ALL SELECT 'venues', c_custkey FROM customer WHERE c_nationkey = 2""")
+def read_secured(spark, d):
+    """Two tables under their own policies, one by another column; a session without a tenant sees nothing."""
+    tables = {"sessions": _scoped_orders(spark, d), "venues": table(spark, d, "customer")}
+    policies = {"sessions": "tenant_id", "venues": "c_nationkey"}
+    own, none = reads.secured(tables, 2, policies), reads.secured(tables, None, policies)
+    pick = lambda t: t["sessions"].select(F.lit("sessions").alias("name"), F.col("o_orderkey").alias("id")).unionByName(t["venues"].select(F.lit("venues").alias("name"), F.col("c_custkey").alias("id")))
+    return pick(own).unionByName(pick(none))

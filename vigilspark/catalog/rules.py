@@ -116,3 +116,10 @@ def rule_engine(spark, d):
     f = f.drop(*none).withColumns({k: F.lit(None).cast(t) for k, t in none.items()} | {"fsm_version": F.lit("1"), "policy_revision": F.lit("r1"), "evaluation_config": F.col("config")})
     out = REGISTRY.evaluate_all(f, [m[:3] for m in _MANY], ("track", "ordinal"))
     return out.select("track", "ordinal", "rule_id", "rule_version", "status", "reason", "event_id", F.col("details")["findings"].alias("findings"))
+
+
+@query(f"""WITH RECURSIVE {_FACTS} SELECT track::VARCHAR AS track, min(last) AS first_match FROM facts WHERE secs >= 36000 GROUP BY track""")
+def rule_first_matches(spark, d):
+    """The first match of each track's repeated ones."""
+    m = REGISTRY.evaluate("dwell_threshold", "v1", dwell_facts(spark, d), {"dwell_threshold_seconds": 36000})
+    return rules.first_match_per_interval(m, ["track"]).select("track", F.col("event_time").alias("first_match"))

@@ -144,3 +144,24 @@ SELECT session_id, arrival::INTEGER AS arrival, frame_id, CASE WHEN other <> own
 WHERE other <> own OR idx <= (SELECT max(x.idx) FROM s x WHERE x.session_id = s.session_id AND x.arrival < s.arrival AND x.other = x.own)""")
 def track_refused(spark, d):
     return _tracked(spark, d)[1]
+
+
+@query("""WITH b AS (SELECT l_orderkey AS frame_id, l_partkey * 10 + l_linenumber AS id, l_discount * 6400 / 640 AS a, l_tax * 4800 / 480 AS b, l_quantity / 60 AS w FROM lineitem), n AS (SELECT *, a + w <= 1 + 1e-6 AND b + w <= 1 + 1e-6 AND w > 0 AS ok FROM b),
+f AS (SELECT *, bool_or(NOT ok) OVER (PARTITION BY frame_id) AS bad FROM n) SELECT frame_id, id, CASE WHEN NOT bad THEN 'ok' WHEN ok THEN 'frame_refused' ELSE 'malformed_box' END AS outcome FROM f""")
+def track_normalized(spark, d):
+    """Boxes of an order's lines in pixels; one that leaves the frame has the whole frame refused."""
+    x, y, w = F.col("l_discount") * 6400, F.col("l_tax") * 4800, F.col("l_quantity") / 60
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"), x.alias("x1"), y.alias("y1"), (x + w * 640).alias("x2"), (y + w * 480).alias("y2"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    good, bad = detection.normalized(li)
+    return good.select("frame_id", "id", F.lit("ok").alias("outcome")).unionByName(bad.select("frame_id", "id", F.col("error_code").alias("outcome")))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS frame_id, o_custkey AS batch_id, o_orderkey % 17 = 3 AS lost, o_orderkey % 19 = 4 AS twice, o_orderkey % 23 = 5 AS swapped FROM orders)
+SELECT batch_id, frame_id, CASE WHEN twice THEN 'duplicate_result' ELSE 'foreign_result' END AS error_code FROM b WHERE NOT lost AND (twice OR swapped)
+UNION ALL SELECT batch_id, NULL, 'count_differs' FROM b GROUP BY batch_id HAVING count(*) FILTER (lost) <> count(*) FILTER (twice AND NOT lost)""")
+def track_batch_errors(spark, d):
+    """A customer's orders as a micro-batch; some answers are lost, doubled or of another frame."""
+    k = F.col("frame_id")
+    b = table(spark, d, "orders").select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("position"), F.lit("s").alias("session_id"))
+    r = b.where("frame_id % 17 <> 3").withColumn("frame_id", F.when(k % 23 == 5, -k).otherwise(k))
+    return detection.batch_errors(b, r.unionByName(r.where("abs(frame_id) % 19 = 4")))

@@ -20,11 +20,27 @@ def confident(detections: DataFrame, threshold: float = 0.5) -> DataFrame:
 def normalized(detections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Detections with pixel corners x1, y1, x2, y2 as boxes; a frame with one malformed box is refused whole."""
     boxed = detections.withColumn("box", G.normalize_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height"))))
-    bad = F.max(F.col("box").isNull()).over(Window.partitionBy("frame_id"))
+    bad = F.bool_or(F.col("box").isNull()).over(Window.partitionBy("frame_id"))
     marked = boxed.withColumn("_bad", bad)
     return marked.where(~F.col("_bad")).drop("_bad"), marked.where("_bad").drop("_bad").withColumn("error_code", F.when(F.col("box").isNull(), "malformed_box").otherwise("frame_refused"))
 
 
+def batch_errors(batches: DataFrame, results: DataFrame) -> DataFrame:
+    """What is wrong with a detector's answer to micro-batches, a row for each batch and frame: batch_id, frame_id, error_code.
+
+    batches: batch_id, position, frame_id, session_id of the frames that were sent; results: batch_id, position, frame_id,
+    session_id of the answers, one a frame. A batch whose number of answers differs is refused whole (count_differs), an
+    answer at another frame's or session's place is foreign_result, one that came twice is duplicate_result.
+    """
+    sent = batches.groupBy("batch_id").agg(F.count("*").alias("_sent"))
+    got = results.groupBy("batch_id").agg(F.count("*").alias("_got"))
+    counts = sent.join(got, "batch_id", "left").where(F.coalesce("_got", F.lit(0)) != F.col("_sent")).select("batch_id", F.lit(None).cast(batches.schema["frame_id"].dataType).alias("frame_id"), F.lit("count_differs").alias("error_code"))
+    once = results.groupBy("batch_id", "position").agg(F.count("*").alias("_n"), F.min("frame_id").alias("_frame"), F.max("frame_id").alias("_other"), F.min("session_id").alias("_session"))
+    both = batches.join(once, ["batch_id", "position"])
+    error = F.when(F.col("_n") > 1, "duplicate_result").when(~F.col("_frame").eqNullSafe(F.col("frame_id")) | ~F.col("_session").eqNullSafe(F.col("session_id")), "foreign_result")
+    return both.withColumn("error_code", error).where("error_code is not null").select("batch_id", "frame_id", "error_code").unionByName(counts)
+
+
 def limited(detections: DataFrame, most: int) -> DataFrame:
     """The first `most` detections of each frame in their order (column ord)."""
     return detections.withColumn("_n", F.row_number().over(Window.partitionBy("frame_id").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")

@@ -19,6 +19,17 @@ def scoped(df: DataFrame, actor: Actor) -> DataFrame:
     return own.where(F.col("venue_id").isin(*actor.venues)) if actor.venues else own
 
 
+#: Tables under row-level security, and the column that holds each row's tenant.
+ROW_POLICIES = {t: "tenant_id" for t in ("venues", "sessions", "configurations", "evidence_refs", "evidence_packages", "audit_events", "outbox_events", "inbox_messages")}
+
+
+def secured(tables: dict[str, DataFrame], tenant_id, policies: dict[str, str] = ROW_POLICIES) -> dict[str, DataFrame]:
+    """Each table's rows of a tenant under its policy. Without a tenant no row is seen; a table without a policy is an error, so nothing is open by oversight."""
+    if missing := sorted(set(tables) - set(policies)):
+        raise PermissionError(f"no row policy for {missing}")
+    return {name: df.where(F.lit(False) if tenant_id is None else F.col(policies[name]) == tenant_id) for name, df in tables.items()}
+
+
 def latest(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """The row with the greatest `order` of each group, in one aggregation."""
     rest = [c for c in df.columns if c not in by]
