@@ -23,60 +23,63 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def located(points: DataFrame, polygons: DataFrame, on: list[str]) -> DataFrame:
-    """Every point with every polygon whose bounding box holds it, and its location: inside, boundary or outside.
+def _hits(points: DataFrame, polygons: DataFrame, on: list[str], aggregates: list[Column]) -> DataFrame:
+    """Every row of points with aggregates over the polygons whose bounding box holds it (columns _kind, _id, _space, _location: inside, boundary or outside).
 
-    points: on, x, y; polygons: on, profile_id, ring. Points outside of a box are outside and left out.
+    points: on, x, y; polygons: on, kind, profile_id, its_space, ring. Equal rows of points are one row with a number until
+    the end, and all columns travel along, so the points are dealt once and nothing is joined back.
     """
-    xs, ys = F.col("ring.x"), F.col("ring.y")
-    boxed = polygons.withColumns({"_x0": F.array_min(xs) - G.TOLERANCE, "_x1": F.array_max(xs) + G.TOLERANCE, "_y0": F.array_min(ys) - G.TOLERANCE, "_y1": F.array_max(ys) + G.TOLERANCE})
+    xs, ys, level = F.col("_ring.x"), F.col("_ring.y"), F.col("_level")
+    named = polygons.select(*(F.col(c).alias(f"_on_{c}") for c in on), F.col("kind").alias("_kind"), F.col("profile_id").alias("_id"), F.col("its_space").alias("_space"), F.col("ring").alias("_ring"))
+    boxed = named.withColumns({"_x0": F.array_min(xs) - G.TOLERANCE, "_x1": F.array_max(xs) + G.TOLERANCE, "_y0": F.array_min(ys) - G.TOLERANCE, "_y1": F.array_max(ys) + G.TOLERANCE})
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     boxed = boxed.withColumn("_level", F.greatest(F.least(F.ceil(F.log2(side)), F.lit(LEVELS[1])), F.lit(LEVELS[0])).cast("int"))
-    level = F.col("_level")
-    listed = boxed.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_x0"), level), _cell(F.col("_x1"), level)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_y0"), level), _cell(F.col("_y1"), level))))
-    levels = boxed.select(*on, "_level").distinct()  # at most one row for each level of a scope
-    own = points.join(levels, on).withColumn("_cx", _cell(F.col("x"), level)).withColumn("_cy", _cell(F.col("y"), level))
-    near = own.join(listed, [*on, "_level", "_cx", "_cy"]).where("x between _x0 and _x1 and y between _y0 and _y1")
-    return near.withColumn("location", G.classify_point(F.struct("x", "y"), F.col("ring"))).drop("_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "ring")
+    listed = boxed.withColumn("_px", F.explode(F.sequence(_cell(F.col("_x0"), level), _cell(F.col("_x1"), level)))).withColumn("_py", F.explode(F.sequence(_cell(F.col("_y0"), level), _cell(F.col("_y1"), level)))).withColumnRenamed("_level", "_of")
+    levels = boxed.groupBy(*(f"_on_{c}" for c in on)).agg(F.collect_set("_level").alias("_levels"))  # at most one for each level, by scope
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_on_{c}") for c in on))
+    once = points.groupBy(*points.columns).agg(F.count("*").alias("_times"))
+    own = once.join(levels, same, "left").drop(*(f"_on_{c}" for c in on)).withColumn("_level", F.explode_outer("_levels")).drop("_levels")
+    own = own.withColumn("_cx", _cell(F.col("x"), level)).withColumn("_cy", _cell(F.col("y"), level))
+    held = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
+    near = own.join(listed, same & (level == F.col("_of")) & (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")) & held, "left")
+    near = near.withColumn("_location", F.when(F.col("_id").isNotNull(), G.classify_point(F.struct("x", "y"), F.col("_ring"))))
+    hit = near.groupBy(*points.columns, "_times").agg(*aggregates)
+    return hit.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times", "_turn")
+
+
+def _first(kind: str, own_space: bool = False) -> Column:
+    """The first polygon of a kind, by id, that holds the point or has it on its boundary."""
+    hit = (F.col("_kind") == kind) & F.col("_location").isin("inside", "boundary")
+    return F.min(F.when(hit & (F.col("_space") == F.col("space")) if own_space else hit, F.struct(F.col("_id").alias("profile_id"), F.col("_location").alias("location")))).alias(f"_{kind}")
+
+
+def _matched(kind: str) -> list[Column]:
+    """Aggregates: whether a polygon's boundary holds the point, and the polygons that hold it."""
+    own = F.col("_kind") == kind
+    return [F.bool_or(own & (F.col("_location") == "boundary")).alias(f"_{kind}_boundary"), F.array_sort(F.collect_set(F.when(own & (F.col("_location") == "inside"), F.col("_id")))).alias(f"_{kind}_ids")]
 
 
-def _matched(kind: str | None = None) -> list[Column]:
-    """Aggregates: whether a polygon's boundary holds the point, and the polygons that hold it."""
-    own = F.lit(True) if kind is None else F.col("kind") == kind
-    name = kind or "polygon"
-    return [F.bool_or(own & (F.col("location") == "boundary")).alias(f"{name}_boundary"), F.array_sort(F.collect_set(F.when(own & (F.col("location") == "inside"), F.col("profile_id")))).alias(f"{name}_ids")]
+def _of_kind(polygons: DataFrame, on: list[str], kind: str) -> DataFrame:
+    return polygons.select(*on, F.lit(kind).alias("kind"), "profile_id", F.lit(None).cast("string").alias("its_space"), "ring")
 
 
 def _membership(name: str, priority: list[str] | None) -> tuple[Column, Column]:
     """Status and polygon of a point by the aggregates of _matched()."""
-    ids = F.coalesce(F.col(f"{name}_ids"), F.array().cast("array<string>"))
+    ids = F.coalesce(F.col(f"_{name}_ids"), F.array().cast("array<string>"))
     first = F.get(F.filter(F.array(*(F.lit(p) for p in priority or [""])), lambda p: F.array_contains(ids, p)), F.lit(0))
     n = F.size(ids)
-    status = F.when(F.col(f"{name}_boundary"), "boundary").when(n == 0, "outside").when((n == 1) | first.isNotNull(), "inside").otherwise("ambiguous")
+    status = F.when(F.col(f"_{name}_boundary"), "boundary").when(n == 0, "outside").when((n == 1) | first.isNotNull(), "inside").otherwise("ambiguous")
     return status, F.when(status == "inside", F.when(n == 1, F.get(ids, F.lit(0))).otherwise(first))
 
 
-def _once(points: DataFrame, on: list[str]) -> DataFrame:
-    """Each place of a point once, so that repeated rows don't multiply."""
-    return points.select("point_id", "x", "y", *on).distinct()
-
-
-def _back(points: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
-    """Every row of points with what was found at its place."""
-    keys = ["point_id", "x", "y", *on]
-    f = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *[c for c in found.columns if c not in keys])
-    return points.join(f, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").drop(*(f"_{k}" for k in keys))
-
-
 def membership(points: DataFrame, polygons: DataFrame, on: list[str], priority: list[str] | None = None) -> DataFrame:
     """Each point (point_id) with status inside, outside, ambiguous or boundary, and the polygon it belongs to.
 
     A boundary of any polygon makes the point one for quarantine. Of several matches the first of priority counts.
     """
-    hit = located(_once(points, on), polygons, on).groupBy("point_id", "x", "y", *on).agg(*_matched())
     status, profile = _membership("polygon", priority)
-    out = _back(points, hit, on).withColumns({"status": status, "profile_id": profile, "matched": F.coalesce("polygon_ids", F.array().cast("array<string>"))})
-    return out.drop("polygon_boundary", "polygon_ids")
+    hit = _hits(points, _of_kind(polygons, on, "polygon"), on, _matched("polygon"))
+    return hit.withColumns({"status": status, "profile_id": profile, "matched": F.coalesce("_polygon_ids", F.array().cast("array<string>"))}).select(*points.columns, "status", "profile_id", "matched")
 
 
 def evaluate(points: DataFrame, privacy: DataFrame, exclusion: DataFrame, zones: DataFrame, tables: DataFrame, on: list[str], zone_priority: list[str] | None = None, table_priority: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -87,14 +90,12 @@ def evaluate(points: DataFrame, privacy: DataFrame, exclusion: DataFrame, zones:
     nor table; a table without a zone is outside and keeps its name.
     """
     kinds = {"privacy": privacy, "exclusion": exclusion, "zone": zones, "table": tables}
-    all_polygons = reduce(DataFrame.unionByName, (df.select(*on, "profile_id", "ring", F.lit(k).alias("kind")) for k, df in kinds.items()))
-    first = lambda k: F.min(F.when((F.col("kind") == k) & (F.col("location") != "outside"), F.struct("profile_id", "location"))).alias(k)
-    hit = located(_once(points, on), all_polygons, on).groupBy("point_id", "x", "y", *on).agg(first("privacy"), first("exclusion"), *_matched("zone"), *_matched("table"))
-    at = _back(points, hit, on)
+    all_polygons = reduce(DataFrame.unionByName, (_of_kind(df, on, k) for k, df in kinds.items()))
+    at = _hits(points, all_polygons, on, [_first("privacy"), _first("exclusion"), *_matched("zone"), *_matched("table")])
     (zone_status, zone), (table_status, table) = _membership("zone", zone_priority), _membership("table", table_priority)
-    private, excluded = F.coalesce(F.col("privacy.location") == "inside", F.lit(False)), F.coalesce(F.col("exclusion.location") == "inside", F.lit(False))
+    private, excluded = F.coalesce(F.col("_privacy.location") == "inside", F.lit(False)), F.coalesce(F.col("_exclusion.location") == "inside", F.lit(False))
     bad = (
-        F.when(F.col("privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
+        F.when(F.col("_privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("_exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
         .when(zone_status == "boundary", "zone_boundary").when(table_status == "boundary", "table_boundary")
     )
     ambiguous, inside = (zone_status == "ambiguous") | (table_status == "ambiguous"), zone_status == "inside"
@@ -138,26 +139,22 @@ def evaluate_cameras(points: DataFrame, cameras: DataFrame, polygons: DataFrame,
     in_image = (F.col("space") != IMAGE) | (F.col("x").between(0, 1) & F.col("y").between(0, 1))
     valid = F.coalesce(finite("x") & finite("y") & in_image & F.col("space").isin(IMAGE, VENUE), F.lit(False))
 
-    place = ["point_id", "x", "y", "space", *keys]
-    first = lambda k: F.min(F.when((F.col("kind") == k) & (F.col("location") != "outside") & (F.col("its_space") == F.col("space")), F.struct("profile_id", "location"))).alias(k)
-    found = located(points.where(valid).select(*place).distinct(), each, keys).groupBy(*place).agg(first("privacy"), first("exclusion"), *_matched("zone"), *_matched("table"))
-    back = found.select(*(F.col(k).alias(f"_k_{k}") for k in place), *[c for c in found.columns if c not in place])
-    at = points.join(back, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in place)), "left").drop(*(f"_k_{k}" for k in place))
+    at = _hits(points, each, keys, [_first("privacy", True), _first("exclusion", True), *_matched("zone"), *_matched("table")])
     at = at.join(known.select(*keys, "_status"), keys, "left").join(venue, keys, "left")
 
     (zone_status, zone), (table_status, table) = _membership("zone", zone_priority), _membership("table", table_priority)
-    private, excluded = F.coalesce(F.col("privacy.location") == "inside", F.lit(False)), F.coalesce(F.col("exclusion.location") == "inside", F.lit(False))
+    private, excluded = F.coalesce(F.col("_privacy.location") == "inside", F.lit(False)), F.coalesce(F.col("_exclusion.location") == "inside", F.lit(False))
     versions = cameras.groupBy("version").agg(F.min("status").alias("_version_status"))
     at = at.join(versions, "version", "left")
     bad = (
         F.when(~valid, "invalid_point").when(~F.col("_version_status").eqNullSafe(F.lit("published")), "not_published").when(F.col("_status").isNull(), "unknown_camera")
-        .when(F.col("privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
+        .when(F.col("_privacy.location") == "boundary", "privacy_boundary").when(private, None).when(F.col("_exclusion.location") == "boundary", "exclusion_boundary").when(excluded, None)
         .when((F.col("space") == IMAGE) & F.coalesce("_venue", F.lit(False)), "venue_point_required").when(zone_status == "boundary", "zone_boundary").when(table_status == "boundary", "table_boundary")
     )
     ambiguous = (zone_status == "ambiguous") | (table_status == "ambiguous")
     status = F.when(private, "privacy").when(excluded, "excluded").when(ambiguous, "ambiguous").when(zone_status == "inside", "inside").otherwise("outside")
     names = ~(private | excluded | ambiguous)
-    marked = at.withColumns({"error_code": bad, "status": status, "roi_profile_id": F.when(private, F.col("privacy.profile_id")).when(excluded, F.col("exclusion.profile_id")), "zone_profile_id": F.when(names, zone), "table_profile_id": F.when(names, table)})
+    marked = at.withColumns({"error_code": bad, "status": status, "roi_profile_id": F.when(private, F.col("_privacy.profile_id")).when(excluded, F.col("_exclusion.profile_id")), "zone_profile_id": F.when(names, zone), "table_profile_id": F.when(names, table)})
     contained = polygons.where("kind = 'zone'").select("version", F.col("profile_id").alias("zone_profile_id"), F.col("contained").alias("contained_tables"))
     good = marked.where("error_code is null").join(contained, ["version", "zone_profile_id"], "left")
     return good.select(*points.columns, "status", "roi_profile_id", "zone_profile_id", "table_profile_id", "contained_tables"), marked.where("error_code is not null").select(*points.columns, "error_code")
