@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -69,6 +70,14 @@ def _emptied(keeps: str | None) -> None:
         gc.collect()
 
 
+def _returned() -> None:
+    """Give free memory back to the system: idle workers wait beside busy ones, and the allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
     """mapInArrow with batches that stay small for long texts. keeps: the cache that fn uses; workers are shared by all operators of a job."""
     conf = df.sparkSession.conf
@@ -76,10 +85,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vigilspark.llm.common import _emptied  # that of the worker
+        from vigilspark.llm.common import _emptied, _returned  # those of the worker
 
         _emptied(keeps)
-        yield from fn(batches)
+        try:
+            yield from fn(batches)
+        finally:
+            _returned()
 
     return df.mapInArrow(run, schema)
 
