@@ -70,8 +70,19 @@ def _emptied(keeps: str | None) -> None:
         gc.collect()
 
 
+#: Bytes of its own that a worker may hold on to between tasks.
+HELD_BYTES = 160 << 20
+
+
 def _returned() -> None:
-    """Give free memory back to the system: idle workers wait beside busy ones, and the allocators keep what they had."""
+    """Give free memory back to the system where a worker holds much: idle workers wait beside busy ones, and the allocators keep what they had."""
+    try:
+        with open("/proc/self/statm") as f:
+            _, resident, shared, *_ = map(int, f.read().split())
+    except OSError:
+        return
+    if (resident - shared) * 4096 <= HELD_BYTES:
+        return
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
     if trim is not None:
@@ -91,7 +102,8 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from fn(batches)
         finally:
-            _returned()
+            if keeps is None:
+                _returned()
 
     return df.mapInArrow(run, schema)
 
