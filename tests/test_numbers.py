@@ -37,6 +37,13 @@ def test_shortest_text_is_python_repr(spark):
     assert spark.createDataFrame([(None,), (float("nan"),)], "x double").select(numbers.shortest(F.col("x")).alias("s")).collect() == [(None,), ("nan",)]
 
 
+def test_shortest_text_of_powers_of_two(spark):
+    """Below them doubles lie closer than above, so the fewest digits need not be the nearest ones."""
+    xs = [2.0**k for k in range(-1074, 1024)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+    assert [r.s for r in df.select("i", numbers.shortest(F.col("x")).alias("s")).orderBy("i").collect()] == [repr(x) for x in xs]
+
+
 @pytest.mark.parametrize("places", [0, 1, 3, 6, 12])
 def test_rounding_is_python_round(spark, places):
     xs = [x for x in doubles(100_000, 2) if abs(x) * 10**places < 1 << 51]

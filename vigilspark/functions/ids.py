@@ -14,7 +14,7 @@ NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     """Name-based UUID, version 5."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.substr(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
@@ -33,7 +33,8 @@ def utc_date(ts: Column) -> Column:
 
 def _utc_text(ts: Column) -> Column:
     s = F.floor(_of_day(ts) / 1_000_000)
-    return F.concat(utc_date(ts).cast("string"), F.format_string("T%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(utc_date(ts).cast("string"), F.lit("T"), two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60))
 
 
 def utc_second_text(ts: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 2**27 + 1 halves a double's digits, so that products of halves are exact.
 _SPLIT = 134217729.0
@@ -38,29 +39,11 @@ def round_half_even(x: Column, places: int) -> Column:
     return F.when(F.isnan(x) | (F.abs(product) >= float(1 << 53)), x).otherwise(F.when(out == 0, x * 0.0).otherwise(out))
 
 
-def _power_form(x: Column) -> Column:
-    """The fewest digits that read back as x, as d.ddde+xx."""
-    tries = [F.format_string(f"%.{n}e", x) for n in range(17)]
-    fits = [F.when(t.cast("double") == x, t) for t in tries]
-    return F.coalesce(*fits, tries[-1])
-
-
 def shortest(x: Column) -> Column:
-    """The text that Python's repr() gives of a double: shortest digits, a point always, powers of ten below 1e-4 and from 1e16."""
-    x = x.cast("double")
-    form = _power_form(F.abs(x))
-    digits = F.regexp_replace(F.replace(F.substring_index(form, "e", 1), F.lit("."), F.lit("")), "(?<=.)0+$", "")
-    power = F.substring_index(form, "e", -1).cast("int")
-    n = F.length(digits)
+    """The text that Python's repr() gives of a double: shortest digits, a point always, powers of ten below 1e-4 and from 1e16.
 
-    def built(p: Column) -> Column:
-        d, e, size = p["d"], p["e"], p["n"]
-        fixed = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)).when(size <= e + 1, F.concat(d, F.repeat(F.lit("0"), e + 1 - size), F.lit(".0"))).otherwise(F.concat(F.substring(d, F.lit(1), e + 1), F.lit("."), F.substring(d, e + 2, size)))
-        sign = F.when(e < 0, "-").otherwise("+")
-        raised = F.concat(F.substring(d, F.lit(1), F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), size))).otherwise(""), F.lit("e"), sign, F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")))
-        return F.when((e < -4) | (e >= 16), raised).otherwise(fixed)
-
-    text = F.get(F.transform(F.array(F.struct(digits.alias("d"), power.alias("e"), n.alias("n"))), built), F.lit(0))
-    minus_zero = (x == 0) & (x.cast("string") == "-0.0")
-    out = F.when(x == 0, F.when(minus_zero, "-0.0").otherwise("0.0")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
-    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(out)
+    Python itself writes it, in Arrow batches: Java has no such form, and trying formats of all lengths costs a hundred times as much.
+    """
+    x = x.cast("double")
+    text = F.udf(lambda v: None if v is None else repr(float(v)), T.StringType(), useArrow=True)
+    return F.when(x.isNotNull(), text(x))
