@@ -288,7 +288,9 @@ def geo_overlay(spark, d):
     shape = lambda n, dx, dy: F.element_at(F.array(*(F.array(*(F.struct((F.lit(float(x)) + dx).alias("x"), (F.lit(float(y)) + dy).alias("y")) for x, y in r)) for _, r in _SHAPES.values())), (n % 3 + 1).cast("int"))
     zero = F.lit(0.0)
     a, b = shape(k, zero, zero), shape(F.floor(k / 3), F.floor(k / 9) % 5 - 1.0, F.floor(k / 45) % 5 - 1.0)
-    s = table(spark, d, "supplier").select("s_suppkey", F.when(k % 2 == 0, a).otherwise(F.reverse(a)).alias("a"), F.when(k % 7 < 3, b).otherwise(F.reverse(b)).alias("b"))
+    # milliseconds a row: dealt to all tasks, as a small file would be one
+    dealt = table(spark, d, "supplier").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    s = dealt.select("s_suppkey", F.when(k % 2 == 0, a).otherwise(F.reverse(a)).alias("a"), F.when(k % 7 < 3, b).otherwise(F.reverse(b)).alias("b"))
     s = s.withColumn("overlap", G.overlay_area(F.col("a"), F.col("b")))
     return s.select("s_suppkey", F.round("overlap", 9).alias("overlap"), G.overlay_contains(F.col("a"), F.col("b"), F.col("overlap")).alias("contains"), G.overlay_touches(F.col("a"), F.col("b"), F.col("overlap")).alias("touches"))
 
