@@ -103,3 +103,17 @@ def test_snapshot_manifests(spark, tmp_path, monkeypatch):
     assert store.read("events").count() == 5
     with pytest.raises(KeyError):
         store.read("facts")
+
+
+def test_index_files_follow_days_not_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "KEYS_PER_FILTER", 10)
+    monkeypatch.setattr(commits, "FILES_PER_DAY", 4)
+    store = Store(spark, str(tmp_path / "log"))
+    rows = batch(spark, range(400), 0)[1].unionByName(batch(spark, range(400, 800), 1)[1])
+    assert store.commit("b0", {"events": (rows, "event_id", "event_time")}) == {"events": 800}
+    (m,) = store.manifests()
+    assert m["buckets"] == 64 and m["files"] == 8  # 400 keys a day; two days of 4 files
+    files = list((tmp_path / "log" / "index").rglob("*.parquet"))
+    assert len(files) == 8
+    more = rows.unionByName(batch(spark, range(800, 803), 1)[1])
+    assert store.commit("b1", {"events": (more, "event_id", "event_time")}) == {"events": 3}
