@@ -246,3 +246,13 @@ def test_wrong_results_carry_an_error_and_no_event(spark):
     bad = rules.Registry()
     bad.register(rules.Rule("r", "v1", lambda df, c: rules.dwell_threshold(df, c).withColumn("config", F.lit("other")), "dwell_interval"))
     assert bad.evaluate("r", "v1", engine_facts(spark).where("n = 1"), {"dwell_threshold_seconds": 10}).first()["result_error"] == "mixed_configuration"
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_that_arrive_at_once_are_taken_by_their_place(spark, turned):
+    """One order whatever the order of the input: the earlier of two is applied, then the later."""
+    rows = [("a", T0, "1", "present", 1), ("a", T0 + datetime.timedelta(seconds=5), "2", "present", 2), ("a", T0 + datetime.timedelta(seconds=9), "3", "absent", 2), ("a", T0 + datetime.timedelta(seconds=9), "4", "absent", 2)]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "track string, t timestamp, frame string, kind string, arrival long").coalesce(1)
+    told = temporal.arrival_status(df, ["track"], 1.0).orderBy("frame").collect()
+    folded = temporal.presence(df, ["track"], Policy(), temporal.BY_ARRIVAL).orderBy("frame").collect()
+    assert [r.status for r in told] == [r.status for r in folded] == ["applied"] * 4

@@ -58,7 +58,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Ma
 
 
 def _order(by: str) -> list[str]:
-    return ["t", "frame"] if by == BY_TIME else ["arrival"]
+    return ["t", "frame"] if by == BY_TIME else ["arrival", "t", "frame"]  # what arrives at once is taken by its place
 
 
 def presence(observations: DataFrame, keys: list[str], policy: Policy, by: str = BY_TIME) -> DataFrame:
@@ -164,7 +164,7 @@ def streaks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def arrival_status(rows: DataFrame, keys: list[str], window_seconds: float) -> DataFrame:
     """The ordering discipline alone: status of each row in order of arrival against the greatest place before."""
-    w = Window.partitionBy(*keys).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy("arrival", "t", "frame").rowsBetween(Window.unboundedPreceding, -1)
     high = F.max(F.struct("t", "frame")).over(w)
     place = F.struct("t", "frame")
     status = F.when(high.isNull() | (place > high), "applied").when(place == high, "deduplicated").when(F.unix_micros(high["t"]) - F.unix_micros("t") <= round(window_seconds * 1e6), "reordered").otherwise("late")
