@@ -96,3 +96,10 @@ def test_fold_keeps_the_state_of_numeric_keys_beside_null_ones(spark):
     df = spark.createDataFrame(rows, "track int, t timestamp, frame string, kind string").coalesce(1)
     got = temporal.presence(df, ["track"], POLICY).collect()
     assert sorted((str(r["track"]), r["status"], str(r["to"])) for r in got) == [("1", "applied", "entering"), ("1", "applied", "present"), ("1", "invalid_input", "None"), ("1", "invalid_input", "None"), ("None", "invalid_input", "None"), ("None", "invalid_input", "None")]
+
+
+def test_rows_that_arrive_at_once_are_taken_by_their_place(spark, tmp_path):
+    rows = [(k, at(i), f"{i:05d}", "present" if i % 3 else "absent", i // 4) for i in range(40) for k in "ab"]
+    df = spark.createDataFrame(rows[::-1], "track string, t timestamp, frame string, kind string, arrival long").coalesce(1)
+    got = run(spark, tmp_path, df, lambda s: stateful.stream_presence(s, "track", POLICY), 1)
+    assert {r["status"] for r in got.collect()} == {"applied"}
