@@ -223,3 +223,11 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs_of(spark, [])).count() == 0
     assert collocations.collocations(docs_of(spark, [(1, None, None), (2, "a b c", "en")])).count() == 0
+
+
+def test_short_pieces_are_handed_on_before_they_fill_a_task(spark, monkeypatch):
+    """What a task gathers is bounded over its batches, however few words each of them holds."""
+    monkeypatch.setattr(collocations, "GATHERED", 800)
+    df = spark.range(0, 20_000, 1, 1).select(F.lit("en").alias("lang"), F.format_string("a%d b%d", "id", "id").alias("piece"), F.lit(1).cast("long").alias("m"))
+    bitmap = b"\xff" * ((1 << collocations.FILTER_BITS) // 8)
+    assert collocations.runs(df.where("id < 20000"), bitmap, set(), 1).count() >= 10

@@ -142,8 +142,8 @@ def runs(found: DataFrame, bitmap: bytes, heavy: set[tuple[str, str]], buckets:
             known.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["bucket", "lang", "data"])
 
+        held = 0  # over batches: one of short pieces has few words
         for b in batches:
-            held = 0
             for lang, piece, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words, yes, own = piece.split(" "), known[lang], sums[lang]
                 for w in set(words).difference(yes):
