@@ -15,7 +15,7 @@ from vigilspark.sources import commits
 from vigilspark.streaming import stateful
 from vigilspark.streaming.presence import pump
 
-#: Triggers of a replay, and tasks that hold its state.
+#: Triggers of a replay, and tasks that hold its state, at least: a cluster of more cores has as many.
 TRIGGERS, TASKS = 3, 8
 
 
@@ -30,7 +30,7 @@ def replayed(rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFra
     before = {k: spark.conf.get(k, None) for k in (stateful.PROVIDER_KEY, "spark.sql.shuffle.partitions")}
     try:
         stateful.use_rocksdb(spark)
-        spark.conf.set("spark.sql.shuffle.partitions", TASKS)
+        spark.conf.set("spark.sql.shuffle.partitions", max(TASKS, spark.sparkContext.defaultParallelism))
         out = make(spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*"))
         pump(out, lambda b, i: b.write.parquet(f"{folder}/out/{i}"), f"{folder}/checkpoint").awaitTermination()
     finally:
