@@ -25,6 +25,31 @@ def test_pieces_give_the_library_ids(file, word_ends):
     assert len(specials) >= 12 and all(len(want[-len(specials) + 12 * k]) == 4 for k in range(len(specials) // 12))
 
 
+@pytest.mark.parametrize("file,word_ends", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_in_any_case_and_with_marks_give_the_library_ids(file, word_ends):
+    rng = random.Random(5)
+    alphabet = "aabcdehistHSTIXßéÉñÜüÿÿÀªµº×÷ıİſKΣσς.,;:!?&#*$%|()<>'’\"_-0129½²\u0300\u0307\u0331\u0338\u0301\u0301가中😀\u00a0\u200b\u00ad\u2028\t\r\0"
+    short = ["".join(rng.choice(alphabet[:14] if rng.random() < 0.5 else alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    short += [f"{w}{m}" for w in ("H\u0331", "I\u0307", "don't", "WE'LL", "it's", "x" * 400, "É" * 300, "<", "'s", "a'", "") for m in ("", ".", ".,", "'s", "'.", "<\u0338", "\u0338", "!'s", "1.", "_")]
+    texts = [rng.choice(("", " ", "\n")) * (rng.random() < 0.1) + "".join(rng.choice(short) + rng.choice("    \n") for _ in range(n))[:-1] for n in [*range(1, 60), *(rng.randrange(1, 400) for _ in range(60))]]
+    texts += ["".join(c for c in t if c == "\n" or c.isprintable()) for t in texts]  # these are cut with either vocabulary
+    plain = Tokenizer.from_file(tokenizer_path(file))
+    want = [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for pieces in (50, 1_000_000):
+        enc = PieceEncoder(tokenizer_path(file), word_ends, cache_pieces=pieces)
+        assert enc.ids(texts) == want and enc.ids(texts[::-1]) == want[::-1]
+        assert [enc.ids([t])[0] for t in texts[:80]] == want[:80]
+
+
+@pytest.mark.parametrize("file,word_ends,most", [("byte_bpe_50k.json", False, 2 * 676 + 4), ("word_bpe_49k.json", True, 676 + 4)])
+def test_a_word_is_encoded_once_whatever_case_and_marks(file, word_ends, most):
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join(f"{w}{m}" for w in case) for m in ("", ".", ",", "?!") for case in (words, [w.title() for w in words])] * 2
+    enc = PieceEncoder(tokenizer_path(file), word_ends)
+    assert enc.ids(texts) == [enc.encode_whole(t) for t in texts]
+    assert len(enc._cache) <= most + 2  # and the words that begin a text
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_token_file_round_trip(plane):
     rng = np.random.default_rng(3)

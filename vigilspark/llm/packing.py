@@ -178,15 +178,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, word_ends: bool,
         seen = np.zeros(capacity + 1, np.int64).tolist()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 128):
-                rows: list[tuple] = []
-                for doc, raw in zip(batch.column(0)[i : i + 128].to_pylist(), enc.ids(texts[i : i + 128]), strict=True):
-                    view = memoryview(raw + end)
-                    n = len(view) // 4
-                    for at in range(0, n, capacity):
-                        k = min(capacity, n - at)
-                        rows.append((doc, at, k, zlib.crc32(view[4 * at : 4 * (at + k)]), n, shard, seen[k]))
-                        seen[k] += 1
+            rows: list[tuple] = []
+            for doc, raw in zip(batch.column(0).to_pylist(), enc.ids(texts), strict=True):
+                view = memoryview(raw + end)
+                n = len(view) // 4
+                for at in range(0, n, capacity):
+                    k = min(capacity, n - at)
+                    rows.append((doc, at, k, zlib.crc32(view[4 * at : 4 * (at + k)]), n, shard, seen[k]))
+                    seen[k] += 1
+            if rows:
                 yield record_batch(_PIECES, list(np.array(rows, dtype=object).T.astype(np.int64)) if all(r[0] is not None for r in rows) else list(zip(*rows, strict=True)))
 
     return written(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES, keeps="tokens"), "pieces")

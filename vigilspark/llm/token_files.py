@@ -125,14 +125,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, word_ends: b
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 128):
-                for doc, raw in zip(batch.column(0)[i : i + 128].to_pylist(), enc.ids(texts[i : i + 128]), strict=True):
-                    names.append(doc)
-                    parts.append(raw + end)
-                    held += len(raw) // 4 + 1
-                    if held >= file_ids:
-                        yield close()
-                        names, parts, held, seq = [], [], 0, seq + 1
+            for doc, raw in zip(batch.column(0).to_pylist(), enc.ids(texts), strict=True):
+                names.append(doc)
+                parts.append(raw + end)
+                held += len(raw) // 4 + 1
+                if held >= file_ids:
+                    yield close()
+                    names, parts, held, seq = [], [], 0, seq + 1
         if names:
             yield close()
 
