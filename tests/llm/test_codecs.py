@@ -50,6 +50,17 @@ def test_a_word_is_encoded_once_whatever_case_and_marks(file, word_ends, most):
     assert len(enc._cache) <= most + 2  # and the words that begin a text
 
 
+@pytest.mark.parametrize("file,word_ends", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_pieces_met_once_are_not_kept(file, word_ends):
+    """Most pieces of large texts are met once; a worker's memory is for those that come again."""
+    texts = [" ".join(f"q{'abcdefghij'[i % 10]}x{i}" for i in range(k, k + 2000)) for k in (0, 2000, 4000)]
+    enc = PieceEncoder(tokenizer_path(file), word_ends)
+    want = [enc.encode_whole(t) for t in texts]
+    assert enc.ids(texts) == want and len(enc._cache) + len(enc._old) < 60
+    assert enc.ids(texts[:1]) == want[:1] and len(enc._cache) + len(enc._old) >= 2000
+    assert enc.ids(texts) == want
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_token_file_round_trip(plane):
     rng = np.random.default_rng(3)

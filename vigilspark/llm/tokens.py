@@ -25,8 +25,10 @@ import pyarrow.compute as pc
 
 from .common import caches
 
-#: Pieces whose ids one worker keeps (about 240 MB); a full cache keeps those used since it was half full.
-CACHE_PIECES = 1_000_000
+#: Pieces whose ids one worker keeps (about 120 MB); a full cache keeps those used since it was half full.
+CACHE_PIECES = 500_000
+#: Bits that tell which pieces have been met (1 MB); most are met once, and a piece is kept from its second time on.
+MET_BITS = 1 << 23
 #: New pieces that one call of the library encodes.
 JOINED_PIECES = 2000
 #: Characters of the texts whose words are told apart at once; a longer text is a group of its own.
@@ -73,6 +75,7 @@ class PieceEncoder:
         self._word_ends, self._limit = word_ends, cache_pieces
         self._cache: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._met, self._n_met = bytearray(MET_BITS // 8), 0
         self._model, show = self._tok.model, self._tok.normalizer
         whole = self.encode_whole
         self._folds = word_ends and show is not None and all(show.normalize_str(f"x{c}x") == f"x{c.lower()}x" for c in _LETTERS)
@@ -105,7 +108,19 @@ class PieceEncoder:
             return key
         return key[1:] if key[:1] == _FIRST else " " + key
 
-    def _learn(self, keys: list[str]) -> None:
+    def _again(self, key: str) -> bool:
+        """Whether a piece has been met before, by its hash: a false yes only keeps a piece early."""
+        at = hash(key) % MET_BITS
+        bit = 1 << (at & 7)
+        if self._met[at >> 3] & bit:
+            return True
+        if self._n_met >= MET_BITS // 4:
+            self._met, self._n_met = bytearray(MET_BITS // 8), 0
+        self._met[at >> 3] |= bit
+        self._n_met += 1
+        return False
+
+    def _learn(self, keys: list[str]) -> list[bytes]:
         """Encode the pieces side by side in one text, which their safe cuts allow, and part the ids by offset."""
         texts = [self._text_of(k) for k in keys]
         if self._word_ends:
@@ -121,7 +136,7 @@ class PieceEncoder:
         cut = np.searchsorted(at, start).tolist()
         end = np.searchsorted(at, start + size).tolist()
         raw = ids.tobytes()
-        self._cache.update(zip(keys, (raw[4 * a : 4 * b] for a, b in zip(cut, end, strict=True)), strict=True))
+        return [raw[4 * a : 4 * b] for a, b in zip(cut, end, strict=True)]
 
     def _encoded(self, keys: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the cache or else by the library."""
@@ -129,19 +144,25 @@ class PieceEncoder:
         out = list(map(cache.get, keys))
         new, rest = [i for i, raw in enumerate(out) if raw is None], []
         texts = [keys[i] for i in new] if self._word_ends else [self._text_of(keys[i]) for i in new]
-        is_word, by_model = self._word.fullmatch, self._by_model
+        is_word, by_model, again = self._word.fullmatch, self._by_model, self._again
         for i, text in zip(new, texts, strict=True):
-            raw = old.get(keys[i]) if text else b""
-            if raw is None:
-                if not is_word(text):
-                    rest.append(i)
-                    continue
+            key = keys[i]
+            raw = old.get(key) if text else b""
+            if raw is not None:
+                cache[key] = raw
+            elif is_word(text):
                 raw = by_model(text)
-            out[i] = cache[keys[i]] = raw
-        for i in range(0, len(rest), JOINED_PIECES):
-            self._learn([keys[k] for k in rest[i : i + JOINED_PIECES]])
-        for i in rest:
-            out[i] = cache[keys[i]]
+                if again(key):
+                    cache[key] = raw
+            else:
+                rest.append(i)
+            out[i] = raw
+        for at in range(0, len(rest), JOINED_PIECES):
+            own = rest[at : at + JOINED_PIECES]
+            for i, raw in zip(own, self._learn([keys[i] for i in own]), strict=True):
+                out[i] = raw
+                if again(keys[i]):
+                    cache[keys[i]] = raw
         return out
 
     def _marked(self, text: str) -> str:
