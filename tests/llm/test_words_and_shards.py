@@ -231,3 +231,24 @@ def test_short_pieces_are_handed_on_before_they_fill_a_task(spark, monkeypatch):
     df = spark.range(0, 20_000, 1, 1).select(F.lit("en").alias("lang"), F.format_string("a%d b%d", "id", "id").alias("piece"), F.lit(1).cast("long").alias("m"))
     bitmap = b"\xff" * ((1 << collocations.FILTER_BITS) // 8)
     assert collocations.runs(df.where("id < 20000"), bitmap, set(), 1).count() >= 10
+
+
+def test_runs_travel_as_numbers_of_words(spark):
+    """A block lists a word once however many runs hold it, in each language, and gives every run with its count."""
+    import zstandard
+
+    words = [f"{'x' * 40}{i}" for i in range(50)]
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "fr"]), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))), rng.randrange(1, 4)) for _ in range(3000)]
+    want = Counter()
+    for lang, piece, m in rows:
+        w = piece.split(" ")
+        for i in range(len(w) - 1):
+            want[lang, " ".join(w[i : i + 5])] += m
+    bitmap = b"\xff" * ((1 << collocations.FILTER_BITS) // 8)
+    blocks = [zstandard.ZstdDecompressor().decompress(r["data"]) for r in collocations.runs(spark.createDataFrame(rows, "lang string, piece string, m long").coalesce(1), bitmap, {("en", words[0])}, 3).collect()]
+    got = Counter()
+    for lang, listed, ids, _, m in (x for b in blocks for x in collocations._read_blocks(b, 5)):
+        for run, n in zip(ids.T.tolist(), m.tolist(), strict=True):
+            got[lang.decode(), " ".join(listed[i - 1].decode() for i in run if i)] += n
+    assert got == want and sum(map(len, blocks)) < 30 * len(want)
