@@ -116,6 +116,57 @@ def test_webp_images_of_several_widths_side_by_side():
         assert all((d[..., :3] == i).all() and (d[..., 3] == 255).all() for d, i in zip(decoded, images, strict=True))
 
 
+def first_tool(data: bytes) -> str | None:
+    """The first transform of a file, or else its colour cache."""
+    r = webp.Reader(webp._body(data))
+    r.at = webp.SIDE_BITS + 4
+    if r.read(1):
+        return ("predictor", "cross", "green", "palette")[r.read(2)]
+    return "cache" if r.read(1) else None
+
+
+def test_webp_tries_every_tool_of_the_format(monkeypatch):
+    rng = np.random.default_rng(6)
+    prose = " ".join(rng.choice(["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dogs", "und", "der"], 9000)).encode()
+    y, x = np.mgrid[:96, :64]
+    smooth = (np.stack([x + 2 * y, 3 * x + y, x + y], axis=-1) // 2 + rng.integers(0, 2, (96, 64, 3))).astype(np.uint8)
+    green = rng.integers(0, 256, (96, 64, 1)).astype(np.uint8)
+    images = {
+        "long": media.samples_of(media.padded(prose)), "short": media.samples_of(media.padded(prose[:2000])), "smooth": smooth,
+        "grey": green + np.array([3, 0, 9], np.uint8) + rng.integers(0, 2, (96, 64, 3)).astype(np.uint8), "half": np.concatenate([(green.view(np.int8) >> 1).view(np.uint8), green, (green.view(np.int8) >> 2).view(np.uint8)], axis=2),
+    }
+    shared = webp.Shared(*webp.symbols_of([images["long"], images["short"]]))
+    files = dict(zip(images, webp.encode_many(list(images.values()), shared), strict=True))
+    for decoded in (webp.decode_many(list(files.values())), [webp.decode(f) for f in files.values()]):
+        assert all((d[..., :3] == i).all() and (d[..., 3] == 255).all() for d, i in zip(decoded, images.values(), strict=True))
+    assert [first_tool(files[k]) for k in ("long", "short", "grey", "half")] == ["cache", "cache", "green", "cross"]
+    predicted, undo = [], webp._unpredict
+    monkeypatch.setattr(webp, "_unpredict", lambda *a: predicted.append(1) or undo(*a))
+    assert (webp.decode(files["smooth"])[..., :3] == smooth).all() and predicted
+    assert all(f == webp.encode_many([images[k]], shared)[0] for k, f in files.items())  # whatever the neighbours
+    opaque = lambda i: np.concatenate([i, np.full((*i.shape[:2], 1), 255, np.uint8)], axis=2)
+    for name, most in (("long", 0.9), ("smooth", 0.5), ("grey", 0.7), ("half", 0.75)):
+        assert len(files[name]) < most * len(webp.encode(opaque(images[name]), palette=False, cache_bits=0))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_webp_colour_cache_behind_copies(seed):
+    """What a back-reference copies is in the cache for the pixels that follow it."""
+    r = np.random.default_rng(seed)
+    parts = []
+    for _ in range(12):
+        parts += [r.integers(0, 3, (int(r.integers(1, 40)), 3)) * 90, np.repeat(r.integers(0, 3, (1, 3)) * 90, int(r.integers(1, 30)), axis=0)]
+    flat = np.concatenate(parts).astype(np.uint8)
+    image = np.resize(flat, (-(-len(flat) // 16), 16, 3))
+    opaque = np.concatenate([image, np.full((*image.shape[:2], 1), 255, np.uint8)], axis=2)
+    files = [webp.encode(opaque, palette=False, cache_bits=b) for b in (1, 2, 4, 8, 11)]
+    assert all(first_tool(f) == "cache" for f in files)
+    for decoded in (webp.decode_many(files * 2), [webp.decode(f) for f in files]):
+        assert all((d == opaque).all() for d in decoded)
+    shared = webp.Shared(*webp.symbols_of([image]))
+    assert (webp.decode_many(webp.encode_many([image] * 3, shared))[2] == opaque).all()
+
+
 def test_plan_holds_all_pieces():
     rng = np.random.default_rng(5)
     for demand in (np.zeros(65, int), np.bincount([64] * 9, minlength=65), np.bincount(rng.integers(1, 65, 3000), minlength=65), np.bincount(np.full(5000, 33), minlength=65)):
