@@ -149,6 +149,14 @@ def test_webp_tries_every_tool_of_the_format(monkeypatch):
         assert len(files[name]) < most * len(webp.encode(opaque(images[name]), palette=False, cache_bits=0))
 
 
+def test_webp_trials_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(9)
+    images = [np.cumsum(rng.integers(0, 9, (h, 7, 3)), axis=0).astype(np.uint8) for h in (33, 2, 70, 40)]
+    sides = [i.shape[:2] for i in images]
+    together = webp._trials(np.concatenate([i.reshape(-1, 3) for i in images]), sides)
+    assert (together == np.concatenate([webp._trials(i.reshape(-1, 3), [s]) for i, s in zip(images, sides, strict=True)], axis=1)).all()
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_webp_colour_cache_behind_copies(seed):
     """What a back-reference copies is in the cache for the pixels that follow it."""
